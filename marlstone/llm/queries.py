@@ -5,21 +5,75 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import repeats, simhash
+from . import html_text, licenses, lines, packing, repeats, sentencepiece, simhash, toxicity, vectors
+
+#: The vocabulary of op1; a file of the public tokenizers, never part of this repository.
+PIECES_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_ids and the decoded text of every document."""
+    vocabulary = sentencepiece.Vocabulary(sentencepiece.read_pieces(PIECES_PATH))
+    return sentencepiece.encoded(_table(spark, sf_dir, "documents"), vocabulary, decode=True)
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(_table(spark, sf_dir, "documents"), licenses.known(spark))
+
+
+def op3_length_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), most_bits=4, shingle=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_line_block_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(_table(spark, sf_dir, "pages"))
+
+
+def op6_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.training_rows(docs, _table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return toxicity.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_threshold_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.top_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op9_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the text that is left, and how many lines it had and lost."""
+    found = lines.without_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return found.select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op10_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removal_digest(_table(spark, sf_dir, "documents"), length=200)
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_anchor_dedup, op10_suffix_array_repeats)}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_sentencepiece, op2_license_scan, op3_length_bucket_packing, op4_simhash_anchor_dedup, op5_line_block_html, op6_projected_neighbours, op7_toxic_segments, op8_threshold_top_products, op9_fuzzy_line_dedup, op10_suffix_array_repeats)
+}
+
+ORACLE: dict[str, str] = {
+    "op2_license_scan": licenses.oracle(),
+    "op3_length_bucket_packing": packing.oracle(),
+    "op8_threshold_top_products": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5""",
+}
