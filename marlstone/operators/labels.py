@@ -52,14 +52,16 @@ def bracket(decisions: DataFrame, bars: DataFrame, keys: list[str], at: str, ide
     o, h, low = F.col("open_nano"), F.col("high_nano"), F.col("low_nano")
     worst, best = F.when(d > 0, low).otherwise(h), F.when(d > 0, h).otherwise(low)
     gap = F.col("_k") > 1
+    none = F.lit(None).cast("long")
+    what = lambda name, price: F.struct(F.lit(name).alias("what"), price.cast("long").alias("price"))
     event = (
-        F.when(F.col("entry_nano").isNull() | o.isNull(), F.struct(F.lit("ABSTAIN_GAP").alias("what"), F.lit(None).cast("long").alias("price")))
-        .when(rolled, F.struct(F.lit("ROLL_EXIT"), F.lit(None).cast("long")))
-        .when(gap & past(o, F.col("_stop"), -1), F.struct(F.lit("STOP_GAP"), o))
-        .when(gap & past(o, F.col("_target"), 1), F.struct(F.lit("TARGET_GAP"), o))
-        .when(past(worst, F.col("_stop"), -1), F.struct(F.lit("STOP"), F.col("_stop")))
-        .when(past(best, F.col("_target"), 1), F.struct(F.lit("TARGET"), F.col("_target")))
-        .when(F.col("_k") == hold, F.struct(F.lit("TIMEOUT"), F.col("close_nano"))))
+        F.when(F.col("entry_nano").isNull() | o.isNull(), what("ABSTAIN_GAP", none))
+        .when(rolled, what("ROLL_EXIT", none))
+        .when(gap & past(o, F.col("_stop"), -1), what("STOP_GAP", o))
+        .when(gap & past(o, F.col("_target"), 1), what("TARGET_GAP", o))
+        .when(past(worst, F.col("_stop"), -1), what("STOP", F.col("_stop")))
+        .when(past(best, F.col("_target"), 1), what("TARGET", F.col("_target")))
+        .when(F.col("_k") == hold, what("TIMEOUT", F.col("close_nano"))))
     walk = walk.withColumn("_event", event)
     hit = F.when(F.col("_event").isNotNull(), F.col("_k"))
     out = walk.groupBy(*keys, at, "direction").agg(F.max("entry_nano").alias("entry_nano"), F.min(hit).alias("exit_step"), F.min_by("_event", hit).alias("_event"), F.map_from_entries(F.collect_list(F.struct("_k", "close_nano"))).alias("_closes"))
