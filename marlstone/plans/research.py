@@ -152,7 +152,8 @@ def bracket_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K-01, K-02, K-03, K-16, Q-10: event-ordered barriers in both directions."""
     b = one_bars(spark, sf_dir)
     w = Window.partitionBy("market").orderBy("event_at_ns")
-    d = b.withColumn("tr", windows.true_range(w)).select("market", F.col("event_at_ns").alias("decided_ns"), F.round(F.avg("tr").over(w.rowsBetween(-4, 0))).alias("atr"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("direction"))
+    d = b.withColumn("tr", windows.true_range(w)).select("market", F.col("event_at_ns").alias("decided_ns"), F.round(F.avg("tr").over(w.rowsBetween(-4, 0))).alias("atr"))
+    d = d.withColumn("direction", F.explode(F.array(F.lit(1), F.lit(-1))))
     out = labels.bracket(d, b, ["market"], "decided_ns", ["contract"], H, 6)
     return out.select("market", "decided_ns", "direction", "exit_step", "exit_reason", F.coalesce("gross_nano", F.lit(0).cast("long")).alias("gross_nano"))
 
