@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import bars, joins, research  # noqa: F401
+    from . import audits, bars, joins, relational, research  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
