@@ -98,3 +98,26 @@ def test_staleness_and_replay(spark):
     assert sorted(r["state"] for r in candles.stale(df, 120, 50).collect()) == ["LIVE", "STALE"]
     w = spark.createDataFrame([("a", 5), ("b", None)], "market string, watermark_ns long")
     assert [r["replay_from_ns"] for r in candles.replay_start(w, 3).orderBy("market").collect()] == [5, 3]
+
+
+def test_binary_records(spark, tmp_path):
+    import numpy as np
+    import zstandard
+
+    from marlstone.sources import binary
+
+    kind = np.dtype([("ts_recv", "<i8"), ("id", "<u4"), ("price", "<i8")])
+    rows = np.array([(i * 10, 4_000_000_000 + i, -i) for i in range(1000)], kind)
+    (tmp_path / "a.bin").write_bytes(b"HDR" + rows.tobytes())
+    (tmp_path / "b.bin").write_bytes(zstandard.compress(b"HDR" + rows[:10].tobytes()))
+    fields = {"ts_recv": "i8", "id": "u4", "price": "i8"}
+    got = binary.with_row_ids(binary.records(spark, str(tmp_path), fields, "ts_recv", b"HDR", rows=64))
+    assert got.count() == 1010
+    assert got.select("row_sha256").distinct().count() == 1010
+    assert got.agg({"id": "max", "price": "min", "ordinal": "max"}).first().asDict() == {"max(id)": 4_000_000_999, "min(price)": -999, "max(ordinal)": 999}
+    (tmp_path / "c.bin").write_bytes(b"HDR" + rows[::-1].tobytes())
+    with pytest.raises(Exception, match="ts_recv falls"):
+        binary.records(spark, str(tmp_path / "c.bin"), fields, "ts_recv", b"HDR").count()
+    (tmp_path / "d.bin").write_bytes(b"HDR" + rows.tobytes()[:-1])
+    with pytest.raises(Exception, match="cut off"):
+        binary.records(spark, str(tmp_path / "d.bin"), fields, "ts_recv", b"HDR").count()
