@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,15 @@ def partitions(spark: SparkSession, rows: int, per_partition: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition))
 
 
+#: Narrow rows that may be broadcast; more are joined by shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` to be broadcast if its ``rows``, as counted, are few enough; else as it is."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (one more than rows) and bytes of a string or binary column; a null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -69,15 +78,6 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) ->
             start = end
 
 
-def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(work, schema)
-
-
-def fewer_rows_per_batch(df: DataFrame, text: str) -> DataFrame:
-    """Only the columns asked for are sent to Python; see ``sliced`` for the batches there."""
-    return df.select(*[c for c in df.columns if c != text], text)
-
-
 def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spanning stars of the graph with edges a-b: each node that isn't its component's least, and that least node."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -121,14 +121,19 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
+        return out.where("a <> b")
+
+    def kept(e: DataFrame, links: int) -> DataFrame:
+        """Written in as many files as its links fill, so that small graphs run as few tasks."""
+        return written(e.distinct().coalesce(max(1, links // 100_000)), "edges")
 
-    now = written(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct(), "edges")
+    first = written(edges.where("a is not null and b is not null and a <> b").select("a", "b"), "links")
+    now = kept(first, first.count())
     was = told(now)
     for _ in range(most_rounds):
         if not was[0]:
             break
-        now = written(starred(starred(now, True), False), "edges")
+        now = kept(starred(starred(now, True), False), was[0])
         found = told(now)
         if found == was:
             break

@@ -1,16 +1,19 @@
 """SimHash near-duplicates by anchor-point covering.
 
-Fingerprints have 64 bits, cut into three pieces of 22, 21 and 21 bits. Two fingerprints that differ in at most five
-bits differ in at most one bit of some piece. The anchors of a piece are the points whose first 15 bits are a word of
-the perfect [15, 11] Hamming code; this code has covering radius 1. Each fingerprint is replicated to every anchor
-within radius + threshold = 2 of each of its pieces, and is at home at the one anchor within distance 1. A pair of that
-kind meets at the home anchor of either, so comparing the homes of an anchor with all that stands there misses nothing.
+Fingerprints have 64 bits, cut into three pieces of 22, 21 and 21 bits, which are points of a space with a perfect
+code; the code's words are the anchors, and its covering radius is R. Two fingerprints that differ in at most 3 t + 2
+bits differ in at most t bits of some piece. Each fingerprint is replicated to every anchor within R + t of each of its
+pieces, and is at home at the one anchor within R. A pair of that kind meets at the home anchor of either, so comparing
+the homes of an anchor with all that stands there misses nothing. Up to five bits (t = 1) the code is the Hamming code
+on 15 bits (R = 1), the piece's other bits are part of the anchor; up to eight (t = 2) it's the Golay code on 23 (R = 3).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
+from itertools import combinations, repeat
+from operator import xor
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, local_components, partitions, sliced, utf8, written
+from ._common import bounded, components, local_components, partitions, sliced, utf8, written
 
 PIECES = ((0, 22), (22, 21), (43, 21))
-CODE_BITS = 15
-MOST_BITS = 5
+#: Bits that the two codes cover between them.
+MOST_BITS = 8
 #: Homes at one anchor that a task holds at once; more are dealt out over salts, with their anchor's rows sent to each.
 HOMES_AT_ONCE = 50_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -62,117 +65,148 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return one.mapInArrow(work, f"id {dict(one.dtypes)['id']}, fp long").withColumnRenamed("id", id_col)
 
 
-def _syndrome(x: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(x), np.int64)
-    for i in range(CODE_BITS):
-        out ^= ((x >> i) & 1) * (i + 1)
+def _golay() -> list[int]:
+    """Remainders of x**i by a generator of the Golay code, x**11 + x**9 + x**7 + x**6 + x**5 + x + 1."""
+    out, r = [], 1
+    for _ in range(23):
+        out.append(r)
+        r <<= 1
+        r ^= 0xAE3 if r >> 11 else 0
     return out
 
 
-def _flips(bits: int) -> dict[int, np.ndarray]:
-    """For each syndrome of the code bits: the flips of at most two of ``bits`` bits that lead to an anchor."""
-    ones = [1 << i for i in range(bits)]
-    flips = np.array([0, *ones, *(a | b for i, a in enumerate(ones) for b in ones[:i])], np.int64)
-    s = _syndrome(flips)
-    return {k: flips[s == k] for k in range(16)}
-
-
-def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tables = {n: _flips(n) for _, n in PIECES}
-    for b in batches:
-        fps = b.column(0).to_numpy()
-        for at in range(0, len(fps), 4096):
-            part = fps[at : at + 4096]
-            for p, (low, n) in enumerate(PIECES):
-                piece = (part.view(np.uint64) >> np.uint64(low)).astype(np.int64) & ((1 << n) - 1)
-                s = _syndrome(piece)
-                for k in range(16):
-                    if not len(own := np.flatnonzero(s == k)):
-                        continue
-                    flips = tables[n][k]
-                    key = (piece[own][:, None] ^ flips[None, :]) | (p << 22)
-                    home = flips == (0 if k == 0 else 1 << (k - 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int32)), pa.array(np.tile(home, len(own))), pa.array(np.repeat(part[own], len(flips)))], ["anchor", "home", "fp"])
-
-
-def _compare(most_bits: int):
+class _Anchors:
+    """A code on ``bits`` bits by the syndromes of single bits (0: a bit outside the code), radius and threshold."""
+
+    def __init__(self, singles: list[int], radius: int, threshold: int) -> None:
+        self.singles = singles
+        kinds = 1 << max(singles).bit_length()
+        flips, syndromes, homes = [], [], []
+        for weight in range(radius + threshold + 1):
+            for places in combinations(range(len(singles)), weight):
+                flips.append(sum(1 << i for i in places))
+                syndromes.append(reduce(xor, (singles[i] for i in places), 0))
+                homes.append(weight <= radius and all(singles[i] for i in places))
+        order = np.argsort(syndromes, kind="stable")
+        self.flips, self.homes = np.array(flips)[order], np.array(homes)[order]
+        self.counts = np.bincount(syndromes, minlength=kinds)
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def near(self, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the piece, anchor and whether it's the home, for all anchors that each piece is replicated to."""
+        s = np.zeros(len(piece), np.int64)
+        for i, one in enumerate(self.singles):
+            if one:
+                s ^= ((piece >> i) & 1) * one
+        n = self.counts[s]
+        at = np.repeat(np.arange(len(piece)), n)
+        flip = np.repeat(self.starts[s] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return at, piece[at] ^ self.flips[flip], self.homes[flip]
+
+
+def _codes(most_bits: int) -> list[_Anchors]:
+    if most_bits > 5:
+        return [_Anchors(_golay(), 3, 2)] * 3
+    hamming = list(range(1, 16))
+    return [_Anchors(hamming + [0] * (n - 15), 1, 1) for _, n in PIECES]
+
+
+def _replicate(most_bits: int, labelled: bool):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _codes(most_bits)
+        for b in batches:
+            fps = b.column(0).to_numpy()
+            for start in range(0, len(fps), 4096):
+                part = fps[start : start + 4096]
+                for p, (low, n) in enumerate(PIECES):
+                    at, anchor, home = codes[p].near((part.view(np.uint64) >> np.uint64(low)).astype(np.int64) & ((1 << n) - 1))
+                    cols = [pa.array((anchor | (p << 23)).astype(np.int32)), pa.array(home), pa.array(part[at])]
+                    if labelled:
+                        cols.append(pa.array(b.column(1).to_numpy()[start : start + 4096][at]))
+                    yield pa.RecordBatch.from_arrays(cols, ["anchor", "home", "fp", "label"][: len(cols)])
+
+    return work
+
+
+def _compare(most_bits: int, labelled: bool):
+    """Links at each anchor: spanning stars of a run of anchors or, with labels, all pairs whose labels differ."""
     most_pairs = 1 << 20
 
-    def links(h: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of a run of whole small groups, or of one tile."""
-        near = np.bitwise_count((h ^ p).view(np.uint64)) <= most_bits
-        near &= h != p
-        return h[near], p[near]
+    def links(h: np.ndarray, p: np.ndarray) -> np.ndarray:
+        near = np.bitwise_count((h[0] ^ p[0]).view(np.uint64)) <= most_bits
+        near &= h[-1] != p[-1]
+        return np.stack([h[0][near], p[0][near]])
 
-    def batch(a: list, b: list) -> pa.RecordBatch:
-        u, v = local_components(np.concatenate(a), np.concatenate(b))
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])
+    def batch(found: list) -> pa.RecordBatch:
+        a, b = np.concatenate(found, axis=1)
+        if not labelled:
+            a, b = local_components(a, b)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, homes, a, b, held = None, np.zeros(0, np.int64), [], [], 0
+        key, homes, found, held = None, None, [], 0
         for rb in batches:  # sorted by group, homes first
             group = rb.column(0).to_numpy().astype(np.int64) * 65536 + rb.column(1).to_numpy()
-            home, fp = rb.column(2).to_numpy(zero_copy_only=False), rb.column(3).to_numpy()
+            if not len(group):
+                continue
+            home = rb.column(2).to_numpy(zero_copy_only=False)
+            rows = np.stack([rb.column(i).to_numpy() for i in range(3, 5 if labelled else 4)])  # fingerprint, and label
             cuts = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
             ids = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-            if key is not None and len(group) and group[0] == key:  # the group goes on from the batch before
-                first = slice(0, cuts[1])
-                carried = homes
-            else:
-                first, carried = slice(0, 0), homes[:0]
-            for s in range(0, len(carried), 1024):
-                own = fp[first]
-                for t in range(0, len(own), 1024):
-                    u, v = links(np.repeat(carried[s : s + 1024], len(own[t : t + 1024])), np.tile(own[t : t + 1024], len(carried[s : s + 1024])))
-                    a.append(u), b.append(v)
+            if group[0] == key:  # the group goes on from the batch before
+                own = rows[:, : cuts[1]]
+                for s in range(0, homes.shape[1], 1024):
+                    for t in range(0, own.shape[1], 1024):
+                        h, o = homes[:, s : s + 1024], own[:, t : t + 1024]
+                        found.append(links(np.repeat(h, o.shape[1], axis=1), np.tile(o, h.shape[1])))
+                        held += found[-1].shape[1]
             at = np.flatnonzero(home)
             size = np.diff(cuts)[ids[at]]
             todo, start = np.cumsum(size), 0
             while start < len(at):  # as many homes as make about most_pairs pairs with their groups
-                base = todo[start] - size[start]
-                end = max(start + 1, int(np.searchsorted(todo, base + most_pairs, "right")))
+                end = max(start + 1, int(np.searchsorted(todo, todo[start] - size[start] + most_pairs, "right")))
                 own, n = at[start:end], size[start:end]
                 offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                u, v = links(np.repeat(fp[own], n), fp[np.repeat(cuts[ids[own]], n) + offset])
-                a.append(u), b.append(v)
-                held += len(u)
+                found.append(links(np.repeat(rows[:, own], n, axis=1), rows[:, np.repeat(cuts[ids[own]], n) + offset]))
+                held += found[-1].shape[1]
                 start = end
                 if held > most_pairs:
-                    yield batch(a, b)
-                    a, b, held = [], [], 0
-            if len(group):
-                last = slice(cuts[-2], cuts[-1])
-                mine = fp[last][home[last]]
-                homes = np.concatenate([homes, mine]) if key == group[-1] else mine
-                key = group[-1]
-        if a:
-            yield batch(a, b)
+                    yield batch(found)
+                    found, held = [], 0
+            last = slice(cuts[-2], cuts[-1])
+            mine = rows[:, last][:, home[last]]
+            homes = np.concatenate([homes, mine], axis=1) if key == group[-1] else mine
+            key = group[-1]
+        if found:
+            yield batch(found)
 
     return work
 
 
 def fingerprint_links(fps: DataFrame, most_bits: int = 4) -> DataFrame:
-    """Spanning links (a, b) between distinct fingerprints ``fps`` (fp) that differ in at most ``most_bits`` bits.
+    """Links (a, b) between distinct fingerprints ``fps`` (fp) that differ in at most ``most_bits`` bits.
 
-    Linked fingerprints are in one component of the result just when they are in one component of all such pairs.
+    They span: linked fingerprints are in one component of the result just when they are in one component of all such
+    pairs. If ``fps`` has a column label too, the links are all pairs whose labels differ.
     """
     if not 0 <= most_bits <= MOST_BITS:
         raise ValueError(f"the anchors cover up to {MOST_BITS} bits")
-    spark = fps.sparkSession
+    spark, label = fps.sparkSession, [c for c in fps.columns if c == "label"]
     n = fps.count()
-    rows = fps.mapInArrow(_replicate, "anchor int, home boolean, fp long")
+    rows = fps.select("fp", *label).mapInArrow(_replicate(most_bits, bool(label)), "anchor int, home boolean, fp long" + ", label long" * len(label))
     homes = rows.where("home").groupBy("anchor").count().where(F.col("count") > HOMES_AT_ONCE)
     hot = written(homes.select("anchor", F.ceil(F.col("count") / HOMES_AT_ONCE).cast("int").alias("salts")), "hot") if n > HOMES_AT_ONCE else None
+    cols = ["anchor", "salt", "home", "fp", *label]
     if hot is not None and not hot.isEmpty():
         rows = rows.join(hot, "anchor", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
         own = F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")
-        rows = rows.withColumn("salt", F.explode(F.when(F.col("home"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("salts") - 1)))).select("anchor", "salt", "home", "fp")
+        rows = rows.withColumn("salt", F.explode(F.when(F.col("home"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("salts") - 1)))).select(*cols)
         others = rows.where("home").join(hot, "anchor").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).where("to <> salt")
-        rows = rows.union(others.select("anchor", F.col("to").alias("salt"), F.lit(False).alias("home"), "fp"))
+        rows = rows.union(others.select("anchor", F.col("to").alias("salt"), F.lit(False).alias("home"), "fp", *label))
     else:
-        rows = rows.select("anchor", F.lit(0).alias("salt"), "home", "fp")
-    dealt = rows.repartition(partitions(spark, 48 * n, 1_000_000), "anchor", "salt").sortWithinPartitions("anchor", "salt", F.desc("home"))
-    return dealt.mapInArrow(_compare(most_bits), "a long, b long")
+        rows = rows.withColumn("salt", F.lit(0)).select(*cols)
+    dealt = rows.repartition(partitions(spark, (48 if most_bits <= 5 else 66) * n, 1_000_000), "anchor", "salt").sortWithinPartitions("anchor", "salt", F.desc("home"))
+    return dealt.mapInArrow(_compare(most_bits, bool(label)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -191,17 +225,95 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS, shingle: int = 5) -> DataFrame:
-    """The documents without near-duplicates: of each component the row with the least id stays, whole.
+def _shingle_sets(shingle: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, "text"):
+            off, body = utf8(b.column(1))
+            raw, sets = body.tobytes(), []
+            for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+                words = raw[s:e].lower().split()
+                grams = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+                sets.append(np.sort(np.array([xxhash.xxh64_intdigest(g) for g in grams], np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["key", "grams"])
+
+    return work
+
+
+def _jaccard(similarity: float):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (at_x, x), (at_y, y) = ((c.offsets.to_numpy(), c.values.to_numpy()) for c in (b.column(2), b.column(3)))
+            ok = []
+            for i in range(b.num_rows):
+                p, q = x[at_x[i] : at_x[i + 1]], y[at_y[i] : at_y[i + 1]]
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                ok.append(both >= similarity * (len(p) + len(q) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+
+    return work
+
+
+def near_copies(docs: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, shingle: int = 5, most_bits: int = MOST_BITS, parts: int = 2) -> DataFrame:
+    """(id_col, component_id): documents with words in groups of near copies, component_id the group's least id.
+
+    Candidates are texts whose SimHashes over ``parts``-word shingles differ in at most ``most_bits`` bits; a pair is
+    linked if the Jaccard similarity of its sets of ``shingle``-word shingles reaches ``similarity``. (SimHashes over
+    two words are nearer than those over five for the same edit: of pairs with a similarity of 0.8 or somewhat more,
+    nine in ten are within eight bits.) Groups follow verified links.
+    """
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
+    prints = fingerprints(keyed.select(F.struct("id", "key").alias("id"), "text"), "id", "text", parts)
+    prints = written(prints.select("id.id", "id.key", "fp"), "fingerprints")
+    texts = written(prints.groupBy("key").agg(F.min("fp").alias("fp"), F.min("id").alias("first")), "distinct")
+    heads = texts.groupBy("fp").agg(F.min("key").alias("head"))
+    links = fingerprint_links(heads.select("fp"), most_bits)
+    of = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"k{c}"))
+    pairs = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    same = texts.join(heads, "fp").where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b"))
+    pairs = written(pairs.union(same).distinct(), "pairs")
+
+    def verified(found: DataFrame, name: str) -> DataFrame:
+        ends = written(found.select(F.col("a").alias("key")).union(found.select("b")).distinct(), f"{name}-ends")
+        few = bounded(ends, ends.count())
+        sets = keyed.join(few, "key", "left_semi").select("key", "text").mapInArrow(_shingle_sets(shingle), "key long, grams array<long>")
+        sets = written(sets.dropDuplicates(["key"]), f"{name}-sets")
+        both = found.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        return written(both.mapInArrow(_jaccard(similarity), "a long, b long, ok boolean"), name)
+
+    checked = verified(pairs, "checked")
+    good, bad = checked.where("ok").select("a", "b"), checked.where("not ok").select("a", "b")
+    groups = components(good)
+    if not bad.isEmpty():  # a refused link may have hidden good ones: try all pairs that are still apart around it
+        loose = components(pairs)
+        around = loose.join(bad.select(F.col("a").alias("node")).join(loose, "node").select("root").distinct(), "root", "left_semi").select(F.col("node").alias("key"))
+        apart = texts.join(around, "key").join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "fp", F.coalesce("root", "key").alias("label"))
+        apart = written(apart.groupBy("fp", "label").agg(F.min("key").alias("key")), "apart")
+        pick = lambda c: apart.select(F.col("fp").alias(c), F.col("label").alias(f"l{c}"), F.col("key").alias(f"k{c}"))
+        one = apart.groupBy("fp").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        near = fingerprint_links(one.select("fp", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.xxhash64("fp", F.lit("several"))).alias("label")), most_bits)
+        near = near.union(one.where("low <> high").select(F.col("fp").alias("a"), F.col("fp").alias("b"))).distinct()
+        more = near.join(pick("a"), "a").join(pick("b"), "b").where("la <> lb").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
+        tried = bad.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = verified(written(more.join(tried, ["a", "b"], "left_anti"), "more"), "checked-more").where("ok").select("a", "b")
+        groups = groups if more.isEmpty() else components(good.union(more))
+    rooted = texts.join(groups.withColumnRenamed("node", "key"), "key").select("key", "root", "first")
+    least = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    alone = texts.join(groups.select(F.col("node").alias("key")), "key", "left_anti").select("key", F.col("first").alias("component_id"))
+    classes = written(rooted.join(least, "root").select("key", "component_id").union(alone), "classes")
+    return prints.join(classes, "key").select(F.col("id").alias(id_col), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """The documents without near copies: of each group of ``near_copies`` the row with the least id stays, whole.
 
     Of repeated rows with that id one stays. Rows without words or without an id take no part and stay as they are, as
     an empty text is no copy of another. The columns are those of ``docs``.
     """
     takes_part = F.col(id_col).isNotNull() & F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    marked = written(near_duplicates(docs.where(takes_part), id_col, text_col, most_bits, shingle), "marked")
-    gone = marked.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    marked = written(near_copies(docs.where(takes_part), id_col, text_col, similarity, shingle), "marked")
+    gone = written(marked.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone")
     again = marked.groupBy(id_col).count().where("count > 1").select(id_col)
-    kept = docs.join(gone, id_col, "left_anti")
+    kept = docs.join(bounded(gone, gone.count()), id_col, "left_anti")
     if not again.isEmpty():
         once = docs.where(takes_part).join(again, id_col, "left_semi").join(gone, id_col, "left_anti").dropDuplicates([id_col])
         kept = kept.where(~takes_part).unionByName(kept.where(takes_part).join(again, id_col, "left_anti")).unionByName(once)

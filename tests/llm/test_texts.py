@@ -190,8 +190,8 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, at_once):
     assert got == {i: (fps[i], want[i]) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("bits", range(6))
-def test_anchors_miss_no_pair(spark, bits):
+@pytest.mark.parametrize(("bits", "most"), [*((n, 5) for n in range(6)), *((n, 8) for n in (1, 5, 6, 7, 8))])
+def test_anchors_miss_no_pair(spark, bits, most):
     rnd = random.Random(bits)
     pairs = []
     for _ in range(200):
@@ -202,10 +202,34 @@ def test_anchors_miss_no_pair(spark, bits):
         pairs.append((a, b))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     rows = spark.createDataFrame([(signed(x),) for p in pairs for x in set(p)], "fp long").distinct()
-    found = {frozenset(r) for r in simhash.fingerprint_links(rows, 5).collect()}
+    found = {frozenset(r) for r in simhash.fingerprint_links(rows, most).collect()}
     assert found == ({frozenset(map(signed, p)) for p in pairs} if bits else set())
 
 
+@pytest.mark.parametrize("at_once", [50_000, 2])
+def test_near_copies_equal_brute_force(spark, monkeypatch, at_once):
+    monkeypatch.setattr(simhash, "HOMES_AT_ONCE", at_once)
+    rnd = random.Random(15)
+    texts = [words(rnd, rnd.randint(1, 120)) for _ in range(25)] + ["one", "One", "two"]
+    for t in list(texts):
+        for edits in (0, 1, 2, 4, 6):
+            w = t.split()
+            for _ in range(edits):
+                w[rnd.randrange(len(w))] = rnd.choice(["zz", "the", "qq"])
+            texts.append("  ".join(w))
+    fps = [fingerprint(t, 2) for t in texts]
+
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [grams(t) for t in texts]
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    want = closure(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 8 and alike(i, j)])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame([*enumerate(texts)], DOCS), "doc_id", "text").collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_keep_one_keeps_a_whole_document_of_each_group(spark):
     rnd = random.Random(6)
     a, b = words(rnd, 400), words(rnd, 400)
@@ -409,7 +433,7 @@ def test_long_texts_are_cut_into_segments(spark, monkeypatch):
     rows = [tuple(r.values()) for b in repeats._anchor_rows(200)(iter([batch])) for r in b.to_pylist()]
     anchors = Counter(r[0] for r in rows)
     assert {r[3] for r in rows} == {len(x) for x in body}
-    for a, full, key, _, pos in rows:
+    for _, full, key, _, pos, _ in rows:
         assert 0 <= pos <= len(body[key - 1]) - repeats.GRAM
     assert sum(n > 1 for n in anchors.values()) >= 2
 
