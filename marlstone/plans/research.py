@@ -369,15 +369,15 @@ def newey_west(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hour of the sample by market: mean value, a bounded series (hours times markets)."""
-    e = tables.table(spark, sf_dir, "events").where("hour(ts) < 24")
-    return e.groupBy(F.date_trunc("hour", "ts").alias("hour")).pivot("event_type", ["click", "error", "purchase", "signup", "view"]).agg(F.avg("value")).na.drop()
+    """Mean value by day and market: a series bounded by the calendar."""
+    e = tables.table(spark, sf_dir, "events")
+    return e.groupBy(F.to_date("ts").alias("day")).pivot("event_type", ["click", "error", "purchase", "signup", "view"]).agg(F.avg("value")).na.drop()
 
 
 @query()
 def stepdown_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L-02, L-03: Romano-Wolf stepdown on stationary bootstrap resamples of hourly means, market by market."""
-    rows = _daily(spark, sf_dir).orderBy("hour").toPandas()
+    """L-02, L-03: Romano-Wolf stepdown on stationary bootstrap resamples of daily means, market by market."""
+    rows = _daily(spark, sf_dir).orderBy("day").toPandas()
     series = rows.iloc[:, 1:].to_numpy() - 50
     observed = [inference.hac_t(series[:, j], 2) for j in range(series.shape[1])]
     stats = inference.bootstrap_statistics(spark, series, 500, 6.0, 11, 2)
