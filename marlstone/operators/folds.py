@@ -13,11 +13,11 @@ def numbered(sessions: DataFrame, keys: list[str], session: str) -> DataFrame:
 
 def expanding(sessions: DataFrame, folds: int, fit: int, step: int, evaluate: int, embargo: int = 1) -> DataFrame:
     """Role of each numbered session in each fold: FIT up to fit + step * fold, then EMBARGO, then EVALUATE."""
-    spark = sessions.sparkSession
-    plan = spark.range(folds).select(F.col("id").cast("int").alias("fold"), (fit + step * F.col("id")).alias("_fit"))
+    each = sessions.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    each = each.withColumn("_fit", F.lit(fit) + step * F.col("fold"))
     n = F.col("session_no")
     role = F.when(n <= F.col("_fit"), "FIT").when(n <= F.col("_fit") + embargo, "EMBARGO").when(n <= F.col("_fit") + embargo + evaluate, "EVALUATE")
-    return sessions.crossJoin(F.broadcast(plan)).withColumn("role", role).where("role is not null").drop("_fit")
+    return each.withColumn("role", role).where("role is not null").drop("_fit")
 
 
 def equal(sessions: DataFrame, keys: list[str], folds: int) -> DataFrame:
