@@ -24,12 +24,15 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared scratch folder and read it again.
 
-    This cuts the lineage like checkpoint(), but computes ``df`` only once.
+    This cuts the lineage like checkpoint(), but computes ``df`` only once. Where a bound on its rows is known, a small
+    table is written by few tasks.
     """
     spark = df.sparkSession
+    if most_rows is not None:
+        df = df.coalesce(max(1, most_rows // 20_000))
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -108,15 +111,19 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     spark = edges.sparkSession
     kind = dict(edges.dtypes)["a"]
 
+    def files(links: int) -> int:
+        return max(1, links // 100_000)
+
     def told(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    def starred(e: DataFrame, large: bool) -> DataFrame:
+    def starred(e: DataFrame, large: bool, links: int) -> DataFrame:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         if not large:  # only towards smaller neighbours
             both = both.where("b < a")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        joined = both.join(least, "a")
+        least = written(least.coalesce(files(links)), "least")  # on its own, so that a node with very many links can be split
+        joined = both.join(bounded(least, least.count()), "a")
         if large:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
@@ -124,8 +131,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         return out.where("a <> b")
 
     def kept(e: DataFrame, links: int) -> DataFrame:
-        """Written in as many files as its links fill, so that small graphs run as few tasks."""
-        return written(e.distinct().coalesce(max(1, links // 100_000)), "edges")
+        """Written in few files where there are few links, so that small graphs run as few tasks."""
+        return written(e.distinct().coalesce(files(links)), "edges")
 
     first = written(edges.where("a is not null and b is not null and a <> b").select("a", "b"), "links")
     now = kept(first, first.count())
@@ -133,7 +140,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not was[0]:
             break
-        now = kept(starred(starred(now, True), False), was[0])
+        now = kept(starred(starred(now, True, was[0]), False, was[0]), was[0])
         found = told(now)
         if found == was:
             break

@@ -273,12 +273,13 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str, similarity: float =
     pairs = written(pairs.union(same).distinct(), "pairs")
 
     def verified(found: DataFrame, name: str) -> DataFrame:
-        ends = written(found.select(F.col("a").alias("key")).union(found.select("b")).distinct(), f"{name}-ends")
-        few = bounded(ends, ends.count())
+        n = found.count()
+        ends = written(found.select(F.col("a").alias("key")).union(found.select("b")).distinct(), f"{name}-ends", 2 * n)
+        few = bounded(ends, 2 * n)
         sets = keyed.join(few, "key", "left_semi").select("key", "text").mapInArrow(_shingle_sets(shingle), "key long, grams array<long>")
-        sets = written(sets.dropDuplicates(["key"]), f"{name}-sets")
+        sets = written(sets.dropDuplicates(["key"]), f"{name}-sets", 8 * n)
         both = found.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        return written(both.mapInArrow(_jaccard(similarity), "a long, b long, ok boolean"), name)
+        return written(both.mapInArrow(_jaccard(similarity), "a long, b long, ok boolean"), name, 4 * n)
 
     checked = verified(pairs, "checked")
     good, bad = checked.where("ok").select("a", "b"), checked.where("not ok").select("a", "b")
