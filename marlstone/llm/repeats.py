@@ -90,7 +90,30 @@ def _segment_anchors(roll: _Rolling, body: np.ndarray, off: np.ndarray, length:
     return np.searchsorted(off, picked, "right") - 1, picked, grams[picked]
 
 
+def _third_on(anchor: np.ndarray, full: np.ndarray) -> np.ndarray:
+    """Whether two rows before it have the same anchor and surroundings: two tell others that these repeat."""
+    order = np.lexsort((np.arange(len(anchor)), full, anchor))
+    a, f = anchor[order], full[order]
+    out = np.zeros(len(anchor), bool)
+    out[order[2:]] = (a[2:] == a[:-2]) & (f[2:] == f[:-2])
+    return out
+
+
+def _runs(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The union of intervals in each text; ``start`` rises, as the texts do."""
+    reach = np.maximum.accumulate(end)
+    new = np.concatenate([[True], (text[1:] != text[:-1]) | (start[1:] > reach[:-1])])
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(text) - 1)
+    return text[new], start[new], reach[last]
+
+
+def _rows(anchor: np.ndarray, full: np.ndarray, key: np.ndarray, total: np.ndarray, text: np.ndarray, pos: np.ndarray, end: np.ndarray | None) -> pa.RecordBatch:
+    last = pa.nulls(len(text), pa.int32()) if end is None else pa.array(end.astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(full), pa.array(key[text]), pa.array(total[text].astype(np.int32)), pa.array(pos.astype(np.int32)), last], ["anchor", "full", "key", "len", "pos", "end"])
+
+
 def _anchor_rows(length: int):
+    """Anchors with the hash of their surroundings (end is null), and stretches that are seen to repeat on the spot."""
     before = length - GRAM
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +143,13 @@ def _anchor_rows(length: int):
                     ok = ((pos - s) == left) & ((e - pos) == right)
                     text, s, e, at, left, right, h = (x[ok] for x in (text, s, e, at, left, right, h))
                 full = _mix(roll.of(whole, 1, s, e) + left.astype(np.uint64) * _M1 + right.astype(np.uint64) * _M2)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(full.view(np.int64)), pa.array(key[text]), pa.array(total[text].astype(np.int32)), pa.array(at.astype(np.int32))], ["anchor", "full", "key", "len", "pos"])
+                more = _third_on(h, full)
+                few = ~more
+                yield _rows(h[few].view(np.int64), full[few].view(np.int64), key, total, text[few], at[few], None)
+                if more.any():
+                    t, first, last = _runs(text[more], s[more], e[more])
+                    shift = base[t] - o[t]
+                    yield _rows(_mix(key[t].view(np.uint64) + first.astype(np.uint64)).view(np.int64), np.zeros(len(t), np.int64), key, total, t, first + shift, last + shift)
 
     return work
 
@@ -268,14 +297,16 @@ def repeat_groups(docs: DataFrame, text_col: str = "text", length: int = 200, ki
         raise ValueError(f"repeats have at least {GRAM + 8} bytes")
     spark = docs.sparkSession
     texts = docs.select(F.xxhash64(text_col).alias("key"), F.octet_length(text_col).alias("len"), F.col(text_col).alias("text")).where(F.col("len") >= length)
-    anchors = texts.select("key", "text").mapInArrow(_anchor_rows(length), "anchor long, full long, key long, len int, pos int")
+    anchors = texts.select("key", "text").mapInArrow(_anchor_rows(length), "anchor long, full long, key long, len int, pos int, end int")
     w = Window.partitionBy("anchor").orderBy("full", "key", "len", "pos")
     here = F.struct("full", "key", "len", "pos")
     rows = anchors.withColumn("was", F.lag(here).over(w)).where("was is null or was <> struct(full, key, len, pos)").drop("was")
-    rows = rows.select("*", F.lag("full").over(w).alias("before"), F.lead("full").over(w).alias("after")).where("before is not null or after is not null")
+    rows = rows.select("*", F.lag("full").over(w).alias("before"), F.lead("full").over(w).alias("after")).where("end is not null or before is not null or after is not null")
     rows = written(rows, "anchors")
     before, whole = length - GRAM, F.col("before").eqNullSafe(F.col("full")) | F.col("after").eqNullSafe(F.col("full"))
-    spans = rows.where(whole).select(F.xxhash64("anchor", "full").alias("repeat"), "key", "len", F.greatest(F.lit(0), F.col("pos") - before).alias("start"), F.least("len", F.col("pos") + length).alias("end"))
+    spans = rows.where("end is not null").select(F.col("anchor").alias("repeat"), "key", "len", F.col("pos").alias("start"), "end")
+    rows = rows.where("end is null")
+    spans = spans.union(rows.where(whole).select(F.xxhash64("anchor", "full").alias("repeat"), "key", "len", F.greatest(F.lit(0), F.col("pos") - before).alias("start"), F.least("len", F.col("pos") + length).alias("end")))
     ask = rows.where("(after is not null and after <> full) or (before is not null and before <> full)").groupBy("key", "len").agg(F.collect_list(F.struct("anchor", "pos")).alias("places"))
     around = texts.join(ask, ["key", "len"]).select("key", "len", "places", "text").mapInArrow(_contexts(length), "anchor long, key long, len int, pos int, left binary, right binary")
     around = written(around.dropDuplicates(["anchor", "key", "len", "pos"]), "contexts")
