@@ -346,6 +346,25 @@ def line_hash(ws):
     return sum(1 << b for b in range(64) if votes[b] > 0)
 
 
+def test_edit_distances_side_by_side():
+    rnd = random.Random(3)
+    x, y = [], []
+    for _ in range(1500):
+        a = [rnd.choice("abcd é") for _ in range(rnd.choice([0, 1, 5, 63, 64, 65, 127, 128, 129, 190, 900]))] if len(x) % 50 else []
+        b = a[:]
+        for _ in range(rnd.choice([0, 1, len(a) // 5, len(a) // 4])):
+            i = rnd.randrange(len(b) + 1)
+            b[i : i + rnd.randrange(2)] = rnd.choice(["", "b", "éd"])
+        for into, t in zip((x, y), rnd.sample([a, b], 2), strict=True):
+            into.append("".join(t))
+    some = [i for i in range(len(x)) if len(x[i]) < 300 or i % 40 == 0]
+    x, y = [x[i] for i in some], [y[i] for i in some]
+    want = np.array([distance(a, b) for a, b in zip(x, y, strict=True)])
+    for off in (-1, 0, 1):
+        assert (lines.within(x, y, want + off) == (off >= 0)).all()
+    assert len(lines.within([], [], np.zeros(0, np.int64))) == 0
+
+
 @pytest.mark.parametrize("at_once", [100_000, 12])
 def test_line_dedup_equals_brute_force(spark, monkeypatch, at_once):
     monkeypatch.setattr(lines, "LINES_AT_ONCE", at_once)
