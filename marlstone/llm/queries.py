@@ -55,7 +55,7 @@ def op8_threshold_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the text that is left, and how many lines it had and lost."""
-    found = lines.without_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    found = lines.without_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True, prints=lines.PRINTS)
     return found.select("doc_id", "text", "n_lines", "n_removed")
 
 

@@ -400,6 +400,25 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, at_once):
     assert all(r["n_chars"] == len(r["text"] or "") for r in out)
 
 
+def test_line_dedup_finds_alike_lines_however_far_their_fingerprints(spark):
+    rnd = random.Random(21)
+    pool = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 8))) for _ in range(3000)]
+    ws = [[rnd.choice(pool) for _ in range(rnd.choice([12, 20, 40, 80]))] for _ in range(150)]
+    texts = [" ".join(w) for w in ws]
+    for w in ws:
+        w = w[:]
+        for i in rnd.sample(range(len(w)), max(1, len(w) // 12)):
+            w[i] = rnd.choice(pool)
+        texts.append(" ".join(w))
+    alike = [distance(texts[i], texts[150 + i]) <= 0.2 * max(len(texts[i]), len(texts[150 + i])) for i in range(150)]
+    far = [(line_hash(texts[i].split()) ^ line_hash(texts[150 + i].split())).bit_count() > 3 for i in range(150)]
+    assert sum(a and f for a, f in zip(alike, far, strict=True)) > 75
+    out = lines.without_repeated_lines(spark.createDataFrame([*enumerate(texts)], DOCS), counts=True, prints=lines.PRINTS).collect()
+    gone = {r["doc_id"] for r in out if r["n_removed"]}
+    assert gone <= {150 + i for i in range(150) if alike[i]}
+    assert len(gone) >= 0.95 * sum(alike)
+
+
 # ---- 10
 
 def removed_by_force(texts, length=200):
