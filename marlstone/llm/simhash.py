@@ -28,22 +28,41 @@ PIECES = ((0, 22), (22, 21), (43, 21))
 MOST_BITS = 8
 #: Homes at one anchor that a task holds at once; more are dealt out over salts, with their anchor's rows sent to each.
 HOMES_AT_ONCE = 50_000
+#: Texts of one fingerprint that are paired in one task; more are dealt out over salts.
+KEYS_AT_ONCE = 1_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def text_fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
+def _mixed(h: np.ndarray, i: int) -> np.ndarray:
+    """Hashes for the fingerprint number ``i``; those of number 0 are as they are."""
+    if not i:
+        return h
+    h = h ^ np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))
+    for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(m)
+    return h ^ (h >> np.uint64(29))
+
+
+def text_fingerprints(text: bytes, shingle: int = 4, seed: int = 42, prints: int = 1) -> list[int]:
     words = text.lower().split()
     n = len(words)
     if not n:
-        return 0
+        return [0] * prints
     body = b" ".join(words)
     if n <= shingle:
-        return xxhash.xxh64_intdigest(body, seed)
+        one = np.array([xxhash.xxh64_intdigest(body, seed)], np.uint64)
+        return [int(_mixed(one, i)[0]) for i in range(prints)]
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate([[0], ends[: n - shingle] + 1]).tolist()
     grams = map(body.__getitem__, map(slice, starts, ends[shingle - 1 :].tolist()))
     m = n - shingle + 1
-    h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), np.uint64, m).view(np.uint8).reshape(m, 8)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), np.uint64, m)
+    return [_votes(_mixed(h, i).view(np.uint8).reshape(m, 8)) for i in range(prints)]
+
+
+def _votes(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, given as rows of eight bytes."""
+    m = len(h)
     if m < 64:
         ones = _BITS[h].sum(axis=0).ravel()
     else:
@@ -51,18 +70,24 @@ def text_fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > m, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """Rows (id_col, fp long) of all documents. Null and blank texts have fingerprint zero."""
+def _print_names(prints: int) -> list[str]:
+    return ["fp", *(f"fp{i}" for i in range(1, prints))]
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, prints: int = 1) -> DataFrame:
+    """Rows (id_col, fp long, and fp1 and so on for more ``prints``) of all documents. Null and blank texts have fingerprint zero."""
+    names = _print_names(prints)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text"):
             off, body = utf8(b.column(1))
             raw = body.tobytes()
-            fps = [text_fingerprint(raw[s:e], shingle, seed) for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["id", "fp"])
+            fps = [text_fingerprints(raw[s:e], shingle, seed, prints) for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            cols = np.array(fps, np.uint64).reshape(len(fps), prints).T.copy().view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, cols)], ["id", *names])
 
     one = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return one.mapInArrow(work, f"id {dict(one.dtypes)['id']}, fp long").withColumnRenamed("id", id_col)
+    return one.mapInArrow(work, f"id {dict(one.dtypes)['id']}, " + ", ".join(f"{c} long" for c in names)).withColumnRenamed("id", id_col)
 
 
 def _golay() -> list[int]:
@@ -253,24 +278,44 @@ def _jaccard(similarity: float):
     return work
 
 
-def near_copies(docs: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, shingle: int = 5, most_bits: int = MOST_BITS, parts: int = 2) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, shingle: int = 5, most_bits: int = MOST_BITS, parts: int = 2, prints: int = 1) -> DataFrame:
     """(id_col, component_id): documents with words in groups of near copies, component_id the group's least id.
 
-    Candidates are texts whose SimHashes over ``parts``-word shingles differ in at most ``most_bits`` bits; a pair is
-    linked if the Jaccard similarity of its sets of ``shingle``-word shingles reaches ``similarity``. (SimHashes over
-    two words are nearer than those over five for the same edit: of pairs with a similarity of 0.8 or somewhat more,
-    nine in ten are within eight bits.) Groups follow verified links.
+    Candidates are texts of which any of ``prints`` independent SimHashes over ``parts``-word shingles differ in at most
+    ``most_bits`` bits; a pair is linked if the Jaccard similarity of its sets of ``shingle``-word shingles reaches
+    ``similarity``. (SimHashes over two words are nearer than those over five for the same edit. One finds about half of
+    the pairs with a similarity little over 0.8 if a block was appended or cut; each more one finds the like share of
+    the rest.) Groups follow verified links.
     """
+    names = _print_names(prints)
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
-    prints = fingerprints(keyed.select(F.struct("id", "key").alias("id"), "text"), "id", "text", parts)
-    prints = written(prints.select("id.id", "id.key", "fp"), "fingerprints")
-    texts = written(prints.groupBy("key").agg(F.min("fp").alias("fp"), F.min("id").alias("first")), "distinct")
-    heads = texts.groupBy("fp").agg(F.min("key").alias("head"))
-    links = fingerprint_links(heads.select("fp"), most_bits)
-    of = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"k{c}"))
-    pairs = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
-    same = texts.join(heads, "fp").where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b"))
-    pairs = written(pairs.union(same).distinct(), "pairs")
+    ids = fingerprints(keyed.select(F.struct("id", "key").alias("id"), "text"), "id", "text", parts, prints=prints)
+    ids = written(ids.select("id.id", "id.key", *names), "fingerprints")
+    texts = written(ids.groupBy("key").agg(*(F.min(c).alias(c) for c in names), F.min("id").alias("first")), "distinct")
+
+    def candidates(name: str) -> DataFrame:
+        heads = texts.groupBy(name).agg(F.min("key").alias("head"))
+        links = fingerprint_links(heads.select(F.col(name).alias("fp")), most_bits)
+        of = lambda c: heads.select(F.col(name).alias(c), F.col("head").alias(f"k{c}"))
+        near = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+        same = texts.join(heads, name).where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b"))
+        return near.union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    pairs = written(reduce(DataFrame.union, map(candidates, names)).distinct(), "pairs")
+
+    def across(apart: DataFrame, name: str) -> DataFrame:
+        """All pairs of texts whose labels differ and that are near by the fingerprint ``name``."""
+        rows = apart.select(F.col(name).alias("fp"), "label", "key")
+        one = rows.groupBy("fp").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / KEYS_AT_ONCE).cast("int").alias("salts"))
+        one = written(one, "prints-apart")
+        near = fingerprint_links(one.select("fp", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.xxhash64("fp", F.lit("several"))).alias("label")), most_bits)
+        near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        near = near.union(one.where("low <> high").select(F.col("fp").alias("a"), F.col("fp").alias("b"))).distinct()
+        salted = rows.join(one.select("fp", "salts"), "fp").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int"))
+        for c in "ab":  # the texts of one fingerprint are dealt over salts, and each link is sent to all of them
+            near = near.join(one.select(F.col("fp").alias(c), "salts"), c).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+            near = near.join(salted.select(F.col("fp").alias(c), "salt", F.col("label").alias(f"l{c}"), F.col("key").alias(f"k{c}")), [c, "salt"]).drop("salt")
+        return near.where("la <> lb").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
 
     def verified(found: DataFrame, name: str) -> DataFrame:
         n = found.count()
@@ -287,13 +332,9 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str, similarity: float =
     if not bad.isEmpty():  # a refused link may have hidden good ones: try all pairs that are still apart around it
         loose = components(pairs)
         around = loose.join(bad.select(F.col("a").alias("node")).join(loose, "node").select("root").distinct(), "root", "left_semi").select(F.col("node").alias("key"))
-        apart = texts.join(around, "key").join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "fp", F.coalesce("root", "key").alias("label"))
-        apart = written(apart.groupBy("fp", "label").agg(F.min("key").alias("key")), "apart")
-        pick = lambda c: apart.select(F.col("fp").alias(c), F.col("label").alias(f"l{c}"), F.col("key").alias(f"k{c}"))
-        one = apart.groupBy("fp").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        near = fingerprint_links(one.select("fp", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.xxhash64("fp", F.lit("several"))).alias("label")), most_bits)
-        near = near.union(one.where("low <> high").select(F.col("fp").alias("a"), F.col("fp").alias("b"))).distinct()
-        more = near.join(pick("a"), "a").join(pick("b"), "b").where("la <> lb").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
+        apart = texts.join(around, "key").join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", *names, F.coalesce("root", "key").alias("label"))
+        apart = written(apart, "apart")
+        more = reduce(DataFrame.union, (across(apart, c) for c in names)).distinct()
         tried = bad.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = verified(written(more.join(tried, ["a", "b"], "left_anti"), "more"), "checked-more").where("ok").select("a", "b")
         groups = groups if more.isEmpty() else components(good.union(more))
@@ -301,7 +342,7 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str, similarity: float =
     least = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     alone = texts.join(groups.select(F.col("node").alias("key")), "key", "left_anti").select("key", F.col("first").alias("component_id"))
     classes = written(rooted.join(least, "root").select("key", "component_id").union(alone), "classes")
-    return prints.join(classes, "key").select(F.col("id").alias(id_col), "component_id")
+    return ids.join(classes, "key").select(F.col("id").alias(id_col), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:

@@ -230,6 +230,29 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, at_once):
     assert got == dict(enumerate(want))
 
 
+def five_word_sets(texts):
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+
+
+@pytest.mark.parametrize("at_once", [1_000, 2])
+def test_near_copies_of_one_fingerprint_are_all_tried(spark, monkeypatch, at_once):
+    monkeypatch.setattr(simhash, "KEYS_AT_ONCE", at_once)
+    rnd = random.Random(31)
+    texts = []
+    for _ in range(4):  # segments between equal words: their order changes no pair of neighbours
+        order = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(8)) for _ in range(16)]
+        for at in (None, 1, 5, 9, 13):
+            if at is not None:
+                order[at], order[at + 1] = order[at + 1], order[at]
+            texts.append("x " + " x ".join(order) + " x")
+    assert len({fingerprint(t, 2) for t in texts}) == 4
+    sets = five_word_sets(texts)
+    want = closure(20, [(i, j) for i in range(20) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    assert len(sets[0] & sets[2]) < 0.8 * len(sets[0] | sets[2]) and want == [i // 5 * 5 for i in range(20)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame([*enumerate(texts)], DOCS), "doc_id", "text").collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_keep_one_keeps_a_whole_document_of_each_group(spark):
     rnd = random.Random(6)
     a, b = words(rnd, 400), words(rnd, 400)
