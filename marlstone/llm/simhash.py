@@ -26,6 +26,8 @@ from ._common import bounded, components, local_components, partitions, sliced,
 PIECES = ((0, 22), (22, 21), (43, 21))
 #: Bits that the two codes cover between them.
 MOST_BITS = 8
+#: Independent fingerprints of each text in the search for near copies; texts near by any of them are candidates.
+PRINTS = 6
 #: Homes at one anchor that a task holds at once; more are dealt out over salts, with their anchor's rows sent to each.
 HOMES_AT_ONCE = 50_000
 #: Texts of one fingerprint that are paired in one task; more are dealt out over salts.
@@ -352,7 +354,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     an empty text is no copy of another. The columns are those of ``docs``.
     """
     takes_part = F.col(id_col).isNotNull() & F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    marked = written(near_copies(docs.where(takes_part), id_col, text_col, similarity, shingle), "marked")
+    marked = written(near_copies(docs.where(takes_part), id_col, text_col, similarity, shingle, prints=PRINTS), "marked")
     gone = written(marked.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone")
     again = marked.groupBy(id_col).count().where("count > 1").select(id_col)
     kept = docs.join(bounded(gone, gone.count()), id_col, "left_anti")

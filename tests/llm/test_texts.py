@@ -253,6 +253,21 @@ def test_near_copies_of_one_fingerprint_are_all_tried(spark, monkeypatch, at_onc
     assert got == dict(enumerate(want))
 
 
+def test_near_copies_with_blocks_appended_or_cut(spark):
+    rnd = random.Random(32)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    texts, copies = [], []
+    for i in range(120):
+        w = [word() for _ in range(rnd.choice([200, 500, 1000]))]
+        texts.append(" ".join(w))
+        extra = len(w) * 18 // 100
+        copies.append(" ".join(w + [word() for _ in range(extra)] if i % 2 else w[:-extra]))
+    sets = five_word_sets(texts + copies)
+    assert all(len(sets[i] & sets[120 + i]) >= 0.8 * len(sets[i] | sets[120 + i]) for i in range(120))
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame([*enumerate(texts + copies)], DOCS)).collect()}
+    assert kept >= set(range(120)) and len(kept) <= 120 + 6
+
+
 def test_keep_one_keeps_a_whole_document_of_each_group(spark):
     rnd = random.Random(6)
     a, b = words(rnd, 400), words(rnd, 400)
