@@ -301,7 +301,8 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str, similarity: float =
         of = lambda c: heads.select(F.col(name).alias(c), F.col("head").alias(f"k{c}"))
         near = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
         same = texts.join(heads, name).where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b"))
-        return near.union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        near = near.union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return written(near, "pairs-one")  # each fingerprint's on its own, so that plans and broadcasts stay small
 
     pairs = written(reduce(DataFrame.union, map(candidates, names)).distinct(), "pairs")
 
@@ -317,7 +318,7 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str, similarity: float =
         for c in "ab":  # the texts of one fingerprint are dealt over salts, and each link is sent to all of them
             near = near.join(one.select(F.col("fp").alias(c), "salts"), c).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
             near = near.join(salted.select(F.col("fp").alias(c), "salt", F.col("label").alias(f"l{c}"), F.col("key").alias(f"k{c}")), [c, "salt"]).drop("salt")
-        return near.where("la <> lb").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+        return written(near.where("la <> lb").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct(), "across-one")
 
     def verified(found: DataFrame, name: str) -> DataFrame:
         n = found.count()
