@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 def scratch_root(spark: SparkSession) -> str:
     """Folder for intermediate tables: the session's ``spark.checkpoint.dir``.
 
-    A folder of its own is made only where that setting is missing, as in tests.
+    A folder of its own is made only where that setting is missing and driver and executors are one process, as in
+    tests; on a cluster no executor would see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -35,7 +38,17 @@ def written(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame
         df = df.coalesce(max(1, most_rows // 20_000))
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.scratch_path = path
+    return found
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made, once all that was read from them has been written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession, rows: int, per_partition: int) -> int:
@@ -117,7 +130,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     def told(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    def starred(e: DataFrame, large: bool, links: int) -> DataFrame:
+    def starred(e: DataFrame, large: bool, links: int) -> tuple[DataFrame, DataFrame]:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         if not large:  # only towards smaller neighbours
             both = both.where("b < a")
@@ -128,20 +141,23 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        return out.where("a <> b")
+        return out.where("a <> b"), least
 
     def kept(e: DataFrame, links: int) -> DataFrame:
         """Written in few files where there are few links, so that small graphs run as few tasks."""
         return written(e.distinct().coalesce(files(links)), "edges")
 
-    first = written(edges.where("a is not null and b is not null and a <> b").select("a", "b"), "links")
-    now = kept(first, first.count())
+    now = written(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct(), "links")
     was = told(now)
     for _ in range(most_rounds):
         if not was[0]:
             break
-        now = kept(starred(starred(now, True, was[0]), False, was[0]), was[0])
-        found = told(now)
+        half, large = starred(now, True, was[0])
+        both, small = starred(half, False, was[0])
+        after = kept(both, was[0])
+        found = told(after)
+        dropped(now, large, small)
+        now = after
         if found == was:
             break
         was = found
