@@ -1,13 +1,19 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block of text. Lines of menus, forms and the like, told by their element,
-role or class, weigh nothing, and the borders of sections leave empty lines. Text lengths (without link text) are
-summed over sliding windows of lines; where the sum surges a main passage begins, where it dives to nothing it ends.
+Markup is stripped into lines, one for each block of text. Each line weighs its text length without that of links;
+headings weigh all of theirs. Weights are summed over sliding windows of lines: a passage goes on up to the dive where
+the windows hold nothing, and is kept if its windows surge somewhere; its short lines stay with it.
+
+Elements decide two things. What menus, headers, footers, sidebars, forms, notices and the like hold, told by their
+element, role or class, is no line at all; such an element that holds an article, or all text of the page, is taken for
+a wrapper. And where an article or main element has most of the page's text, lines outside it weigh nothing and don't
+stand in a passage, and lines inside it weigh all their text, links too.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -17,155 +23,205 @@ from pyspark.sql import functions as F
 
 from ._common import sliced, utf8
 
-#: Lines of a window, and the empty lines that the border of a section leaves.
+#: Lines of a window.
 WINDOW = 3
-#: Characters that a window must have for a surge, on pages that don't mark their article.
+#: Characters that a window must have for a surge; on pages of less text, over half of the best window's.
 SURGE = 80
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|math|textarea|title|object|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""([a-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
-_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "td", "th", "time", "tt", "u", "var", "wbr"}
 SPACED = {"br", "td", "th", "img"}
-SECTIONS = {"article", "aside", "body", "div", "footer", "form", "header", "main", "nav", "section"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that hold no part of the article; a header inside an article has its headings.
 DROPPED = {"aside", "button", "dialog", "footer", "form", "head", "header", "menu", "nav", "select"}
 ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search", "toolbar"}
+#: Elements that a class or id name can mark; a paragraph or heading is never dropped for its class.
+MARKABLE = {"article", "center", "details", "div", "dl", "fieldset", "figure", "ol", "section", "table", "ul"}
 #: Words of class and id names of parts that aren't the article.
-MARKED = {"ad", "ads", "adv", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disclaimer", "disqus", "footer", "form", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "overlay", "pager", "pagination", "paywall", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "tags", "teaser", "toolbar", "widget"}
-KEPT = {"html", "body", "main", "article"}
+MARKED = {"ad", "ads", "adv", "advert", "advertisement", "advertising", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "commentlist", "comments", "consent", "cookie", "cookies", "disclaimer", "disqus", "footer", "form", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "notifications", "overlay", "pager", "pagination", "paywall", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "tags", "teaser", "teasers", "toolbar", "widget", "widgets"}
+#: Words that may stand beside those in a name; a name with any other word, as in share-price, marks nothing.
+BESIDE = {"area", "articles", "bar", "block", "blocks", "body", "bottom", "box", "btn", "buttons", "col", "column", "container", "content", "fb", "global", "inline", "inner", "item", "items", "js", "left", "links", "list", "main", "media", "mobile", "news", "outer", "page", "panel", "post", "posts", "primary", "reader", "right", "row", "secondary", "section", "side", "site", "slot", "sticky", "stories", "the", "thread", "top", "unit", "user", "view", "wrap", "wrapper"}
+#: Of the marking words those that mark an article element too: readers' comments and teasers are articles in some pages.
+MARKED_ARTICLES = {"ad", "comment", "comments", "promo", "related", "replies", "reply", "sponsored", "teaser"}
+
+
+def _marks(value: str, words: set[str]) -> bool:
+    """Whether one of the names in a class or id has a word of ``words``, and no words but those and the like."""
+    for name in value.split():
+        own = {w.lower() for w in _NAME.findall(name) if not w.isdigit()}
+        if own & words and own <= MARKED | BESIDE:
+            return True
+    return False
 
 
 def _is_dropped(name: str, attributes: str) -> bool:
     if name in DROPPED:
         return True
     if "=" not in attributes:
-        return " hidden" in f" {attributes} ".lower() and "hidden" in attributes.lower().split()
+        return "hidden" in attributes.lower().split()
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next((v for v in values if v), "")
-        if key in ("class", "id") and (name not in KEPT or name == "article"):
-            words = {w.lower() for w in _NAME.findall(value)}
-            if words & (MARKED if name not in KEPT else {"comment", "comments", "reply", "related", "teaser", "ad", "promo", "sponsored"}):
+        if key in ("class", "id"):
+            if name in MARKABLE and _marks(value, MARKED_ARTICLES if name == "article" else MARKED):
                 return True
         elif key == "role" and value.strip().lower() in ROLES or key == "aria-hidden" and value.strip().lower() == "true":
             return True
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-    return False
-
-
-def _lines(html: str) -> tuple[list[str], list[int], list[bool]]:
-    """Lines in page order, their weights, and whether each stands in a marked article."""
-    texts: list[str] = []
-    weights: list[int] = []
-    inside: list[bool] = []
-    buffer: list[str] = []
-    linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, in an article
-    dropped = article = False
-
-    def flush() -> None:
-        nonlocal linked
-        if buffer:
-            text = _SPACE.sub(" ", unescape("".join(buffer))).strip()
-            buffer.clear()
+    return "hidden" in re.sub(r"""=\s*("[^"]*"|'[^']*'|\S+)""", " ", attributes).lower().split()
+
+
+class _Lines:
+    """The lines of a page: texts, how much of each is link text, whether it's a heading and stands in an article, and the droppable elements around it."""
+
+    def __init__(self, html: str) -> None:
+        self.lines: list[tuple[str, int, bool, bool, int]] = []
+        # droppable elements by number, 0 for none: their name, the one around it, whether it's the header of an article
+        self.droppable: list[tuple[str, int, bool]] = [("", 0, False)]
+        self.holds_article: set[int] = {0}
+        self._buffer: list[str] = []
+        self._linked, self._link, self._heading = 0, False, False
+        # open elements: name, and what holds inside them: droppable elements around, whether in an article
+        self._stack: list[tuple[str, int, bool]] = []
+        self._open: Counter = Counter()
+        self._around, self._article = 0, False
+        at = 0
+        for tag in _TAG.finditer(html):
+            if tag.start() > at:
+                self._text(html[at : tag.start()])
+            at = tag.end()
+            name = (tag[3] or "").lower()
+            if name and tag[2]:
+                self._end(name)
+            elif name:
+                self._begin(name, tag[4])
+        self._text(html[at:])
+        self._flush()
+
+    def _text(self, piece: str) -> None:
+        self._buffer.append(piece)
+        if self._link:
+            self._linked += len(piece.strip())
+
+    def _flush(self) -> None:
+        if self._buffer:
+            text = _SPACE.sub(" ", unescape("".join(self._buffer))).strip()
+            self._buffer.clear()
             if text:
-                texts.append(text)
-                weights.append(max(len(text) - linked, 0))
-                inside.append(article)
-            linked = 0
-
-    def gap() -> None:
-        if weights and weights[-1] != -1:
-            texts.extend([""] * WINDOW)
-            weights.extend([-1] * WINDOW)
-            inside.extend([False] * WINDOW)
-
-    def pop(depth: int) -> None:
-        nonlocal dropped, article
-        bordered = any(name in SECTIONS for name, _, _ in stack[depth:])
-        block = bordered or any(name not in INLINE for name, _, _ in stack[depth:])
-        if block:
-            flush()
-        if bordered:
-            gap()
-        del stack[depth:]
-        dropped, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-
-    at = 0
-    for tag in _TAG.finditer(html):
-        if not dropped and tag.start() > at:
-            piece = html[at : tag.start()]
-            buffer.append(piece)
-            if any(name == "a" for name, _, _ in stack[-3:]):
-                linked += len(piece.strip())
-        at = tag.end()
-        name = (tag[3] or "").lower()
-        if not name:
-            continue
-        if tag[2]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None and not (name in INLINE and any(x in SECTIONS for x, _, _ in stack[depth:])):
-                pop(depth)
-            elif name not in INLINE and not dropped:
-                flush()
-            continue
+                self.lines.append((text, self._linked, self._heading, self._article, self._around))
+            self._linked = 0
+
+    def _pop(self, depth: int) -> None:
+        if any(name not in INLINE for name, *_ in self._stack[depth:]) or self._stack[depth][1] != self._around:
+            self._flush()
+        for name, *_ in self._stack[depth:]:
+            self._open[name] -= 1
+        _, self._around, self._article = self._stack[depth]
+        del self._stack[depth:]
+
+    def _end(self, name: str) -> None:
+        if name == "a":
+            self._link = False
+        elif self._open[name]:
+            depth = next(i for i in range(len(self._stack) - 1, -1, -1) if self._stack[i][0] == name)
+            if name not in INLINE or all(x in INLINE for x, *_ in self._stack[depth:]):
+                self._pop(depth)
+        elif name not in INLINE:
+            self._flush()
+        if name in HEADINGS:
+            self._heading = False
+
+    def _begin(self, name: str, attributes: str) -> None:
+        if name == "a":
+            self._link = "href" in attributes.lower()
+            return
         if name not in INLINE:
-            open_p = None
-            for i in range(len(stack) - 1, -1, -1):  # an open paragraph ends where a block begins
-                if stack[i][0] == "p" or stack[i][0] == name == "li":
-                    open_p = i
+            for i in range(len(self._stack) - 1, -1, -1):  # an open paragraph ends where a block begins, an item where the next does
+                if self._stack[i][0] == "p" or self._stack[i][0] == name in ("li", "dd", "dt", "option"):
+                    self._pop(i)
                     break
-                if stack[i][0] not in INLINE:
+                if self._stack[i][0] not in INLINE:
                     break
-            if open_p is not None:
-                pop(open_p)
-            if not dropped:
-                flush()
-                if name in SECTIONS:
-                    gap()
-        if name in SPACED and not dropped:
-            buffer.append(" ")
-        if name in VOID or tag[4].endswith("/"):
-            continue
-        if not dropped and _is_dropped(name, tag[4]):
-            flush()
-            gap()
-            stack.append((name, True, article))
-            dropped = True
-        else:
-            article = article or name in ("article", "main") or 'role="main"' in tag[4] or "articleBody" in tag[4]
-            stack.append((name, dropped, article))
-    if not dropped:
-        buffer.append(html[at:])
-    flush()
-    return texts, weights, inside
-
-
-def main_text(html: str) -> str:
-    texts, weights, inside = _lines(html)
-    marked = any(inside)
-    if marked:  # what the page marks as its article: every line weighs
-        weights = [max(len(t), 1) if i and w >= 0 else 0 for t, w, i in zip(texts, weights, inside, strict=True)]
-        least = 1
-    else:
-        weights = [max(w, 0) for w in weights]
-        sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-        least = min(SURGE, max(sums, default=0) // 2 + 1)
-    n, out, i = len(texts), [], 0
+            self._flush()
+            self._heading = name in HEADINGS
+        if name in SPACED:
+            self._buffer.append(" ")
+        if name in VOID or attributes.endswith("/"):
+            return
+        drop = _is_dropped(name, attributes)
+        if name in INLINE and not drop and not self._open[name]:
+            return  # inline elements count only where they are dropped
+        around, article = self._around, self._article
+        if drop:
+            self._flush()
+            self._around = len(self.droppable)
+            self.droppable.append((name, around, name == "header" and article))
+        elif name in ("article", "main") or "main" in attributes and re.search(r"""role\s*=\s*["']?main\b""", attributes) or "articleBody" in attributes:
+            self._flush()
+            self._article = True
+            while around not in self.holds_article:
+                self.holds_article.add(around)
+                around = self.droppable[around][1]
+            around = self._around
+        self._stack.append((name, around, article))
+        self._open[name] += 1
+
+
+def weighed(html: str) -> tuple[list[str], list[int]]:
+    """The lines of a page that may be article text, and their weights."""
+    page = _Lines(html)
+
+    def left(wrappers: set[int]) -> list[tuple[str, int, bool, bool, int]]:
+        whole, headings = [True], [True]  # whether all lines, or headings, in each droppable element stay
+        for i, (_, around, header) in enumerate(page.droppable[1:], 1):
+            whole.append(whole[around] and i in wrappers)
+            headings.append(headings[around] and (header or i in wrappers))
+        return [x for x in page.lines if whole[x[4]] or x[2] and headings[x[4]]]
+
+    found = left(page.holds_article)
+    if not found and page.lines:  # everything stands in droppable elements: one around most of the text is a wrapper
+        outer, size = [0], Counter()
+        for i, (_, around, _) in enumerate(page.droppable[1:], 1):
+            outer.append(outer[around] or i)
+        for text, linked, _, _, around in page.lines:
+            size[outer[around]] += max(len(text) - linked, 0)
+        most, n = size.most_common(1)[0]
+        if n and 2 * n > size.total() and page.droppable[most][0] in ("div", "form", "section"):
+            found = left(page.holds_article | {most})
+    inside = sum(len(text) for text, *_, article, _ in found if article)
+    if 2 * inside >= sum(len(text) for text, *_ in found) > 0:
+        found = [x for x in found if x[3]]
+        return [x[0] for x in found], [len(x[0]) for x in found]
+    return [x[0] for x in found], [len(text) if heading else max(len(text) - linked, 0) for text, linked, heading, *_ in found]
+
+
+def passages(weights: list[int]) -> list[tuple[int, int]]:
+    """The surging passages (first, end) of lines with these weights."""
+    sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
+    least = min(SURGE, max(sums, default=0) // 2 + 1)
+    out, i, n = [], 0, len(weights)
     while i < n:
-        if not weights[i] and not (texts[i] and not marked):
+        if not weights[i]:
             i += 1
             continue
-        j, top = i, 0
-        while j < n and texts[j] and (not marked or weights[j]):  # up to the dive: windows from here on hold nothing
-            top = max(top, sum(weights[j : j + WINDOW]))
+        j, last, top = i, i, 0
+        while j < n and sums[j]:  # up to the dive
+            top = max(top, sums[j])
+            last = j if weights[j] else last
             j += 1
-        if top >= least:  # a surge within the passage; its first lines lead up to it
-            out.extend(texts[i:j])
-        i = max(j, i + 1)
-    return "\n".join(out)
+        if top >= least:
+            out.append((i, last + 1))
+        i = j
+    return out
+
+
+def main_text(html: str) -> str:
+    lines, weights = weighed(html)
+    return "\n".join("\n".join(lines[a:b]) for a, b in passages(weights))
 
 
 def extracted(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -306,6 +306,61 @@ def test_main_text_of_pages(wrap):
     assert html_text.main_text(PAGE % (wrap % BODY)) == want
 
 
+LONG = "This is a long paragraph of the article, with many words in it, and it goes on for some while so that it surges."
+SHAPES = [  # page, main text
+    (f"<div><p>{LONG}</p><div class='ad'>Ad</div><p>Second short paragraph.</p></div>", f"{LONG}\nSecond short paragraph."),
+    (f"<article><p class='social'>{LONG}</p><div class='share-price'>Price: 3</div></article>", f"{LONG}\nPrice: 3"),
+    (f"<div class='layout has-sidebar'><article><p>{LONG}</p></article></div>", LONG),
+    (f"<div id='header-and-content'><p>{LONG}</p></div>", LONG),
+    (f"<div class='long-form'><p>{LONG}</p></div>", LONG),
+    (f"<div class='search-result'><p>{LONG}</p></div>", LONG),
+    (f"<div class='post with-comments'><p>{LONG}</p></div>", LONG),
+    (f"<article class='post comments-open'><p>{LONG}</p></article>", LONG),
+    (f"<div><h1>Title</h1></div><div><p>{LONG}</p></div><div><p>Short.</p></div>", f"Title\n{LONG}\nShort."),
+    (f"<article><a href='1'>Card one</a></article><article><a href='2'>Card two</a></article><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div>", f"T\n{LONG}\n{LONG}"),
+    (f"<div><a href='1'>Home</a></div><div><a href='2'>News</a></div><div><a href='3'>About</a></div><div><p>{LONG}</p></div>", LONG),
+    (f"<article><header><h1>T</h1><p>By A</p></header><p>{LONG}</p><footer>Filed under B</footer></article>", f"T\n{LONG}"),
+    (f"<main><p>{LONG}</p><ul><li><a href='1'>one</a></li><li><a href='2'>two</a></li><li><a href='3'>three</a></li></ul><p>End.</p></main>", f"{LONG}\none\ntwo\nthree\nEnd."),
+    (f"<main><p>{LONG}</p></main><section class='comments-area'><article class='comment'><p>{LONG} {LONG}</p></article></section>", LONG),
+    (f"<form id='page'><div role='main'><p>{LONG}</p></div></form>", LONG),
+    (f"<div class='content'><p>{LONG}</p><p>{LONG}</p></div><ol class='commentlist'><li>Nice post! {LONG}</li></ol>", f"{LONG}\n{LONG}"),
+    (f"<div id='sidebar-left'>{LONG}</div><div id=main>{LONG}</div><div class='cookieConsent'>{LONG}</div>", LONG),
+    (f"<nav>{LONG}<div>{LONG}</div></nav><p>{LONG}<p>B<p>C", f"{LONG}\nB\nC"),
+    (f"<article><p>{LONG}</p><p hidden>no</p><p style='display: none'>no</p><table><tr><td>1<td>2</tr></table></article>", f"{LONG}\n1 2"),
+    (f"<article><h2>A</h2><p>{LONG}</p><div class='newsletter-signup'>Mail us</div><h2>B</h2><p>x <a href='1'>y</a> z</p></article><div>Other site text</div>", f"A\n{LONG}\nB\nx y z"),
+    (f"<div class='widget'><p>{LONG}</p></div>", LONG),
+    ("<p>a<br>b &lt;c&gt; <i>d</i>e</p><blockquote>f <q>g</q></blockquote>", "a b <c> de\nf g"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), SHAPES)
+def test_main_text_of_shapes(page, want):
+    around = "<html><head><title>T</title></head><body class='sidebar-right'><header>Site</header><nav><a href='/'>Home</a></nav>%s<footer>Foot</footer></body></html>"
+    assert html_text.main_text(page) == want
+    assert html_text.main_text(around % page) == want
+
+
+def test_passages_equal_their_definition():
+    """A line belongs to a passage if lines with weight stand on both sides, or it has some, with no empty window between."""
+    rnd = random.Random(12)
+    for _ in range(400):
+        w = [rnd.choice([0, 0, rnd.randrange(200), 3]) for _ in range(rnd.randrange(25))]
+        window = lambda i: sum(w[i : i + html_text.WINDOW])  # noqa: E731, B023
+        best = max(map(window, range(len(w))), default=0)
+        least = 80 if best >= 159 else min(80, best // 2 + 1)
+        want = set()
+        for a in range(len(w)):
+            for b in range(a, len(w)):
+                if w[a] and w[b] and all(window(i) for i in range(a, b + 1)) and any(window(i) >= least for i in range(a, b + 1)):
+                    want |= set(range(a, b + 1))
+        assert {i for a, b in html_text.passages(w) for i in range(a, b)} == want
+
+
+def test_html_of_many_open_tags_is_quick():
+    for page in ("<b>" * 200_000 + "x", "<div>" * 50_000 + "x", "<span hidden>" * 50_000 + "<p>x", "<p><i>" * 50_000 + "y", "</b></div>" * 50_000):
+        html_text.main_text(page)
+
+
 def test_html_odd_cases(spark):
     pages = [(1, "u", None), (2, None, ""), (3, "u", "<p>unclosed <b>bold"), (4, "u", "<<>&#x41;&bogus;<p"), (5, "u", "plain text"), (5, "u", "plain text"), (6, "u", "<nav>only</nav>"), (7, "u", "<p>" + "long " * 50_000)]
     got = [(r["page_id"], r["text"], r["n_chars"]) for r in html_text.extracted(spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")).collect()]
