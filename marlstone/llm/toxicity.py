@@ -1,8 +1,9 @@
 """Toxic passages: maximum-scoring segments of token log-odds, calibrated by extreme-value statistics.
 
-1. From a bounded sample of labelled rows: distinct texts with each token or beginning of a token, by label. The
-   log-odds under a Dirichlet prior (the pooled counts, scaled) over its standard deviation says what marks toxic texts.
-2. A text is a row of scores: the largest log-odds of what marks a token, and a negative drift for each other token.
+1. From a bounded sample of labelled rows: distinct texts with each token or beginning of a token, by label. Their
+   log-odds under a Dirichlet prior (the pooled counts, scaled) are weights, if large over their standard deviation.
+2. A text is a row of scores: for each token the largest log-odds of what marks it as toxic, else the least of what
+   marks it as clean, else a negative drift.
    One scan finds all maximal scoring segments (Ruzzo and Tompa).
 3. Segment scores of clean texts follow an extreme-value law with P(S > x) about K n exp(-lambda x). Each segment's
    significance is lambda S - ln(K n); a document's is the sum over its significant segments.
@@ -29,8 +30,6 @@ _TOKEN = re.compile(r"[^\W_]+")
 SAMPLE_ROWS = 10_000
 #: Beginnings of tokens, in characters, that are features besides the whole tokens.
 STEMS = (3, 4, 5, 6)
-#: Features of the model at most, those with the largest z.
-MODEL_TOKENS = 5_000
 _HELD = 1 << 18
 
 
@@ -61,7 +60,8 @@ class Model:
         for i, w in enumerate(words):
             v = known.get(w)
             if v is None:
-                v = known[w] = max((self.weights[f] for f in features(w) if f in self.weights), default=0.0)
+                own = [self.weights[f] for f in features(w) if f in self.weights]
+                v = known[w] = max(own) if max(own, default=-1) > 0 else min(own, default=0.0)
             if v:
                 out.append((i, v))
         return out
@@ -127,11 +127,11 @@ def _rate(scores: np.ndarray, chances: np.ndarray) -> float:
     return max(high, 1e-3)
 
 
-def fit(sample: DataFrame, least_z: float = 3.0, least_odds: float = 3.0, prior: float = 10.0) -> Model:
+def fit(sample: DataFrame, least_z: float = 3.0, least_odds: float = 3.0, prior: float = 2.0) -> Model:
     """A model from ``sample`` (text, toxic 0/1), a bounded number of rows.
 
     Copies of a text count once, with the larger label. Features are counted once a text, in Spark; the driver gets
-    the at most MODEL_TOKENS marking ones with their counts, and later the segments of each row of the sample. Without
+    those of them that mark (as the sample is bounded, so are they), and later the segments of each row of the sample. Without
     any toxic or clean row every text gets the share of toxic rows, or 0 without rows.
     """
     spark = sample.sparkSession
@@ -154,7 +154,7 @@ def fit(sample: DataFrame, least_z: float = 3.0, least_odds: float = 3.0, prior:
 
     sample = written(sample.groupBy("text").agg(F.max(F.col("toxic").cast("int")).alias("toxic")), "sample")
     counts = sample.mapInArrow(counted, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = written(counts.where("token = '' or toxic >= 3"), "counts")
+    counts = written(counts, "counts")
     totals = counts.where("token = ''").first()
     n0, n1 = (totals["clean"], totals["toxic"]) if totals else (0, 0)
     if not n0 or not n1:
@@ -163,11 +163,9 @@ def fit(sample: DataFrame, least_z: float = 3.0, least_odds: float = 3.0, prior:
     alpha = F.lit(prior) * (F.col("clean") + F.col("toxic")) / F.lit(n0 + n1) + 0.5
     a1, a0 = F.col("toxic") + alpha, F.col("clean") + alpha
     odds = F.log(a1 / (F.lit(n1 + prior + 1.0) - a1 + alpha)) - F.log(a0 / (F.lit(n0 + prior + 1.0) - a0 + alpha))
-    marked = counts.where("token <> '' and toxic >= 3").withColumn("odds", odds).withColumn("z", odds / F.sqrt(1 / a1 + 1 / a0)).where(F.col("z") >= least_z)
-    rows = marked.orderBy(F.desc("z"), "token").limit(MODEL_TOKENS).select("token", "toxic", "clean").collect()
-    # the weight is each token's own evidence: its log-odds in the sample with half a count added
-    weights = {r["token"]: math.log((r["toxic"] + 0.5) / (n1 + 1)) - math.log((r["clean"] + 0.5) / (n0 + 1)) for r in rows}
-    weights = {w: v for w, v in weights.items() if v >= math.log(least_odds)}
+    marked = counts.where("token <> ''").select("token", odds.alias("odds"), (odds / F.sqrt(1 / a1 + 1 / a0)).alias("z"))
+    rows = marked.where((F.abs("z") >= least_z) & (F.abs("odds") >= math.log(least_odds))).orderBy("token").collect()
+    weights = {r["token"]: r["odds"] for r in rows}
     model = Model(weights, 0.05, 1.0, 0.0, 1.0, 0.0)
     shared = spark.sparkContext.broadcast(model)
 
@@ -211,16 +209,16 @@ def _total(model: Model, row) -> float:
     return max(sum(over) if over else max(values, default=-level), -30.0)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most ``rows`` labelled documents (text, toxic) whose crc32 of the id as text isn't divisible by 5.
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> DataFrame:
+    """At most ``rows`` labelled documents (id, text, toxic) whose crc32 of the id as text isn't divisible by 5.
 
     Those with the least hash of the id are taken; the list of their ids, and it alone, is broadcast. Labels other
     than 0 and 1 are left out, an id with several labels counts with the largest.
     """
     ok = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0))
-    one = ok.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("toxic"))
-    bounded = one.orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    return docs.join(F.broadcast(bounded), docs[id_col] == bounded["_id"]).select(docs[id_col].alias("_id"), F.col("text"), "toxic")
+    one = ok.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("toxic"))
+    bounded = one.orderBy(F.xxhash64("id"), "id").limit(rows)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(bounded), "id")
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -448,7 +448,7 @@ def distance(a, b):
 def line_hash(ws):
     votes = [0] * 64
     for w in set(ws):
-        h = lines.word_hash(w)
+        h = int(lines.word_bits(np.array([lines.word_hash(w)], np.uint64))[0])
         for b in range(64):
             votes[b] += 1 if h >> b & 1 else -1
     return sum(1 << b for b in range(64) if votes[b] > 0)
@@ -469,6 +469,20 @@ def line_blocks(ws):
     return found
 
 
+def test_spanning_forests_are_least():
+    rnd = np.random.default_rng(2)
+    for n in (2, 5, 40, 300):
+        a, b, w = rnd.integers(0, n, 2 * n), rnd.integers(0, n, 2 * n), rnd.integers(0, 6, 2 * n)
+        root, total, links = list(range(n)), 0, 0
+        for i in np.argsort(w, kind="stable"):  # the least link first, if it joins two trees
+            x, y = root[a[i]], root[b[i]]
+            if x != y:
+                root, total, links = [x if r == y else r for r in root], total + w[i], links + 1
+        some = lines.spanning_forest(a, b, w)
+        assert len(some) == links and w[some].sum() == total
+        assert closure(n, list(zip(a[some], b[some], strict=True))) == closure(n, list(zip(a, b, strict=True)))
+
+
 def test_edit_distances_side_by_side():
     rnd = random.Random(3)
     x, y = [], []
@@ -507,7 +521,7 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, at_once):
     place = [p for p in place if p[2]]
     distinct = {" ".join(w): (line_hash(w), line_blocks(w)) for *_, w in place}
     names = list(distinct)
-    linked = [(a, b) for a in range(len(names)) for b in range(a) if (distinct[names[a]][0] ^ distinct[names[b]][0]).bit_count() <= 20 and distinct[names[a]][1] & distinct[names[b]][1] and distance(names[a], names[b]) <= 0.2 * max(len(names[a]), len(names[b])) + 1e-9]
+    linked = [(a, b) for a in range(len(names)) for b in range(a) if (distinct[names[a]][0] ^ distinct[names[b]][0]).bit_count() <= (22 if max(len(names[a]), len(names[b])) <= 80 else 16) and distinct[names[a]][1] & distinct[names[b]][1] and distance(names[a], names[b]) <= 0.2 * max(len(names[a]), len(names[b])) + 1e-9]
     root = dict(zip(names, closure(len(names), linked), strict=True))
     gone, seen = set(), set()
     for i, n, w in sorted(place):
