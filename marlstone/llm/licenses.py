@@ -1,8 +1,9 @@
 """Licence scans by canonical digests, in DataFrame functions only.
 
-A text's canonical form has lower case, no copyright lines, one spelling of words that are spelled in several ways,
-and single spaces in place of punctuation and white space. Its SHA-256 is joined with those of known licences, for the
-whole text and for each of its lines (licence notices).
+A text's canonical form has lower case, no copyright statements, single spaces in place of punctuation and white space,
+and one spelling of words that are spelled in several ways, so that it doesn't depend on where lines are wrapped. Its
+SHA-256 is joined with those of known licences, for the whole text and for each of its lines (licence notices). Whole
+texts are known with their usual titles, too, and stay the same with or without "All rights reserved".
 """
 
 from __future__ import annotations
@@ -10,20 +11,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Equivalent spellings, as patterns over lower-case text; \b and these classes mean the same in Java, RE2 and Python.
+from ._common import bounded
+
+#: Equivalent spellings, as patterns over canonical words with a space on either side of the text.
 SPELLINGS = (
-    (r"licenc", "licens"),
-    (r"sub-licens", "sublicens"),
-    (r"organis", "organiz"),
-    (r"(favou?r|behalf of the favou?r)", "favor"),
-    (r"(merchantibility|merchantability)", "merchantability"),
-    (r"non-infring", "noninfring"),
-    (r"version ([0-9]+)\.0", "version $1"),
-    (r"http://", "https://"),
-    (r"&", " and "),
+    ("licenc", "licens"),
+    (" sub licens", " sublicens"),
+    ("organis", "organiz"),
+    ("favour", "favor"),
+    ("merchantib", "merchantab"),
+    (" non infring", " noninfring"),
+    (" copyright owner", " copyright holder"),
+    (" version ([0-9]+) 0 ", " version $1 "),
+    (" http ", " https "),
 )
-COPYRIGHT = r"^[^\p{L}\p{N}(©]*(copyright|copr\.|\(c\)|©).*$"
+#: A copyright statement: its mark, then all up to the end of the sentence or line (initials and a last name or two don't
+#: end it), and what is reserved.
+_HOLDER = r"([^.]|\.\S|\.\s[a-z]\.)*(\.\s[\p{L}\-]+(\s[\p{L}\-]+)?\.?$|\.)?(\s*all rights reserved\.?)?"
+COPYRIGHT = rf"(copyright|copr\.)[\s:]*(\(c\)|©|by\s|[0-9]{{4}}){_HOLDER}|(\(c\)|©)\s*[0-9]{{4}}{_HOLDER}"
 NOT_WORD = r"[^\p{L}\p{N}]+"
+RESERVED = " all rights reserved "
 
 # Notices and texts of well-known licences.
 NOTICES = (
@@ -67,23 +74,76 @@ Permission is granted to anyone to use this software for any purpose, including
 )
 
 
-def canonical(line: Column) -> Column:
-    """The canonical form of one line; copyright lines and those without letters and digits are empty."""
-    out = F.regexp_replace(F.lower(line), COPYRIGHT, "")
+TITLES = (
+    ("MIT", "MIT License"), ("MIT", "The MIT License"), ("MIT", "The MIT License (MIT)"), ("MIT", "MIT License (MIT)"),
+    ("ISC", "ISC License"), ("ISC", "The ISC License"), ("ISC", "ISC License (ISC)"),
+    ("0BSD", "BSD Zero Clause License"), ("0BSD", "Zero-Clause BSD"), ("0BSD", "BSD Zero Clause License (0BSD)"),
+    ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-2-Clause", "The BSD 2-Clause License"), ("BSD-2-Clause", "The 2-Clause BSD License"), ("BSD-2-Clause", 'BSD 2-Clause "Simplified" License'),
+    ("BSD-3-Clause", "BSD 3-Clause License"), ("BSD-3-Clause", "The BSD 3-Clause License"), ("BSD-3-Clause", "The 3-Clause BSD License"), ("BSD-3-Clause", 'BSD 3-Clause "New" or "Revised" License'), ("BSD-3-Clause", "New BSD License"),
+    ("Zlib", "zlib License"), ("Zlib", "The zlib License"), ("Zlib", "The zlib/libpng License"),
+)
+# SHA-256 of the canonical forms of the published texts of longer licences; where they close with an
+# appendix on how to apply them, without it, too.
+DIGESTS = (
+    ("Apache-2.0", "337aee8aba879d475290ad185e43647b60b046ead00fa763cad169870c3d867c"),
+    ("Apache-2.0", "2085e42348507256aee3446873d5bfb774067d1d568904f2f32a3b17fd5e3d17"),
+    ("Apache-2.0", "af568c7aa0507af9bde105737e2f94c3daaa50dea825ab5c1c90b1c063c0d366"),
+    ("Artistic-1.0-Perl", "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2", "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71"),
+    ("GFDL-1.3", "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"),
+    ("GPL-1.0", "e80b630fa4f92f7da9cffbd75699f62bfac51ce5b33da44e74b5acc53e5187f6"),
+    ("GPL-1.0", "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70"),
+    ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-2.0", "ada43b21b16dd64b4b8f1d9c2ab43ff16f75a8f0f835fc2f37a0c7e65f28d243"),
+    ("GPL-2.0", "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808"),
+    ("GPL-2.0", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0", "a6a3c847015e8505b1d152c1bcdf4b64e2b7d5c41edd6775fe18475b27ae8387"),
+    ("GPL-3.0", "5f9a16d8d81dfc9674a4e4f9408fb8caac3d60626eaf090bb0c40c0f9cd0eb14"),
+    ("GPL-3.0", "caf91755cf33283be25f1e05efbd2839d225ef7def53695a510aed6dfdd1550c"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.0", "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2"),
+    ("LGPL-2.0", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-2.1", "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df"),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0", "63f16a6808ef8dfa21c2ea61b3f84e9b02208b9032233b9104d82a29a42afdb6"),
+    ("MPL-1.1", "efd1698a29a8fd2900c263ae8b3e2b7d1bfadda6212b956a536738d269759ef0"),
+    ("MPL-2.0", "dc5278fbd20b39f80b1a20daf322b30a8cb6f835444e214939160b1d530d2d96"),
+)
+
+
+def _words(text: Column) -> Column:
+    """Canonical words of a text without copyright statements, with a space on either side."""
+    out = F.concat(F.lit(" "), F.regexp_replace(F.replace(text, F.lit("&"), F.lit(" and ")), NOT_WORD, " "), F.lit(" "))
+    out = F.regexp_replace(out, " +", " ")
     for pattern, to in SPELLINGS:
         out = F.regexp_replace(out, pattern, to)
-    return F.trim(F.regexp_replace(out, NOT_WORD, " "))
+    return out
+
 
+def _lines(text: Column) -> Column:
+    """Lower-case lines without copyright statements."""
+    return F.transform(F.split(F.lower(text), "\n", -1), lambda x: F.regexp_replace(x, COPYRIGHT, " "))
 
-def _whole(parts: Column) -> Column:
-    return F.array_join(F.filter(parts, lambda x: x != ""), " ")
 
+def _whole(lines: Column) -> Column:
+    words = _words(F.array_join(lines, " "))
+    return F.trim(F.when(words == RESERVED, words).otherwise(F.replace(words, F.lit(RESERVED), F.lit(" "))))
 
-def known(spark: SparkSession, texts: tuple[tuple[str, str], ...] = TEXTS + NOTICES) -> DataFrame:
-    """(digest, license) of known texts; of texts with one canonical form the least licence name stays."""
-    rows = spark.createDataFrame(list(texts), "license string, text string")
-    digest = F.sha2(_whole(F.transform(F.split("text", "\n", -1), canonical)), 256)
-    return rows.select(digest.alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+
+def known(spark: SparkSession, texts: tuple[tuple[str, str], ...] = (), digests: tuple[tuple[str, str], ...] = DIGESTS) -> DataFrame:
+    """(digest, license) of known licences: the texts of this module, ``texts`` besides them, and ``digests``.
+
+    Of texts with one canonical form the least licence name stays.
+    """
+    rows = spark.createDataFrame([*_texts(), *texts], "license string, text string")
+    rows = rows.select(F.sha2(_whole(_lines(F.col("text"))), 256).alias("digest"), "license").union(spark.createDataFrame(list(digests), "license string, digest string").select("digest", "license"))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"))
+
+
+def _texts() -> list[tuple[str, str]]:
+    return [*TEXTS, *NOTICES, *((name, f"{title}\n{dict(TEXTS)[name]}") for name, title in TITLES)]
 
 
 def scanned(docs: DataFrame, licences: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,11 +152,12 @@ def scanned(docs: DataFrame, licences: DataFrame, id_col: str = "doc_id", text_c
     ``notices`` is sorted, without repeats, and empty if there are none. A text without words (null ones too) has the
     digest of the empty text and no licence. Repeated rows each have a row; other columns are left out.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.transform(F.split(F.coalesce(text_col, F.lit("")), "\n", -1), canonical).alias("lines"))
+    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), _lines(F.coalesce(text_col, F.lit(""))).alias("lines"))
     whole = F.array(F.struct(F.lit(True).alias("whole"), _whole(F.col("lines")).alias("form")))
-    each = F.transform(F.array_distinct(F.filter("lines", lambda x: x != "")), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("form")))
+    forms = F.array_distinct(F.filter(F.transform("lines", lambda x: F.trim(_words(x))), lambda x: x != ""))
+    each = F.transform(forms, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("form")))
     parts = rows.select("id", "row", F.explode(F.concat(whole, each)).alias("part")).select("id", "row", "part.whole", F.sha2("part.form", 256).alias("digest"))
-    found = parts.join(licences, "digest", "left").where("whole or license is not null")
+    found = parts.join(bounded(licences, licences.count()), "digest", "left").where("whole or license is not null")
     is_whole = F.col("whole")
     out = found.groupBy("id", "row").agg(
         F.max(F.when(is_whole, F.col("digest"))).alias("digest"),
@@ -109,16 +170,22 @@ def scanned(docs: DataFrame, licences: DataFrame, id_col: str = "doc_id", text_c
 def oracle() -> str:
     """The same over documents in DuckDB SQL."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    form = f"regexp_replace(lower(x), {quote(COPYRIGHT)}, '')"
-    for pattern, to in SPELLINGS:
-        form = f"regexp_replace({form}, {quote(pattern)}, {quote(to.replace('$1', chr(92) + '1'))}, 'g')"
-    form = f"trim(regexp_replace({form}, {quote(NOT_WORD)}, ' ', 'g'))"
-    lines = f"list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {form})"
-    values = ", ".join(f"({quote(name)}, {quote(text)})" for name, text in TEXTS + NOTICES)
-    return f"""WITH k AS (SELECT sha256(array_to_string(list_filter({lines}, lambda x: x <> ''), ' ')) AS digest, min(license) AS license
-  FROM (VALUES {values}) v(license, text) GROUP BY 1),
+    lines = f"list_transform(string_split(lower(coalesce(text, '')), chr(10)), lambda x: regexp_replace(x, {quote(COPYRIGHT)}, ' ', 'g'))"
+
+    def words(x: str) -> str:
+        out = f"regexp_replace(concat(' ', regexp_replace(replace({x}, '&', ' and '), {quote(NOT_WORD)}, ' ', 'g'), ' '), ' +', ' ', 'g')"
+        for pattern, to in SPELLINGS:
+            out = f"regexp_replace({out}, {quote(pattern)}, {quote(to.replace('$1', chr(92) + '1'))}, 'g')"
+        return out
+
+    whole = f"sha256(trim(CASE WHEN w = '{RESERVED}' THEN w ELSE replace(w, '{RESERVED}', ' ') END))"
+    values = ", ".join(f"({quote(name)}, {quote(text)})" for name, text in _texts())
+    digests = ", ".join(f"({quote(name)}, {quote(digest)})" for name, digest in DIGESTS)
+    return f"""WITH k AS (SELECT digest, min(license) AS license FROM (
+  SELECT {whole} AS digest, license FROM (SELECT license, {words(f"array_to_string({lines}, ' ')")} AS w FROM (VALUES {values}) v(license, text))
+  UNION ALL SELECT digest, license FROM (VALUES {digests}) v(license, digest)) GROUP BY 1),
 d AS (SELECT doc_id, {lines} AS lines FROM documents),
-w AS (SELECT doc_id, lines, sha256(array_to_string(list_filter(lines, lambda x: x <> ''), ' ')) AS digest FROM d),
+w AS (SELECT doc_id, {whole} AS digest FROM (SELECT doc_id, {words("array_to_string(lines, ' ')")} AS w FROM d)),
 n AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
-  FROM (SELECT doc_id, sha256(unnest(list_filter(lines, lambda x: x <> ''))) AS digest FROM d) JOIN k USING (digest) GROUP BY doc_id)
+  FROM (SELECT doc_id, sha256(trim({words("x")})) AS digest FROM (SELECT doc_id, unnest(lines) AS x FROM d)) JOIN k USING (digest) GROUP BY doc_id)
 SELECT w.doc_id, w.digest, k.license, coalesce(n.notices, '') AS notices FROM w LEFT JOIN k USING (digest) LEFT JOIN n ON n.doc_id = w.doc_id"""

@@ -16,8 +16,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_ids and the decoded text of every document."""
-    vocabulary = sentencepiece.Vocabulary(sentencepiece.read_pieces(PIECES_PATH))
+    """doc_id, ids, n_ids and the decoded text of every document; a null or empty text has no ids, repeated rows each have a row."""
+    vocabulary = sentencepiece.Vocabulary(sentencepiece.zipf_scores(sentencepiece.read_pieces(PIECES_PATH)))
     return sentencepiece.encoded(_table(spark, sf_dir, "documents"), vocabulary, decode=True)
 
 

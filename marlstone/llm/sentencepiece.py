@@ -8,6 +8,7 @@ the words of a batch that are new run through the trie and the Viterbi recursion
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -40,6 +41,17 @@ def read_pieces(path: str) -> list[tuple[str, float, int]]:
     return [(p.id_to_piece(i), p.get_score(i), kind(i)) for i in range(p.get_piece_size())]
 
 
+def zipf_scores(pieces: list[tuple[str, float, int]]) -> list[tuple[str, float, int]]:
+    """Pieces of a file that ranks them (scores 0, -1, -2 and so on) with log probabilities by Zipf's law.
+
+    The piece of rank r has a probability in proportion to 1 / (r + 1), so all normal pieces together have 1. No text
+    is looked at: the vocabulary stays as published, only the scale of its scores changes.
+    """
+    ranks = [-s for _, s, kind in pieces if kind == NORMAL]
+    total = math.log(sum(1 / (r + 1) for r in ranks))
+    return [(p, -math.log(1 - s) - total if kind == NORMAL else s, kind) for p, s, kind in pieces]
+
+
 def double_array(keys: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Base, check and value of a trie: the child of state s by byte c is t = base[s] + c where check[t] = s."""
     root: dict = {}

@@ -54,7 +54,14 @@ def test_components_of_random_graphs(spark):
 
 @pytest.fixture(scope="module")
 def vocabulary():
-    return sentencepiece.Vocabulary(sentencepiece.read_pieces("/opt/tokenizers/piece_bpe_32k.model"))
+    return sentencepiece.Vocabulary(sentencepiece.zipf_scores(sentencepiece.read_pieces("/opt/tokenizers/piece_bpe_32k.model")))
+
+
+def test_scores_are_log_probabilities(vocabulary):
+    normal = [s for _, s, kind in vocabulary.pieces if kind == sentencepiece.NORMAL]
+    assert abs(sum(np.exp(normal)) - 1) < 1e-9 and max(normal) < 0
+    ranks = [s for _, s, kind in sentencepiece.read_pieces("/opt/tokenizers/piece_bpe_32k.model") if kind == sentencepiece.NORMAL]
+    assert np.argsort(normal).tolist() == np.argsort(ranks).tolist()
 
 
 def viterbi(v, text):
@@ -115,14 +122,45 @@ def test_double_array_holds_exactly_its_keys():
 
 # ---- 2
 
+def licences_of(spark, texts):
+    rows = spark.createDataFrame([*enumerate(texts)], DOCS).selectExpr("*", "'x' AS digest", "'y' AS license", "3 AS row")
+    return {r["doc_id"]: (r["license"], r["notices"]) for r in licenses.scanned(rows, licenses.known(spark)).collect()}
+
+
 def test_license_texts_survive_formatting(spark):
-    mit = dict(licenses.TEXTS)["MIT"]
-    docs = [
-        (1, "MIT License\nCopyright (c) 2020 Someone\n\n" + mit), (2, "Copyright 1999 A. B.\n" + mit.upper().replace(" ", "  ")), (3, mit.replace(",", " ;")), (4, mit + " extra"),
-        (5, "Some text.\nRELEASED under the MIT Licence!\nmore\nAll rights reserved."), (6, "© 2020 X\n(c) Y"),
-    ]
-    got = {r["doc_id"]: (r["license"], r["notices"]) for r in licenses.scanned(spark.createDataFrame(docs, DOCS).selectExpr("*", "'x' AS digest", "'y' AS license"), licenses.known(spark)).collect()}
-    assert got == {1: (None, ""), 2: ("MIT", ""), 3: ("MIT", ""), 4: (None, ""), 5: (None, "MIT,proprietary"), 6: (None, "")}
+    mit, bsd = dict(licenses.TEXTS)["MIT"], dict(licenses.TEXTS)["BSD-3-Clause"]
+    one = " ".join(mit.split())
+    docs = {
+        "MIT License\nCopyright (c) 2020 Someone\n\n" + mit: ("MIT", ""), "Copyright 1999 A. B.\n" + mit.upper().replace(" ", "  "): ("MIT", ""), mit.replace(",", " ;"): ("MIT", ""), mit + " extra": (None, ""),
+        "Some text.\nRELEASED under the MIT Licence!\nmore\nAll rights reserved.": (None, "MIT,proprietary"), "© 2020 X\n(c) Y": (None, ""),
+        "Copyright (c) 2020 A. " + one: ("MIT", "MIT"), "The MIT License (MIT) Copyright © 2020-2021 Foo Inc. All rights reserved. " + one: ("MIT", "MIT"),
+        "Copyright (c) 2001 A. Smith\n" + mit: ("MIT", ""), "(c) 2020 A. B. C. Released under the MIT License.": ("MIT", "MIT"),
+        "Copyright (c) 1998, Foo\nAll rights reserved.\n\n" + bsd.replace("1.", "(a)").replace("2.", "(b)").replace("3.", "(c)"): (None, "proprietary"),
+        "Copyright (c) 1998, Foo <a@b.org>\nAll rights reserved.\n\n" + bsd: ("BSD-3-Clause", "proprietary"), "BSD 3-Clause Licence\n\nCopyright 2001 X\n" + bsd: ("BSD-3-Clause", ""),
+        "All rights reserved.": ("proprietary", "proprietary"), "": (None, ""), " .\n": (None, ""),
+    }
+    assert licences_of(spark, docs) == dict(enumerate(docs.values()))
+
+
+def test_license_texts_wrapped_anywhere(spark):
+    import textwrap
+
+    docs, want = [], []
+    for name, text in licenses.TEXTS:
+        for width in range(60, 81):
+            docs.append("\n".join(textwrap.fill(part, width) for part in ["Copyright (c) 2015 A B", *text.split("\n")]))
+            want.append((name, ""))
+    assert licences_of(spark, docs) == dict(enumerate(want))
+
+
+def test_published_license_texts(spark):
+    from pathlib import Path
+
+    folder = Path("/usr/share/common-licenses")
+    found = {n: f for n, f in (("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")) if (folder / f).exists()}
+    texts = [(folder / f).read_text() for f in found.values()]
+    assert {r[0] for r in licences_of(spark, texts).values()} == set(found)
+    assert {r[0] for r in licences_of(spark, [" ".join(t.replace("license", "licence").split()) for t in texts if "Copyright" not in t]).values()} <= set(found)
 
 
 # ---- 3
