@@ -559,7 +559,7 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, at_once):
     place = [p for p in place if p[2]]
     distinct = {" ".join(w): (line_hash(w), line_blocks(w)) for *_, w in place}
     names = list(distinct)
-    linked = [(a, b) for a in range(len(names)) for b in range(a) if (distinct[names[a]][0] ^ distinct[names[b]][0]).bit_count() <= (22 if max(len(names[a]), len(names[b])) <= 80 else 16) and distinct[names[a]][1] & distinct[names[b]][1] and distance(names[a], names[b]) <= 0.2 * max(len(names[a]), len(names[b])) + 1e-9]
+    linked = [(a, b) for a in range(len(names)) for b in range(a) if (distinct[names[a]][0] ^ distinct[names[b]][0]).bit_count() <= (22 if max(len(names[a]), len(names[b])) <= 80 else 14) and distinct[names[a]][1] & distinct[names[b]][1] and distance(names[a], names[b]) <= 0.2 * max(len(names[a]), len(names[b])) + 1e-9]
     root = dict(zip(names, closure(len(names), linked), strict=True))
     gone, seen = set(), set()
     for i, n, w in sorted(place):
