@@ -99,3 +99,53 @@ def first_trigger(decisions: DataFrame, bars: DataFrame, keys: list[str], at: st
     out = decisions.select(*keys, at).join(firsts, [*keys, at], "left").join(same, [*keys, at], "left")
     state: Column = F.when(F.col("count").isNull(), "NO_TRIGGER").when(F.col("count") > 1, "AMBIGUOUS").otherwise("TRIGGERED")
     return out.select(*keys, at, state.alias("state"), F.col("_first.event_at_ns").alias("trigger_ns"), F.when(state == "TRIGGERED", F.col("open_nano")).alias("open_nano"))
+
+
+def cost_fills(
+    entries: DataFrame, bars: DataFrame, keys: list[str], scenarios: tuple[tuple[str, int], ...], step: int, tick: int, tick_cents: int, fee_cents: int, cap_cents: int, hold: int, path: int, last: Column | None = None, net_target: bool = False) -> DataFrame:
+    """Bracket fills of ``entries`` (entry_at, entry_open, direction, atr) with costs, one row for each and scenario.
+
+    A scenario is the round trip's cost in ticks: half of it worsens the entry, half the exit. The stop is 1.5 atr away,
+    rounded up to ticks; the planned loss is the stop, the costs and two fees, and more than ``cap_cents`` is refused.
+    The target is the first whole tick that earns twice that after fees (with ``net_target`` after costs, too). The
+    first bar that fires decides: from ``hold`` after the entry, or ``last`` if that's sooner, its open; before, an
+    open beyond the stop, the stop, the target, in this order. Gross is net with all costs added again.
+    """
+    d, t = F.col("direction"), F.col("ticks")
+    s = entries.withColumn("_s", F.explode(F.array(*(F.struct(F.lit(n).alias("scenario"), F.lit(c).cast("long").alias("ticks")) for n, c in scenarios)))).select(*entries.columns, "_s.*")
+    s = s.withColumn("stop_ticks", clock.floor_div(3 * F.col("atr") + 2 * tick - 1, 2 * tick)).withColumn("planned_cents", (F.col("stop_ticks") + t) * tick_cents + 2 * fee_cents)
+    half = clock.floor_div(t * tick, 2)
+    earned = 2 * F.col("planned_cents") + (clock.floor_div(t * tick_cents, 2) + fee_cents if net_target else F.lit(2 * fee_cents))
+    s = s.withColumn("entry", F.col("entry_open") + d * half).withColumn("stop", F.col("entry") - d * F.col("stop_ticks") * tick).withColumn("target", F.col("entry") + d * clock.floor_div(earned + tick_cents - 1, tick_cents) * tick)
+    timeout = F.col("entry_at") + hold
+    s = s.withColumn("close_at", timeout if last is None else F.least(timeout, last)).withColumn("why", F.lit("TIMEOUT") if last is None else F.when(last <= timeout, "SESSION_LIQUIDATION").otherwise("TIMEOUT"))
+    own = [*keys, "entry_at", "scenario"]
+    walk = s.withColumn("event_at_ns", F.explode(F.sequence("entry_at", F.col("entry_at") + path - step, F.lit(step).cast("long")))).join(bars.select(*keys, "event_at_ns", "open_nano", "high_nano", "low_nano"), [*keys, "event_at_ns"])
+    o = F.col("open_nano")
+    worst, best = (F.when(d > 0, F.col(a)).otherwise(F.col(b)) for a, b in (("low_nano", "high_nano"), ("high_nano", "low_nano")))
+    what = F.when(F.col("event_at_ns") >= F.col("close_at"), F.struct(F.col("why").alias("why"), o.alias("price")))
+    for fires, name, price in ((d * (o - F.col("stop")) <= 0, "STOP_GAP", o), (d * (worst - F.col("stop")) <= 0, "STOP", F.col("stop")), (d * (best - F.col("target")) >= 0, "TARGET", F.col("target"))):
+        what = what.when(fires, F.struct(F.lit(name).alias("why"), price.alias("price")))
+    hit = walk.withColumn("_what", what).where("_what is not null").groupBy(*own).agg(F.min("event_at_ns").alias("exit_at"), F.min_by("_what", "event_at_ns").alias("_what"))
+    out = s.join(hit, own, "left")
+    ok = F.col("planned_cents") <= cap_cents
+    moved = clock.floor_div(d * (F.col("_what.price") - d * half - F.col("entry")), tick) * tick_cents
+    return out.select(
+        *entries.columns, "scenario", "planned_cents", "stop", "target", F.when(~ok, "OVER_PLANNED_LOSS").otherwise(F.coalesce("_what.why", F.lit("NO_EXIT"))).alias("reason"),
+        F.when(ok, F.col("exit_at")).alias("exit_at"), F.when(ok, moved - 2 * fee_cents).alias("net_cents"), F.when(ok, moved + t * tick_cents).alias("gross_cents"))
+
+
+def stopped_path(entries: DataFrame, bars: DataFrame, keys: list[str], step: int, steps: int, distance: int) -> DataFrame:
+    """``entries`` (at, entry, direction) held over ``steps`` steps: complete if every bar is there, and the exit price.
+
+    The stop is ``distance`` away. From the second bar on an open beyond it is the exit, else the stop where a bar
+    touches it; without either it's the open of the last bar, which is not looked at otherwise.
+    """
+    d = F.col("direction")
+    stop = F.col("entry") - d * distance
+    walk = entries.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn("event_at_ns", F.col("at") + F.col("_k") * step).join(bars.select(*keys, "event_at_ns", "open_nano", "high_nano", "low_nano"), [*keys, "event_at_ns"])
+    worst = F.when(d > 0, F.col("low_nano")).otherwise(F.col("high_nano"))
+    gap = (F.col("_k") > 0) & (d * (F.col("open_nano") - stop) <= 0)
+    out = F.when(F.col("_k") == steps, F.col("open_nano")).when(gap, F.col("open_nano")).when(d * (worst - stop) <= 0, stop)
+    found = walk.withColumn("_out", out).groupBy(*entries.columns).agg((F.count("*") == steps + 1).alias("complete"), F.min_by("_out", F.when(F.col("_out").isNotNull(), F.col("_k"))).alias("exit"))
+    return found

@@ -36,7 +36,7 @@ def status_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {tables.TRADES}, {_STATUS} SELECT t.event_id, coalesce(s.event_id, -1) AS known_event FROM (SELECT * FROM trades WHERE market IN ('error', 'signup')) t ASOF LEFT JOIN s ON t.instrument_id = s.instrument_id AND t.event_at_ns > s.received_ns""")
 def status_asof_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D-01, D-03: the state strictly before an event, from the same log."""
+    """D-02: the state strictly before an event, from the same log."""
     s = _status(spark, sf_dir)
     d = s.select("instrument_id", F.col("received_ns").alias("at"), "event_id")
     found = asof.as_of(d, s.withColumnRenamed("event_id", "known_event"), ["instrument_id"], "at", "received_ns", ["known_event"], strict=True)
@@ -60,7 +60,7 @@ def tie_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT d.market, d.decided, r.contract FROM d ASOF LEFT JOIN (SELECT *, effective + {6 * H} AS known FROM r) r ON d.market = r.market AND d.decided >= r.known"""
 )
 def roll_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D-05, D-06, D-07: the contract in effect, as known six hours later."""
+    """D-05, D-06: the contract in effect, as known six hours later."""
     t = tables.trades(spark, sf_dir)
     r = t.groupBy("market", "contract").agg((F.min("event_at_ns") + 6 * H).alias("known"))
     d = t.select("market", (clock.floor_to("event_at_ns", clock.DAY) + 12 * H).alias("decided")).distinct()
@@ -207,7 +207,7 @@ def catalog_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {tables.TRADES}, q AS (SELECT market, event_at_ns // {H} AS h, count(DISTINCT instrument_id) AS n FROM trades GROUP BY 1, 2), g AS (SELECT market, h FROM (SELECT DISTINCT market FROM q), (SELECT DISTINCT h FROM q))
 SELECT g.market, g.h AS hour_no, CASE WHEN coalesce(n, 0) = 0 THEN 'ABSENT' WHEN n = 1 THEN 'PRESENT' ELSE 'AMBIGUOUS' END AS presence FROM g LEFT JOIN q USING (market, h)""")
 def target_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q-22, Q-23, O-08: no, one or several candidates per target."""
+    """Q-22: no, one or several candidates per target."""
     t = tables.trades(spark, sf_dir).select("market", clock.floor_div("event_at_ns", H).alias("hour_no"), "instrument_id")
     grid = t.select("market").distinct().crossJoin(t.select("hour_no").distinct())
     return asof.only_match(grid.join(t, ["market", "hour_no"], "left"), ["market", "hour_no"], "instrument_id")
