@@ -162,7 +162,7 @@ _NAMES = ("bar_return", "Label", "range_20", "target_x", "2nd", "roll_end_at", "
   event_id + event_id % 5 AS available, event_id // 4 * 4 + 5 AS decided, event_id % 31 <> 0 AS same_contract, event_id % 37 <> 0 AS allowed FROM events),
 c AS (SELECT *, CASE WHEN lower(name) IN ({', '.join(f"'{n}'" for n in FORBIDDEN + FORBIDDEN_ROLLS)}) OR regexp_matches(lower(name), '^({'|'.join(FORBIDDEN_PREFIXES)})') THEN 'FORBIDDEN_NAME' WHEN NOT regexp_full_match(name, '[A-Za-z_][A-Za-z0-9_]*') THEN 'INVALID_NAME'
   WHEN isnan(value) OR isinf(value) THEN 'NOT_FINITE' WHEN available > decided THEN 'LATER_THAN_DECISION' WHEN NOT allowed THEN 'FOREIGN_RELEASE' WHEN NOT same_contract THEN 'OTHER_CONTRACT' END AS code FROM f)
-SELECT row_id, count(*) AS features, max(available) AS available_max, array_to_string(list_sort(list(DISTINCT code) FILTER (code IS NOT NULL)), ',') AS codes, count(code) = 0 AND max(available) <= any_value(decided) AS accepted FROM c GROUP BY 1"""
+SELECT row_id, count(*) AS features, max(available) AS available_max, coalesce(array_to_string(list_sort(list(DISTINCT code) FILTER (code IS NOT NULL)), ','), '') AS codes, count(code) = 0 AND max(available) <= any_value(decided) AS accepted FROM c GROUP BY 1"""
 )
 def feature_row_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C-13: rows of features by name: none that looks like an outcome, none that isn't finite, none known only later or of another release or contract."""

@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import audits, bars, causal, joins, relational, research, storage  # noqa: F401
+    from . import audits, bars, causal, gates, joins, relational, research, storage  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -36,6 +36,22 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def checkpointed(df: DataFrame, path: str, part: str, only: list | None = None) -> None:
+    """Write ``df`` in one folder for each value of ``part``, leaving those that are finished alone.
+
+    A folder counts as finished once its success marker stands, so a run that broke off is taken up where it ended.
+    The values of ``part`` are few, as each is a folder; ``only`` names some of them.
+    """
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    todo = only if only is not None else [r[0] for r in df.select(part).distinct().orderBy(part).collect()]
+    for value in todo:
+        folder = f"{path}/{part}={value}"
+        marker = hadoop.Path(f"{folder}/_SUCCESS")
+        if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+            df.where(F.col(part) == value).drop(part).write.mode("overwrite").parquet(folder)
+
+
 def manifest(df: DataFrame, keys: list[str], columns: list[str], sources: list[str], metadata: dict[str, str]) -> dict:
     """Content-addressed description of a table: its fingerprints by key, and an id over their canonical JSON."""
     parts = [r.asDict() for r in sets.fingerprint(df, keys, columns).orderBy(*keys).collect()]  # one row for each key
