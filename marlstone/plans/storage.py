@@ -37,7 +37,7 @@ def bars_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT n_nationkey, n_name, n_regionkey FROM nation""")
 def published_release(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-19, B-05, B-06, B-11, B-13, B-19, B-20, O-03: data first, manifest last, verified on reading."""
+    """A-19, B-05, B-06, B-13, B-19, B-20, O-03: data first, manifest last, verified on reading."""
     path = fresh(spark, "release")
     columns = ["n_nationkey", "n_name", "n_regionkey"]
     sinks.published(tables.table(spark, sf_dir, "nation").select(*columns), path, ["n_regionkey"], columns, ["nation"], {"kind": "reference"})
@@ -77,7 +77,7 @@ def versioned_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT market, n FROM (SELECT event_type AS market, count(*) AS n FROM events GROUP BY 1) WHERE market = 'view'""")
 def catalog_resolved_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-07, A-18, A-20, A-22, A-25: one path of a market, year and purpose, or none."""
+    """A-07, A-18: one path of a market, year and purpose, or none."""
     catalog = spark.createDataFrame([("view", 2024, f"{sf_dir}/events.parquet", ["research"]), ("view", 2025, "nowhere", ["holdout"])], "market string, year int, path string, purposes array<string>")
     e = readers.projected(spark, readers.resolved(catalog, "view", 2024, "research"), ["event_type"])
     return e.where("event_type = 'view'").groupBy(F.col("event_type").alias("market")).agg(F.count("*").alias("n"))
@@ -85,7 +85,7 @@ def catalog_resolved_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT n_nationkey, CASE WHEN n_regionkey <> 3 THEN n_regionkey ELSE -1 END AS region, CASE WHEN n_regionkey <> 3 THEN 'DEFINED' ELSE 'UNDEFINED' END AS region_state, CASE WHEN n_regionkey = 3 THEN 'UNDEFINED_VALUE' ELSE 'NONE' END AS defect_code FROM nation""")
 def sentinel_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-05, A-08, A-15, C-13: sentinels become nulls with a state, and a defect code for what depends on them."""
+    """A-05, A-08: sentinels become nulls with a state, and a defect code for what depends on them."""
     n = tables.table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("region"))
     d = readers.nullified(n, {"region": 3})
     return d.select("n_nationkey", F.coalesce("region", F.lit(-1).cast("long")).alias("region"), "region_state", F.when(F.col("region").isNull(), "UNDEFINED_VALUE").otherwise("NONE").alias("defect_code"))
@@ -93,7 +93,7 @@ def sentinel_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {tables.TRADES} SELECT market, event_at_ns // {H} * {H} AS bucket_ns, arg_min(price_nano, event_at_ns) AS open_nano, max(price_nano) AS high_nano, min(price_nano) AS low_nano, arg_max(price_nano, event_at_ns) AS close_nano, sum(size)::BIGINT AS volume FROM trades GROUP BY 1, 2""")
 def streamed_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-28, M-01, M-02, M-03, M-08, M-09, M-11, M-12, N-01: a stream of trades by state per market; the newest form of each candle."""
+    """A-28, M-01, M-11: a stream of trades by state per market; the newest form of each candle."""
     source, out, state = (fresh(spark, n) for n in ("trades", "candles", "state"))
     t = tables.trades(spark, sf_dir).select("market", "event_at_ns", "price_nano", "size")
     t.repartitionByRange(2, "event_at_ns").sortWithinPartitions("event_at_ns").write.parquet(source)
@@ -110,7 +110,7 @@ def streamed_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_type AS market, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1""")
 def chunked_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-29, G-08, O-12: bounded chunks of time, newest first, each row in one of them."""
+    """A-29, G-08: bounded chunks of time, newest first, each row in one of them."""
     t = tables.trades(spark, sf_dir)
     start, end = 1704067200 * 10**9, 1705708800 * 10**9
     plan = spark.range(1).select(F.explode(F.sequence(F.lit(end - 12 * H), F.lit(start), F.lit(-12 * H))).alias("a")).select(F.greatest("a", F.lit(start)).alias("a"), (F.col("a") + 12 * H).alias("b"))
@@ -139,7 +139,7 @@ def timeframe_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def crossfit_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J-10, K-17, Q-04: in each outer fold, models of its inner folds predict what they haven't seen."""
+    """J-10, Q-04: in each outer fold, models of its inner folds predict what they haven't seen."""
     i = tables.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linenumber", "l_quantity", "l_discount", (F.col("l_extendedprice") / 1000).alias("price"), (F.col("l_orderkey") % 3).alias("inner"))
     train = i.withColumn("held", F.explode(F.array(*(F.lit(k).cast("long") for k in range(3))))).where("inner <> held")
     models = ridge.fit(train, ["l_returnflag", "held"], ["l_quantity", "l_discount"], ["price"], 1.0)
@@ -150,7 +150,7 @@ def crossfit_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT count(*) AS n, bool_and(l_quantity > 0) AS positive, bool_and(l_tax <= 0.1) AS taxed FROM lineitem WHERE l_linenumber = 1""")
 def mechanics_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q-32, N-04, N-05: boolean checks over rows."""
+    """Q-32: boolean checks over rows."""
     return tables.table(spark, sf_dir, "lineitem").where("l_linenumber = 1").agg(F.count("*").alias("n"), F.bool_and(F.col("l_quantity") > 0).alias("positive"), F.bool_and(F.col("l_tax") <= 0.1).alias("taxed"))
 
 
