@@ -30,15 +30,16 @@ def _log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return log, t.where("event_id % 3 = 1").select("event_id", "instrument", "day", "event_at_ns", (F.col("event_at_ns") + 2 * H).alias("decided_ns"))
 
 
-@query(
-    f"""WITH {tables.TRADES}, {_LOG}, j AS (SELECT b.event_id, b.event_at_ns, count(l.ordinal) FILTER (l.received_ns <= b.event_at_ns) AS n, coalesce(bool_or(l.action = 'OTHER') FILTER (l.received_ns <= b.event_at_ns), false) AS odd,
+REPLAY = f"""WITH {tables.TRADES}, {_LOG}, j AS (SELECT b.event_id, b.event_at_ns, count(l.ordinal) FILTER (l.received_ns <= b.event_at_ns) AS n, coalesce(bool_or(l.action = 'OTHER') FILTER (l.received_ns <= b.event_at_ns), false) AS odd,
   count(l.ordinal) FILTER (l.received_ns > b.event_at_ns AND l.received_ns <= b.decided_ns) AS later,
   list_sort(list({{'r': l.received_ns, 'f': l.file, 'o': l.ordinal, 'action': l.action, 'class': l.class, 'a': l.active_ns, 'e': l.expired_ns, 'm': l.multiplier}}) FILTER (l.received_ns <= b.event_at_ns))[-1] AS s
   FROM b LEFT JOIN log l ON l.instrument = b.instrument AND l.day = b.day GROUP BY b.event_id, b.event_at_ns),
 c AS (SELECT event_id, s.m AS m, CASE WHEN n = 0 THEN 'NO_DEFINITION_BY_START' WHEN odd THEN 'UNKNOWN_ACTION' WHEN s.action = 'DELETE' THEN 'DELETED' WHEN s.class <> 'FUTURE' THEN 'NOT_OUTRIGHT'
   WHEN s.a > event_at_ns OR s.e <= event_at_ns THEN 'NOT_ACTIVE' WHEN later > 0 THEN 'CHANGED_BEFORE_DECISION' ELSE 'RESOLVED' END AS code FROM j)
 SELECT event_id, code, CASE WHEN code = 'RESOLVED' THEN m ELSE -1 END AS multiplier FROM c"""
-)
+
+
+@query(REPLAY)
 def definition_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D-01: each bar's definition of its UTC date, replayed with deletes; equal times in the order of file and ordinal."""
     log, bars = _log(spark, sf_dir)

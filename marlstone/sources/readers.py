@@ -13,9 +13,11 @@ class SourceError(ValueError):
     """A source isn't what its contract says."""
 
 
-def exact(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Parquet whose schema must be ``schema``: names, types and order."""
+def exact(spark: SparkSession, path: str, schema: StructType, schema_id: str | None = None) -> DataFrame:
+    """Parquet whose schema must be ``schema``: names, types and order, and its id, which the first field's metadata holds."""
     found = spark.read.parquet(path).schema
+    if schema_id is not None and (found[0].metadata or {}).get("schema_id") != schema_id:
+        raise SourceError(f"{path}: schema id is {(found[0].metadata or {}).get('schema_id')}, not {schema_id}")
     if [(f.name, f.dataType) for f in found] != [(f.name, f.dataType) for f in schema]:
         raise SourceError(f"{path}: schema is {found.simpleString()}, not {schema.simpleString()}")
     return spark.read.schema(schema).parquet(path)
