@@ -1,14 +1,15 @@
 """Account paths and admission rules: state machines over the ordered trades of one strategy or account.
 
-What has a closed form over windows is written so; the others run once per group, over its rows in order.
+What has a closed form over windows is written so; the others are folds over the rows of a key in their order.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sequences import folded
+
 
 def schedule(candidates: DataFrame, keys: list[str], most_risk: int, most_per_session: int, daily_stop: int, most_drawdown: int) -> DataFrame:
     """One position at a time; each candidate (session, entry, exit, risk, pnl) gets its terminal state.
@@ -16,24 +17,19 @@ def schedule(candidates: DataFrame, keys: list[str], most_risk: int, most_per_se
     In order of entry: RISK_CAP, OVERLAP, SESSION_CAP, DAILY_STOP and DRAWDOWN refuse it, else it's ADMITTED. Losses
     count when a trade is closed, before the next entry; the daily stop lasts its session, the drawdown for good.
     """
-    kinds = dict(candidates.dtypes)
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["entry", "candidate"], kind="stable")
-        states, free, session, taken, day, equity, peak, halted = [], -(1 << 62), None, 0, 0, 0, 0, False
-        for s, a, e, risk, pnl in zip(pdf["session"], pdf["entry"], pdf["exit"], pdf["risk"], pdf["pnl"], strict=True):
-            if s != session:
-                session, taken, day = s, 0, 0
-            state = "RISK_CAP" if risk > most_risk else "OVERLAP" if a < free else "SESSION_CAP" if taken >= most_per_session else "DAILY_STOP" if day <= -daily_stop else "DRAWDOWN" if halted else "ADMITTED"
-            if state == "ADMITTED":
-                free, taken, day, equity = e, taken + 1, day + pnl, equity + pnl
-                peak = max(peak, equity)
-                halted = peak - equity >= most_drawdown
-            states.append(state)
-        return pdf[[*keys, "candidate", "session", "entry", "pnl"]].assign(state=states)
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, "candidate", "session", "entry", "pnl"])
-    return candidates.groupBy(*keys).applyInPandas(work, schema + ", state string")
+
+    def step(state: tuple, row) -> tuple[tuple, tuple]:
+        free, session, taken, day, equity, peak, halted = state
+        if row.session != session:
+            session, taken, day = row.session, 0, 0
+        code = "RISK_CAP" if row.risk > most_risk else "OVERLAP" if row.entry < free else "SESSION_CAP" if taken >= most_per_session else "DAILY_STOP" if day <= -daily_stop else "DRAWDOWN" if halted else "ADMITTED"
+        if code == "ADMITTED":
+            free, taken, day, equity = row.exit, taken + 1, day + row.pnl, equity + row.pnl
+            peak = max(peak, equity)
+            halted = peak - equity >= most_drawdown
+        return (free, session, taken, day, equity, peak, halted), (code,)
+
+    return folded(candidates, keys, ["entry", "candidate"], lambda: (-(1 << 62), None, 0, 0, 0, 0, False), step, [*keys, "candidate", "session", "entry", "pnl"], "state string")
 
 
 def account_path(marks: DataFrame, keys: list[str], starting: int, most_loss: int) -> DataFrame:
@@ -64,20 +60,13 @@ def payouts(requests: DataFrame, keys: list[str], cushion: int, share: float) ->
 
     Earlier payments lower the balance that later requests see.
     """
-    kinds = dict(requests.dtypes)
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "request"], kind="stable").drop_duplicates("request")
-        paid, states, shares = 0, [], []
-        for balance, floor, amount in zip(pdf["balance"], pdf["floor"], pdf["amount"], strict=True):
-            ok = amount > 0 and balance - paid - amount >= floor + cushion
-            paid += amount if ok else 0
-            states.append("PAID" if ok else "REFUSED")
-            shares.append(amount * share if ok else 0.0)
-        return pdf[[*keys, "request", "at", "amount"]].assign(state=states, trader_share=shares)
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, "request", "at", "amount"])
-    return requests.groupBy(*keys).applyInPandas(work, schema + ", state string, trader_share double")
+
+    def step(paid: int, row) -> tuple[int, tuple]:
+        ok = row.amount > 0 and row.balance - paid - row.amount >= row.floor + cushion
+        return paid + (row.amount if ok else 0), ("PAID" if ok else "REFUSED", row.amount * share if ok else 0.0)
+
+    once = requests.dropDuplicates([*keys, "request"])
+    return folded(once, keys, ["at", "request"], lambda: 0, step, [*keys, "request", "at", "amount"], "state string, trader_share double")
 
 
 def order_guard(orders: DataFrame, keys: list[str], at: str, fields: list[str], window: int, most: int) -> DataFrame:

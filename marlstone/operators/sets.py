@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes
+from .sequences import folded
 
 
 def duplicates(rows: DataFrame, keys: list[str], meaning: list[str]) -> DataFrame:
@@ -66,18 +69,10 @@ def hash_chain(rows: DataFrame, keys: list[str], order: str, columns: list[str])
 
     A chain is sequential by nature, so each ledger is folded in order; ledgers are independent.
     """
-    own = rows.withColumn("_h", codes.row_hash(*columns))
-    import hashlib
-
-    import pandas as pd
+    own = rows.withColumn("row_hash", codes.row_hash(*columns))
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        links, head = [], ""
-        for h in pdf["_h"]:
-            head = hashlib.sha256((head + h).encode()).hexdigest()
-            links.append(head)
-        return pdf.drop(columns="_h").assign(link=links)
+    def step(head: str, row) -> tuple[str, tuple]:
+        head = hashlib.sha256((head + row.row_hash).encode()).hexdigest()
+        return head, (head,)
 
-    schema = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes)
-    return own.groupBy(*keys).applyInPandas(work, schema + ", link string")
+    return folded(own, keys, [order], str, step, rows.columns, "link string")

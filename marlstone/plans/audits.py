@@ -76,7 +76,10 @@ def contract_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", symbol.alias("symbol")).select("p_partkey", "symbol", codes.contract_root("symbol").alias("root"), codes.contract_month("symbol").alias("month_no"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT event_type, event_id, user_id, sha256(event_id::VARCHAR || '|' || user_id::VARCHAR) AS h, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events), c AS (SELECT DISTINCT event_type, 0::BIGINT AS i, '' AS link FROM e UNION ALL SELECT e.event_type, e.i, sha256(c.link || e.h) FROM c JOIN e ON e.event_type = c.event_type AND e.i = c.i + 1)
+SELECT e.event_type, e.event_id, e.user_id, c.link FROM e JOIN c ON c.event_type = e.event_type AND c.i = e.i"""
+)
 def hash_chained_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B-21, K-28: each link holds all that came before it in its ledger."""
     e = tables.table(spark, sf_dir, "events").select("event_type", "event_id", "user_id")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -231,9 +234,34 @@ def gram_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("l_returnflag", "n", F.round("s_l_quantity__l_quantity", 3).alias("xx"), F.round("s_l_quantity__l_discount", 3).alias("xz"), F.round("s_l_quantity__price", 1).alias("xy"))
 
 
-@query()
+def _solved(keys: str, source: str, x: list[str]) -> str:
+    """Standardised ridge with penalty 1 by Cramer's rule for two or three features: w0 and so on, intercept, mse."""
+    n = len(x)
+    one = [*x, "y"]
+    means = ", ".join(f"avg({c}) AS m_{c}" for c in one)
+    sums = ", ".join(f"sum(({a} - m_{a}) * ({b} - m_{b})) AS c_{a}_{b}" for i, a in enumerate(one) for b in one[i:])
+    c = lambda a, b: f"c_{min(a, b, key=one.index)}_{max(a, b, key=one.index)}"
+    dev = ", ".join(f"CASE WHEN c_{a}_{a} > 1e-12 THEN sqrt(c_{a}_{a} / n) ELSE 1 END AS d_{a}" for a in x)
+    z = ", ".join([*(f"{c(a, b)} / (d_{a} * d_{b}) + {int(a == b)} AS z_{i}{j}" for i, a in enumerate(x) for j, b in enumerate(x)), *(f"{c(a, 'y')} / d_{a} AS r_{i}" for i, a in enumerate(x))])
+
+    def det(rows: list[list[str]]) -> str:
+        if len(rows) == 1:
+            return rows[0][0]
+        return " ".join(f"{'-' if j % 2 else '+'} {rows[0][j]} * ({det([r[:j] + r[j + 1:] for r in rows[1:]])})" for j in range(len(rows)))
+
+    grid = [[f"z_{i}{j}" for j in range(n)] for i in range(n)]
+    w = ", ".join(f"({det([[f'r_{i}' if j == k else grid[i][j] for j in range(n)] for i in range(n)])}) / ({det(grid)}) / d_{a} AS w{k}" for k, a in enumerate(x))
+    rest = f"c_y_y - 2 * ({' + '.join(f'w{i} * {c(a, chr(121))}' for i, a in enumerate(x))}) + {' + '.join(f'w{i} * w{j} * {c(a, b)}' for i, a in enumerate(x) for j, b in enumerate(x))}"
+    return f"""a0 AS (SELECT {keys}, {means} FROM {source} GROUP BY {keys}), a1 AS (SELECT {keys}, count(*) AS n, {', '.join(f'any_value(m_{c_}) AS m_{c_}' for c_ in one)}, {sums} FROM {source} JOIN a0 USING ({keys}) GROUP BY {keys}), a2 AS (SELECT *, {dev} FROM a1), a3 AS (SELECT *, {z} FROM a2), a4 AS (SELECT *, {w} FROM a3),
+m AS (SELECT *, m_y - ({' + '.join(f'w{i} * m_{a}' for i, a in enumerate(x))}) AS intercept, greatest({rest}, 0) / n AS mse FROM a4 WHERE n > {n})"""
+
+
+@query(
+    f"""WITH i AS (SELECT l_returnflag, l_linestatus, l_quantity AS x0, l_discount AS x1, l_tax AS x2, l_extendedprice / 1000 AS y FROM lineitem), {_solved("l_returnflag, l_linestatus", "i", ["x0", "x1", "x2"])}
+SELECT l_returnflag, l_linestatus, 'price' AS target, n, round(w0, 6) AS w0, round(w1, 6) AS w1, round(w2, 6) AS w2, round(intercept, 6) AS intercept, round(mse, 4) AS mse FROM m"""
+)
 def ridge_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J-01 to J-06, Q-01, Q-02, Q-04, Q-19: ridge per group from its Gram sums."""
+    """J-01, J-02, Q-04, Q-19: ridge per group from its Gram sums."""
     m = ridge.fit(_lines(spark, sf_dir), ["l_returnflag", "l_linestatus"], _X, ["price"], 1.0)
     return m.select("l_returnflag", "l_linestatus", "target", "n", *(F.round(F.col("weights")[i], 6).alias(f"w{i}") for i in range(3)), F.round("intercept", 6).alias("intercept"), F.round("mse", 4).alias("mse"))
 
@@ -294,13 +322,22 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("market", F.col("event_id").alias("candidate"), clock.utc_date("event_at_ns").cast("string").alias("session"), clock.floor_div("event_at_ns", clock.SECOND).alias("entry"), (clock.floor_div("event_at_ns", clock.SECOND) + 1800 + F.col("event_id") % 3600).alias("exit"), (cents % 30001).alias("risk"), (cents % 40001 - 9000).alias("pnl"))
 
 
-@query()
+_SCHEDULE = f"""WITH RECURSIVE {tables.TRADES}, c0 AS (SELECT market, event_id AS candidate, (make_timestamp(event_at_ns // 1000)::DATE)::VARCHAR AS session, event_at_ns // 1000000000 AS entry, event_at_ns // 1000000000 + 1800 + event_id % 3600 AS exit, round(value * 100)::BIGINT AS cents FROM trades),
+c AS (SELECT *, KEYS AS k, cents % 30001 AS risk, cents % 40001 - 9000 AS pnl, row_number() OVER (PARTITION BY KEYS ORDER BY entry, candidate) AS i FROM c0),
+s AS (SELECT DISTINCT k, 0::BIGINT AS i, -4611686018427387904 AS free, '' AS session, 0::BIGINT AS taken, 0::BIGINT AS day, 0::BIGINT AS equity, 0::BIGINT AS peak, false AS halted, '' AS state FROM c UNION ALL
+SELECT k, i, CASE WHEN ok THEN exit ELSE free END, session, taken + ok::INT, day + ok::INT * pnl, equity + ok::INT * pnl, greatest(peak, equity + ok::INT * pnl), CASE WHEN ok THEN greatest(peak, equity + pnl) - equity - pnl >= 100000 ELSE halted END, state FROM (SELECT *, state = 'ADMITTED' AS ok FROM (SELECT *,
+  CASE WHEN risk > 25000 THEN 'RISK_CAP' WHEN entry < free THEN 'OVERLAP' WHEN taken >= 3 THEN 'SESSION_CAP' WHEN day <= -10000 THEN 'DAILY_STOP' WHEN halted THEN 'DRAWDOWN' ELSE 'ADMITTED' END AS state FROM (
+  SELECT c.k, c.i, c.session, c.entry, c.exit, c.risk, c.pnl, s.free, s.equity, s.peak, s.halted, CASE WHEN c.session = s.session THEN s.taken ELSE 0 END AS taken, CASE WHEN c.session = s.session THEN s.day ELSE 0 END AS day FROM s JOIN c ON c.k = s.k AND c.i = s.i + 1))))
+SELECT c.market, COLUMNS c.candidate, c.session, c.entry, c.pnl, s.state FROM s JOIN c ON c.k = s.k AND c.i = s.i"""
+
+
+@query(_SCHEDULE.replace("KEYS", "market").replace("COLUMNS ", ""))
 def portfolio_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K-10, K-11, K-12, K-15, K-18, K-19, Q-20: sequential admission of candidates."""
     return accounts.schedule(_candidates(spark, sf_dir), ["market"], 25_000, 3, 10_000, 100_000)
 
 
-@query()
+@query(_SCHEDULE.replace("KEYS", "market || substr(session, 1, 7)").replace("COLUMNS ", "substr(c.session, 1, 7) AS segment, "))
 def segmented_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K-14, Q-09: the state starts anew in each segment."""
     c = _candidates(spark, sf_dir).withColumn("segment", F.substring("session", 1, 7))
@@ -325,12 +362,17 @@ def trailing_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accounts.trailing_floor(b.union(b.where("o_orderkey % 5 = 0")), ["o_custkey"], "o_orderkey", "balance", 100_000, 450_000).select("o_custkey", "o_orderkey", F.col("floor").cast("long").alias("floor"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE r AS (SELECT o_custkey, o_orderkey AS request, epoch(o_orderdate)::BIGINT AS at_s, floor(o_totalprice)::BIGINT AS amount, row_number() OVER (PARTITION BY o_custkey ORDER BY epoch(o_orderdate)::BIGINT, o_orderkey) AS i FROM orders),
+p AS (SELECT DISTINCT o_custkey, 0::BIGINT AS i, 0::BIGINT AS paid, 0::BIGINT AS request, '' AS state FROM r UNION ALL SELECT r.o_custkey, r.i, p.paid + CASE WHEN 400000 - p.paid - r.amount >= 120000 THEN r.amount ELSE 0 END, r.request, CASE WHEN 400000 - p.paid - r.amount >= 120000 THEN 'PAID' ELSE 'REFUSED' END FROM p JOIN r ON r.o_custkey = p.o_custkey AND r.i = p.i + 1)
+SELECT r.o_custkey, r.request, r.at_s AS "at", r.amount, p.state, CASE WHEN p.state = 'PAID' THEN round(r.amount * 0.9, 4) ELSE 0 END AS trader_share FROM r JOIN p ON p.o_custkey = r.o_custkey AND p.i = r.i"""
+)
 def payout_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K-21: requests once each, against what earlier ones left."""
     o = tables.table(spark, sf_dir, "orders")
     r = o.select("o_custkey", F.col("o_orderkey").alias("request"), F.unix_seconds("o_orderdate").alias("at"), F.lit(400_000).alias("balance"), F.lit(100_000).alias("floor"), F.floor("o_totalprice").cast("long").alias("amount"))
-    return accounts.payouts(r.union(r.where("request % 7 = 0")), ["o_custkey"], 20_000, 0.9)
+    paid = accounts.payouts(r.union(r.where("request % 7 = 0")), ["o_custkey"], 20_000, 0.9)
+    return paid.withColumn("trader_share", F.round("trader_share", 4))
 
 
 @query("""WITH g AS (SELECT event_id, count(*) OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 21599 PRECEDING AND CURRENT ROW) AS same, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 21599 PRECEDING AND CURRENT ROW) AS n FROM events)
@@ -385,7 +427,12 @@ def stepdown_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(m, round(float(t), 6), float(q)) for m, t, q in zip(rows.columns[1:], observed, p, strict=True)], "market string, t double, p double")
 
 
-@query()
+@query(
+    """WITH b AS (SELECT least((day(ts) - 1) // 4, 7) AS block, event_type AS strategy, round(sum(value), 2) AS total FROM events GROUP BY 1, 2), m AS (SELECT i FROM range(0, 256) t(i) WHERE bit_count(i::INT) = 4),
+s AS (SELECT i, strategy, sum(CASE WHEN (i >> block) & 1 = 1 THEN total ELSE 0 END) AS a, sum(CASE WHEN (i >> block) & 1 = 1 THEN 0 ELSE total END) AS b FROM b, m GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY a DESC, strategy) AS best, rank() OVER (PARTITION BY i ORDER BY b) AS place, count(*) OVER (PARTITION BY i, a) AS same FROM s)
+SELECT strategy AS winner, count(*) AS combinations, round(avg((ln(place / 6.0 / (1 - place / 6.0)) <= 0)::INT), 6) AS pbo, count(*) FILTER (same > 1) AS tied FROM r WHERE best = 1 GROUP BY 1"""
+)
 def overfitting_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L-04: combinatorially symmetric cross-validation over eight blocks of days."""
     e = tables.table(spark, sf_dir, "events")
@@ -394,7 +441,16 @@ def overfitting_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("winner").agg(F.count("*").alias("combinations"), F.round(F.avg((F.col("logit") <= 0).cast("double")), 6).alias("pbo"), F.count_if("tied").alias("tied"))
 
 
-@query()
+_Z = NormalDist().inv_cdf
+_EXPECTED = (1 - 0.5772156649015329) * _Z(1 - 1 / 5) + 0.5772156649015329 * _Z(1 - 1 / (5 * math.e))
+
+
+@query(
+    f"""WITH x AS (SELECT event_type AS market, value - 45 AS x FROM events), a AS (SELECT market, avg(x) AS m FROM x GROUP BY 1), c AS (SELECT market, count(*) AS n, any_value(m) AS m, avg((x - m) ** 2) AS v2, avg((x - m) ** 3) AS v3, avg((x - m) ** 4) AS v4 FROM x JOIN a USING (market) GROUP BY 1),
+s AS (SELECT *, m / sqrt(v2 * n / (n - 1)) AS s, v3 / v2 ** 1.5 AS skew, v4 / v2 ** 2 AS kurt FROM c), e AS (SELECT *, sqrt(var_samp(s) OVER ()) * {_EXPECTED} AS e FROM s), z AS (SELECT *, greatest(-12, least(12, (s - e) * sqrt(n - 1) / sqrt(1 - skew * s + (kurt - 1) / 4 * s ** 2))) AS z FROM e),
+t AS (SELECT k, sum(ln(2 * k + 1)) OVER (ORDER BY k) AS d FROM range(0, 300) r(k)), p AS (SELECT market, sign(any_value(z)) * sum(exp((2 * k + 1) * ln(abs(z)) - d - z * z / 2)) / sqrt(2 * pi()) + 0.5 AS chance FROM z, t WHERE z <> 0 GROUP BY 1)
+SELECT market, round(chance, 6) AS chance, round(({_Z(0.975)} + {_Z(0.8)}) * sqrt(v2 / n), 6) AS smallest_effect FROM z JOIN p USING (market)"""
+)
 def deflated_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L-05, L-06: Sharpe ratios against the best of so many trials, and the smallest effect in reach."""
     e = tables.table(spark, sf_dir, "events").withColumn("x", F.col("value") - 45)
