@@ -32,6 +32,8 @@ THREE, TWO = ((0, 22), (22, 21), (43, 21)), ((0, 32), (32, 32))
 MOST_BITS = 8
 #: Fingerprints of each text in the search for near copies; texts with the same or nearly the same of any are candidates.
 PRINTS = 4
+#: Texts whose sets of shingles a task holds at once; classes of more are cut into tiles.
+TEXTS_AT_ONCE = 1_000
 #: Work of comparing two fingerprints, where that of a replica is one.
 COMPARISON = 0.01
 #: Homes at one anchor that a task holds at once; more are dealt out over salts, with their anchor's rows sent to each.
@@ -298,16 +300,66 @@ def _shingle_sets(shingle: int):
     return work
 
 
-def _jaccard(similarity: float):
+def like_sets(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of links that span the same groups as all pairs of sets with a Jaccard similarity of ``similarity`` do.
+
+    Each set is held against all later ones at once; a set is skipped where everything after it is linked to it already.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    flat, starts = np.concatenate(sets), np.cumsum(sizes) - sizes
+    values, at = np.unique(flat, return_inverse=True)
+    mark, label = np.zeros(len(values), np.int64), np.arange(len(sets))
+    a, b = [], []
+    for i in range(len(sets) - 1):
+        rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if not len(rest):
+            continue
+        own = at[starts[i] : starts[i] + sizes[i]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[at[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1])[rest - i - 1]
+        mark[own] = 0
+        near = rest[both >= similarity * (sizes[i] + sizes[rest] - both)]
+        for j in near.tolist():
+            if label[j] != label[i]:
+                a.append(i)
+                b.append(j)
+                label[label == label[j]] = label[i]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _like_texts(similarity: float):
+    """Links between the texts of each group, from their sets of shingles."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            (at_x, x), (at_y, y) = ((c.offsets.to_numpy(), c.values.to_numpy()) for c in (b.column(2), b.column(3)))
-            ok = []
-            for i in range(b.num_rows):
-                p, q = x[at_x[i] : at_x[i + 1]], y[at_y[i] : at_y[i + 1]]
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(both >= similarity * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+        now, keys, sets, found = None, [], [], []
+
+        def close() -> None:
+            if len(keys) > 1:
+                a, b = like_sets(sets, similarity)
+                known = np.array(keys, np.int64)
+                found.append((known[a], known[b]))
+            keys.clear(), sets.clear()
+
+        def batch() -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for rb in batches:  # sorted by group
+            groups, own = rb.column(0).to_pylist(), rb.column(1).to_pylist()
+            lists = rb.column(2)
+            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for i, group in enumerate(groups):
+                if group != now:
+                    close()
+                    now = group
+                keys.append(own[i])
+                sets.append(flat[at[i] : at[i + 1]].copy())
+            if len(found) > 10_000:
+                yield batch()
+        close()
+        if found:
+            yield batch()
 
     return work
 
@@ -317,7 +369,8 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str, similarity: float =
 
     Candidates are texts of which any of ``prints`` steep fingerprints differ in at most ``most_bits`` bits, found by
     anchors; a pair is linked if the Jaccard similarity of its sets of ``shingle``-word shingles reaches
-    ``similarity``. Groups follow verified links. A pair of similarity j is a candidate with a chance of at least
+    ``similarity``. All candidates are tried where their sets stand together, in tiles of bounded size, and only links
+    that join groups leave the task. A pair of similarity j is a candidate with a chance of at least
     1 - (1 - j)**prints: 0.998 at 0.8 with four. Texts without words are copies of each other. Texts whose 64-bit keys
     collide, as their fingerprints show, are in no group.
     """
@@ -332,42 +385,33 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str, similarity: float =
     def by_print(rows: DataFrame, *more: str) -> DataFrame:
         return rows.select("key", *more, F.posexplode(F.array(*names)).alias("print", "fp"))
 
-    heads = written(by_print(texts).groupBy("print", "fp").agg(F.min("key").alias("node"), F.count("*").alias("texts")), "heads")
-    near = fingerprint_links(heads, most_bits)
-    shared = heads.where("texts > 1").select("print", "fp", "node")
-    same = by_print(texts).join(bounded(shared, shared.count()), ["print", "fp"]).where("key <> node").select(F.col("key").alias("a"), F.col("node").alias("b"))
-    pairs = near.union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = written(pairs.distinct(), "pairs")
-
-    def verified(found: DataFrame, name: str) -> DataFrame:
-        n = found.count()
-        ends = written(found.select(F.col("a").alias("key")).union(found.select("b")).distinct(), f"{name}-ends", 2 * n)
-        few = bounded(ends, 2 * n)
-        sets = keyed.join(few, "key", "left_semi").select("key", "text").mapInArrow(_shingle_sets(shingle), "key long, grams array<long>")
-        sets = written(sets.dropDuplicates(["key"]), f"{name}-sets", 8 * n)
-        both = found.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        out = written(both.mapInArrow(_jaccard(similarity), "a long, b long, ok boolean"), name, 4 * n)
-        dropped(ends, sets)
-        return out
-
-    checked = verified(pairs, "checked")
-    good, bad = checked.where("ok").select("a", "b"), checked.where("not ok").select("a", "b")
-    groups = components(good)
-    if not bad.isEmpty():  # a refused link may have hidden good ones: try all pairs that are still apart around it
-        loose = components(pairs)
-        around = loose.join(bad.select(F.col("a").alias("node")).join(loose, "node").select("root").distinct(), "root", "left_semi").select(F.col("node").alias("key"))
-        apart = texts.join(around, "key").join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", *names, F.coalesce("root", "key").alias("label"))
-        apart = written(by_print(apart, "label").withColumnRenamed("key", "node"), "apart")
-        more = fingerprint_links(apart, most_bits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = verified(written(more.join(bad, ["a", "b"], "left_anti"), "more"), "checked-more").where("ok").select("a", "b")
-        groups = groups if more.isEmpty() else components(good.union(more))
+    # texts of one class stand together: those of one fingerprint, and of others that anchors link to it
+    node = F.xxhash64("print", "fp").alias("node")
+    heads = written(by_print(texts).groupBy("print", "fp").agg(F.count("*").alias("texts"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("told"), F.min("key").alias("least")).withColumn("node", node), "heads")
+    near = written(fingerprint_links(heads, most_bits), "near")
+    alone = near.isEmpty()
+    classes = None if alone else components(near).withColumnsRenamed({"root": "class"})
+    classed = heads if alone else heads.join(bounded(classes, classes.count()), "node", "left")
+    classed = classed.withColumn("class", F.col("node") if alone else F.coalesce("class", "node"))
+    several = classed.groupBy("class").agg(F.sum("texts").alias("texts"), F.sum("told").alias("told"), F.min("least").alias("least")).where("texts > 1")
+    once = written(several.groupBy("texts", "told", "least").agg(F.min("class").alias("class")).select("class", "texts"), "classes-once")  # not again by another fingerprint
+    own = written(classed.select("print", "fp", "class").join(bounded(once, once.count()), "class"), "own")
+    member = by_print(texts).join(bounded(own, own.count()), ["print", "fp"]).select("class", "key", F.ceil(F.col("texts") / TEXTS_AT_ONCE).cast("int").alias("salts"))
+    salt = F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda o: F.xxhash64("class", F.least(salt, o), F.greatest(salt, o)))
+    member = written(member.select("key", F.explode(F.when(F.col("salts") > 1, tiles).otherwise(F.array("class"))).alias("group")).distinct(), "members")
+    n = member.count()
+    sets = keyed.join(bounded(member.select("key").distinct(), n), "key", "left_semi").select("key", "text").mapInArrow(_shingle_sets(shingle), "key long, grams array<long>")
+    sets = written(sets.dropDuplicates(["key"]), "sets", 4 * n)
+    dealt = member.join(sets, "key").select("group", "key", "grams").repartition(partitions(keyed.sparkSession, n, 20_000), "group").sortWithinPartitions("group")
+    groups = components(dealt.mapInArrow(_like_texts(similarity), "a long, b long"))
     groups = written(groups, "groups")
     n = groups.count()
     rooted = texts.join(bounded(groups.withColumnRenamed("node", "key"), n), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("times").alias("times")).where("times > 1").drop("times")
     least = written(least, "least")
     classes = written(rooted.join(bounded(least, least.count()), "root").select("key", "component_id"), "classes")
-    dropped(heads, pairs, checked, groups, least)
+    dropped(heads, near, once, own, member, sets, groups, least)
     out = ids.join(bounded(classes, classes.count()), "key", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("component_id", "id").alias("component_id"))
 

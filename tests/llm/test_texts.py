@@ -262,6 +262,7 @@ def test_steep_fingerprints_are_simhashes_of_halving_weights():
 @pytest.mark.parametrize("at_once", [50_000, 2])
 def test_near_copies_equal_brute_force(spark, monkeypatch, at_once):
     monkeypatch.setattr(simhash, "HOMES_AT_ONCE", at_once)
+    monkeypatch.setattr(simhash, "TEXTS_AT_ONCE", at_once)
     rnd = random.Random(15)
     texts = [words(rnd, rnd.randint(1, 120)) for _ in range(25)] + ["one", "One", "two"]
     for t in list(texts):
@@ -289,8 +290,8 @@ def five_word_sets(texts):
 
 
 @pytest.mark.parametrize("at_once", [1_000, 2])
-def test_near_copies_hidden_by_a_refused_link_are_tried(spark, monkeypatch, at_once):
-    monkeypatch.setattr(simhash, "HOMES_AT_ONCE", at_once)
+def test_near_copies_of_one_class_are_all_tried(spark, monkeypatch, at_once):
+    monkeypatch.setattr(simhash, "TEXTS_AT_ONCE", at_once)
     rnd = random.Random(31)
     texts = []
     for _ in range(4):  # segments between equal words: their order changes no pair of neighbours
