@@ -1,7 +1,7 @@
 """As-of and interval joins.
 
-The as-of join is a union of both sides and one window over it, so its cost is one sort per key and no pair of rows
-is made: at equal times knowledge stands before decisions, since what is received at an instant is known at it.
+The as-of join is a union of both sides and one window over it, so its cost is one sort per key, or per key and span
+of time, and no pair of rows is made: at equal times knowledge stands before decisions, since what is received at an instant is known at it.
 """
 
 from __future__ import annotations
@@ -10,16 +10,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of(decisions: DataFrame, changes: DataFrame, keys: list[str], at: str, received: str, values: list[str], strict: bool = False) -> DataFrame:
+def as_of(decisions: DataFrame, changes: DataFrame, keys: list[str], at: str, received: str, values: list[str], strict: bool = False, span: int | None = None) -> DataFrame:
     """Each decision with the ``values`` of the last change received by then (before it, if ``strict``), or nulls.
 
-    Changes that tie on a key and time must have been resolved, see ``tied``.
+    Changes that tie on a key and time must have been resolved, see ``tied``. With ``span`` a key's rows are dealt over
+    buckets of so much time, and the state at a bucket's beginning, of which there is one for each bucket with a
+    change, is carried on: a key with very many rows is then the work of many tasks.
     """
     extra = [c for c in decisions.columns if c not in keys and c != at]
     left = decisions.select(*keys, F.col(at).alias("_at"), F.lit(0 if strict else 1).alias("_side"), F.struct(*extra).alias("_row") if extra else F.struct(F.lit(1)).alias("_row"), F.lit(None).cast(_struct(changes, received, values)).alias("_state"))
     right = changes.select(*keys, F.col(received).alias("_at"), F.lit(1 if strict else 0).alias("_side"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.struct(F.col(received).alias("_received"), *values).alias("_state"))
-    w = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right).withColumn("_state", F.last("_state", ignorenulls=True).over(w))
+    both = left.unionByName(right)
+    if span is not None:
+        both = both.withColumn("_bucket", F.floor(F.col("_at") / span).cast("long"))
+    own = [*keys, *["_bucket"] * (span is not None)]
+    w = Window.partitionBy(*own).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    state = F.last("_state", ignorenulls=True).over(w)
+    if span is not None:
+        change = F.col("_state").isNotNull()
+        ends = both.groupBy(*own).agg(F.max_by("_state", F.when(change, F.col("_at"))).alias("_end"))
+        before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        both = both.join(ends.select(*own, F.last("_end", ignorenulls=True).over(before).alias("_carried")), own, "left" if keys else "inner")
+        state = F.coalesce(state, "_carried")
+    both = both.withColumn("_state", state)
     kept = both.where(F.col("_side") == (0 if strict else 1))
     return kept.select(*keys, F.col("_at").alias(at), *(F.col(f"_row.{c}").alias(c) for c in extra), F.col("_state._received").alias("known_at"), *(F.col(f"_state.{v}").alias(v) for v in values))
 

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import clock, codes
 
 
-def ohlcv(rows: DataFrame, keys: list[str], at: str, price: str, size: str, step: int) -> DataFrame:
-    """Bars of a fixed step: first, highest, lowest and last price by time, and the sum of sizes."""
-    return rows.groupBy(*keys, clock.floor_to(at, step).alias("event_at_ns")).agg(*_prices(at, price, price, price, price, size))
+def ohlcv(rows: DataFrame, keys: list[str], at: str, price: str, size: str, step: int, ordinal: str | None = None) -> DataFrame:
+    """Bars of a fixed step: first, highest, lowest and last price by time, and the sum of sizes.
+
+    Rows of one time are in the order of ``ordinal``, such as their place in the file.
+    """
+    order = F.struct(at, ordinal) if ordinal else F.col(at)
+    return rows.groupBy(*keys, clock.floor_to(at, step).alias("event_at_ns")).agg(*_prices(order, price, price, price, price, size))
 
 
 def reaggregated(bars: DataFrame, keys: list[str], step: int) -> DataFrame:
@@ -18,12 +22,13 @@ def reaggregated(bars: DataFrame, keys: list[str], step: int) -> DataFrame:
     return bars.groupBy(*keys, clock.floor_to("event_at_ns", step).alias("bucket_ns")).agg(*_prices("event_at_ns", "open_nano", "high_nano", "low_nano", "close_nano", "volume"))
 
 
-def candles(trades: DataFrame, keys: list[str], ts: str, price: str, size: str, timeframe: str) -> DataFrame:
-    """Candles of a named timeframe; see clock.bucket."""
-    return trades.groupBy(*keys, clock.bucket(ts, timeframe).alias("bucket")).agg(*_prices(ts, price, price, price, price, size))
+def candles(trades: DataFrame, keys: list[str], ts: str, price: str, size: str, timeframe: str, ordinal: str | None = None) -> DataFrame:
+    """Candles of a named timeframe; see clock.bucket. Trades of one time are in the order of ``ordinal``."""
+    order = F.struct(ts, ordinal) if ordinal else F.col(ts)
+    return trades.groupBy(*keys, clock.bucket(ts, timeframe).alias("bucket")).agg(*_prices(order, price, price, price, price, size))
 
 
-def _prices(at: str, open_: str, high: str, low: str, close: str, size: str) -> list[Column]:
+def _prices(at: str | Column, open_: str, high: str, low: str, close: str, size: str) -> list[Column]:
     return [F.min_by(open_, at).alias("open_nano"), F.max(high).alias("high_nano"), F.min(low).alias("low_nano"), F.max_by(close, at).alias("close_nano"), F.sum(size).alias("volume")]
 
 

@@ -45,9 +45,23 @@ def wilder_atr(bars: DataFrame, keys: list[str], n: int, step: int) -> DataFrame
     return run.withColumn("atr", F.when(F.col("bars") >= n, F.aggregate(rest, first, lambda a, x: (a * (n - 1) + x) / n))).drop("_rows")
 
 
-def features(bars: DataFrame, keys: list[str], step: int, n: int = 61) -> DataFrame:
-    """The causal feature vector of each bar that ends n contiguous bars of one key; the others aren't listed."""
-    w = Window.partitionBy(*keys).orderBy("event_at_ns")
+def overlapping(bars: DataFrame, at: str, span: int, reach: int) -> DataFrame:
+    """``bars`` dealt over buckets of ``span``, those that the next bucket looks back on, up to ``reach``, into that, too.
+
+    ``_own`` says whether a row is in its own bucket: windows over a key and ``_bucket`` are whole for those rows.
+    """
+    bucket = clock.floor_div(at, span)
+    both = F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own")), F.struct((bucket + 1).alias("b"), F.lit(False).alias("own")))
+    return bars.withColumn("_in", F.explode(both)).where(F.col("_in.own") | (F.col(at) >= F.col("_in.b") * span - reach)).withColumn("_bucket", F.col("_in.b")).withColumn("_own", F.col("_in.own")).drop("_in")
+
+
+def features(bars: DataFrame, keys: list[str], step: int, n: int = 61, span: int = 1_000) -> DataFrame:
+    """The causal feature vector of each bar that ends n contiguous bars of one key; the others aren't listed.
+
+    As the bars are contiguous, a window reaches back n steps at most, so a key is dealt over buckets of ``span`` steps.
+    """
+    bars = overlapping(bars, "event_at_ns", span * step, n * step)
+    w = Window.partitionBy(*keys, "_bucket").orderBy("event_at_ns")
     c, o = F.col("close_nano"), F.col("open_nano")
     vol = F.log1p(F.col("volume").cast("double"))
     base = bars.withColumn("true_range", true_range(w)).withColumn("_log", F.log(c / F.lag(c).over(w))).withColumn("_vol", vol)
@@ -65,8 +79,8 @@ def features(bars: DataFrame, keys: list[str], step: int, n: int = 61) -> DataFr
         F.col("_vol").alias("log_volume"),
         F.when(deviation > 0, (F.col("_vol") - F.avg("_vol").over(last(n - 1))) / F.nullif(deviation, F.lit(0.0))).otherwise(0.0).alias("volume_z"),
         sine.alias("sine"), cosine.alias("cosine"),
-        (F.col("event_at_ns") - F.lag("event_at_ns", n - 1).over(w)).alias("_span"))
-    return out.where(F.col("_span") == step * (n - 1)).drop("_span")
+        (F.col("event_at_ns") - F.lag("event_at_ns", n - 1).over(w)).alias("_span"), "_own")
+    return out.where((F.col("_span") == step * (n - 1)) & F.col("_own")).drop("_span", "_own")
 
 
 def reported(bars: DataFrame, decisions: DataFrame, keys: list[str], at: str, n: int, span: int, stale: int) -> DataFrame:

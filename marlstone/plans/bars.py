@@ -30,7 +30,7 @@ def ohlcv_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {tables.TRADES} SELECT market, time_bucket(INTERVAL '5 minutes', ts) AS bucket, {_AGG} FROM trades GROUP BY 1, 2")
 def candles_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-02, I-05."""
-    return ops.candles(tables.trades(spark, sf_dir), ["market"], "ts", "price_nano", "size", "5m")
+    return ops.candles(tables.trades(spark, sf_dir), ["market"], "ts", "price_nano", "size", "5m", "event_id")
 
 
 @query(
@@ -39,7 +39,7 @@ SELECT market, ((date_trunc('day', here) + to_hours((hour(here) // 4 * 4)::BIGIN
 )
 def candles_4h(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-02, I-06: four-hour candles by the exchange's wall clock."""
-    return ops.candles(tables.trades(spark, sf_dir), ["market"], "ts", "price_nano", "size", "4h")
+    return ops.candles(tables.trades(spark, sf_dir), ["market"], "ts", "price_nano", "size", "4h", "event_id")
 
 
 @query(
@@ -48,7 +48,7 @@ SELECT market, ((day - 1)::TIMESTAMP + INTERVAL 17 HOUR) AT TIME ZONE 'America/C
 )
 def candles_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-02, I-04, I-07: daily candles of the exchange session."""
-    return ops.candles(tables.trades(spark, sf_dir), ["market"], "ts", "price_nano", "size", "1d")
+    return ops.candles(tables.trades(spark, sf_dir), ["market"], "ts", "price_nano", "size", "1d", "event_id")
 
 
 @query(f"""{W} SELECT market, event_at_ns // {4 * H} * {4 * H} AS bucket_ns, arg_min(open_nano, event_at_ns) AS open_nano, max(high_nano) AS high_nano, min(low_nano) AS low_nano,

@@ -29,7 +29,7 @@ FROM (SELECT * FROM trades WHERE market = 'purchase') t ASOF LEFT JOIN s ON t.in
 def status_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D-02, B-12: the last status received by each decision."""
     d = tables.trades(spark, sf_dir).where("market = 'purchase'").select("instrument_id", "event_at_ns", "event_id")
-    found = asof.as_of(d, _status(spark, sf_dir), ["instrument_id"], "event_at_ns", "received_ns", ["action"])
+    found = asof.as_of(d, _status(spark, sf_dir), ["instrument_id"], "event_at_ns", "received_ns", ["action"], span=7 * clock.DAY)
     state = F.when(F.col("action").isNull(), "STATUS_UNRESOLVED").when(F.col("action") == "HALT", "STATUS_NOT_TRADING").otherwise("STATUS_ELIGIBLE")
     return found.select("event_id", "instrument_id", F.coalesce("known_at", F.lit(-1)).alias("known_at"), "action", state.alias("state"))
 
@@ -39,7 +39,7 @@ def status_asof_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D-02: the state strictly before an event, from the same log."""
     s = _status(spark, sf_dir)
     d = s.select("instrument_id", F.col("received_ns").alias("at"), "event_id")
-    found = asof.as_of(d, s.withColumnRenamed("event_id", "known_event"), ["instrument_id"], "at", "received_ns", ["known_event"], strict=True)
+    found = asof.as_of(d, s.withColumnRenamed("event_id", "known_event"), ["instrument_id"], "at", "received_ns", ["known_event"], strict=True, span=7 * clock.DAY)
     return found.select("event_id", F.coalesce("known_event", F.lit(-1).cast("long")).alias("known_event"))
 
 
@@ -64,7 +64,7 @@ def roll_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables.trades(spark, sf_dir)
     r = t.groupBy("market", "contract").agg((F.min("event_at_ns") + 6 * H).alias("known"))
     d = t.select("market", (clock.floor_to("event_at_ns", clock.DAY) + 12 * H).alias("decided")).distinct()
-    return asof.as_of(d, r, ["market"], "decided", "known", ["contract"]).select("market", "decided", "contract")
+    return asof.as_of(d, r, ["market"], "decided", "known", ["contract"], span=7 * clock.DAY).select("market", "decided", "contract")
 
 
 @query(
@@ -209,7 +209,8 @@ SELECT g.market, g.h AS hour_no, CASE WHEN coalesce(n, 0) = 0 THEN 'ABSENT' WHEN
 def target_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q-22: no, one or several candidates per target."""
     t = tables.trades(spark, sf_dir).select("market", clock.floor_div("event_at_ns", H).alias("hour_no"), "instrument_id")
-    grid = t.select("market").distinct().crossJoin(t.select("hour_no").distinct())
+    hours = t.agg(F.collect_set("hour_no").alias("hours"))  # one row; as many hours as the calendar has
+    grid = t.select("market").distinct().join(F.broadcast(hours)).select("market", F.explode("hours").alias("hour_no"))
     return asof.only_match(grid.join(t, ["market", "hour_no"], "left"), ["market", "hour_no"], "instrument_id")
 
 

@@ -37,12 +37,12 @@ TRADES = f"""trades AS (SELECT event_id, event_type AS market, user_id AS instru
 
 
 def bars(spark: SparkSession, sf_dir: str, step: int = clock.HOUR) -> DataFrame:
-    made = bar_ops.ohlcv(trades(spark, sf_dir), ["market", "contract"], "event_at_ns", "price_nano", "size", step)
+    made = bar_ops.ohlcv(trades(spark, sf_dir), ["market", "contract"], "event_at_ns", "price_nano", "size", step, "event_id")
     return made.withColumn("available_at_ns", clock.available_at("event_at_ns", step, LATENCY)).withColumn("session", clock.session_date(clock.ts("event_at_ns")).cast("string"))
 
 
 def bars_sql(step: int = clock.HOUR) -> str:
     return f"""{TRADES}, bars AS (SELECT *, event_at_ns + {step + LATENCY} AS available_at_ns,
   CAST((make_timestamp(event_at_ns // 1000) AT TIME ZONE 'UTC' AT TIME ZONE 'America/Chicago') + INTERVAL 7 HOUR AS DATE)::VARCHAR AS session FROM (
-  SELECT market, contract, event_at_ns // {step} * {step} AS event_at_ns, arg_min(price_nano, event_at_ns) AS open_nano, max(price_nano) AS high_nano,
-  min(price_nano) AS low_nano, arg_max(price_nano, event_at_ns) AS close_nano, sum(size)::BIGINT AS volume FROM trades GROUP BY market, contract, event_at_ns // {step}))"""
+  SELECT market, contract, event_at_ns // {step} * {step} AS event_at_ns, arg_min(price_nano, (event_at_ns, event_id)) AS open_nano, max(price_nano) AS high_nano,
+  min(price_nano) AS low_nano, arg_max(price_nano, (event_at_ns, event_id)) AS close_nano, sum(size)::BIGINT AS volume FROM trades GROUP BY market, contract, event_at_ns // {step}))"""

@@ -197,3 +197,35 @@ def test_hash_chain_depends_on_all_before(spark):
     changed = r.selectExpr("k", "i", "if(i = 1, 99, v) AS v")
     b = [x["link"] for x in sets.hash_chain(changed, ["k"], "i", ["i", "v"]).orderBy("i").collect()]
     assert a[0] == b[0] and all(x != y for x, y in zip(a[1:], b[1:], strict=True))
+
+
+def test_as_of_over_spans_equals_one_window(spark):
+    import random
+
+    rnd = random.Random(3)
+    changes = [(k, at, f"{k}{at}") for k in "ab" for at in sorted(rnd.sample(range(500), 25))]
+    asked = [(rnd.choice("abc"), rnd.randrange(520), i) for i in range(300)]
+    d, c = spark.createDataFrame(asked, "k string, at long, id int"), spark.createDataFrame(changes, "k string, received long, v string")
+    for strict in (False, True):
+        one = collected(asof.as_of(d, c, ["k"], "at", "received", ["v"], strict=strict).select("id", "known_at", "v"), "id")
+        assert one == collected(asof.as_of(d, c, ["k"], "at", "received", ["v"], strict=strict, span=40).select("id", "known_at", "v"), "id")
+        assert one == [(i, *max(((at, v) for k2, at, v in changes if k2 == k and (at < now if strict else at <= now)), default=(None, None))) for k, now, i in sorted(asked, key=lambda x: x[2])]
+
+
+def test_bars_take_equal_times_in_their_order(spark):
+    t = spark.createDataFrame([("m", 5, 3, 100, 1), ("m", 5, 1, 90, 1), ("m", 5, 2, 95, 1), ("m", 9, 5, 70, 1), ("m", 9, 4, 80, 1)], "market string, at long, ordinal long, price long, size long")
+    assert collected(bars.ohlcv(t, ["market"], "at", "price", "size", 10, "ordinal"), "market") == [("m", 0, 90, 100, 70, 70, 5)]
+
+
+def test_definitions_are_replayed_with_deletes_and_ties(spark):
+    from marlstone.operators import pointintime
+
+    log = [  # instrument, day, received, file, ordinal, action, class, active, expired, multiplier
+        (1, 0, 10, "a", 1, "ADD", "FUTURE", 0, 99, 5), (1, 0, 20, "a", 2, "DELETE", "FUTURE", 0, 99, 5), (1, 0, 30, "b", 1, "ADD", "FUTURE", 0, 99, 7), (1, 0, 30, "a", 9, "ADD", "FUTURE", 0, 99, 6),
+        (2, 0, 10, "a", 1, "ADD", "SPREAD", 0, 99, 5), (3, 0, 10, "a", 1, "ADD", "FUTURE", 0, 15, 5), (4, 0, 10, "a", 1, "OTHER", "FUTURE", 0, 99, 5), (4, 0, 11, "a", 2, "ADD", "FUTURE", 0, 99, 5)]
+    asked = [(i, 0, at, until, f"{i}@{at}-{until}") for i, at, until in ((1, 5, 6), (1, 15, 16), (1, 15, 20), (1, 20, 25), (1, 30, 31), (2, 12, 13), (3, 15, 16), (3, 14, 14), (4, 12, 13))]
+    df = spark.createDataFrame(log, "instrument int, day int, received_ns long, file string, ordinal long, action string, class string, active_ns long, expired_ns long, multiplier long")
+    got = pointintime.definition_of(spark.createDataFrame(asked, "instrument int, day int, at long, until long, id string"), df, ["instrument", "day"], "at", "until", ["file", "ordinal"], ["multiplier"])
+    assert {r["id"]: (r["code"], r["multiplier"]) for r in got.collect()} == {
+        "1@5-6": ("NO_DEFINITION_BY_START", None), "1@15-16": ("RESOLVED", 5), "1@15-20": ("CHANGED_BEFORE_DECISION", None), "1@20-25": ("DELETED", None), "1@30-31": ("RESOLVED", 7),
+        "2@12-13": ("NOT_OUTRIGHT", None), "3@15-16": ("NOT_ACTIVE", None), "3@14-14": ("RESOLVED", 5), "4@12-13": ("UNKNOWN_ACTION", None)}
