@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import audits, bars, causal, feeds, gates, joins, linked, records, relational, research, storage  # noqa: F401
+    from . import audits, bars, causal, feeds, gates, joins, linked, records, relational, research, storage, trials  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -152,7 +152,7 @@ v AS (SELECT *, CASE WHEN entry IS NULL OR o IS NULL THEN 'ABSTAIN_GAP' WHEN con
   FROM f JOIN v ON v.market = f.market AND v.decided_ns = f.decided_ns AND v.d = f.d AND v.k = f.exit_step LEFT JOIN v p ON p.market = f.market AND p.decided_ns = f.decided_ns AND p.d = f.d AND p.k = f.exit_step - 1)
 SELECT market, decided_ns, d AS direction, exit_step, exit_reason, coalesce(d * (leave - entry), 0) AS gross_nano FROM y""")
 def bracket_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K-01, K-02, K-03, K-16, Q-10: event-ordered barriers in both directions."""
+    """K-01: event-ordered barriers in both directions."""
     b = one_bars(spark, sf_dir)
     w = Window.partitionBy("market").orderBy("event_at_ns")
     d = b.withColumn("tr", windows.true_range(w)).select("market", F.col("event_at_ns").alias("decided_ns"), F.round(F.avg("tr").over(w.rowsBetween(-4, 0))).alias("atr"))
@@ -234,14 +234,14 @@ def gram_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("l_returnflag", "n", F.round("s_l_quantity__l_quantity", 3).alias("xx"), F.round("s_l_quantity__l_discount", 3).alias("xz"), F.round("s_l_quantity__price", 1).alias("xy"))
 
 
-def _solved(keys: str, source: str, x: list[str]) -> str:
-    """Standardised ridge with penalty 1 by Cramer's rule for two or three features: w0 and so on, intercept, mse."""
+def _solved(keys: str, source: str, x: list[str], name: str = "", raw: bool = False) -> str:
+    """Ridge with penalty 1, standardised or of raw features, by Cramer's rule for two or three of them: w0 and so on, intercept, mse."""
     n = len(x)
     one = [*x, "y"]
     means = ", ".join(f"avg({c}) AS m_{c}" for c in one)
     sums = ", ".join(f"sum(({a} - m_{a}) * ({b} - m_{b})) AS c_{a}_{b}" for i, a in enumerate(one) for b in one[i:])
     c = lambda a, b: f"c_{min(a, b, key=one.index)}_{max(a, b, key=one.index)}"
-    dev = ", ".join(f"CASE WHEN c_{a}_{a} > 1e-12 THEN sqrt(c_{a}_{a} / n) ELSE 1 END AS d_{a}" for a in x)
+    dev = ", ".join(f"1 AS d_{a}" if raw else f"CASE WHEN c_{a}_{a} > 1e-12 THEN sqrt(c_{a}_{a} / n) ELSE 1 END AS d_{a}" for a in x)
     z = ", ".join([*(f"{c(a, b)} / (d_{a} * d_{b}) + {int(a == b)} AS z_{i}{j}" for i, a in enumerate(x) for j, b in enumerate(x)), *(f"{c(a, 'y')} / d_{a} AS r_{i}" for i, a in enumerate(x))])
 
     def det(rows: list[list[str]]) -> str:
@@ -252,8 +252,8 @@ def _solved(keys: str, source: str, x: list[str]) -> str:
     grid = [[f"z_{i}{j}" for j in range(n)] for i in range(n)]
     w = ", ".join(f"({det([[f'r_{i}' if j == k else grid[i][j] for j in range(n)] for i in range(n)])}) / ({det(grid)}) / d_{a} AS w{k}" for k, a in enumerate(x))
     rest = f"c_y_y - 2 * ({' + '.join(f'w{i} * {c(a, chr(121))}' for i, a in enumerate(x))}) + {' + '.join(f'w{i} * w{j} * {c(a, b)}' for i, a in enumerate(x) for j, b in enumerate(x))}"
-    return f"""a0 AS (SELECT {keys}, {means} FROM {source} GROUP BY {keys}), a1 AS (SELECT {keys}, count(*) AS n, {', '.join(f'any_value(m_{c_}) AS m_{c_}' for c_ in one)}, {sums} FROM {source} JOIN a0 USING ({keys}) GROUP BY {keys}), a2 AS (SELECT *, {dev} FROM a1), a3 AS (SELECT *, {z} FROM a2), a4 AS (SELECT *, {w} FROM a3),
-m AS (SELECT *, m_y - ({' + '.join(f'w{i} * m_{a}' for i, a in enumerate(x))}) AS intercept, greatest({rest}, 0) / n AS mse FROM a4 WHERE n > {n})"""
+    return f"""{name}a0 AS (SELECT {keys}, {means} FROM {source} GROUP BY {keys}), {name}a1 AS (SELECT {keys}, count(*) AS n, {', '.join(f'any_value(m_{c_}) AS m_{c_}' for c_ in one)}, {sums} FROM {source} JOIN {name}a0 USING ({keys}) GROUP BY {keys}), {name}a2 AS (SELECT *, {dev} FROM {name}a1), {name}a3 AS (SELECT *, {z} FROM {name}a2), {name}a4 AS (SELECT *, {w} FROM {name}a3),
+{name}m AS (SELECT *, m_y - ({' + '.join(f'w{i} * m_{a}' for i, a in enumerate(x))}) AS intercept, greatest({rest}, 0) / n AS mse FROM {name}a4 WHERE n > {n})"""
 
 
 @query(
