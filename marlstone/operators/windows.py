@@ -58,9 +58,10 @@ def overlapping(bars: DataFrame, at: str, span: int, reach: int) -> DataFrame:
 def features(bars: DataFrame, keys: list[str], step: int, n: int = 61, span: int = 1_000) -> DataFrame:
     """The causal feature vector of each bar that ends n contiguous bars of one key; the others aren't listed.
 
-    As the bars are contiguous, a window reaches back n steps at most, so a key is dealt over buckets of ``span`` steps.
+    Where n covers the longest of the windows, which is 21 bars, these reach back n steps at most, as the bars are
+    contiguous; a key is then dealt over buckets of ``span`` steps.
     """
-    bars = overlapping(bars, "event_at_ns", span * step, n * step)
+    bars = overlapping(bars, "event_at_ns", span * step, n * step) if n > 20 else bars.withColumns({"_bucket": F.lit(0), "_own": F.lit(True)})
     w = Window.partitionBy(*keys, "_bucket").orderBy("event_at_ns")
     c, o = F.col("close_nano"), F.col("open_nano")
     vol = F.log1p(F.col("volume").cast("double"))

@@ -229,3 +229,10 @@ def test_definitions_are_replayed_with_deletes_and_ties(spark):
     assert {r["id"]: (r["code"], r["multiplier"]) for r in got.collect()} == {
         "1@5-6": ("NO_DEFINITION_BY_START", None), "1@15-16": ("RESOLVED", 5), "1@15-20": ("CHANGED_BEFORE_DECISION", None), "1@20-25": ("DELETED", None), "1@30-31": ("RESOLVED", 7),
         "2@12-13": ("NOT_OUTRIGHT", None), "3@15-16": ("NOT_ACTIVE", None), "3@14-14": ("RESOLVED", 5), "4@12-13": ("UNKNOWN_ACTION", None)}
+
+
+def test_features_over_spans_equal_one_window(spark):
+    rows = [(k, i * 60, 100 + (i * 7) % 13, 110 + i % 5, 90 - i % 3, 101 + (i * 5) % 11, 1 + i % 4) for k in "ab" for i in range(300) if (i + ord(k)) % 97 != 5]
+    b = spark.createDataFrame(rows, "k string, event_at_ns long, open_nano long, high_nano long, low_nano long, close_nano long, volume long")
+    one, many = ([tuple(r) for r in windows.features(b, ["k"], 60, 30, span).orderBy("k", "event_at_ns").collect()] for span in (10_000, 40))
+    assert one == many and len(one) > 200
