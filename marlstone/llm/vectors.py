@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import written
+
 ROWS_PER_BLOCK = 50_000
 
 Found = tuple[np.ndarray, np.ndarray]  # places in the block, scores; best first
@@ -26,23 +28,24 @@ def usable(vector: str, zero: bool = True) -> Column:
     return F.coalesce(ok if zero else ok & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def in_blocks(rows: DataFrame, is_query: Column, index: Callable[[np.ndarray, np.ndarray], Callable[[int, np.ndarray], Found]], k: int, score: str, ascending: bool, rows_per_block: int) -> DataFrame:
-    """``rows`` (id, vector, each usable) searched for its queries: query_id, rank, vec_id, score.
+def in_blocks(rows: DataFrame, index: Callable[[np.ndarray, np.ndarray, np.ndarray], Callable[[int, np.ndarray], Found]], k: int, score: str, ascending: bool, rows_per_block: int) -> DataFrame:
+    """``rows`` (id, vector, asks; each usable) searched for its queries: query_id, rank, vec_id, score.
 
-    ``index`` gets ids and vectors of a block and returns the search for one query's id and vector. Vectors of
-    different lengths are never compared.
+    ``index`` gets row numbers, ids and vectors of a block and returns the search for one query's row number and vector.
+    Rows are told apart by their numbers, so rows of one id are candidates of each other, and each query row has its
+    own result. Vectors of different lengths are never compared.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, vectors, search = None, [], [], None
+        now, ids, numbers, vectors, search = None, [], [], [], None
         for b in batches:  # sorted by block, its rows before the queries
             group = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
             asks = b.column(2).to_pylist()
-            own = b.column(3).to_numpy()
-            lists = b.column(4)
+            own, row = b.column(3).to_numpy(), b.column(4).to_numpy()
+            lists = b.column(5)
             at = lists.offsets.to_numpy()
             flat = lists.values.to_numpy(zero_copy_only=False)
-            out: tuple[list, list, list] = ([], [], [])
+            out: tuple[list, list, list, list] = ([], [], [], [])
             i = 0
             while i < len(own):
                 j = i + 1
@@ -50,33 +53,36 @@ def in_blocks(rows: DataFrame, is_query: Column, index: Callable[[np.ndarray, np
                     j += 1
                 part = flat[at[i] : at[j]].reshape(j - i, -1).astype(np.float64)
                 if group[i] != now:
-                    now, ids, vectors, search = group[i], [], [], None
+                    now, ids, numbers, vectors, search = group[i], [], [], [], None
                 if not asks[i]:
                     ids.append(own[i:j])
+                    numbers.append(row[i:j])
                     vectors.append(part)
                 elif ids or search:
                     if search is None:
                         known = np.concatenate(ids)
-                        search = (known, index(known, np.concatenate(vectors)))
-                        ids, vectors = [], []
-                    for q, v in zip(own[i:j].tolist(), part, strict=True):
-                        found, scores = search[1](q, v)
-                        out[0].extend([q] * len(found))
-                        out[1].extend(search[0][found].tolist())
-                        out[2].extend(scores.tolist())
+                        search = (known, index(np.concatenate(numbers), known, np.concatenate(vectors)))
+                        ids, numbers, vectors = [], [], []
+                    for q, r, v in zip(own[i:j].tolist(), row[i:j].tolist(), part, strict=True):
+                        found, scores = search[1](r, v)
+                        out[0].extend([r] * len(found))
+                        out[1].extend([q] * len(found))
+                        out[2].extend(search[0][found].tolist())
+                        out[3].extend(scores.tolist())
                 i = j
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64() if score == "double" else pa.int64())], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.float64() if score == "double" else pa.int64())], ["asked", "query_id", "vec_id", "score"])
 
     spark = rows.sparkSession
     n = rows.count()
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // rows_per_block))
-    base = rows.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), is_query.alias("asks"))
-    all_rows = base.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.size("vector").alias("dim"), F.lit(False).alias("ask"), "id", "vector")
-    queries = base.where("asks").dropDuplicates(["id"]).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.size("vector").alias("dim"), F.lit(True).alias("ask"), "id", "vector")
+    base = written(rows.select(F.col("id").cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col("vector").cast("array<double>").alias("vector"), "asks"), "vectors")
+    cols = [F.size("vector").alias("dim"), "ask", "id", "row", "vector"]
+    all_rows = base.withColumn("ask", F.lit(False)).select(F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), *cols)
+    queries = base.where("asks").withColumn("ask", F.lit(True)).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), *cols)
     dealt = all_rows.union(queries).repartition(blocks, "block").sortWithinPartitions("block", "dim", "ask")
-    found = dealt.mapInArrow(work, f"query_id long, vec_id long, score {score}")
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.asc("score") if ascending else F.desc("score"), "vec_id"))
+    found = dealt.mapInArrow(work, f"asked long, query_id long, vec_id long, score {score}")
+    order = F.row_number().over(Window.partitionBy("asked").orderBy(F.asc("score") if ascending else F.desc("score"), "vec_id"))
     return found.withColumn("rank", order.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -122,14 +128,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     the search ends where the next projected distance squared exceeds its ``confidence`` quantile times the kth true
     distance squared: a nearer row is then still unseen with a chance of at most 1 - confidence.
 
-    Vectors that are null, empty, zero or hold null or non-finite components take no part; rows with the query's id
-    count as its own; null ids take no part; fewer candidates give fewer rows; an empty table gives an empty one.
+    Vectors that are null, empty, zero or hold null or non-finite components take no part; rows of
+    one id are told apart; null ids take no part; fewer candidates give fewer rows; an empty table gives an empty one.
     """
     if dims % 2:
         raise ValueError("dims is even")
     quantile = chi_square_quantile(confidence, dims)
 
-    def index(ids: np.ndarray, x: np.ndarray) -> Callable[[int, np.ndarray], Found]:
+    def index(rows: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Callable[[int, np.ndarray], Found]:
         base = np.random.default_rng(seed).standard_normal((x.shape[1], dims))
         low = x @ base
         leaves, least, most = kd_leaves(low, leaf)
@@ -142,7 +148,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
             radius, step, i = math.inf, 1, 0
             while i < len(order) and bound[order[i]] <= quantile * radius:
                 own = np.concatenate([leaves[j] for j in order[i : i + step] if bound[j] <= quantile * radius])
-                own = own[(((low[own] - p) ** 2).sum(axis=1) <= quantile * radius * (1 + 1e-12)) & (ids[own] != q)]
+                own = own[(((low[own] - p) ** 2).sum(axis=1) <= quantile * radius * (1 + 1e-12)) & (rows[own] != q)]
                 at = np.concatenate([at, own])
                 dist = np.concatenate([dist, ((x[own] - v) ** 2).sum(axis=1)])
                 keep = _best(dist, ids[at], k)
@@ -155,7 +161,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
         return search
 
     rows = vectors.where(usable(vector_col, zero=False) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), is_query.alias("asks"))
-    return in_blocks(rows, F.col("asks"), index, k, "double", True, rows_per_block)
+    return in_blocks(rows, index, k, "double", True, rows_per_block)
 
 
 def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
@@ -166,11 +172,11 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: int =
     threshold, the score of a row that would have the values where the lists stand, bounds all unseen rows; the search
     stops when it is below the kth score (not at it, since ties go to smaller ids). Lists are read in growing steps.
 
-    Vectors that are null, empty or hold null or non-finite components take no part; zero vectors do. Rows with the
-    query's id count as its own; null ids take no part.
+    Vectors that are null, empty or hold null or non-finite components take no part; zero vectors do. Rows of
+    one id are told apart; null ids take no part.
     """
 
-    def index(ids: np.ndarray, x: np.ndarray) -> Callable[[int, np.ndarray], Found]:
+    def index(rows: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Callable[[int, np.ndarray], Found]:
         lists = np.argsort(x, axis=0, kind="stable").T.copy()
         n, d = x.shape
         exact = float(np.abs(x).max(initial=0)) ** 2 * d < 2**53
@@ -180,7 +186,7 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: int =
             use = np.flatnonzero(v)
             up = v[use] > 0
             weight = v if exact and float(np.abs(v).max(initial=0)) * float(np.abs(x).max(initial=0)) * d < 2**53 else v.astype(np.int64)
-            seen = ids == q
+            seen = rows == q
             at, score = np.zeros(0, np.int64), np.zeros(0, np.int64)
             depth, step = 0, 8
             while depth < n:
@@ -206,4 +212,4 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: int =
 
     whole = F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("double"))
     rows = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), whole.alias("vector"), is_query.alias("asks"))
-    return in_blocks(rows, F.col("asks"), index, k, "long", False, rows_per_block)
+    return in_blocks(rows, index, k, "long", False, rows_per_block)

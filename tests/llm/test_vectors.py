@@ -64,3 +64,24 @@ def test_few_rows(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0])], ROW).selectExpr("*", "1 AS id", "2 AS vector", "3 AS block")
     assert [tuple(r) for r in vectors.top_products(few, F.col("vec_id") % 2 == 0).collect()] == [(0, 1, 1, 0)]
     assert [r["vec_id"] for r in vectors.nearest(few, F.col("vec_id") % 2 == 0).collect()] == [1]
+
+
+def test_rows_of_one_id_are_candidates_of_each_other(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (2, [0.0, 1.0])], ROW)
+    got = sorted(tuple(r) for r in vectors.nearest(rows, F.col("vec_id") == 0).collect())
+    assert got == [(0, 1, 0, 0.0)] * 2 + [(0, 2, 2, 2**0.5)] * 2
+    assert sorted(tuple(r) for r in vectors.top_products(rows, F.col("vec_id") == 0).collect()) == [(0, 1, 0, 256 * 256)] * 2 + [(0, 2, 2, 0)] * 2
+
+
+def test_neighbours_recall_on_the_embeddings(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(i, np.array(v, float)) for i, v in ((r["vec_id"], r["embedding"]) for r in table.collect()) if v]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    got = vectors.nearest(table, F.col("vec_id") % 20 == 0).toPandas().groupby("query_id")["vec_id"].apply(set)
+    hits = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        dist = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        dist[q] = np.inf
+        want = set(ids[np.lexsort((ids, dist))[:10]].tolist())
+        hits, total = hits + len(want & got[ids[q]]), total + 10
+    assert total >= 200 and hits / total >= 0.9
