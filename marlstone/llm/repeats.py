@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import partitions, sliced, utf8, written
+from ._common import bounded, partitions, sliced, utf8, written
 
 GRAM = 64
 SEGMENT = 1 << 20
@@ -298,16 +298,16 @@ def repeat_groups(docs: DataFrame, text_col: str = "text", length: int = 200, ki
     spark = docs.sparkSession
     texts = docs.select(F.xxhash64(text_col).alias("key"), F.octet_length(text_col).alias("len"), F.col(text_col).alias("text")).where(F.col("len") >= length)
     anchors = texts.select("key", "text").mapInArrow(_anchor_rows(length), "anchor long, full long, key long, len int, pos int, end int")
-    w = Window.partitionBy("anchor").orderBy("full", "key", "len", "pos")
-    here = F.struct("full", "key", "len", "pos")
-    rows = anchors.withColumn("was", F.lag(here).over(w)).where("was is null or was <> struct(full, key, len, pos)").drop("was")
-    rows = rows.select("*", F.lag("full").over(w).alias("before"), F.lead("full").over(w).alias("after")).where("end is not null or before is not null or after is not null")
-    rows = written(rows, "anchors")
-    before, whole = length - GRAM, F.col("before").eqNullSafe(F.col("full")) | F.col("after").eqNullSafe(F.col("full"))
-    spans = rows.where("end is not null").select(F.col("anchor").alias("repeat"), "key", "len", F.col("pos").alias("start"), "end")
-    rows = rows.where("end is null")
-    spans = spans.union(rows.where(whole).select(F.xxhash64("anchor", "full").alias("repeat"), "key", "len", F.greatest(F.lit(0), F.col("pos") - before).alias("start"), F.least("len", F.col("pos") + length).alias("end")))
-    ask = rows.where("(after is not null and after <> full) or (before is not null and before <> full)").groupBy("key", "len").agg(F.collect_list(F.struct("anchor", "pos")).alias("places"))
+    anchors = written(anchors, "anchors")
+    before, here = length - GRAM, F.struct("key", "len", "pos")
+    spans = anchors.where("end is not null").select(F.col("anchor").alias("repeat"), "key", "len", F.col("pos").alias("start"), "end").distinct()
+    # each anchor's kinds of surroundings, with the first and last place that has them: one row however many places
+    kinds = written(anchors.where("end is null").groupBy("anchor", "full").agg(F.min(here).alias("first"), F.max(here).alias("last")), "kinds")
+    again = written(kinds.where("first <> last").select("anchor", "full"), "again")
+    whole = anchors.where("end is null").join(bounded(again, again.count()), ["anchor", "full"])
+    spans = spans.union(whole.select(F.xxhash64("anchor", "full").alias("repeat"), "key", "len", F.greatest(F.lit(0), F.col("pos") - before).alias("start"), F.least("len", F.col("pos") + length).alias("end")).distinct())
+    several = written(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor"), "several")
+    ask = kinds.join(bounded(several, several.count()), "anchor", "left_semi").select("anchor", "first.*").groupBy("key", "len").agg(F.collect_list(F.struct("anchor", "pos")).alias("places"))
     around = texts.join(ask, ["key", "len"]).select("key", "len", "places", "text").mapInArrow(_contexts(length), "anchor long, key long, len int, pos int, left binary, right binary")
     around = written(around.dropDuplicates(["anchor", "key", "len", "pos"]), "contexts")
     n = around.count()
