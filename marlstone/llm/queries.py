@@ -22,27 +22,33 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, digest, license and notices of every document; null and blank texts have the digest of the empty text and no licence."""
     return licenses.scanned(_table(spark, sf_dir, "documents"), licenses.known(spark))
 
 
 def op3_length_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's place in a batch; blank and null texts have 0 tokens and a place, too, ties of length stand in the order of their ids."""
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
 def op4_simhash_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id of every document; null and blank texts have fingerprint zero and are linked like any other."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), most_bits=4, shingle=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op5_line_block_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text and n_chars of every page; a null page has an empty text."""
     return html_text.extracted(_table(spark, sf_dir, "pages"))
 
 
 def op6_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten neighbours of every hundredth vector; null, zero and broken vectors take no part, ties go to the smaller id."""
     return vectors.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
 def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction of every document; null and empty texts have the lowest score."""
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(toxicity.training_rows(docs, _table(spark, sf_dir, "labels")))
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -50,16 +56,18 @@ def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_threshold_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five highest products of every fiftieth vector; null and broken vectors take no part, zero ones do, ties go to the smaller id."""
     return vectors.top_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
 def op9_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, the text that is left, and how many lines it had and lost."""
+    """doc_id, the text that is left, and how many lines it had and lost; a null text stays null, every document stays."""
     found = lines.without_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
     return found.select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op10_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What removing all repeated strings of 200 bytes leaves of every document; a null text is empty, and whole copies go altogether."""
     return repeats.removal_digest(_table(spark, sf_dir, "documents"), length=200)
 
 

@@ -61,3 +61,47 @@ def test_pipeline_stages(spark):
             assert set(after) == set(before)
         else:
             assert all(after[i]["text"] == before[i]["text"] for i in after)
+
+
+@pytest.mark.parametrize("filled", [True, False])
+def test_pipeline_on_odd_tables(spark, tmp_path, filled):
+    """Null, empty, repeated and very long texts, null ids, columns with names that the stages use; and no row at all."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, key int, row int, toxic int, label int, `group` int, doc int, id int"
+    long = " ".join(f"word{i % 977} and{i}" for i in range(6_000))
+    texts = [(1, None), (2, ""), (3, " \t\n"), (4, "a"), (4, "a"), (None, "no id here"), (None, None), (7, long), (8, long), (9, long + " end"), (10, "Ünïcödé ½ 😀 " * 40), (11, "one line\n\none line\n")]
+    rows = [(i, t, "en", "s", len(t or ""), 1, 2, 3, 4, 5, 6, 7) for i, t in texts] if filled else []
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(4, 1, 0), (7, 1, 0), (10, 0, 1), (None, 1, 1)] if filled else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == columns
+        if not filled:
+            assert docs.count() == 0
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(got) == docs.count()
+    assert {r["doc_id"] for r in got} <= {i for i, _ in texts}
+    assert not filled or {None, 4, 7} <= {r["doc_id"] for r in got} and not {8, 9} & {r["doc_id"] for r in got}
+
+
+def test_planted_near_copies_are_caught_by_the_stages(spark):
+    """Line dedup empties copies of one line, the near-duplicate stage removes them and copies with other line breaks."""
+    import random
+
+    rnd = random.Random(1)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8)))
+    clean = [" ".join(word() for _ in range(rnd.randint(60, 300))) for _ in range(30)]
+    near = []
+    for t in clean[:15]:
+        w = t.split()
+        w[rnd.randrange(len(w))] = word()
+        near.append(" ".join(w))
+    rewrapped = [" ".join(t.split()[:25]) + "\n" + " ".join(t.split()[25:]) for t in clean[15:25]]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(clean + near + rewrapped)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("repeated_lines", "near_duplicates"):
+        docs = corpus_pipeline.written(dict(corpus_pipeline.STAGES)[name](spark, docs, ""), name)
+    kept = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert set(range(30)) <= set(kept) and all(kept[i] == clean[i] for i in range(30))
+    assert len([i for i in kept if i >= 30 and kept[i].strip()]) == 0 and len(kept) <= 31
