@@ -97,7 +97,7 @@ def test_planted_near_copies_are_caught_by_the_stages(spark):
         w = t.split()
         w[rnd.randrange(len(w))] = word()
         near.append(" ".join(w))
-    rewrapped = [" ".join(t.split()[:25]) + "\n" + " ".join(t.split()[25:]) for t in clean[15:25]]
+    rewrapped = [" ".join(w[: len(w) // 2]) + "\n" + " ".join(w[len(w) // 2 :]) for w in map(str.split, clean[15:25])]  # neither half is like the whole line
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(clean + near + rewrapped)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for name in ("repeated_lines", "near_duplicates"):
