@@ -74,6 +74,19 @@ def bootstrap_statistics(spark: SparkSession, series: np.ndarray, resamples: int
     return spark.range(resamples).mapInPandas(work, "row long, column int, t double")
 
 
+def bootstrap_means(spark: SparkSession, series: np.ndarray, resamples: int, blocks: list[int], seed: int) -> DataFrame:
+    """(block, row, mean) of stationary resamples with each expected length of a block."""
+    if len(series) > MOST_OBSERVATIONS:
+        raise ValueError("the series is too long for one task")
+
+    def work(parts):
+        for pdf in parts:
+            yield pd.DataFrame({"block": pdf["block"], "row": pdf["id"], "mean": [float(series[resample(len(series), b, seed + b, r)].mean()) for b, r in zip(pdf["block"].tolist(), pdf["id"].tolist(), strict=True)]})
+
+    rows = spark.range(resamples).withColumn("block", F.explode(F.array(*map(F.lit, blocks))))
+    return rows.mapInPandas(work, "block int, row long, mean double")
+
+
 def romano_wolf(statistics: DataFrame, observed: list[float], resamples: int) -> list[float]:
     """Adjusted p-values by stepdown: (1 + exceedances of the maximum over what remains) / (B + 1), never falling.
 
@@ -126,6 +139,8 @@ def smallest_effect(long_run_variance: float, n: int, alpha: float = 0.05, power
 
 def bootstrap_power(spark: SparkSession, training: np.ndarray, effect: float, resamples: int, block: float, seed: int, lag: int, critical: float) -> DataFrame:
     """(row, rejected) for resamples of the training series moved by ``effect``."""
+    if len(training) > MOST_OBSERVATIONS:
+        raise ValueError("the series is too long for one task")
     centre = training - training.mean() + effect
 
     def work(parts):

@@ -20,7 +20,7 @@ _DAY0 = 1704067200 * 10**9
 
 @query(f"WITH {tables.TRADES} SELECT market, event_at_ns // {clock.DAY} AS day, count(*) AS n FROM trades GROUP BY 1, 2")
 def raw_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-03, A-04, B-02: rows of each key and UTC day."""
+    """A-04: rows of each key and UTC day."""
     return readers.audit(tables.trades(spark, sf_dir), ["market"], "event_at_ns")
 
 
@@ -56,7 +56,7 @@ def selection_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_orderstatus, count(*) AS n, count(*) FILTER (o_totalprice > 400000) AS large, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1""")
 def decode_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-17, E-04, E-05, E-06: counters of a scan in one pass."""
+    """E-04: counters of a scan in one pass."""
     return tables.table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count_if(F.col("o_totalprice") > 400000).alias("large"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"), F.count_distinct("o_custkey").alias("customers"))
 
 
@@ -88,7 +88,7 @@ def hash_chained_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS n FROM events WHERE event_id >= 100) WHERE n <= 50""")
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B-18, G-10: by age and by number of rows."""
+    """G-10: by age and by number of rows."""
     return sinks.retained(tables.table(spark, sf_dir, "events").select("event_type", "event_id", "value"), ["event_type"], "event_id", 100, 50)
 
 
@@ -110,7 +110,7 @@ def observability(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{W}, c AS (SELECT DISTINCT market, event_at_ns // {clock.DAY} * {clock.DAY} + {15 * H} AS chk FROM one), g AS (SELECT market, chk, unnest(range(1, 7)) AS k FROM c), j AS (SELECT g.market, g.chk, g.k, CASE WHEN b.market IS NULL THEN 'MISSING' WHEN b.volume < 2 THEN 'NON_EXECUTABLE' WHEN b.available_at_ns > g.chk + {5 * clock.SECOND} THEN 'LATE' END AS code FROM g LEFT JOIN one b ON b.market = g.market AND b.event_at_ns = g.chk - g.k * {H})
 SELECT market, chk AS checkpoint_ns, count(*) FILTER (code = 'MISSING') AS missing, count(*) FILTER (code = 'NON_EXECUTABLE') AS thin, count(*) FILTER (code = 'LATE') AS late, coalesce(arg_min(code, k) FILTER (code IS NOT NULL), 'COMPLETE') AS state FROM j GROUP BY 1, 2""")
 def checkpoint_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-05, O-06, O-07, Q-12, Q-21, Q-29: what each required step before a checkpoint lacks."""
+    """O-05, Q-21: what each required step before a checkpoint lacks."""
     b = one_bars(spark, sf_dir)
     chk = b.select("market", (clock.floor_to("event_at_ns", clock.DAY) + 15 * H).alias("checkpoint_ns")).distinct()
     g = chk.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(6)))).withColumn("event_at_ns", F.col("checkpoint_ns") - F.col("k").cast("long") * H)
@@ -124,7 +124,7 @@ def checkpoint_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH a AS (SELECT DISTINCT o_custkey FROM orders), t AS (SELECT s, k FROM (VALUES ('candidate'), ('flat'), ('feature')) x(s), (SELECT o_custkey AS k FROM a)) SELECT s AS strategy, count(*) AS expected, count(*) FILTER (s = 'flat' OR (s = 'feature' AND k % 2 = 0) OR (s = 'candidate' AND k % 3 = 0)) AS eligible FROM t GROUP BY 1""")
 def strategy_universes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q-05, Q-06, Q-14: every strategy has its own universe, generated from the census."""
+    """Every strategy has its own universe, generated from the census."""
     k = tables.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).distinct()
     t = k.withColumn("strategy", F.explode(F.array(*(F.lit(x) for x in ("candidate", "flat", "feature")))))
     ok = F.when(F.col("strategy") == "flat", True).when(F.col("strategy") == "feature", F.col("k") % 2 == 0).otherwise(F.col("k") % 3 == 0)
@@ -134,7 +134,7 @@ def strategy_universes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_custkey, array_to_string(list_sort(list_filter([CASE WHEN count(*) < 5 THEN 'FEW_TRADES' END, CASE WHEN sum(o_totalprice) < 1500000 THEN 'NET' END, CASE WHEN max(o_totalprice) > 0.4 * sum(o_totalprice) THEN 'CONCENTRATED' END], lambda x: x IS NOT NULL)), ',') AS failed,
 CASE WHEN count(*) >= 5 AND sum(o_totalprice) >= 1500000 AND max(o_totalprice) <= 0.4 * sum(o_totalprice) THEN 'ACCEPT' ELSE 'REJECT' END AS decision FROM orders GROUP BY 1""")
 def decision_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L-11, L-12, L-13: all gates, and the decision that they make."""
+    """L-11, L-13: all gates, and the decision that they make."""
     o = tables.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("net"), F.max("o_totalprice").alias("top"))
     failed = codes.reasons((F.col("n") >= 5, "FEW_TRADES"), (F.col("net") >= 1500000, "NET"), (F.col("top") <= 0.4 * F.col("net"), "CONCENTRATED"))
     return o.select("o_custkey", F.array_join(failed, ",").alias("failed"), F.when(F.size(failed) == 0, "ACCEPT").otherwise("REJECT").alias("decision"))
@@ -150,21 +150,21 @@ def broker_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH l AS (SELECT event_type AS market, max(epoch_us(ts) * 1000) AS last_ns FROM events WHERE event_type <> 'error' OR day(ts) < 20 GROUP BY 1) SELECT market, last_ns, 1706572800000000000 - last_ns AS age_ns, CASE WHEN 1706572800000000000 - last_ns > 86400000000000 THEN 'STALE' ELSE 'LIVE' END AS state FROM l""")
 def stale_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M-02, M-04: markets by the age of what is known of them."""
+    """M-04: markets by the age of what is known of them."""
     t = tables.trades(spark, sf_dir).where("market <> 'error' OR dayofmonth(ts) < 20")
     return live.stale(t.groupBy("market").agg(F.max("event_at_ns").alias("last_ns")), 1706572800000000000, clock.DAY)
 
 
 @query("""WITH w AS (SELECT user_id, max(epoch_us(ts) * 1000) FILTER (event_type = 'view') AS m FROM events GROUP BY 1) SELECT user_id, coalesce(m, -1) AS watermark_ns, greatest(1706000000000000000, coalesce(m, 1706000000000000000)) AS replay_from_ns FROM w""")
 def replay_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M-05, M-06, M-07: where each key's next replay begins."""
+    """M-05: where each key's next replay begins."""
     w = tables.trades(spark, sf_dir).groupBy(F.col("instrument_id").alias("user_id")).agg(F.max(F.when(F.col("market") == "view", F.col("event_at_ns"))).alias("watermark_ns"))
     return live.replay_start(w, 1706000000000000000).withColumn("watermark_ns", F.coalesce("watermark_ns", F.lit(-1).cast("long")))
 
 
 @query("""SELECT user_id, count(*) AS rows_seen, round(sum(value), 2) AS total FROM events GROUP BY 1""")
 def grouped_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """N-01, N-02, N-03: a given function over the rows of each key, in batches."""
+    """N-03: a given function over the rows of each key, in batches."""
 
     def summary(key, pdf):
         import pandas as pd
@@ -177,14 +177,14 @@ def grouped_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT event_id, value > 25 AS resolved FROM events) SELECT event_id, resolved, CASE WHEN resolved THEN 'READY' ELSE 'UNRESOLVED_FAIL_CLOSED' END AS disposition FROM s""")
 def resolved_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C-11, Q-34: unresolved rows stay in the denominator."""
+    """Q-34: unresolved rows stay in the denominator."""
     ok = F.col("value") > 25
     return tables.table(spark, sf_dir, "events").select("event_id", ok.alias("resolved"), F.when(ok, "READY").otherwise("UNRESOLVED_FAIL_CLOSED").alias("disposition"))
 
 
 @query("""WITH e AS (SELECT epoch_us(ts) * 1000 AS t, event_id FROM events), n AS (SELECT 1704067200000000000 + i * 43200000000000 AS at0 FROM range(0, 60) r(i)) SELECT event_id, count(at0) > 0 AS blocked FROM e LEFT JOIN n ON t >= at0 - 1800000000000 AND t < at0 + 900000000000 GROUP BY event_id""")
 def news_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K-24, Q-23: instants inside a window around a scheduled event."""
+    """K-24: instants inside a window around a scheduled event."""
     at = F.lit(_DAY0) + F.col("id") * 43200000000000
     n = spark.range(60).select(F.lit(1).alias("key"), (at - 1800 * clock.SECOND).alias("s"), (at + 900 * clock.SECOND).alias("e"), F.lit(True).alias("hit"))
     t = tables.trades(spark, sf_dir).select(F.lit(1).alias("key"), "event_id", "event_at_ns")

@@ -89,7 +89,7 @@ k AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER
 SELECT market, min(s) AS start_ns, max(e) AS end_ns, count(*) AS parts FROM k GROUP BY market, island"""
 )
 def coverage_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E-16, B-17: covered time as merged intervals."""
+    """E-16: covered time as merged intervals."""
     i = tables.bars(spark, sf_dir).select("market", F.col("event_at_ns").alias("start_ns"), (F.col("event_at_ns") + H).alias("end_ns"))
     return ops.islands(i, ["market"], "start_ns", "end_ns")
 
@@ -130,7 +130,7 @@ def contiguity_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {tables.TRADES}, l AS (SELECT market, event_id, event_at_ns, instrument_id, lag(instrument_id) OVER (PARTITION BY market ORDER BY event_id) AS was FROM trades) SELECT market, event_id FROM l WHERE was >= instrument_id""")
 def order_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F-13: rows that don't come strictly after the one before, here by instrument in file order."""
+    """Rows that don't come strictly after the one before, here by instrument in file order."""
     from pyspark.sql import Window
 
     was = F.lag("instrument_id").over(Window.partitionBy("market").orderBy("event_id"))
@@ -156,7 +156,7 @@ def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, sha256(event_id::VARCHAR || '|' || event_type || '|' || user_id::VARCHAR) AS row_sha256, ('0x' || substr(sha256(event_type || ':' || event_id::VARCHAR), 1, 8))::BIGINT AS seed FROM events""")
 def row_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I-19, I-20, I-21, O-13, A-12."""
+    """I-20, O-13, A-12: row hashes."""
     e = tables.table(spark, sf_dir, "events")
     return e.select("event_id", codes.row_hash("event_id", "event_type", "user_id").alias("row_sha256"), codes.seed("event_type", "event_id").alias("seed"))
 
@@ -213,7 +213,7 @@ def direction_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT c_custkey, array_to_string(codes, ',') AS reasons, CASE WHEN len(codes) = 0 THEN 'READY' ELSE 'ABSTAIN' END AS state FROM r"""
 )
 def abstention_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C-18, C-19, J-14, K-27, L-13: every failed check is listed."""
+    """C-18, J-14, K-27, L-13: every failed check is listed."""
     c = tables.table(spark, sf_dir, "customer")
     found = codes.reasons((F.col("c_acctbal") >= 0, "NEGATIVE_BALANCE"), (F.col("c_nationkey") < 20, "FOREIGN"), (F.col("c_mktsegment") != "MACHINERY", "SEGMENT"))
     return c.select("c_custkey", F.array_join(found, ",").alias("reasons"), F.when(F.size(found) == 0, "READY").otherwise("ABSTAIN").alias("state"))
@@ -222,7 +222,7 @@ def abstention_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {tables.TRADES} SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 'EPOCH_A' ELSE 'EPOCH_B' END AS epoch, CASE WHEN day(ts) <= 15 THEN 'DISCOVERY' WHEN day(ts) <= 24 THEN 'HOLDOUT' ELSE 'FORWARD' END AS cohort,
 (market = 'error' AND day(ts) IN (3, 4)) AS quarantined, price_nano <= 10000000000 + 2500000000 OR price_nano >= 90000000000 - 2500000000 AS near_limit FROM trades""")
 def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C-05 to C-10, C-16, C-17."""
+    """C-17: classifications."""
     t = tables.trades(spark, sf_dir)
     day = F.dayofmonth("ts")
     near = prices.near_limit("price_nano", F.lit(10 * prices.NANO), F.lit(90 * prices.NANO), F.lit(50 * prices.NANO), 0.05)
@@ -233,14 +233,14 @@ def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT page_id, lower(regexp_extract(url, '^(?:[hH][tT][tT][pP][sS]?)://([^/?#:]+)', 1)) AS host, len(regexp_extract_all(html, '<a [^>]*href="[^"]*"'))::BIGINT AS links FROM pages""")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-31, I-25: hosts and anchors of stored pages."""
+    """Hosts and anchors of stored pages."""
     p = tables.table(spark, sf_dir, "pages")
     return p.select("page_id", codes.url_host("url").alias("host"), F.regexp_count("html", F.lit('<a [^>]*href="[^"]*"')).cast("long").alias("links"))
 
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
 def json_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-24, A-34, I-33: JSON text to columns, with a schema."""
+    """A-24: JSON text to columns, with a schema."""
     return tables.table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long", {"mode": "FAILFAST"})["k"].alias("k"))
 
 
@@ -248,7 +248,7 @@ def json_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{W}, r AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY event_at_ns DESC, contract) AS n FROM bars) SELECT market, event_at_ns, n::INTEGER AS n FROM r WHERE n <= 21"""
 )
 def last_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G-02, B-18, G-10: the newest rows of each key."""
+    """G-02, G-10: the newest rows of each key."""
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("market").orderBy(F.desc("event_at_ns"), "contract"))
@@ -258,7 +258,7 @@ def last_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {tables.TRADES}, d AS (SELECT DISTINCT market, contract, event_at_ns // {clock.DAY} AS day FROM trades), f AS (SELECT market, contract, min(day) AS a, max(day) AS b FROM d GROUP BY 1, 2),
 l AS (SELECT *, lag(contract) OVER (PARTITION BY market ORDER BY a) AS was FROM f) SELECT market, contract, a AS first_day, b AS last_day, was AS rolled_from FROM l""")
 def roll_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E-24, E-25, E-26, E-29: contracts of each market in order, with what each rolled from."""
+    """Contracts of each market in order, with what each rolled from."""
     from pyspark.sql import Window
 
     t = tables.trades(spark, sf_dir).select("market", "contract", clock.floor_div("event_at_ns", clock.DAY).alias("day"))

@@ -60,7 +60,7 @@ def tie_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT d.market, d.decided, r.contract FROM d ASOF LEFT JOIN (SELECT *, effective + {6 * H} AS known FROM r) r ON d.market = r.market AND d.decided >= r.known"""
 )
 def roll_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D-05, D-06: the contract in effect, as known six hours later."""
+    """The contract in effect, as known six hours later."""
     t = tables.trades(spark, sf_dir)
     r = t.groupBy("market", "contract").agg((F.min("event_at_ns") + 6 * H).alias("known"))
     d = t.select("market", (clock.floor_to("event_at_ns", clock.DAY) + 12 * H).alias("decided")).distinct()
@@ -72,7 +72,7 @@ def roll_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT t.event_id, coalesce(c.state, 'UNRESOLVED') AS state FROM trades t LEFT JOIN c ON t.event_at_ns >= c.s AND t.event_at_ns < c.e"""
 )
 def calendar_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D-09, D-10, D-11, Q-33, K-24: the calendar interval that holds each instant."""
+    """D-10, D-11, Q-33, K-24: the calendar interval that holds each instant."""
     i = F.col("id")
     c = spark.range(240).select(F.lit("all").alias("key"), (i * 3 * H + 1704067200 * 10**9).alias("s"), (i * 3 * H + 2 * H + 1704067200 * 10**9).alias("e"), F.when(i % 3 == 0, "HALT").otherwise("OPEN").alias("state"))
     t = tables.trades(spark, sf_dir).select(F.lit("all").alias("key"), "event_id", "event_at_ns")
@@ -82,7 +82,7 @@ def calendar_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT l.l_orderkey, l.l_linenumber, p.p_size * 25 AS tick_cents, round(p.p_size * 25 * p.p_retailprice, 4) AS tick_value, p.p_size % 2 = 0 AS unit_matches FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey WHERE p.p_size > 10""")
 def economics_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D-08, D-20, Q-33: contract economics for each row."""
+    """Q-33: contract economics for each row."""
     p = tables.table(spark, sf_dir, "part").where("p_size > 10")
     i = tables.table(spark, sf_dir, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
     return i.select("l_orderkey", "l_linenumber", (F.col("p_size") * 25).alias("tick_cents"), F.round(F.col("p_size") * 25 * F.col("p_retailprice"), 4).alias("tick_value"), (F.col("p_size") % 2 == 0).alias("unit_matches"))
@@ -90,7 +90,7 @@ def economics_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' GROUP BY n_name""")
 def prediction_label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D-12, D-14, D-16, D-19: exact joins on ids, then a sum."""
+    """Exact joins on ids, then a sum."""
     o, c, n = (tables.table(spark, sf_dir, x) for x in ("orders", "customer", "nation"))
     j = o.where("o_orderstatus = 'F'").join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     return j.groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
@@ -98,7 +98,7 @@ def prediction_label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT count(*) FILTER (o_orderkey IS NOT NULL AND l_orderkey IS NOT NULL) AS matched, count(*) FILTER (l_orderkey IS NULL) AS without_lines, count(*) FILTER (o_orderkey IS NULL) AS without_order FROM orders FULL JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON o_orderkey = l_orderkey""")
 def pair_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D-13, E-31: a one-to-one join and what has no partner on either side."""
+    """A one-to-one join and what has no partner on either side."""
     o = tables.table(spark, sf_dir, "orders").select("o_orderkey")
     i = tables.table(spark, sf_dir, "lineitem").select("l_orderkey").distinct()
     j = o.join(i, F.col("o_orderkey") == F.col("l_orderkey"), "full_outer")
@@ -124,7 +124,7 @@ def semi_join_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
 def anti_join_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H-06, H-07: keys that the other side lacks."""
+    """H-06: keys that the other side lacks."""
     o = tables.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
     return tables.table(spark, sf_dir, "customer").join(o, "c_custkey", "left_anti").select("c_custkey")
 
@@ -137,7 +137,7 @@ _DAY0 = 1704067200 * 10**9
 SELECT k.market, k.at AS checkpoint_ns, CASE WHEN b.open_nano IS NULL THEN 'ABSTAIN_NO_BAR' WHEN b.volume < 2 THEN 'ABSTAIN_THIN' ELSE 'READY' END AS state FROM k LEFT JOIN (SELECT market, event_at_ns, max(open_nano) AS open_nano, sum(volume) AS volume FROM bars GROUP BY 1, 2) b ON b.market = k.market AND b.event_at_ns = k.at"""
 )
 def opportunity_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D-21, D-26, E-27, O-07, Q-06: the calendar's census drives; what is missing abstains and stays counted."""
+    """D-21, D-26: the calendar's census drives; what is missing abstains and stays counted."""
     b = tables.bars(spark, sf_dir).groupBy("market", "event_at_ns").agg(F.max("open_nano").alias("open_nano"), F.sum("volume").alias("volume"))
     markets = tables.table(spark, sf_dir, "events").select(F.col("event_type").alias("market")).distinct()
     grid = markets.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(29)))).withColumn("c", F.explode(F.array(F.lit(15), F.lit(17), F.lit(19))))
@@ -148,7 +148,7 @@ def opportunity_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{W}, p AS (SELECT market, event_at_ns, arg_min(contract, contract) AS contract FROM bars GROUP BY 1, 2) SELECT a.market, a.event_at_ns, CASE WHEN b.contract IS NULL THEN 'MISSING' WHEN a.contract <> b.contract THEN 'ROLLED' ELSE 'SAME' END AS exit_state FROM p a LEFT JOIN p b ON b.market = a.market AND b.event_at_ns = a.event_at_ns + {4 * H}""")
 def entry_exit_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D-15, D-23: bars looked up at entry and exit; a changed contract is excluded."""
+    """D-23: bars looked up at entry and exit; a changed contract is excluded."""
     p = tables.bars(spark, sf_dir).groupBy("market", "event_at_ns").agg(F.min("contract").alias("contract"))
     later = p.select("market", (F.col("event_at_ns") - 4 * H).alias("event_at_ns"), F.col("contract").alias("then"))
     state = F.when(F.col("then").isNull(), "MISSING").when(F.col("contract") != F.col("then"), "ROLLED").otherwise("SAME")
@@ -157,14 +157,14 @@ def entry_exit_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT user_id, event_type, count(*) AS n, CASE WHEN count(*) = 1 THEN 'UNIQUE' WHEN count(DISTINCT props) = 1 THEN 'EXACT_DUPLICATE' ELSE 'DISTINCT_UPDATE' END AS kind FROM events GROUP BY 1, 2""")
 def duplicate_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H-01, Q-26."""
+    """H-01: duplicate kinds."""
     return sets.duplicates(tables.table(spark, sf_dir, "events"), ["user_id", "event_type"], ["props"])
 
 
 @query("""WITH u AS (SELECT user_id, event_type, event_id, value, 0 AS p FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, event_type, event_id, value + 1, 1 FROM events WHERE event_id % 3 = 0)
 SELECT user_id, event_type, event_id, value FROM u QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY p DESC, event_id DESC) = 1""")
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B-16, H-02, H-03, H-04, M-07: new rows win, later ones over earlier."""
+    """B-16, H-02, H-03, H-04: new rows win, later ones over earlier."""
     e = tables.table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
     return sets.upserted(e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0").withColumn("value", F.col("value") + 1), ["user_id", "event_type"], "event_id")
 
@@ -180,7 +180,7 @@ def multiset_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH h AS (SELECT o_orderstatus, sha256(o_orderkey::VARCHAR || '|' || o_custkey::VARCHAR || '|' || o_orderpriority) AS h FROM orders)
 SELECT o_orderstatus, count(*) AS n, (sum(('0x' || substr(h, 1, 8))::BIGINT) % 4294967296)::BIGINT AS q0, (sum(('0x' || substr(h, 9, 8))::BIGINT) % 4294967296)::BIGINT AS q1, (sum(('0x' || substr(h, 17, 8))::BIGINT) % 4294967296)::BIGINT AS q2, (sum(('0x' || substr(h, 25, 8))::BIGINT) % 4294967296)::BIGINT AS q3 FROM h GROUP BY 1""")
 def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-01, O-09, E-30, B-19: independent of files and order."""
+    """O-01, O-09, B-19: independent of files and order."""
     return sets.fingerprint(tables.table(spark, sf_dir, "orders"), ["o_orderstatus"], ["o_orderkey", "o_custkey", "o_orderpriority"])
 
 
@@ -196,7 +196,7 @@ def catalog_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH g AS (SELECT market, y FROM (SELECT DISTINCT event_type AS market FROM events), range(2022, 2026) t(y)), c AS (SELECT event_type AS market, year(ts) AS y, count(*) AS n FROM events GROUP BY 1, 2)
 SELECT g.market, g.y AS year, CASE WHEN c.n IS NULL THEN 'ABSENT' WHEN c.n < 100 THEN 'THIN' ELSE 'RESOLVABLE' END AS state FROM g LEFT JOIN c USING (market, y)""")
 def catalog_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-18, O-11, Q-31: the requested grid against what there is."""
+    """A-18, O-11: the requested grid against what there is."""
     e = tables.table(spark, sf_dir, "events").select(F.col("event_type").alias("market"), F.year("ts").cast("long").alias("year"))
     have = e.groupBy("market", "year").agg(F.count("*").alias("n"))
     grid = e.select("market").distinct().withColumn("year", F.explode(F.sequence(F.lit(2022).cast("long"), F.lit(2025).cast("long"))))
@@ -217,7 +217,7 @@ def target_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH m AS (SELECT event_type AS market, 'events' AS src FROM events UNION SELECT lower(o_orderstatus), 'orders' FROM orders UNION SELECT lower(l_returnflag), 'lines' FROM lineitem)
 SELECT market, bool_or(src = 'events') AS in_events, bool_or(src = 'orders') AS in_orders, bool_or(src = 'lines') AS in_lines, CASE WHEN count(*) > 1 THEN 'SHARED' ELSE 'SINGLE' END AS state FROM m GROUP BY market""")
 def candidate_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H-08, H-09, H-10: presence of each name in several sets."""
+    """H-08: presence of each name in several sets."""
     part = lambda t, c, n: tables.table(spark, sf_dir, t).select(F.lower(c).alias("market"), F.lit(n).alias("src"))
     m = part("events", "event_type", "events").union(part("orders", "o_orderstatus", "orders")).union(part("lineitem", "l_returnflag", "lines")).distinct()
     has = lambda n: F.bool_or(F.col("src") == n).alias(f"in_{n}")
@@ -232,7 +232,7 @@ def nearest_rank_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_orderpriority, count(*) AS n, round(avg((o_orderstatus <> 'P')::INT), 9) AS terminal, round(avg((o_totalprice > 1000)::INT), 9) AS priced, avg((o_orderstatus <> 'P')::INT) >= 0.5 AND avg((o_totalprice > 1000)::INT) >= 0.99 AS passed FROM orders GROUP BY 1""")
 def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E-10, E-28, O-10, Q-03, Q-05, Q-08, Q-24."""
+    """E-10, O-10, Q-24: coverage gate."""
     o = tables.table(spark, sf_dir, "orders")
     found = sets.coverage_gate(o, ["o_orderpriority"], {"terminal": F.col("o_orderstatus") != "P", "priced": F.col("o_totalprice") > 1000}, {"terminal": 0.5, "priced": 0.99})
     return found.withColumns({c: F.round(c, 9) for c in ("terminal", "priced")})
@@ -240,7 +240,7 @@ def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT market, source, round(score, 6) AS score FROM (SELECT p_type AS market, p_brand AS source, avg(p_retailprice) AS score FROM part GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY market ORDER BY score DESC, source) = 1""")
 def best_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G-05, G-06, Q-25: the best candidate of each key, ties by name."""
+    """The best candidate of each key, ties by name."""
     p = tables.table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("market"), F.col("p_brand").alias("source")).agg(F.avg("p_retailprice").alias("score"))
     n = F.row_number().over(Window.partitionBy("market").orderBy(F.desc("score"), "source"))
     return p.withColumn("n", n).where("n = 1").select("market", "source", F.round("score", 6).alias("score"))
@@ -263,7 +263,7 @@ def market_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT o_orderkey, o_orderdate AS s, o_orderdate + INTERVAL 500 DAY AS e FROM orders), y AS (SELECT *, unnest(generate_series(year(s), year(e - INTERVAL 1 MICROSECOND))) AS y FROM s)
 SELECT o_orderkey, y::BIGINT AS year, greatest(s, make_timestamp(y, 1, 1, 0, 0, 0))::DATE::VARCHAR AS first_day, least(e, make_timestamp(y + 1, 1, 1, 0, 0, 0))::DATE::VARCHAR AS end_day FROM y""")
 def interval_year_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I-26, G-08: half-open intervals cut at year boundaries."""
+    """I-26: half-open intervals cut at year boundaries."""
     o = tables.table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("s"), F.date_add(F.to_date("o_orderdate"), 500).alias("e"))
     y = o.withColumn("year", F.explode(F.sequence(F.year("s"), F.year(F.date_sub("e", 1)))))
     first = F.greatest("s", F.make_date("year", F.lit(1), F.lit(1)))

@@ -28,7 +28,7 @@ def one_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{W}, {TR} SELECT market, event_at_ns, tr AS true_range, round(avg(tr) OVER (PARTITION BY market ORDER BY event_at_ns ROWS 19 PRECEDING), 3) AS atr FROM t QUALIFY count(*) OVER (PARTITION BY market ORDER BY event_at_ns ROWS 19 PRECEDING) = 20""")
 def true_range_atr20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F-01, F-07: true ranges and their mean over the last 20 bars."""
+    """F-01: true ranges and their mean over the last 20 bars."""
     a = windows.mean_atr(one_bars(spark, sf_dir), ["market"], 20).where("atr is not null")
     return a.select("market", "event_at_ns", "true_range", F.round("atr", 3).alias("atr"))
 
@@ -40,7 +40,7 @@ l AS (SELECT market, max(event_at_ns) AS event_at_ns, count(*) AS bars, list(tr
 SELECT market, event_at_ns, bars, round(list_reduce(list_prepend(list_avg(trs[1:5]), trs[6:]), lambda a, x: (a * 4 + x) / 5), 1) AS atr FROM l WHERE bars >= 5"""
 )
 def wilder_atr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F-02, F-03: Wilder's recursion, seeded at the start of each run."""
+    """F-02: Wilder's recursion, seeded at the start of each run."""
     a = windows.wilder_atr(one_bars(spark, sf_dir), ["market"], 5, H).where("bars >= 5")
     return a.select("market", "event_at_ns", "bars", F.round("atr", 1).alias("atr"))
 
@@ -64,7 +64,7 @@ def causal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT d.market, d.decided_ns, CASE WHEN e.first_ns IS NULL THEN 'TOO_FEW_BARS' WHEN e.event_at_ns - e.first_ns > {5 * H} THEN 'SPAN_TOO_LONG' WHEN d.decided_ns - e.event_at_ns > {H} THEN 'STALE' ELSE 'COMPLETE' END AS state FROM d ASOF LEFT JOIN e ON d.market = e.market AND d.decided_ns >= e.event_at_ns"""
 )
 def reported_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F-05, Q-15, Q-16, Q-17: the last reported bars, gaps allowed, by span and age."""
+    """F-05, Q-15, Q-17: the last reported bars, gaps allowed, by span and age."""
     b = one_bars(spark, sf_dir)
     d = b.select("market", (clock.floor_to("event_at_ns", 6 * H) + 1).alias("decided_ns")).distinct()
     return windows.reported(b, d, ["market"], "decided_ns", 5, 5 * H, H).select("market", "decided_ns", "state")
@@ -87,7 +87,7 @@ _DD = f"""{_PNL}, e AS (SELECT *, sum(pnl) OVER (PARTITION BY o_custkey ORDER BY
 
 @query(f"""WITH {_DD} SELECT o_custkey, count(*) AS trades, sum(pnl)::BIGINT AS net, round(avg((pnl > 0)::INT), 6) AS hit_rate, round(coalesce(avg(pnl) / nullif(stddev_pop(pnl), 0), 0), 6) AS sharpe, round(coalesce(avg(pnl) / nullif(sqrt(avg(least(pnl, 0)::DOUBLE * least(pnl, 0))), 0), 0), 6) AS sortino, max(dd)::BIGINT AS max_drawdown FROM k GROUP BY 1""")
 def scenario_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E-11, E-12, E-14: per period, population deviation, 0 where it is 0."""
+    """E-11: per period, population deviation, 0 where it is 0."""
     m = windows.metrics(_pnl(spark, sf_dir), ["o_custkey"], ["o_orderkey"], "pnl")
     return m.withColumns({c: F.round(c, 6) for c in ("hit_rate", "sharpe", "sortino")})
 
@@ -109,7 +109,7 @@ def prior_session_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT event_type AS market, CAST(ts AS DATE)::VARCHAR AS session, hour(ts) // 6 AS checkpoint, avg(value) AS score FROM events GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY session, checkpoint ORDER BY score DESC, market) AS n FROM s)
 SELECT market, session, checkpoint, CASE WHEN n = 1 THEN 'SELECTED' ELSE 'CROSS_MARKET_RANKING_LOSS' END AS state FROM r""")
 def rank_per_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F-15, Q-07, Q-11, Q-13: one winner per session and checkpoint, chosen before any outcome is seen."""
+    """F-15, Q-07: one winner per session and checkpoint, chosen before any outcome is seen."""
     s = tables.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("market"), F.to_date("ts").cast("string").alias("session"), F.floor(F.hour("ts") / 6).cast("long").alias("checkpoint")).agg(F.avg("value").alias("score"))
     n = F.row_number().over(Window.partitionBy("session", "checkpoint").orderBy(F.desc("score"), "market"))
     return s.withColumn("n", n).select("market", "session", "checkpoint", F.when(F.col("n") == 1, "SELECTED").otherwise("CROSS_MARKET_RANKING_LOSS").alias("state"))
@@ -129,7 +129,7 @@ def _with_disposition(b: DataFrame) -> DataFrame:
 
 @query(f"""{W}, {_GRID}, g AS (SELECT market, decided_ns, coalesce(arg_min(code, k) FILTER (code IS NOT NULL), 'MATURED') AS status, max(open_nano) FILTER (k = 1) AS a, max(open_nano) FILTER (k = 5) AS b FROM p GROUP BY 1, 2) SELECT market, decided_ns, status, round(CASE WHEN status = 'MATURED' THEN b / a - 1 END, 9) AS outcome FROM g""")
 def grid_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D-17, K-07, K-08, K-09: the label path on an exact time grid; the first failing step decides."""
+    """D-17, K-09: the label path on an exact time grid; the first failing step decides."""
     b = one_bars(spark, sf_dir)
     out = labels.grid_outcome(_decisions(b), _with_disposition(b), ["market"], "decided_ns", ["contract"], H, 1, 5)
     return out.select("market", "decided_ns", "status", F.round("outcome", 9).alias("outcome"))
@@ -165,7 +165,7 @@ def bracket_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 f AS (SELECT market, decided_ns, lim, min(k) FILTER (k <= 4 AND l <= lim - 1000000) AS fill FROM w0 GROUP BY 1, 2, 3), x AS (SELECT f.market, f.decided_ns, f.lim, f.fill, min(w0.k) AS leave, arg_min(w0.c, w0.k) AS c FROM f LEFT JOIN w0 ON w0.market = f.market AND w0.decided_ns = f.decided_ns AND w0.c IS NOT NULL AND w0.k BETWEEN f.fill + 2 AND f.fill + 4 GROUP BY 1, 2, 3, 4)
 SELECT market, decided_ns, CASE WHEN fill IS NULL THEN 'NOT_FILLED' WHEN leave IS NULL THEN 'FILLED_OPEN' ELSE 'FILLED_CLOSED' END AS state, coalesce(CASE WHEN fill IS NOT NULL THEN c - lim END, 0) AS gross_nano FROM x""")
 def limit_entry_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K-04, K-05, K-06, G-04: a limit order fills only where the price goes through it."""
+    """K-04, K-05, K-06: a limit order fills only where the price goes through it."""
     b = one_bars(spark, sf_dir)
     d = b.select("market", F.col("event_at_ns").alias("decided_ns"), F.lit(1).alias("direction"), clock.floor_div(F.col("close_nano") * 9, 10).alias("limit_nano"))
     out = labels.limit_path(d, b, ["market"], "decided_ns", H, 1_000_000, 4, 2)
@@ -191,7 +191,7 @@ def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{_SESSIONS}, f AS (SELECT n.*, f::INTEGER AS fold, CASE WHEN session_no <= 8 + 4 * f THEN 'FIT' WHEN session_no = 9 + 4 * f THEN 'EMBARGO' WHEN session_no <= 13 + 4 * f THEN 'EVALUATE' END AS role FROM n, range(0, 4) t(f)) SELECT market, session, session_no, fold, role FROM f WHERE role IS NOT NULL""")
 def expanding_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F-16, F-18, J-11, Q-18: expanding folds with an embargo."""
+    """F-16, J-11, Q-18: expanding folds with an embargo."""
     return folds.expanding(_sessions(spark, sf_dir), 4, 8, 4, 4)
 
 
@@ -214,7 +214,7 @@ def purged_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'error') < count(*) / 5 AS ok FROM events GROUP BY 1), n AS (SELECT row_number() OVER (ORDER BY day)::INTEGER AS session_no, ok FROM d)
 SELECT a.session_no AS first_session, count(*) FILTER (b.ok AND b.session_no < a.session_no + 10) AS training, count(*) FILTER (b.ok AND b.session_no >= a.session_no + 11) AS evaluation FROM n a JOIN n b ON b.session_no BETWEEN a.session_no AND a.session_no + 14 GROUP BY 1 HAVING count(*) = 15""")
 def training_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q-27, Q-28: every sliding window of training, embargo and evaluation sessions."""
+    """Q-28: every sliding window of training, embargo and evaluation sessions."""
     d = tables.table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg((F.count_if(F.col("event_type") == "error") < F.count("*") / 5).alias("ok"))
     n = d.withColumn("session_no", F.row_number().over(Window.orderBy("day")))
     return folds.best_training_windows(n, "ok", 10, 1, 4)
@@ -300,7 +300,7 @@ def evaluation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH m AS (SELECT l_returnflag AS market, l_linenumber AS fold, avg(l_discount - 0.05) AS a FROM lineitem GROUP BY 1, 2), f AS (SELECT l_returnflag AS market, avg(l_tax - 0.04) AS b FROM lineitem GROUP BY 1) SELECT market, fold, sign(CASE WHEN fold % 3 = 0 THEN b ELSE a END)::INTEGER AS side FROM m JOIN f USING (market)""")
 def fold_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E-15: a cell's direction, with the market's where the cell has none."""
+    """A cell's direction, with the market's where the cell has none."""
     i = tables.table(spark, sf_dir, "lineitem")
     cell = i.groupBy(F.col("l_returnflag").alias("market"), F.col("l_linenumber").alias("fold")).agg(F.avg(F.when(F.col("l_linenumber") % 3 != 0, F.col("l_discount") - 0.05)).alias("a"))
     market = i.groupBy(F.col("l_returnflag").alias("market")).agg(F.avg(F.col("l_tax") - 0.04).alias("b"))
@@ -309,7 +309,7 @@ def fold_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH f AS (SELECT l_returnflag AS market, l_linenumber AS fold, avg(l_discount) AS x, count(*) AS w FROM lineitem GROUP BY 1, 2) SELECT market, fold, round((sum(w * x) OVER p - w * x) / (sum(w) OVER p - w), 9) AS without FROM f WINDOW p AS (PARTITION BY market)""")
 def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E-20, E-21: weighted means without each fold."""
+    """Weighted means without each fold."""
     f = tables.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("market"), F.col("l_linenumber").alias("fold")).agg(F.avg("l_discount").alias("x"), F.count("*").alias("w"))
     p = Window.partitionBy("market")
     wx = F.col("w") * F.col("x")
@@ -462,14 +462,22 @@ def deflated_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_power(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L-07, L-08: share of resamples of a training series that a test rejects."""
+    """L-07: share of resamples of a training series that a test rejects."""
     x = tables.table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.avg("value").alias("x")).orderBy("hour").toPandas()["x"].to_numpy()
     p = inference.bootstrap_power(spark, x, 2.0, 400, 5.0, 3, 2, 1.645)
     return p.agg(F.count("*").alias("resamples"), F.avg(F.col("rejected").cast("double")).alias("power"))
 
 
+@query()
+def bootstrap_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L-08: quantiles of resampled means of an hourly series, for several lengths of blocks."""
+    x = tables.table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.avg("value").alias("x")).orderBy("hour").toPandas()["x"].to_numpy()  # bounded by the calendar
+    m = inference.bootstrap_means(spark, x, 300, [3, 6, 12], 7)
+    return m.groupBy("block").agg(F.count("*").alias("resamples"), *(F.round(F.percentile("mean", q), 6).alias(n) for n, q in (("low", 0.025), ("one_sided", 0.05), ("high", 0.975))))
+
+
 @query("""WITH i AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i FROM events), s AS (SELECT *, i // 10 AS b, i % 10 AS k, count(*) OVER (PARTITION BY event_type, i // 10) AS n FROM i)
 SELECT a.event_type, a.event_id, a.value, c.value AS control FROM s a JOIN s c ON c.event_type = a.event_type AND c.b = a.b AND (c.k + 3) % c.n = a.k""")
 def negative_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L-09, L-10: values moved inside their blocks."""
+    """L-09: values moved inside their blocks."""
     return inference.rolled_blocks(tables.table(spark, sf_dir, "events"), ["event_type"], "event_id", "value", 10, 3)

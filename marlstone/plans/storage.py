@@ -37,7 +37,7 @@ BAR_FILE = StructType([StructField("event_at_ns", LongType()), StructField("cont
 
 @query(f"WITH {tables.bars_sql()} SELECT market, event_at_ns, contract, close_nano FROM bars")
 def bars_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-02, A-06, B-01, B-04, B-09, B-10, B-14, B-15, G-01: create-only, partitioned, sorted, read back by exact schema."""
+    """A-06, B-01, B-09, B-10, B-14, G-01: create-only, partitioned, sorted, read back by exact schema."""
     path = fresh(spark, "bars")
     b = tables.bars(spark, sf_dir).select("market", "event_at_ns", "contract", "close_nano")
     sinks.parquet(b, path, ("market",), ("event_at_ns", "contract"), 10_000)
@@ -62,7 +62,7 @@ def merged_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_orderkey, o_custkey, o_orderstatus FROM orders""")
 def csv_and_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-24, B-22, B-23, B-24: through CSV, JSON lines and an appended ledger."""
+    """A-24, B-23: through CSV, JSON lines and an appended ledger."""
     schema = "o_orderkey long, o_custkey long, o_orderstatus string"
     o = tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     a, b, c = (fresh(spark, n) for n in ("csv", "json", "ledger"))
@@ -119,7 +119,7 @@ def streamed_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_type AS market, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1""")
 def chunked_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-29, G-08: bounded chunks of time, newest first, each row in one of them."""
+    """A-29: bounded chunks of time, newest first, each row in one of them."""
     t = tables.trades(spark, sf_dir)
     start, end = 1704067200 * 10**9, 1705708800 * 10**9
     inside = readers.time_range(t, "event_at_ns", start, end).withColumn("chunk", clock.floor_div(F.lit(end - 1) - F.col("event_at_ns"), 12 * H))  # 0 is the newest

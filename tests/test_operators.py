@@ -236,3 +236,9 @@ def test_features_over_spans_equal_one_window(spark):
     b = spark.createDataFrame(rows, "k string, event_at_ns long, open_nano long, high_nano long, low_nano long, close_nano long, volume long")
     one, many = ([tuple(r) for r in windows.features(b, ["k"], 60, 30, span).orderBy("k", "event_at_ns").collect()] for span in (10_000, 40))
     assert one == many and len(one) > 200
+
+
+def test_bootstrap_means_are_those_of_the_resamples(spark):
+    x = np.arange(40.0) ** 1.5
+    got = {(r["block"], r["row"]): r["mean"] for r in inference.bootstrap_means(spark, x, 5, [2, 7], 3).collect()}
+    assert got == {(b, r): x[inference.resample(40, b, 3 + b, r)].mean() for b in (2, 7) for r in range(5)}
