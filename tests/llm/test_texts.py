@@ -522,7 +522,7 @@ def test_spanning_forests_are_least():
         assert closure(n, list(zip(a[some], b[some], strict=True))) == closure(n, list(zip(a, b, strict=True)))
 
 
-def test_edit_distances_side_by_side():
+def test_edit_distances_side_by_side(monkeypatch):
     rnd = random.Random(3)
     x, y = [], []
     for _ in range(1500):
@@ -539,6 +539,15 @@ def test_edit_distances_side_by_side():
     for off in (-1, 0, 1):
         assert (lines.within(x, y, want + off) == (off >= 0)).all()
     assert len(lines.within([], [], np.zeros(0, np.int64))) == 0
+    for few in (0, 20):
+        monkeypatch.setattr(lines, "_FEW", few)
+        for off in (-1, 0, 1):
+            assert (lines.side_by_side(x, y, want + off) == (off >= 0)).all()
+    assert len(lines.side_by_side([], [], np.zeros(0, np.int64))) == 0
+    short = 100  # the same by the paths for long texts
+    monkeypatch.setattr(lines, "_SIDE_BY_SIDE", short)
+    for off in (-1, 0, 1):
+        assert (lines.within(x, y, want + off) == (off >= 0)).all()
 
 
 @pytest.mark.parametrize("at_once", [100_000, 12])
