@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, licenses, lines, packing, repeats, sentencepiece, simhash, toxicity, vectors
+from . import divergence, html_text, licenses, lines, packing, repeats, sentencepiece, simhash, toxicity, vectors
 
 #: The vocabulary of op1; a file of the public tokenizers, never part of this repository.
 PIECES_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -71,14 +71,20 @@ def op10_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removal_digest(_table(spark, sf_dir, "documents"), length=200)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of each source from the others of its language and its terms over the language's; null texts, langs and sources are empty."""
+    return divergence.audited(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_license_scan, op3_length_bucket_packing, op4_simhash_anchor_dedup, op5_line_block_html, op6_projected_neighbours, op7_toxic_segments, op8_threshold_top_products, op9_fuzzy_line_dedup, op10_suffix_array_repeats)
+    for f in (op1_sentencepiece, op2_license_scan, op3_length_bucket_packing, op4_simhash_anchor_dedup, op5_line_block_html, op6_projected_neighbours, op7_toxic_segments, op8_threshold_top_products, op9_fuzzy_line_dedup, op10_suffix_array_repeats, op11_source_divergence)
 }
 
 ORACLE: dict[str, str] = {
     "op2_license_scan": licenses.oracle(),
     "op3_length_bucket_packing": packing.oracle(),
+    "op11_source_divergence": divergence.oracle(),
     "op8_threshold_top_products": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
   WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
