@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, html_text, licenses, lines, packing, repeats, sentencepiece, simhash, toxicity, vectors
+from . import conversations, divergence, html_text, licenses, lines, packing, repeats, sentencepiece, simhash, toxicity, vectors
 
 #: The vocabulary of op1; a file of the public tokenizers, never part of this repository.
 PIECES_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -76,14 +76,21 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audited(_table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and its digest of every damaged conversation; nulls are one space, one without turns has zeros."""
+    turns = _table(spark, sf_dir, "conversations")
+    return conversations.repaired(conversations.damaged(turns), turns)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_license_scan, op3_length_bucket_packing, op4_simhash_anchor_dedup, op5_line_block_html, op6_projected_neighbours, op7_toxic_segments, op8_threshold_top_products, op9_fuzzy_line_dedup, op10_suffix_array_repeats, op11_source_divergence)
+    for f in (op1_sentencepiece, op2_license_scan, op3_length_bucket_packing, op4_simhash_anchor_dedup, op5_line_block_html, op6_projected_neighbours, op7_toxic_segments, op8_threshold_top_products, op9_fuzzy_line_dedup, op10_suffix_array_repeats, op11_source_divergence, op13_conversation_repair)
 }
 
 ORACLE: dict[str, str] = {
     "op2_license_scan": licenses.oracle(),
     "op3_length_bucket_packing": packing.oracle(),
+    "op13_conversation_repair": conversations.oracle(),
     "op11_source_divergence": divergence.oracle(),
     "op8_threshold_top_products": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
   WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from marlstone.llm import divergence
+from marlstone.llm import conversations, divergence
 
 KINDS = "doc_id long, text string, lang string, source string, term int, n int, id int, `all` int"
 
@@ -60,3 +60,97 @@ def test_shares_of_large_counts_are_exact(spark):
     n = 5_000_000_000_000
     one = spark.range(1).selectExpr(f"{n}L AS n", f"{3 * n + 1}L AS size", "17L AS kept").select(divergence.share("n", "size", "kept").alias("p")).first()
     assert one["p"] == 1 + 1_000_000_000 * (n + 1) // (3 * n + 18)
+
+
+COSTS = {"K": 0, "R": 2, "D": 3, "I": 2}
+
+
+def plain_repair(rows):
+    """All edit sequences by force: rows (role, text) in order; faults, cost, audit and lines."""
+    space = " \t\n\x0b\x0c\r"
+    faults, seen = [], set()
+    for role, text in rows:
+        said = text.strip(space)
+        faults.append("blank" if not said else "duplicate" if (role, text) in seen else "truncated" if said[-1] not in ".!?" else "")
+        seen.add((role, text))
+    best = None
+
+    def go(i, roles, lines, audit, cost):
+        nonlocal best
+        if best and cost > best[0]:
+            return
+        if i == len(rows) and re.fullmatch("(s?(ua)+)?", roles):
+            best = min(best or (cost, audit, lines), (cost, audit, lines))
+        if re.fullmatch("s?(ua)*u?", roles):
+            if len(roles) <= 2 * len(rows):
+                for role in ("user", "assistant"):
+                    go(i, roles + role[0], [*lines, role + ":"], audit + "I", cost + 2)
+            if i < len(rows):
+                role, text = rows[i]
+                if faults[i] not in ("blank", "duplicate"):
+                    cut = faults[i] == "truncated"
+                    if role:
+                        go(i + 1, roles + role[:1], [*lines, f"{role}:{text}"], audit + "K", cost + cut)
+                    for new in ("user", "assistant"):
+                        go(i + 1, roles + new[0], [*lines, f"{new}:{text}"], audit + "R", cost + 2 + cut)
+                go(i + 1, roles, lines, audit + "D", cost + 3)
+
+    best = (3 * len(rows), "D" * len(rows), [])
+    go(0, "", [], "", 0)
+    illegal = sum((a[0][:1] + b[0][:1]) not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))  # noqa: B905
+    return [faults.count(f) for f in ("blank", "duplicate", "truncated")], illegal, best
+
+
+def odd_conversations(n, seed):
+    import random
+
+    rnd = random.Random(seed)
+    texts = ["Yes.", "No!", "Why?", "cut off", "", " \t", "Done. \n", "ü."]
+    out = []
+    for c in range(n):
+        for t in range(rnd.randint(1, 6)):
+            out.append((None if c == 3 else c, None if rnd.random() < 0.1 else t * rnd.choice([1, 1, 1, 2]), rnd.choice(["system", "user", "user", "assistant", "assistant", "tool", "", None]), rnd.choice([*texts, f"Own {t}.", None])))
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 4096])
+def test_repair_by_force(spark, block):
+    import hashlib
+
+    rows = odd_conversations(60, 1)
+    turns = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, pos int, block string")
+    got = {r["conv_id"]: r for r in conversations.repaired(turns, turns.union(turns.limit(1).selectExpr("99L", "turn", "role", "text", "pos", "block")), block).collect()}
+    assert set(got) == {r[0] for r in rows} | {99}
+    assert tuple(got[99])[1:] == (0, 0, 0, 0, 0, 0, "", hashlib.sha256().hexdigest())
+    for conv in {r[0] for r in rows}:
+        own = sorted(((t is not None, t or 0, " " if a is None else a, " " if b is None else b) for c, t, a, b in rows if c == conv))
+        faults, illegal, (cost, audit, lines) = plain_repair([r[2:] for r in own])
+        seen = [r[1] for r in own if r[0]]
+        want = (conv, max(seen) - min(seen) + 1 - len(set(seen)) if seen else 0, *faults, illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+        assert tuple(got[conv]) == want, own
+
+
+def test_repair_of_nothing_and_of_one_long_conversation(spark):
+    kinds = "conv_id long, turn long, role string, text string"
+    empty = spark.createDataFrame([], kinds)
+    assert conversations.repaired(empty, empty).count() == 0
+    n = 3_000  # a conversation over many blocks, half of its rows equal
+    rows = [(1, t if t % 2 else 0, ("user", "assistant")[t % 2] if t % 2 else "user", f"Text {t}." if t % 2 else "Same.") for t in range(n)]
+    turns = spark.createDataFrame(rows, kinds)
+    one, two = (conversations.repaired(turns, turns, b).collect() for b in (64, 4096))
+    assert one == two and one[0]["duplicate"] == n // 2 - 1
+
+
+def test_damage(spark):
+    import zlib
+
+    rows = odd_conversations(40, 2)
+    want = []
+    for c, t, role, text in rows:
+        kind = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        if kind:
+            text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+            want += [(c, t, "user" if kind == 4 else role, text)] * (1 + (kind == 3))
+    got = conversations.damaged(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter(want)
