@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, divergence, html_text, licenses, lines, packing, repeats, sentencepiece, simhash, toxicity, vectors
+from . import conversations, divergence, html_text, langid, licenses, lines, packing, repeats, sentencepiece, simhash, toxicity, vectors
 
 #: The vocabulary of op1; a file of the public tokenizers, never part of this repository.
 PIECES_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -76,6 +76,13 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audited(_table(spark, sf_dir, "documents"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and score of every document; null texts and ones without a letter have ``und``, a row without an id isn't held out."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return langid.identified(docs, langid.fit(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest repair and its digest of every damaged conversation; nulls are one space, one without turns has zeros."""
     turns = _table(spark, sf_dir, "conversations")
@@ -84,7 +91,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_license_scan, op3_length_bucket_packing, op4_simhash_anchor_dedup, op5_line_block_html, op6_projected_neighbours, op7_toxic_segments, op8_threshold_top_products, op9_fuzzy_line_dedup, op10_suffix_array_repeats, op11_source_divergence, op13_conversation_repair)
+    for f in (op1_sentencepiece, op2_license_scan, op3_length_bucket_packing, op4_simhash_anchor_dedup, op5_line_block_html, op6_projected_neighbours, op7_toxic_segments, op8_threshold_top_products, op9_fuzzy_line_dedup, op10_suffix_array_repeats, op11_source_divergence, op12_language_id, op13_conversation_repair)
 }
 
 ORACLE: dict[str, str] = {

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from marlstone.llm import conversations, divergence
+from marlstone.llm import conversations, divergence, langid
 
 KINDS = "doc_id long, text string, lang string, source string, term int, n int, id int, `all` int"
 
@@ -154,3 +154,102 @@ def test_damage(spark):
             want += [(c, t, "user" if kind == 4 else role, text)] * (1 + (kind == 3))
     got = conversations.damaged(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert Counter(map(tuple, got)) == Counter(want)
+
+
+def plain_grams(text):
+    words = re.findall(r"[^\W\d_]+", "".join(c if c.isalpha() else " " for c in text))
+    out = []
+    for w in words:
+        w = " " + "".join(c.lower()[0] for c in w) + " "
+        out += [w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1) if w[i : i + n] != " "]
+    return out
+
+
+@pytest.mark.parametrize("piece", [8, 1 << 20])
+def test_grams_by_definition(monkeypatch, piece):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(langid, "_PIECE", piece)
+    texts = ["Ein Haus, ein HAUS", "", None, "½ 12 --", "a", "Ünïcödé 😀 ł x" * 3, "one\ttwo  three four five six seven", "日本語の 文"]
+    hashes = {}
+    own = [Counter() for _ in texts]
+    for codes, rows in langid.grams(pa.array(texts)):
+        for c, r in zip(codes.tolist(), rows.tolist(), strict=True):
+            own[r][c] += 1
+    for i, t in enumerate(texts):
+        want = Counter(plain_grams(t or ""))
+        assert own[i].total() == want.total()
+        if piece > 8:  # alone, a text has the same hashes as among others
+            alone = Counter(np.concatenate([c for c, _ in langid.grams(pa.array([t], pa.string()))] or [np.zeros(0, np.int64)]).tolist())
+            assert alone == own[i]
+        for g, n in want.items():
+            (code,) = [c for c, _ in langid.grams(pa.array([g]))][len(g.strip()) - 1][:1] if " " not in g and len(g) == 1 else (None,)
+            if code is not None:
+                assert hashes.setdefault(code, g) == g and own[i][int(code)] == n
+
+
+def test_ftrl_by_definition():
+    import math
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(3)
+    rows = [sorted(rnd.sample(range(6), rnd.randint(1, 4))) for _ in range(23)]
+    values = [[rnd.uniform(-1, 2) for _ in r] for r in rows]
+    y = [rnd.randrange(3) for _ in rows]
+    alpha, beta, l1, l2, epochs, batch = 0.3, 1.0, 0.15, 0.1, 3, 4
+    z, n = [[0.0] * 3 for _ in range(6)], [[0.0] * 3 for _ in range(6)]
+    w = lambda f, k: 0.0 if abs(z[f][k]) <= l1 else -(z[f][k] - math.copysign(l1, z[f][k])) / ((beta + math.sqrt(n[f][k])) / alpha + l2)
+    for _ in range(epochs):
+        for b in range(0, len(rows), batch):
+            part = range(b, min(b + batch, len(rows)))
+            g, held = {}, {(f, k): w(f, k) for f in range(6) for k in range(3)}
+            for i in part:
+                e = [math.exp(sum(x * held[f, k] for f, x in zip(rows[i], values[i], strict=True))) for k in range(3)]
+                for f, x in zip(rows[i], values[i], strict=True):
+                    for k in range(3):
+                        g[f, k] = g.get((f, k), 0.0) + (e[k] / sum(e) - (k == y[i])) * x / len(part)
+            for (f, k), v in g.items():
+                z[f][k] += v - (math.sqrt(n[f][k] + v * v) - math.sqrt(n[f][k])) / alpha * held[f, k]
+                n[f][k] += v * v
+    starts = np.cumsum([0, *map(len, rows)])
+    got = langid.ftrl(starts, np.concatenate(rows), np.concatenate(values), np.array(y), 6, 3, alpha, beta, l1, l2, epochs, batch)
+    assert (langid.ftrl(starts, np.concatenate(rows), np.concatenate(values), np.array(y), 6, 3, l1=2.0) == 0).any()
+    assert np.allclose(got, [[w(f, k) for k in range(3)] for f in range(6)], atol=1e-12)
+
+
+def test_temperature_is_the_best():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    y = rng.integers(0, 3, 400)
+    logits = 4 * rng.normal(size=(400, 3)) + 3 * np.eye(3)[y]
+    t = langid.best_temperature(logits, y)
+    loss = lambda t: -np.log(langid.softmax(logits / t)[np.arange(400), y]).mean()
+    assert 1 < t < 10 and loss(t) <= min(loss(t * f) for f in (0.8, 0.9, 1.1, 1.25)) + 1e-4
+
+
+def test_languages_are_told(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = langid.identified(docs, langid.fit(docs)).join(docs.withColumn("held", ~langid.learned("doc_id")), "doc_id").where("held").toPandas()
+    right = found["lang"] == found["lang_pred"]
+    assert len(found) > 250 and right.mean() > 0.98
+    assert abs(found["score"].mean() - right.mean()) < 0.03 and found["score"].between(0, 1).all()
+
+
+def test_languages_of_odd_rows(spark):
+    kinds = "doc_id long, text string, lang string, score double, id int, hash int"
+    rows = [(i, "the cat sat on the mat", "en", 0.0, 1, 2) for i in range(1, 40)] + [(i, "die katze saß auf der matte", "de", 0.0, 1, 2) for i in range(40, 80)]
+    odd = [(100, None, "en", 0.0, 1, 2), (101, "", "de", 0.0, 1, 2), (102, "12 - 34 😀", "en", 0.0, 1, 2), (None, "the mat", "en", 0.0, 1, 2), (103, "the cat " * 400_000, None, 0.0, 1, 2), (103, "katze", "de", 0.0, 1, 2), (5, "the cat", "en", 0.0, 1, 2), (5, "the cat", "en", 0.0, 1, 2)]
+    docs = spark.createDataFrame(rows + odd, kinds)
+    got = langid.identified(docs, langid.fit(docs)).collect()
+    assert len(got) == len(rows) + len(odd)
+    assert Counter((r["doc_id"], r["lang_pred"]) for r in got) == Counter((d, "und" if d in (100, 101, 102) else "de" if "katze" in t else "en") for d, t, *_ in rows + odd)
+    assert all((r["score"] == 0) == (r["lang_pred"] == "und") for r in got)
+    nothing = spark.createDataFrame([], kinds)
+    assert langid.fit(nothing) is None and langid.identified(nothing, None).count() == 0
+    assert {r["lang_pred"] for r in langid.identified(docs, None).collect()} == {"und"}
+    one = langid.fit(docs.where("lang = 'en'"), rows=1)
+    assert one.langs == ["en"] and {r["lang_pred"] for r in langid.identified(docs, one).collect()} == {"en", "und"}
