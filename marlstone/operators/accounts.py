@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
 from .sequences import folded
 
 
@@ -32,27 +33,26 @@ def schedule(candidates: DataFrame, keys: list[str], most_risk: int, most_per_se
     return folded(candidates, keys, ["entry", "candidate"], lambda: (-(1 << 62), None, 0, 0, 0, 0, False), step, [*keys, "candidate", "session", "entry", "pnl"], "state string")
 
 
-def account_path(marks: DataFrame, keys: list[str], starting: int, most_loss: int) -> DataFrame:
-    """Equity over ordered marks (at, best, worst, close, entry as amounts): the first that breaches the floor halts it.
+def account_path(marks: DataFrame, keys: list[str], starting: int, most_loss: int, span: int = scans.SPAN) -> DataFrame:
+    """Equity over ordered marks (at, best, worst, close as amounts): the first that breaches the floor is LIQUIDATED.
 
-    On each mark the favourable extreme lifts the peak before the adverse one is tested. Rows from the mark after the
-    breach on are HALTED, the one after it is LIQUIDATED at the close before.
+    On each mark the favourable extreme lifts the peak before the adverse one is tested. Marks after the breach are
+    HALTED. An account is cut into blocks of ``span`` of ``at``.
     """
-    w = Window.partitionBy(*keys).orderBy("at")
-    before = F.coalesce(F.sum("close").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + starting
-    rows = marks.withColumn("_before", before)
-    rows = rows.withColumn("peak", F.greatest(F.lit(starting), F.max(F.col("_before") + F.col("best")).over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    rows = rows.withColumn("breach", F.col("_before") + F.col("worst") <= F.col("peak") - most_loss)
-    broken = F.sum(F.col("breach").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    state = F.when(F.coalesce(broken, F.lit(0)) > 0, "HALTED").when(F.col("breach"), "LIQUIDATED").otherwise("OPEN")
-    return rows.withColumn("state", state).withColumn("equity", F.when(F.col("state") == "OPEN", F.col("_before") + F.col("close"))).drop("_before", "breach")
+    rows = scans.lifted(marks, keys, ["at"], F.col("close"), F.col("best"), span)
+    rows = rows.withColumn("before", F.col("before") + starting).withColumn("peak", F.greatest(F.lit(starting), F.col("peak") + starting))
+    rows = rows.withColumn("breach", F.col("before") + F.col("worst") <= F.col("peak") - most_loss)
+    rows = scans.after_first(rows, keys, ["at"], "breach", "_broken", span)
+    state = F.when(F.col("_broken") > 0, "HALTED").when(F.col("breach"), "LIQUIDATED").otherwise("OPEN")
+    out = rows.withColumn("state", state).withColumn("equity", F.when(F.col("state") == "OPEN", F.col("before") + F.col("close")))
+    return out.select(*marks.columns, "peak", "state", "equity")
 
 
-def trailing_floor(balances: DataFrame, keys: list[str], order: str, balance: str, most_loss: int, lock: int) -> DataFrame:
+def trailing_floor(balances: DataFrame, keys: list[str], order: str, balance: str, most_loss: int, lock: int, span: int = scans.SPAN) -> DataFrame:
     """End-of-day floor: never falls, follows the balance less the allowed loss, and locks; repeated events count once."""
     once = balances.dropDuplicates([*keys, order])
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return once.withColumn("floor", F.least(F.lit(lock), F.max(F.col(balance) - most_loss).over(w)))
+    rows = scans.lifted(once, keys, [order], F.lit(0), F.col(balance) - most_loss, span)
+    return rows.withColumn("floor", F.least(F.lit(lock), "peak")).select(*once.columns, "floor")
 
 
 def payouts(requests: DataFrame, keys: list[str], cushion: int, share: float) -> DataFrame:

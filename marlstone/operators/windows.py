@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock
+from . import scans
 
 
 def true_range(w: Window) -> Column:
@@ -31,18 +32,45 @@ def mean_atr(bars: DataFrame, keys: list[str], n: int) -> DataFrame:
     return with_tr.withColumn("atr", F.when(F.count("*").over(last) == n, F.avg("true_range").over(last)))
 
 
-def wilder_atr(bars: DataFrame, keys: list[str], n: int, step: int) -> DataFrame:
-    """Last value of Wilder's recursion in each run: seeded with the mean of the run's first n true ranges.
+def wilder_series(bars: DataFrame, keys: list[str], n: int, step: int, span: int | None = None) -> DataFrame:
+    """Each bar with ``run_start``, its run's first bar, ``bars``, its place in the run, and Wilder's ``atr``, null before the n-th.
 
-    The recursion starts with the run, so each run's true ranges are folded in order, as an array.
+    The recursion is seeded with the mean of the run's first n true ranges: these don't age, all later ones by one a
+    bar. So it is a decayed sum, and a run may be cut into blocks of ``span``.
     """
-    w = Window.partitionBy(*keys, "run").orderBy("event_at_ns")
-    with_tr = runs(bars, keys, step).withColumn("true_range", true_range(w))
-    run = with_tr.groupBy(*keys, "run").agg(F.max("event_at_ns").alias("event_at_ns"), F.count("*").alias("bars"), F.array_sort(F.collect_list(F.struct("event_at_ns", "true_range"))).alias("_rows"))
-    tr = F.transform("_rows", lambda x: x["true_range"].cast("double"))
-    first = F.aggregate(F.slice(tr, 1, n), F.lit(0.0), lambda a, x: a + x) / n
-    rest = F.slice(tr, n + 1, F.greatest(F.col("bars") - n, F.lit(0)).cast("int"))
-    return run.withColumn("atr", F.when(F.col("bars") >= n, F.aggregate(rest, first, lambda a, x: (a * (n - 1) + x) / n))).drop("_rows")
+    rate = 1 - 1 / n
+    span = span or scans.decay_span(rate, step)
+    b = scans.previous(bars, keys, ["event_at_ns"], {"event_at_ns": "_at_before", "close_nano": "_was"}, span)
+    new = F.col("_at_before").isNull() | (F.col("event_at_ns") - F.col("_at_before") != step)
+    h, low, was = F.col("high_nano"), F.col("low_nano"), F.col("_was")
+    b = b.withColumn("true_range", F.when(new, h - low).otherwise(F.greatest(h - low, F.abs(h - was), F.abs(low - was))))
+    b = scans.latest(b, keys, ["event_at_ns"], F.when(new, F.col("event_at_ns")), "run_start", span)
+    b = b.withColumn("bars", clock.floor_div(F.col("event_at_ns") - F.col("run_start"), step) + 1).drop("_at_before", "_was")
+    if n == 1:
+        return b.withColumn("atr", F.col("true_range").cast("double"))
+    out = scans.decayed(b, [*keys, "run_start"], ["event_at_ns"], F.col("true_range") / n, F.greatest(F.col("bars") - n, F.lit(0)), rate, "_sum", span)
+    return out.withColumn("atr", F.when(F.col("bars") >= n, F.col("_sum"))).drop("_sum")
+
+
+def wilder_atr(bars: DataFrame, keys: list[str], n: int, step: int, span: int | None = None) -> DataFrame:
+    """Last value of Wilder's recursion in each run of contiguous bars: keys, run (from 0), run_start, event_at_ns, bars, atr."""
+    last = wilder_series(bars, keys, n, step, span).groupBy(*keys, "run_start").agg(F.max(F.struct("event_at_ns", "bars", "atr")).alias("_last"))
+    last = last.select(*keys, "run_start", "_last.*")
+    return scans.numbered(last, keys, ["run_start"], "run", span or scans.decay_span(1 - 1 / n, step)).withColumn("run", F.col("run") - 1)
+
+
+def wilder_windows(rows: DataFrame, keys: list[str], number: str, tr: str, n: int, steps: int, every: int) -> DataFrame:
+    """Wilder's recursion over the last n + steps true ranges alone, at every ``every``-th row from the first that has them.
+
+    ``number`` counts a key's rows from 1; the first has no true range. Each row goes to the few windows that hold it,
+    with its weight there, and these are sums that tasks combine before they shuffle them.
+    """
+    rate, first = 1 - 1 / n, n + steps + 1
+    i = F.col(number)
+    reach = F.sequence(i + F.pmod(F.lit(first) - i, F.lit(every)), i + (n + steps - 1), F.lit(every).cast("long"))
+    dealt = rows.where(F.col(tr).isNotNull()).select(*keys, i.alias("_i"), F.col(tr).alias("_tr"), F.explode(F.filter(reach, lambda x: x >= first)).alias("bar"))
+    weight = F.pow(F.lit(rate), F.least(F.col("bar") - F.col("_i"), F.lit(steps))) / n
+    return dealt.groupBy(*keys, "bar").agg(F.sum(F.col("_tr") * weight).alias("atr"), F.count("*").alias("_n"), F.min(F.col("bar") - F.col("_i")).alias("_youngest")).where(f"_n = {n + steps} and _youngest = 0").drop("_n", "_youngest")
 
 
 def overlapping(bars: DataFrame, at: str, span: int, reach: int) -> DataFrame:
@@ -98,11 +126,11 @@ def reported(bars: DataFrame, decisions: DataFrame, keys: list[str], at: str, n:
     return found.withColumn("state", state)
 
 
-def drawdown(rows: DataFrame, keys: list[str], order: list[str], pnl: str) -> DataFrame:
-    """Running equity, its peak (0 at least) and the distance to it."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    eq = rows.withColumn("equity", F.sum(pnl).over(w))
-    return eq.withColumn("peak", F.greatest(F.lit(0), F.max("equity").over(w))).withColumn("drawdown", F.col("peak") - F.col("equity"))
+def drawdown(rows: DataFrame, keys: list[str], order: list[str], pnl: str, span: int = scans.SPAN) -> DataFrame:
+    """Running equity, its peak (0 at least) and the distance to it; a key is cut into blocks of ``span`` of the first order column."""
+    eq = scans.lifted(rows, keys, order, F.col(pnl), F.col(pnl), span)
+    eq = eq.withColumn("equity", F.col("before") + F.col(pnl)).withColumn("peak", F.greatest(F.lit(0), "peak"))
+    return eq.withColumn("drawdown", F.col("peak") - F.col("equity")).select(*rows.columns, "equity", "peak", "drawdown")
 
 
 def prior_direction(sessions: DataFrame, keys: list[str], order: str, first: str, last: str) -> DataFrame:

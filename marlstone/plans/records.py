@@ -8,7 +8,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import clock, codes
 from ..operators import bars as bar_ops
-from ..operators import pointintime
+from ..operators import pointintime, scans, windows
 from ..sources import readers, sinks
 from . import causal, tables
 from .registry import query
@@ -277,13 +277,9 @@ SELECT market, i AS bar, round(atr, 6) AS atr, atr > 0 AS usable FROM s WHERE k
 )
 def wilder_61(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-03: Wilder's recursion over exactly 61 bars: the mean of the first twenty true ranges, then forty steps; each window on its own."""
-    t = tables.trades(spark, sf_dir)
-    w = Window.partitionBy("market").orderBy("event_id")
     p = F.col("price_nano") / 1e9
-    b = t.select("market", "event_id", F.row_number().over(w).alias("i"), p.alias("c"), (p + F.col("event_id") % 7).alias("h"), (p - F.col("event_id") % 5).alias("l"))
-    was = F.lag("c").over(w)
-    b = b.withColumn("tr", F.greatest(F.col("h") - F.col("l"), F.abs(F.col("h") - was), F.abs(F.col("l") - was)))
-    b = b.withColumn("own", F.collect_list("tr").over(w.rowsBetween(-59, 0))).where("i >= 61 and i % 10 = 1")
-    start = F.aggregate(F.slice("own", 1, 20), F.lit(0.0), lambda a, x: a + x) / 20
-    atr = F.aggregate(F.slice("own", 21, 40), start, lambda a, x: (19 * a + x) / 20)
-    return b.select("market", F.col("i").cast("long").alias("bar"), F.round(atr, 6).alias("atr"), (atr > 0).alias("usable"))
+    b = tables.trades(spark, sf_dir).select("market", "event_id", p.alias("c"), (p + F.col("event_id") % 7).alias("h"), (p - F.col("event_id") % 5).alias("l"))
+    b = scans.numbered(scans.previous(b, ["market"], ["event_id"], {"c": "was"}), ["market"], ["event_id"], "i")
+    tr = F.when(F.col("was").isNotNull(), F.greatest(F.col("h") - F.col("l"), F.abs(F.col("h") - F.col("was")), F.abs(F.col("l") - F.col("was"))))
+    found = windows.wilder_windows(b.withColumn("tr", tr), ["market"], "i", "tr", 20, 40, 10)
+    return found.select("market", F.col("bar").cast("long").alias("bar"), F.round("atr", 6).alias("atr"), (F.col("atr") > 0).alias("usable"))
