@@ -33,6 +33,8 @@ LONGEST = 3
 UNKNOWN = "und"
 #: Share of the sample, one of so many rows, that the temperature is fitted on.
 KEPT_OUT = 5
+#: Candidates of a language's sample, as a multiple of it; were an id repeated very often, fewer rows might be taken.
+_AHEAD = 4
 _ASCII_GAP = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
 #: Longer texts are read in pieces that end between words; a single word of over twice this many bytes is cut.
 _PIECE = 1 << 20
@@ -193,8 +195,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not shares:
         return None
     quota = max(1, rows // len(shares))
-    ranked = ok.select("id", "lang").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")))
-    chosen = ranked.where(F.col("rank") <= quota).select("id", "lang").distinct()
+    part = F.pmod(F.xxhash64("id"), F.lit(1 << 32))  # ids beyond this are far from the least ones; what is left is bounded
+    ahead = F.create_map(*(F.lit(x) for lang, n in shares.items() for x in (lang, min(1 << 32, _AHEAD * quota * (1 << 32) // n))))
+    few = ok.where(part < F.element_at(ahead, F.col("lang"))).select("id", "lang").distinct()
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(part, "id")))
+    chosen = ranked.where(F.col("rank") <= quota).select("id", "lang")
     sample = ok.where("text is not null").join(F.broadcast(chosen), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))
     kinds = "lang string, hash long, codes array<int>, counts array<int>"
 
