@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import clock
 from ..operators import sets
 from ..streaming import candles as live
-from ..streaming import feeds
+from ..streaming import feeds, keyed
 from . import tables
 from .registry import query
 from .storage import fresh
@@ -85,6 +85,101 @@ def drained_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("market", "batch").agg(F.min("event_id").alias("first_id"), F.count("*").alias("n")).select("market", "first_id", "n")
 
 
+def _streamed(spark: SparkSession, rows: DataFrame, order: str, schema: str, files: int = 3, last: DataFrame | None = None) -> DataFrame:
+    """``rows`` as a stream of files, dealt by equal parts of ``order`` and one a batch; ``last`` is a file after them."""
+    path = fresh(spark, "records")
+    names = [c.split()[0] for c in schema.split(", ")]
+    first, end = rows.agg(F.min(order), F.max(order)).first()
+    part = F.floor((F.col(order) - F.lit(first or 0)) * files / F.lit((end or 0) - (first or 0) + 1))
+    for i in range(files):
+        rows.where(part == i).select(*names).coalesce(1).write.parquet(f"{path}/part={i}")  # a batch ends where a part does, as order matters
+    if last is not None:
+        last.select(*names).coalesce(1).write.parquet(f"{path}/part={files}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")
+
+
+def _heartbeat(spark: SparkSession, days: int = 400) -> DataFrame:
+    """A record of no market long after all others: it moves the watermark, so that what is still held is given out."""
+    return spark.range(1).select(F.lit("~").alias("market"), F.lit(_T0 + days * clock.DAY).alias("at_ns"), F.lit(-1).cast("long").alias("seq"), F.lit(0).cast("long").alias("price_nano"))
+
+
+def _run(spark: SparkSession, stream: DataFrame, schema: str) -> DataFrame:
+    return keyed.run(stream, fresh(spark, "out"), fresh(spark, "state"), schema)
+
+
+@query(
+    f"""WITH {tables.TRADES}, s AS (SELECT i AS instrument_id, 'S' || (i + k) AS market, 'S' || (i + k) || 'C' || k AS contract, {_T0} + k * {240 * H} AS f FROM range(0, 400) a(i), range(0, 2) b(k) WHERE i % 5 <> 4),
+m AS (SELECT t.event_id, s.market, s.contract, t.event_at_ns, t.value FROM trades t ASOF JOIN s ON s.instrument_id = t.instrument_id AND t.event_at_ns >= s.f)
+SELECT event_id, market, contract, value AS "last", round((value / nullif(lag(value) OVER (PARTITION BY market ORDER BY event_at_ns, event_id), 0) - 1) * 100, 6) AS change FROM m"""
+)
+def overview_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M-02: mapping records and bars in one stream: the last mapping of an instrument names its market, whose state gives the change from its bar before, over rolls, too."""
+    i, k = F.col("id"), F.col("k")
+    maps = spark.range(400).where("id % 5 <> 4").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<long>"))).select(
+        i.alias("instrument_id"), (k * (240 * H) + _T0).alias("at_ns"), F.lit(-1).cast("long").alias("seq"), F.concat(F.lit("S"), i + k).alias("symbol"), F.concat(F.lit("S"), i + k, F.lit("C"), k).alias("contract"), F.lit(None).cast("double").alias("close"))
+    none = F.lit(None).cast("string")
+    bars = tables.trades(spark, sf_dir).select("instrument_id", F.col("event_at_ns").alias("at_ns"), F.col("event_id").alias("seq"), none.alias("symbol"), none.alias("contract"), F.col("value").alias("close"))
+    stream = _streamed(spark, maps.union(bars), "at_ns", "instrument_id long, at_ns long, seq long, symbol string, contract string, close double")
+    found = _run(spark, keyed.overview(stream), keyed.Status.OUT)
+    return found.select(F.col("seq").alias("event_id"), "market", "contract", "last", F.round("change", 6).alias("change"))
+
+
+def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables.trades(spark, sf_dir).select("market", F.col("event_at_ns").alias("at_ns"), F.col("event_id").alias("seq"), "price_nano")
+    return _streamed(spark, t, "at_ns", "market string, at_ns long, seq long, price_nano long", last=_heartbeat(spark))
+
+
+@query(
+    f"""WITH {tables.TRADES}, g AS (SELECT *, CASE WHEN event_at_ns - lag(event_at_ns) OVER w > {40 * M} THEN 1 ELSE 0 END AS gap FROM trades WINDOW w AS (PARTITION BY market ORDER BY event_at_ns, event_id)),
+r AS (SELECT *, sum(gap) OVER (PARTITION BY market ORDER BY event_at_ns, event_id) AS run FROM g), i AS (SELECT *, row_number() OVER (PARTITION BY market, run ORDER BY event_at_ns, event_id) - 1 AS i FROM r),
+b AS (SELECT *, count(*) OVER (PARTITION BY market, run, i // 4) AS n, dense_rank() OVER (PARTITION BY market ORDER BY run, i // 4) - 1 AS batch FROM i)
+SELECT market, batch, event_id AS seq, (i % 4)::INTEGER AS place, CASE WHEN n = 4 THEN 'FULL' ELSE 'IDLE' END AS closed FROM b"""
+)
+def drained_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M-09: records held in state until four are there or a timer of forty idle minutes ends the batch; each is given out once."""
+    return _run(spark, keyed.drained(_updates(spark, sf_dir), 4, 40 * M), keyed.Drain.OUT)
+
+
+@query(f"""WITH {tables.TRADES} SELECT market, event_at_ns // {15 * M} AS slot, arg_max(price_nano, (event_at_ns, event_id)) AS price_nano, count(*) AS updates FROM trades GROUP BY 1, 2""")
+def throttled_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M-08: the last update of an interval, given out once, when a later interval begins or the interval's timer fires."""
+    return _run(spark, keyed.throttled(_updates(spark, sf_dir), 15 * M), keyed.Throttle.OUT).where("market <> '~'")
+
+
+_MID, _END = _T0 // H + 360, _T0 // H + 24 * 400
+
+
+@query(
+    f"""WITH {tables.TRADES}, b AS (SELECT instrument_id % 60 AS instrument, event_at_ns // {H} AS k, event_id % 2 = 1 AS live, sum(price_nano)::BIGINT AS v FROM trades GROUP BY 1, 2, 3),
+l AS (SELECT instrument, k, max(v) FILTER (live) AS a, max(v) FILTER (NOT live) + CASE WHEN k < {_MID} THEN 0 ELSE 7 END AS b FROM b GROUP BY 1, 2)
+SELECT instrument, k AS hour_no, coalesce(b, a) AS v, CASE WHEN b IS NULL THEN 'LIVE' ELSE 'HISTORY' END AS source, (a IS NOT NULL)::INT + (b IS NOT NULL)::INT AS changes FROM l"""
+)
+def merged_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M-05, M-06, M-07: live bars and replayed history in one stream; history replaces a live bar once, repeats change nothing, and what comes for times before an instrument's watermark is too late."""
+    t = tables.trades(spark, sf_dir)
+    b = t.groupBy((F.col("instrument_id") % 60).alias("instrument"), clock.floor_div("event_at_ns", H).alias("k"), (F.col("event_id") % 2 == 1).alias("live")).agg(F.sum("price_nano").alias("value"))
+    wide = F.lit(1_000_000)
+    row = lambda kind, at, value, until, seq: [F.lit(kind).alias("kind"), at.alias("at_ns"), value.alias("value"), F.lit(until * H).alias("until_ns"), seq.cast("long").alias("seq")]
+    k = F.col("k")
+    live = b.where("live").select("instrument", *row("LIVE", k * H, F.col("value"), 0, k - _T0 // H))
+    past = b.where("not live")
+    early = past.where(k < _MID)
+    history = early.select("instrument", *row("HISTORY", k * H, F.col("value"), _MID, wide + k))
+    beyond = past.where(k >= _MID).select("instrument", *row("HISTORY", k * H, F.col("value") - 1, _MID, wide + k))  # after its chunk's end: not complete yet
+    done = b.select("instrument").distinct().select("instrument", *row("COMPLETED", F.lit(0).cast("long"), F.lit(0).cast("long"), _MID, wide * 2))
+    late = early.select("instrument", *row("HISTORY", k * H, F.col("value") + 5, _END, wide * 3 + k))
+    newer = past.where(k >= _MID).select("instrument", *row("HISTORY", k * H, F.col("value") + 7, _END, wide * 3 + k))
+    again = newer.withColumn("seq", F.col("seq") + wide)
+    records = [live, history, history.withColumn("seq", F.col("seq") + 1), beyond, done, late, newer, again]
+    every = records[0]
+    for r in records[1:]:
+        every = every.unionByName(r)
+    stream = _streamed(spark, every, "seq", "instrument long, seq long, kind string, at_ns long, value long, until_ns long", 4)
+    found = _run(spark, keyed.merged(stream), keyed.Merge.OUT)
+    newest = F.max_by(F.struct("value", "source"), "seq").alias("_new")
+    return found.groupBy("instrument", clock.floor_div("at_ns", H).alias("hour_no")).agg(newest, F.count("*").cast("int").alias("changes")).select("instrument", "hour_no", F.col("_new.value").alias("v"), F.col("_new.source").alias("source"), "changes")
+
+
 @query(
     f"""WITH {tables.TRADES}, l AS (SELECT market, event_id, max(price_nano) OVER w20 - min(price_nano) OVER w20 AS range_nano, lead(price_nano, 60) OVER w - price_nano AS label_nano, row_number() OVER w AS i, count(*) OVER (PARTITION BY market) AS n FROM trades
   WINDOW w AS (PARTITION BY market ORDER BY event_id), w20 AS (PARTITION BY market ORDER BY event_id ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)) SELECT market, event_id, range_nano, label_nano FROM l WHERE i > 20 AND i <= n - 60"""
