@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes
+from . import ranks
 from .sequences import folded
 
 
@@ -51,8 +52,8 @@ def catalog_update(current: DataFrame, proposed: DataFrame, keys: list[str], val
 
 
 def percentiles(rows: DataFrame, keys: list[str], x: str, shares: tuple[float, ...]) -> DataFrame:
-    """Nearest-rank percentiles: the value at rank ceil(p n), the least for p = 0."""
-    return rows.groupBy(*keys).agg(*(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {x})").alias(f"p{round(100 * p)}") for p in shares))
+    """Nearest-rank percentiles: the value at rank ceil(p n), the least for p = 0; groups may be of any size."""
+    return ranks.selected(rows, keys, x, {f"p{round(100 * p)}": ranks.nearest_rank(p) for p in shares}).drop("n")
 
 
 def coverage_gate(rows: DataFrame, keys: list[str], parts: dict[str, Column], least: dict[str, float]) -> DataFrame:

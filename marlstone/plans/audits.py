@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock, codes
-from ..operators import asof, sets
+from ..operators import asof, ranks, sets
 from ..sources import readers, sinks
 from ..streaming import candles as live
 from . import tables
@@ -95,9 +95,8 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH l AS (SELECT o_custkey, list(o_totalprice ORDER BY o_totalprice) AS v FROM orders GROUP BY 1) SELECT o_custkey, v[round_even((len(v) - 1) * 0.6, 0)::INTEGER + 1] AS q FROM l""")
 def nearest_index_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-09: the value at the index next to p (n - 1), which is another rank than ceil(p n)."""
-    o = tables.table(spark, sf_dir, "orders")
-    values = F.array_sort(F.collect_list("o_totalprice"))
-    return o.groupBy("o_custkey").agg(values.alias("v")).select("o_custkey", F.get("v", F.bround((F.size("v") - 1) * F.lit(0.6)).cast("int")).alias("q"))
+    found = ranks.selected(tables.table(spark, sf_dir, "orders"), ["o_custkey"], "o_totalprice", {"q": ranks.nearest_index(0.6)})
+    return found.select("o_custkey", "q")
 
 
 @query(f"""{W}, d AS (SELECT market, event_at_ns // {clock.DAY} AS day, count(*) AS hours FROM one GROUP BY 1, 2) SELECT market, day, hours, CASE WHEN hours >= 24 THEN 'FULL' WHEN hours >= 20 THEN 'PARTIAL' ELSE 'SPARSE' END AS capability FROM d""")

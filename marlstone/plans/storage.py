@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+
+
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from ..functions import clock
 from ..operators import bars as bar_ops
 from ..operators import ridge, sets
 from ..sources import readers, sinks
+from ..sources.scratch import fresh
 from ..streaming import candles as live
 from . import tables
 from .registry import query
@@ -20,17 +21,6 @@ from .research import _solved
 
 H = clock.HOUR
 
-
-def fresh(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; a folder of its own only where that isn't set and all runs in one process."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="marlstone-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 #: What a stored bar file holds; the market is the folder it stands in.
 BAR_FILE = StructType([StructField("event_at_ns", LongType()), StructField("contract", StringType()), StructField("close_nano", LongType()), StructField("market", StringType())])
 

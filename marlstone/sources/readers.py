@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -45,10 +50,47 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def numbered_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Parsed lines beside their text's hash; lines that don't parse are kept with a null record."""
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files: file, ``line_number`` from 1 in its file, value; the same for any size of splits.
+
+    A split numbers its own lines as it reads them. How many lines stand before it is the sum of the counts of its
+    file's splits before, and only these counts, one a split, are put in order.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n = None, 0
+        for b in batches:
+            ends = np.flatnonzero([*(x != y for x, y in pairwise(zip(*(b.column(i).to_pylist() for i in (0, 1)), strict=True))), True]) + 1
+            local, start = np.empty(b.num_rows, np.int64), 0
+            for end in ends.tolist() if b.num_rows else []:
+                key = (b.column(0)[start].as_py(), b.column(1)[start].as_py())
+                if key != now:
+                    now, n = key, 0
+                local[start:end] = np.arange(n, n + end - start)
+                n, start = n + end - start, end
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(local)], [*b.schema.names, "local"])
+
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
     lines = spark.read.text(path)
-    return lines.select(F.from_json("value", schema).alias("record"), F.sha2("value", 256).alias("line_sha256"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    counts = lines.select(*split).groupBy("file", "start").agg(F.count("*").alias("n")).select("file", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    local = lines.select(*split, "value").mapInArrow(work, "file string, start long, value string, local long")
+    return local.join(counts, ["file", "start"]).select("file", (F.col("before") + F.col("local") + 1).alias("line_number"), "value")
+
+
+def numbered_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Parsed lines with file, line_number, line_sha256, state and record.
+
+    A line is BLANK, INVALID (no object of that schema, with a null record), DUPLICATE (its file has the same line
+    before) or OK; none is left out.
+    """
+    lines = numbered_lines(spark, path).withColumn("line_sha256", F.sha2(F.col("value").cast("binary"), 256))
+    lines = lines.withColumn("parsed", F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
+    firsts = lines.groupBy("file", "line_sha256").agg(F.min("line_number").alias("line_number")).withColumn("first", F.lit(True))
+    met = lines.join(firsts, ["file", "line_sha256", "line_number"], "left")
+    bad = F.col("parsed").isNull() | F.col("parsed._corrupt").isNotNull()
+    state = F.when(F.trim("value") == "", "BLANK").when(bad, "INVALID").when(F.col("first").isNull(), "DUPLICATE").otherwise("OK")
+    return met.select("file", "line_number", "line_sha256", state.alias("state"), F.when(~bad, F.col("parsed").dropFields("_corrupt")).alias("record"))
 
 
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

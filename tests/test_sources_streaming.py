@@ -31,7 +31,7 @@ def test_json_lines_fail_closed(spark, tmp_path):
     assert readers.json_lines(spark, str(tmp_path / "good.jsonl"), "a int").count() == 2
     with pytest.raises(Exception, match=r"(?i)malformed"):
         readers.json_lines(spark, str(tmp_path / "bad.jsonl"), "a int").collect()
-    assert [r["record"] for r in readers.numbered_json_lines(spark, str(tmp_path / "bad.jsonl"), "a int").collect()][0]["a"] == 1
+    assert [r["record"] for r in readers.numbered_json_lines(spark, str(tmp_path / "bad.jsonl"), "a int").orderBy("line_number").collect()][0]["a"] == 1
 
 
 def test_catalog_opens_one_path_for_a_purpose(spark):
