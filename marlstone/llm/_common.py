@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,15 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="marlstone-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return root.rstrip("/")
 
 
+@lru_cache(1)
+def _local_root() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="marlstone-")
+
+
 def written(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared scratch folder and read it again.
 

@@ -13,6 +13,7 @@ stand in a passage, and lines inside it weigh all their text, links too.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
@@ -28,7 +29,9 @@ WINDOW = 3
 #: Characters that a window must have for a surge; on pages of less text, over half of the best window's.
 SURGE = 80
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|math|textarea|title|object|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S | re.I)
+_RAW = re.compile(r"<(script|style|noscript|template|iframe|svg|math|textarea|title|object|canvas)\b", re.I)
+_START = re.compile(r"<(/?)([a-z][^\s/>]*)", re.I)
+_BOUND = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""([a-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -75,6 +78,52 @@ def _is_dropped(name: str, attributes: str) -> bool:
     return "hidden" in re.sub(r"""=\s*("[^"]*"|'[^']*'|\S+)""", " ", attributes).lower().split()
 
 
+def _tags(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Markup of a page: where it begins and ends, the element's name in lower case, whether it closes, and its attributes.
+
+    Comments, declarations and elements whose content is no text have no name and are one piece each. A tag ends at
+    the first > outside quotes; what never ends is text. One pass: quotes are paired once, and where a search for an
+    end has failed, none is tried again.
+    """
+    bounds = [m.start() for m in _BOUND.finditer(html)]
+    paired, last = [len(bounds)] * len(bounds), {}
+    for i in range(len(bounds) - 1, -1, -1):
+        c = html[bounds[i]]
+        paired[i] = last.get(c, len(bounds))  # the next bound of the same kind
+        last[c] = i
+    closing = [i for i, at in enumerate(bounds) if html[at] == ">"]
+    ends = [bounds[i] for i in closing]
+    dead = bytearray(len(bounds) + 1)
+    dead[len(bounds)] = 1
+    at = html.find("<")
+    while at >= 0:
+        end, name, closes, attributes = -1, "", False, ""
+        if html.startswith("<!--", at):
+            end = html.find("-->", at)
+            end = len(html) if end < 0 else end + 3
+        elif html.startswith("<![CDATA[", at):
+            end = at + 9
+        elif raw := _RAW.match(html, at):
+            if (i := bisect_left(ends, raw.end())) < len(ends):
+                close = re.compile(f"</{raw[1]}\\s*>", re.I).search(html, ends[i] + 1)
+                end = close.end() if close else len(html)
+        elif html.startswith(("<!", "<?"), at):
+            end = ends[i] + 1 if (i := bisect_left(ends, at)) < len(ends) else -1
+        elif found := _START.match(html, at):
+            i, seen = bisect_left(bounds, found.end()), []
+            while not dead[i] and html[bounds[i]] != ">":
+                seen.append(i)
+                i = paired[i] + 1 if paired[i] < len(bounds) else paired[i]
+            if dead[i]:
+                for j in seen:
+                    dead[j] = 1
+            else:
+                end, name, closes, attributes = bounds[i] + 1, found[2].lower(), bool(found[1]), html[found.end() : bounds[i]]
+        if end >= 0:
+            yield at, end, name, closes, attributes
+        at = html.find("<", max(end, at + 1))
+
+
 class _Lines:
     """The lines of a page: texts, how much of each is link text, whether it's a heading and stands in an article, and the droppable elements around it."""
 
@@ -90,15 +139,14 @@ class _Lines:
         self._open: Counter = Counter()
         self._around, self._article = 0, False
         at = 0
-        for tag in _TAG.finditer(html):
-            if tag.start() > at:
-                self._text(html[at : tag.start()])
-            at = tag.end()
-            name = (tag[3] or "").lower()
-            if name and tag[2]:
+        for start, end, name, closes, attributes in _tags(html):
+            if start > at:
+                self._text(html[at:start])
+            at = end
+            if name and closes:
                 self._end(name)
             elif name:
-                self._begin(name, tag[4])
+                self._begin(name, attributes)
         self._text(html[at:])
         self._flush()
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded, partitions, sliced, utf8, written
+from ._common import bounded, dropped, partitions, sliced, utf8, written
 
 GRAM = 64
 SEGMENT = 1 << 20
@@ -287,9 +287,11 @@ def _windows(length: int):
     return work
 
 
-def repeat_groups(docs: DataFrame, text_col: str = "text", length: int = 200, kinds_at_once: int = KINDS_AT_ONCE) -> DataFrame:
+def repeat_groups(docs: DataFrame, text_col: str = "text", length: int = 200, kinds_at_once: int = KINDS_AT_ONCE, scratch: list[DataFrame] | None = None) -> DataFrame:
     """Repeats of at least ``length`` bytes: rows (repeat, key, len, start, end), one for each occurrence in a text.
 
+    The tables that the result reads are added to ``scratch``.
+
     ``repeat`` names the group; ``key`` is xxhash64 of the text and ``len`` its bytes. Copies of a whole text count as
     one text here. Together the rows cover every byte that a repeated string of ``length`` bytes covers.
     """
@@ -318,6 +320,8 @@ def repeat_groups(docs: DataFrame, text_col: str = "text", length: int = 200, ki
         windows = around.join(hot, "anchor", "left_semi").select("key", "len", "pos", "left", "right").mapInArrow(_windows(length), "window binary, key long, len int, start int").distinct()
         twice = windows.groupBy("window").count().where("count > 1").select("window")
         spans = spans.union(windows.join(twice, "window").select(F.xxhash64("window"), "key", "len", "start", F.col("start") + length))
+    if scratch is not None:
+        scratch += [anchors, kinds, again, several, around, *([] if hot is None else [hot])]
     edges = plain.repartition(partitions(spark, n, 100_000), "anchor").sortWithinPartitions("anchor").mapInArrow(_edges(length), "repeat long, key long, len int, start int, end int")
     return spans.where(F.col("end") - F.col("start") >= length).union(edges)
 
@@ -334,14 +338,15 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _with_spans(docs: DataFrame, text_col: str, length: int) -> DataFrame:
-    """``docs`` with ``_spans``: null where nothing repeats, or pairs of start and end."""
-    keyed = docs.withColumn("_key", F.xxhash64(text_col)).withColumn("_len", F.coalesce(F.octet_length(text_col), F.lit(0)))
-    copies = keyed.where(F.col("_len") >= length).groupBy("_key", "_len").count().where("count > 1")
-    copies = copies.select(F.col("_key").alias("key"), F.col("_len").alias("len"), F.lit(0).alias("start"), F.col("_len").alias("end"))
-    spans = repeat_groups(docs, text_col, length).select("key", "len", "start", "end").union(copies)
-    by_text = spans.groupBy("key", "len", "start").agg(F.max("end").alias("end")).groupBy("key", "len").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    by_text = written(by_text, "spans").select(F.col("key").alias("_key"), F.col("len").alias("_len"), "_spans")
-    return keyed.join(by_text, ["_key", "_len"], "left").drop("_key", "_len")
+    """Each row of ``docs`` as ``doc``, with ``spans``: null where nothing repeats, or pairs of start and end."""
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(text_col).alias("key"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("len"))
+    copies = keyed.where(F.col("len") >= length).groupBy("key", "len").count().where("count > 1").select("key", "len", F.lit(0).alias("start"), F.col("len").alias("end"))
+    scratch: list[DataFrame] = []
+    spans = repeat_groups(docs, text_col, length, scratch=scratch).select("key", "len", "start", "end").union(copies)
+    by_text = spans.groupBy("key", "len", "start").agg(F.max("end").alias("end")).groupBy("key", "len").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    by_text = written(by_text, "spans")
+    dropped(*scratch)
+    return keyed.join(by_text, ["key", "len"], "left").select("doc", "spans")
 
 
 def _each_text(b: pa.RecordBatch, text: int, spans: int) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
@@ -377,7 +382,7 @@ def removal_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             n, r, k, d = zip(*out, strict=True) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, r, k)), pa.array(d, pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    marked = _with_spans(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", length).select("id", "text", "_spans")
+    marked = _with_spans(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", length).select("doc.id", "doc.text", "spans")
     return marked.mapInArrow(work, f"id {dict(marked.dtypes)['id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
@@ -407,6 +412,6 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length: int = 200)
 
     import pyarrow.compute  # noqa: F401
 
-    marked = _with_spans(docs, text_col, length).select(*docs.columns, "_spans")
-    out = marked.mapInArrow(work, docs.schema)
+    name = max(docs.columns, key=len) + "_spans"  # no column of the documents has it
+    out = _with_spans(docs, text_col, length).select("doc.*", F.col("spans").alias(name)).mapInArrow(work, docs.schema)
     return out.withColumn("n_chars", F.coalesce(F.char_length(text_col), F.lit(0)).cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

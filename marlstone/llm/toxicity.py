@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import sliced, utf8, written
+from ._common import dropped, sliced, utf8, written
 
 _TOKEN = re.compile(r"[^\W_]+")
 #: Labelled rows that the model is fitted on, those with the least hash of the id; this bounds the driver's share.
@@ -158,6 +158,7 @@ def fit(sample: DataFrame, least_z: float = 3.0, least_odds: float = 3.0, prior:
     totals = counts.where("token = ''").first()
     n0, n1 = (totals["clean"], totals["toxic"]) if totals else (0, 0)
     if not n0 or not n1:
+        dropped(sample, counts)
         share = min(max(n1 / max(n0 + n1, 1), 1e-9), 1 - 1e-9)
         return Model({}, 1.0, 1.0, 0.0, 0.0, math.log(share / (1 - share)))
     alpha = F.lit(prior) * (F.col("clean") + F.col("toxic")) / F.lit(n0 + n1) + 0.5
@@ -199,6 +200,7 @@ def fit(sample: DataFrame, least_z: float = 3.0, least_odds: float = 3.0, prior:
     level = [(-30.0 if not r["n"] else _total(model, r)) for r in seen]
     model.slope, model.offset = _logistic(np.array(level), np.array([float(r["y"]) for r in seen]))
     shared.unpersist()
+    dropped(sample, counts)
     return model
 
 

@@ -66,10 +66,10 @@ def test_pipeline_stages(spark):
 @pytest.mark.parametrize("filled", [True, False])
 def test_pipeline_on_odd_tables(spark, tmp_path, filled):
     """Null, empty, repeated and very long texts, null ids, columns with names that the stages use; and no row at all."""
-    kinds = "doc_id long, text string, lang string, source string, n_chars long, key int, row int, toxic int, label int, `group` int, doc int, id int"
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, key int, row int, toxic int, label int, `group` int, doc int, id int, _key int, _len int, _spans int, spans int, len int"
     long = " ".join(f"word{i % 977} and{i}" for i in range(6_000))
     texts = [(1, None), (2, ""), (3, " \t\n"), (4, "a"), (4, "a"), (None, "no id here"), (None, None), (7, long), (8, long), (9, long + " end"), (10, "Ünïcödé ½ 😀 " * 40), (11, "one line\n\none line\n")]
-    rows = [(i, t, "en", "s", len(t or ""), 1, 2, 3, 4, 5, 6, 7) for i, t in texts] if filled else []
+    rows = [(i, t, "en", "s", len(t or ""), *range(1, 13)) for i, t in texts] if filled else []
     spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(4, 1, 0), (7, 1, 0), (10, 0, 1), (None, 1, 1)] if filled else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
@@ -85,6 +85,19 @@ def test_pipeline_on_odd_tables(spark, tmp_path, filled):
     assert not filled or {None, 4, 7} <= {r["doc_id"] for r in got} and not {8, 9} & {r["doc_id"] for r in got}
 
 
+def test_scratch_tables_go(spark, tmp_path, monkeypatch):
+    """Repeats delete what they read on the way; the pipeline keeps one stage's rows at a time."""
+    from marlstone.llm import _common
+
+    monkeypatch.setattr(_common, "scratch_root", lambda spark: f"file://{tmp_path}/scratch")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    corpus_pipeline.repeats.without_repeats(docs).count()
+    assert {n.rsplit("-", 1)[0] for n in os.listdir(f"{tmp_path}/scratch")} == {"spans"}
+    corpus_pipeline.run(spark, SMALL).count()
+    left = {n.rsplit("-", 1)[0] for n in os.listdir(f"{tmp_path}/scratch")}
+    assert not left & {"anchors", "kinds", "sample", "counts", *(name for name, _ in corpus_pipeline.STAGES[:-2])}
+
+
 def test_planted_near_copies_are_caught_by_the_stages(spark):
     """Line dedup empties copies of one line, the near-duplicate stage removes them and copies with other line breaks."""
     import random

@@ -400,6 +400,24 @@ def test_html_of_many_open_tags_is_quick():
         html_text.main_text(page)
 
 
+@pytest.mark.parametrize("html", [("<b " + "x" * 10) * 150_000, ('<b "' + "x" * 10) * 150_001, "<b '\"" * 400_001, "<script " * 250_000, '<div class="a" ' * 130_000, "<a \"b'>" * 280_000, "<!x" * 600_000, "<![CDATA[" * 220_000])
+def test_html_of_unfinished_markup_is_quick(html):
+    import time
+
+    began = time.perf_counter()
+    for _ in html_text._tags(html):
+        pass
+    assert time.perf_counter() - began < 8  # 2 MB; rescanning took hours
+
+
+def test_html_tags_end_outside_quotes():
+    tags = lambda h: [h[s:e] for s, e, *_ in html_text._tags(h)]
+    assert tags('<a title="x > y" href=\'>\'>t</A >') == ['<a title="x > y" href=\'>\'>', "</A >"]
+    assert tags('<b "open><i>x</i>') == ["<i>", "</i>"]  # a quote that never ends is text
+    assert tags("<!-- <p> --><p><script>if (a<b) '</p>'</script >1 < 2<") == ["<!-- <p> -->", "<p>", "<script>if (a<b) '</p>'</script >"]
+    assert tags("<!doctype html><?x?><![CDATA[<p>") == ["<!doctype html>", "<?x?>", "<![CDATA[", "<p>"]
+
+
 def test_html_odd_cases(spark):
     pages = [(1, "u", None), (2, None, ""), (3, "u", "<p>unclosed <b>bold"), (4, "u", "<<>&#x41;&bogus;<p"), (5, "u", "plain text"), (5, "u", "plain text"), (6, "u", "<nav>only</nav>"), (7, "u", "<p>" + "long " * 50_000)]
     got = [(r["page_id"], r["text"], r["n_chars"]) for r in html_text.extracted(spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")).collect()]
