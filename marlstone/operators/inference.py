@@ -21,7 +21,11 @@ MOST_OBSERVATIONS = 1_000_000
 
 
 def newey_west(rows: DataFrame, keys: list[str], order: str, x: str, lag: int) -> DataFrame:
-    """Mean, long-run variance with Bartlett weights, and standard error of the mean per key; autocovariances over n."""
+    """Mean, long-run variance with Bartlett weights, and standard error of the mean per key; autocovariances over n.
+
+    ``status`` is OK, DEGENERATE (a variance within rounding of zero, which becomes zero), NEGATIVE (below that) or
+    TOO_SHORT (no more rows than ``lag``); the last two have no standard error.
+    """
     w = Window.partitionBy(*keys).orderBy(order)
     mean = F.avg(x).over(Window.partitionBy(*keys))
     c = rows.withColumn("_c", F.col(x) - mean)
@@ -30,10 +34,18 @@ def newey_west(rows: DataFrame, keys: list[str], order: str, x: str, lag: int) -
     lrv = F.sum(F.col("_c") * F.col("_c")) / n
     for j in range(1, lag + 1):
         lrv = lrv + 2 * (1 - j / (lag + 1)) * F.coalesce(F.sum(F.col("_c") * F.col(f"_l{j}")), F.lit(0.0)) / n
-    out = c.groupBy(*keys).agg(n.alias("n"), F.avg(x).alias("mean"), lrv.alias("long_run_variance"))
-    lrv = F.greatest(F.col("long_run_variance"), F.lit(0.0))
-    se = F.sqrt(lrv / F.col("n"))
-    return out.withColumn("standard_error", se).withColumn("status", F.when(se > 0, "OK").otherwise("DEGENERATE"))
+    out = c.groupBy(*keys).agg(n.alias("n"), F.avg(x).alias("mean"), lrv.alias("long_run_variance"), (F.sum(F.col("_c") * F.col("_c")) / n).alias("_g0"))
+    found = F.col("long_run_variance")
+    near = F.abs(found) <= _rounding(F.greatest(F.lit(1.0), F.abs("_g0")), lag)
+    status = F.when(F.col("n") <= lag, "TOO_SHORT").when(near, "DEGENERATE").when(found < 0, "NEGATIVE").otherwise("OK")
+    out = out.withColumn("status", status).withColumn("long_run_variance", F.when(near, 0.0).otherwise(found))
+    se = F.when(F.col("status").isin("OK", "DEGENERATE"), F.sqrt(F.col("long_run_variance") / F.col("n")))
+    return out.withColumn("standard_error", se).drop("_g0")
+
+
+def _rounding(scale, lag: int):
+    """What a long-run variance may differ from zero by rounding alone."""
+    return scale * (2.220446049250313e-16 * max(1, 2 * lag + 1) * 64.0)
 
 
 def bootstrap_indices(restarts: np.ndarray, starts: np.ndarray, block: float) -> np.ndarray:
@@ -54,10 +66,16 @@ def resample(n: int, block: float, seed: int, row: int) -> np.ndarray:
 
 
 def hac_t(x: np.ndarray, lag: int, null: float = 0.0) -> float:
-    c = x - x.mean()
+    """The t value of a mean; a lag that isn't below the number of rows, and a series without variance, are errors."""
     n = len(x)
-    lrv = c @ c / n + sum(2 * (1 - j / (lag + 1)) * (c[j:] @ c[:-j]) / n for j in range(1, lag + 1))
-    return (x.mean() - null) / math.sqrt(lrv / n) if lrv > 0 else 0.0
+    if lag >= n:
+        raise ValueError(f"a lag of {lag} needs more than {n} rows")
+    c = x - x.mean()
+    first = float(c @ c / n)
+    lrv = first + sum(2 * (1 - j / (lag + 1)) * (c[j:] @ c[:-j]) / n for j in range(1, lag + 1))
+    if lrv <= _rounding(max(1.0, abs(first)), lag):
+        raise ValueError("the long-run variance is negative" if lrv < -_rounding(max(1.0, abs(first)), lag) else "the series has no variance")
+    return (x.mean() - null) / math.sqrt(lrv / n)
 
 
 def bootstrap_statistics(spark: SparkSession, series: np.ndarray, resamples: int, block: float, seed: int, lag: int) -> DataFrame:

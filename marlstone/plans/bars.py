@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock, codes, prices
 from ..operators import bars as ops
+from ..operators import scans
 from . import tables
 from .registry import query
 
@@ -121,20 +122,16 @@ def missing_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT market, event_at_ns, event_at_ns - was AS step_ns FROM l WHERE event_at_ns - was <> {H}""")
 def contiguity_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-09, F-10."""
-    from pyspark.sql import Window
-
-    was = F.lag("event_at_ns").over(Window.partitionBy("market").orderBy("event_at_ns", "contract"))
-    b = tables.bars(spark, sf_dir).withColumn("step_ns", F.col("event_at_ns") - was)
+    b = scans.previous(tables.bars(spark, sf_dir), ["market"], ["event_at_ns", "contract"], {"event_at_ns": "was"}, 1_000 * H)
+    b = b.withColumn("step_ns", F.col("event_at_ns") - F.col("was"))
     return b.where(f"step_ns <> {H}").select("market", "event_at_ns", "step_ns")
 
 
 @query(f"""WITH {tables.TRADES}, l AS (SELECT market, event_id, event_at_ns, instrument_id, lag(instrument_id) OVER (PARTITION BY market ORDER BY event_id) AS was FROM trades) SELECT market, event_id FROM l WHERE was >= instrument_id""")
 def order_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that don't come strictly after the one before, here by instrument in file order."""
-    from pyspark.sql import Window
-
-    was = F.lag("instrument_id").over(Window.partitionBy("market").orderBy("event_id"))
-    return tables.trades(spark, sf_dir).withColumn("was", was).where("was >= instrument_id").select("market", "event_id")
+    """A-11, F-13: rows that don't come strictly after the one before, here by instrument in file order."""
+    t = scans.previous(tables.trades(spark, sf_dir).select("market", "event_id", "instrument_id"), ["market"], ["event_id"], {"instrument_id": "was"})
+    return t.where("was >= instrument_id").select("market", "event_id")
 
 
 @query(

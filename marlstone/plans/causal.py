@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clock, codes
-from ..operators import labels, pointintime
+from ..operators import labels, pointintime, scans
 from . import tables
 from .registry import query
 
@@ -254,6 +254,7 @@ SELECT market, event_at_ns, CASE WHEN x IS NULL THEN 'UNKNOWN' WHEN x > 0 THEN '
 def previous_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-07: the sign of the last close less the one before."""
     c = tables.bars(spark, sf_dir).groupBy("market", "event_at_ns").agg(F.max("close_nano").alias("c"))
-    x = F.col("c") - F.lag("c").over(Window.partitionBy("market").orderBy("event_at_ns"))
+    c = scans.previous(c, ["market"], ["event_at_ns"], {"c": "was"}, 1_000 * clock.HOUR)
+    x = F.col("c") - F.col("was")
     sign = F.when(x.isNull(), "UNKNOWN").when(x > 0, "UP").when(x < 0, "DOWN").otherwise("FLAT")
     return c.select("market", "event_at_ns", sign.alias("previous_delta"), F.coalesce(x, F.lit(0).cast("long")).alias("delta_nano"))

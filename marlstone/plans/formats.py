@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import clock
 from ..operators import ranks
 from ..sources import ranges, readers
 from ..sources.scratch import fresh, written

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock, codes
-from ..operators import labels
+from ..operators import labels, scans
 from ..sources import readers, sinks
 from . import tables
 from .registry import query
@@ -229,9 +229,8 @@ def sessionless_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables.trades(spark, sf_dir).withColumn("minute", clock.floor_div("event_at_ns", clock.MINUTE))
     r = t.groupBy("market", "minute").agg(F.min("event_id").alias("id")).withColumn("session", F.when(F.col("id") % 4 != 1, clock.floor_div("minute", 720)))
     known = F.when(F.col("session").isNotNull(), F.struct("minute", "session"))
-    w = Window.partitionBy("market").orderBy("minute")
-    before, after = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    c = r.withColumns({"p": before, "n": after}).where("session is null")
+    p = scans.latest(r.withColumn("back", -F.col("minute")), ["market"], ["minute"], known, "p")
+    c = scans.latest(p, ["market"], ["back"], known, "n").where("session is null")  # the first after is the last, backwards
     run = F.count("*").over(Window.partitionBy("market", "p.minute", "n.minute"))
     state = F.when(F.col("p").isNull() | F.col("n").isNull() | (F.col("p.session") != F.col("n.session")), "UNRESOLVED").when(F.col("n.minute") - F.col("p.minute") - 1 == F.col("run"), "ATTACHED").otherwise("NOT_CONTIGUOUS")
     return c.withColumn("run", run).select("market", "minute", state.alias("state"), F.when(state == "ATTACHED", F.col("p.session")).otherwise(F.lit(-1).cast("long")).alias("session"))

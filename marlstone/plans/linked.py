@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock
-from ..operators import asof
+from ..operators import asof, scans
 from . import tables
 from .registry import query
 
@@ -205,8 +205,9 @@ def roll_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-25, E-26, E-29: duplicates of a time, exact or not, ambiguous identities, transitions, and instruments that come back within a year or over all."""
     t = tables.trades(spark, sf_dir).select("market", clock.floor_div("event_at_ns", 6 * H).alias("at"), (F.col("instrument_id") % 4).alias("instrument"), (F.col("event_id") % 5).alias("body"))
     k = t.groupBy("market", "at").agg(F.count_distinct("instrument").alias("ids"), F.count("*").alias("n"), F.count_distinct("body").alias("bodies"), F.min("instrument").alias("instrument"))
-    w = Window.partitionBy("market").orderBy("at")
-    i = k.withColumn("new", (~F.col("instrument").eqNullSafe(F.lag("instrument").over(w))).cast("int")).withColumn("island", F.sum("new").over(w))
+    k = scans.previous(k, ["market"], ["at"], {"instrument": "was"}, 1_000)
+    i = k.withColumn("new", (~F.col("instrument").eqNullSafe(F.col("was"))).cast("int"))
+    i = scans.after_first(i, ["market"], ["at"], "new", "islands_before", 1_000).withColumn("island", F.col("islands_before") + F.col("new"))
     one = i.groupBy("market").agg(
         F.count_if(F.expr("n > 1 and bodies = 1")).alias("exact_duplicates"), F.count_if(F.expr("n > 1 and bodies > 1")).alias("distinct_duplicates"), F.count_if(F.col("ids") > 1).alias("ambiguous"), (F.sum("new") - 1).alias("transitions"))
     per_year = i.groupBy("market", clock.floor_div("at", 1460).alias("year"), "instrument").agg(F.count_distinct("island").alias("islands"), F.min("island").alias("first"), F.max("island").alias("last"))

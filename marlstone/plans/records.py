@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..functions import clock, codes
+from ..functions import clock, codes, links
 from ..operators import bars as bar_ops
 from ..operators import pointintime, scans, windows
 from ..sources import readers, sinks
@@ -20,9 +22,10 @@ H, D, M = clock.HOUR, clock.DAY, clock.MINUTE
 BAR = StructType([StructField("market", StringType(), True, {"schema_id": "bar.v1"}), StructField("event_at_ns", LongType()), StructField("close_nano", LongType())])
 
 
-@query("""SELECT * FROM (VALUES ('exact', true), ('renamed', false), ('other_type', false), ('other_order', false), ('other_id', false), ('no_id', false)) v(variant, accepted)""")
+@query(f"""WITH {tables.bars_sql()}, t AS (SELECT count(*) AS n, sum(close_nano)::BIGINT AS total FROM bars) SELECT variant, accepted, CASE WHEN accepted THEN n ELSE 0 END AS rows, CASE WHEN accepted THEN total ELSE 0 END AS total_nano
+FROM (VALUES ('exact', true), ('renamed', false), ('other_type', false), ('other_order', false), ('other_id', false), ('no_id', false)) v(variant, accepted), t""")
 def schema_exact_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-02: a file is read only if names, types, order and schema id are those of the contract."""
+    """A-02: a file is read only if names, types, order and schema id are those of the contract; what is accepted is read whole, what isn't gives no row."""
     b = tables.bars(spark, sf_dir).select(F.col("market").alias("market", metadata={"schema_id": "bar.v1"}), "event_at_ns", "close_nano")
     plain = F.col("market").alias("market", metadata={})
     variants = {
@@ -33,11 +36,11 @@ def schema_exact_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = fresh(spark, name)
         df.write.parquet(path)
         try:
-            readers.exact(spark, path, BAR, schema_id="bar.v1")
-            out.append((name, True))
+            found, accepted = readers.exact(spark, path, BAR, schema_id="bar.v1"), True
         except readers.SourceError:
-            out.append((name, False))
-    return spark.createDataFrame(out, "variant string, accepted boolean")
+            found, accepted = b.limit(0), False
+        out.append(found.agg(F.count("*").alias("rows"), F.coalesce(F.sum("close_nano"), F.lit(0)).alias("total_nano")).select(F.lit(name).alias("variant"), F.lit(accepted).alias("accepted"), "rows", "total_nano"))
+    return reduce(DataFrame.unionByName, out)
 
 
 @query(
@@ -153,7 +156,7 @@ n AS (SELECT page_id, href, regexp_replace(regexp_replace(url, '/[^/]+/\\.\\./',
 SELECT page_id, href, CASE WHEN regexp_matches(url, '^https://pages\\.example/') THEN url ELSE '' END AS url, CASE WHEN url = '' THEN 'NOT_A_PAGE' WHEN NOT regexp_matches(url, '^https://') THEN 'INSECURE' WHEN NOT regexp_matches(url, '^https://pages\\.example/') THEN 'FOREIGN' WHEN regexp_matches(lower(url), '\\.(xls|xlsx)$') THEN 'SPREADSHEET' WHEN regexp_matches(lower(url), '\\.pdf$') THEN 'PDF' WHEN regexp_matches(lower(url), '\\.zip$') THEN 'ARCHIVE' ELSE 'PAGE' END AS kind FROM n"""
 )
 def attachment_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-31, I-25: hrefs of a notice resolved against it, without query and fragment; foreign and insecure ones refused, attachments by kind."""
+    """I-25: hrefs of a notice resolved against it, without query and fragment; foreign and insecure ones refused, attachments by kind."""
     p = tables.table(spark, sf_dir, "pages").select("page_id", F.explode(F.array(*(F.lit(x) for x in _LINKS))).alias("href"))
     h, base = F.col("href"), "https://pages.example"
     url = (
@@ -167,6 +170,21 @@ def attachment_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("url", url).select("page_id", "href", F.when(u.rlike(own), u).otherwise("").alias("url"), kind.alias("kind"))
 
 
+@query(
+    r"""WITH l AS (SELECT page_id, url AS page, regexp_replace(url, '[#?].*$', '') AS own, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS place FROM (SELECT page_id, url, list_transform(regexp_extract_all(coalesce(html, ''), '<a\s[^>]*?href="([^"]*)"', 1), lambda x: replace(x, '&amp;', '&')) AS h FROM pages)),
+o AS (SELECT *, regexp_extract(own, '^(https?://[^/]+)', 1) AS origin, regexp_extract(own, '^(https?:)', 1) AS scheme, regexp_extract(regexp_replace(own, '^https?://[^/]+', ''), '^/(.*/)', 1) AS folder FROM l),
+u AS (SELECT *, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '//') THEN scheme || href WHEN starts_with(href, '/') THEN origin || href WHEN href = '' OR regexp_matches(href, '^[#?]') THEN own WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN '' ELSE origin || '/' || folder || href END AS raw FROM o),
+n AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(raw, '[#?].*$', ''), '/[^/]+/\.\./', '/', 'g'), '/(?:\./)+', '/', 'g') AS url FROM u)
+SELECT page_id, place, href, url, CASE WHEN url = '' THEN 'NOT_A_PAGE' WHEN lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) <> lower(regexp_extract(page, '^https?://([^/?#]+)', 1)) THEN 'FOREIGN' WHEN NOT starts_with(url, 'https://') THEN 'INSECURE' WHEN regexp_matches(lower(url), '\.(?:xls|xlsx)$') THEN 'SPREADSHEET'
+  WHEN regexp_matches(lower(url), '\.pdf$') THEN 'PDF' WHEN regexp_matches(lower(url), '\.zip$') THEN 'ARCHIVE' WHEN url = own THEN 'SELF' ELSE 'PAGE' END AS kind FROM n""".replace("\\\\", "\\")
+)
+def page_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-31: the links of every page, read from its html, resolved against its own address, and told apart by host and kind."""
+    p = tables.table(spark, sf_dir, "pages")
+    found = p.select("page_id", F.col("url").alias("page"), F.posexplode(links.hrefs("html")).alias("place", "href")).withColumn("url", links.resolved("href", "page"))
+    return found.select("page_id", F.col("place").cast("long").alias("place"), "href", "url", links.kind("url", "page").alias("kind"))
+
+
 @query("""WITH q AS (SELECT o_orderkey // 40 AS page, o_custkey AS url FROM orders), d AS (SELECT DISTINCT page, url FROM q), u AS (SELECT url, count(*) AS pages FROM d GROUP BY 1) SELECT count(*) AS unique_urls, count(*) FILTER (pages > 1) AS overlapping, sum(pages)::BIGINT AS listed, (SELECT count(*) FROM q) AS rows FROM u""")
 def notice_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H-09: notices of paged results, each once; those listed on several pages."""
@@ -263,10 +281,10 @@ def causal_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, k = tables.bars(spark, sf_dir), clock.floor_div("event_at_ns", H)
     r = b.withColumns({
         "av": F.when(k % 37 == 5, F.col("event_at_ns")).otherwise(F.col("available_at_ns")), "c": F.when(k % 53 == 5, F.col("high_nano") + F.col("close_nano")).otherwise(F.col("close_nano")), "tm": F.col("event_at_ns") - F.when(k % 61 == 5, 5 * H).otherwise(0)})
-    now = F.struct("tm", "contract")
-    r = r.withColumn("was", F.lag(now).over(Window.partitionBy("market").orderBy("event_at_ns", "contract")))
+    now, was = F.struct("tm", "contract"), F.struct(F.col("was_tm").alias("tm"), F.col("was_contract").alias("contract"))
+    r = scans.previous(r, ["market"], ["event_at_ns", "contract"], {"tm": "was_tm", "contract": "was_contract"}, 1_000 * H)
     ok = (F.col("low_nano") <= F.least("open_nano", "c")) & (F.col("high_nano") >= F.greatest("open_nano", "c")) & (F.least("low_nano", "open_nano", "c") > 0)
-    return r.groupBy("market").agg(F.count("*").alias("rows"), F.count_if(F.col("was") >= now).alias("order_breaks"), F.count_if(F.col("av") <= F.col("tm")).alias("acausal"), F.count_if(~ok).alias("invalid"))
+    return r.groupBy("market").agg(F.count("*").alias("rows"), F.count_if(F.col("was_tm").isNotNull() & (was >= now)).alias("order_breaks"), F.count_if(F.col("av") <= F.col("tm")).alias("acausal"), F.count_if(~ok).alias("invalid"))
 
 
 @query(

@@ -107,13 +107,13 @@ def streamed_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.drop("ignored", "batch")
 
 
-@query("""SELECT event_type AS market, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1""")
+@query(f"""SELECT event_type AS market, ({1705708800 * 10**9 - 1} - epoch_us(ts) * 1000) // {12 * H} AS chunk, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1, 2""")
 def chunked_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-29: bounded chunks of time, newest first, each row in one of them."""
     t = tables.trades(spark, sf_dir)
     start, end = 1704067200 * 10**9, 1705708800 * 10**9
     inside = readers.time_range(t, "event_at_ns", start, end).withColumn("chunk", clock.floor_div(F.lit(end - 1) - F.col("event_at_ns"), 12 * H))  # 0 is the newest
-    return inside.groupBy("market").agg(F.count("*").alias("n"))
+    return inside.groupBy("market", "chunk").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT event_type AS market, CASE WHEN avg(value) FILTER (event_id % 2 = 0) >= avg(value) FILTER (event_id % 2 = 1) THEN 'LONG' ELSE 'SHORT' END AS side, row_number() OVER (ORDER BY abs(avg(value) - 50) DESC, event_type)::INTEGER AS place FROM events GROUP BY 1""")

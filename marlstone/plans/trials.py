@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock, codes
-from ..operators import labels, ridge
+from ..operators import labels, ridge, scans, windows
 from . import tables
 from .registry import query
 from .research import _solved
@@ -257,11 +257,12 @@ SELECT market, event_at_ns, round(r1, 8) AS return_1, round(r5, 8) AS return_5,
 def reported_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q-16: features over the last 61 reported bars by their order, never by filling gaps; a window without variance of volume says so."""
     p = tables.bars(spark, sf_dir).groupBy("market", "event_at_ns").agg(F.min("close_nano").alias("c"), F.min("volume").alias("v"))
-    w = Window.partitionBy("market").orderBy("event_at_ns")
+    p = windows.overlapping(scans.numbered(p, ["market"], ["event_at_ns"], "i", 1_000 * H), "i", 10_000, 61)
+    w = Window.partitionBy("market", "_bucket").orderBy("event_at_ns")
     ret = lambda k: F.round(F.col("c") / F.lag("c", k).over(w) - 1, 8).alias(f"return_{k}")
-    x = p.select("*", F.row_number().over(w).alias("i"), *map(ret, (1, 5, 20)), F.log(F.col("c") / F.lag("c").over(w)).alias("lr"))
+    x = p.select("*", *map(ret, (1, 5, 20)), F.log(F.col("c") / F.lag("c").over(w)).alias("lr"))
     last = lambda n: w.rowsBetween(1 - n, 0)
-    x = x.withColumns({"volatility": F.round(F.stddev_pop("lr").over(last(20)), 8), "vm": F.avg("v").over(last(60)), "vs": F.stddev_pop("v").over(last(60))}).where("i >= 61")
+    x = x.withColumns({"volatility": F.round(F.stddev_pop("lr").over(last(20)), 8), "vm": F.avg("v").over(last(60)), "vs": F.stddev_pop("v").over(last(60))}).where("i >= 61 and _own")
     z = F.when(F.col("vs") > 0, F.round((F.col("v") - F.col("vm")) / F.nullif(F.col("vs"), F.lit(0.0)), 8)).otherwise(0.0)
     return x.select("market", "event_at_ns", "return_1", "return_5", "return_20", "volatility", F.round(F.log1p("v"), 8).alias("log_volume"), z.alias("volume_z"), F.when(F.col("vs") > 0, "READY").otherwise("NO_VOLUME_VARIANCE").alias("state"))
 

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 def focused(stream: DataFrame, focus: DataFrame) -> DataFrame:
     """Trades of the instruments in focus, as long as their generation is the current one; others are late and go.
 
-    ``focus`` (instrument_id, generation) is a small static table: what is being looked at.
+    ``focus`` (instrument_id, generation) is a static table: what is being looked at. Spark broadcasts it where its
+    size, which it knows, allows that.
     """
-    return stream.join(F.broadcast(focus), ["instrument_id", "generation"])
+    return stream.join(focus, ["instrument_id", "generation"])
 
 
 def mapped(stream: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -242,3 +242,27 @@ def test_bootstrap_means_are_those_of_the_resamples(spark):
     x = np.arange(40.0) ** 1.5
     got = {(r["block"], r["row"]): r["mean"] for r in inference.bootstrap_means(spark, x, 5, [2, 7], 3).collect()}
     assert got == {(b, r): x[inference.resample(40, b, 3 + b, r)].mean() for b in (2, 7) for r in range(5)}
+
+
+def test_long_run_variances_that_say_nothing(spark):
+    df = spark.createDataFrame([("short", i, float(i)) for i in range(2)] + [("flat", i, 0.1) for i in range(9)] + [("ok", i, float(i % 3)) for i in range(9)], "k string, i int, x double")
+    got = {r["k"]: (r["status"], r["standard_error"]) for r in inference.newey_west(df, ["k"], "i", "x", 2).collect()}
+    assert got["short"] == ("TOO_SHORT", None) and got["flat"] == ("DEGENERATE", 0.0) and got["ok"][0] == "OK" and got["ok"][1] > 0
+    with pytest.raises(ValueError, match="more than 3"):
+        inference.hac_t(np.array([1.0, 2.0, 3.0]), 3)
+    with pytest.raises(ValueError, match="no variance"):
+        inference.hac_t(np.full(9, 0.1), 2)
+
+
+def test_links_are_resolved_against_their_page(spark):
+    from pyspark.sql import functions as F
+
+    from marlstone.functions import links
+
+    page = "https://a.example/x/y.html?q=1"
+    html = '<A HREF="no"><a class="n" href="b.pdf">t</a><a href="../c.XLSX?v=2#t"><a\nhref="//a.example/d.zip"><a href="http://a.example/e"><a href="https://b.example/"><a href="mailto:a@b"><a href="#top"><a href="/f/./g"><a href="?p=1&amp;q=2"><a href="">'
+    df = spark.createDataFrame([(html, page), (None, page)], "html string, page string")
+    rows = df.select(F.posexplode(links.hrefs("html")).alias("i", "href"), "page").withColumn("url", links.resolved("href", "page")).select("i", "url", links.kind("url", "page").alias("kind"))
+    own = page.split("?")[0]
+    assert collected(rows.select("url", "kind", "i"), "i") == [(u, k, i) for i, (u, k) in enumerate([
+        ("https://a.example/x/b.pdf", "PDF"), ("https://a.example/c.XLSX", "SPREADSHEET"), ("https://a.example/d.zip", "ARCHIVE"), ("http://a.example/e", "INSECURE"), ("https://b.example/", "FOREIGN"), ("", "NOT_A_PAGE"), (own, "SELF"), ("https://a.example/f/g", "PAGE"), (own, "SELF"), (own, "SELF")])]
