@@ -47,7 +47,7 @@ def overlapping_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH i AS (SELECT l_suppkey, l_shipdate AS s, l_shipdate + INTERVAL 2 DAY AS e, l_orderkey, l_linenumber, l_partkey FROM lineitem), l AS (SELECT *, max(e) OVER (PARTITION BY l_suppkey ORDER BY s, l_orderkey, l_linenumber, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i)
 SELECT l_suppkey, count(*) AS n, count(*) FILTER (s < reach) AS overlaps FROM l GROUP BY 1""")
 def selection_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-21, A-23, F-09: intervals that begin before an earlier one of their family has ended."""
+    """F-09: intervals that begin before an earlier one of their family has ended."""
     i = tables.table(spark, sf_dir, "lineitem").withColumn("s", F.unix_seconds("l_shipdate"))
     w = Window.partitionBy("l_suppkey").orderBy("s", "l_orderkey", "l_linenumber", "l_partkey")
     reach = F.max(F.col("s") + 2 * 86400).over(w.rowsBetween(Window.unboundedPreceding, -1))

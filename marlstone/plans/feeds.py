@@ -146,6 +146,26 @@ def throttled_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, keyed.throttled(_updates(spark, sf_dir), 15 * M), keyed.Throttle.OUT).where("market <> '~'")
 
 
+@query(
+    f"""WITH {tables.TRADES}, l AS (SELECT market, event_at_ns AS tm, lag(event_at_ns) OVER w AS was, lead(event_at_ns) OVER w AS nxt FROM trades WINDOW w AS (PARTITION BY market ORDER BY event_at_ns, event_id))
+SELECT market, 'LIVE' AS state, tm AS at_ns, tm AS last_ns FROM l WHERE was IS NULL OR tm - was > {2 * H} UNION ALL SELECT market, 'STALE', tm + {2 * H}, tm FROM l WHERE nxt IS NULL OR nxt - tm > {2 * H}"""
+)
+def stale_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M-04: markets go stale by a timer when no bar has come for two hours, and live again with the next one; each change is told once."""
+    return _run(spark, keyed.staleness(_updates(spark, sf_dir), 2 * H), keyed.Stale.OUT).where("market <> '~'")
+
+
+@query(
+    f"""WITH {tables.TRADES}, s AS (SELECT market, event_at_ns // {24 * H} AS session, arg_min(price_nano, (event_at_ns, event_id)) AS first_nano, arg_max(price_nano, (event_at_ns, event_id)) AS last_nano, count(*) AS bars FROM trades GROUP BY 1, 2)
+SELECT market, session, first_nano, last_nano, bars, coalesce(lag(CASE WHEN last_nano > first_nano THEN 'UP' WHEN last_nano < first_nano THEN 'DOWN' ELSE 'FLAT' END) OVER (PARTITION BY market ORDER BY session), 'NONE') AS previous FROM s"""
+)
+def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M-10, M-11: one observation a session from a stream in order, with one session in state and the direction of the one before; a session that goes back is an error."""
+    t = tables.trades(spark, sf_dir).select("market", F.col("event_at_ns").alias("at_ns"), F.col("event_id").alias("seq"), clock.floor_div("event_at_ns", 24 * H).alias("session"), "price_nano")
+    stream = _streamed(spark, t, "at_ns", "market string, at_ns long, seq long, session long, price_nano long", last=_heartbeat(spark).withColumn("session", F.lit(10**9).cast("long")))
+    return _run(spark, keyed.sessions(stream, 24 * H), keyed.Sessions.OUT).where("market <> '~'")
+
+
 _MID, _END = _T0 // H + 360, _T0 // H + 24 * 400
 
 

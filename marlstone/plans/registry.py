@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import audits, bars, causal, certificates, feeds, formats, gates, joins, linked, records, relational, research, simulations, storage, trials  # noqa: F401
+    from . import audits, bars, causal, certificates, feeds, formats, gates, joins, linked, records, relational, releases, research, simulations, storage, trials  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

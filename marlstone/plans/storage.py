@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-
-
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +26,7 @@ BAR_FILE = StructType([StructField("event_at_ns", LongType()), StructField("cont
 
 @query(f"WITH {tables.bars_sql()} SELECT market, event_at_ns, contract, close_nano FROM bars")
 def bars_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-06, B-01, B-09, B-10, B-14, G-01: create-only, partitioned, sorted, read back by exact schema."""
+    """A-06, B-01, B-14, G-01: create-only, partitioned, sorted, read back by exact schema."""
     path = fresh(spark, "bars")
     b = tables.bars(spark, sf_dir).select("market", "event_at_ns", "contract", "close_nano")
     sinks.parquet(b, path, ("market",), ("event_at_ns", "contract"), 10_000)
@@ -36,7 +35,7 @@ def bars_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT n_nationkey, n_name, n_regionkey FROM nation""")
 def published_release(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-19, B-05, B-06, B-13, B-19, B-20, O-03: data first, manifest last, verified on reading."""
+    """B-19, B-20: data first, manifest last, verified on reading."""
     path = fresh(spark, "release")
     columns = ["n_nationkey", "n_name", "n_regionkey"]
     sinks.published(tables.table(spark, sf_dir, "nation").select(*columns), path, ["n_regionkey"], columns, ["nation"], {"kind": "reference"})
@@ -45,7 +44,7 @@ def published_release(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, user_id FROM events""")
 def merged_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-30, B-07, B-08: interval tables in order, which must not overlap."""
+    """A-30: interval tables in order, which must not overlap."""
     e = tables.table(spark, sf_dir, "events").select("event_id", "user_id")
     return sinks.merged_intervals([e.where("event_id < 400"), e.where("event_id >= 400 AND event_id < 700"), e.where("event_id >= 700")], "event_id")
 

@@ -76,6 +76,93 @@ class Status(StatefulProcessor):
         pass
 
 
+class Stale(StatefulProcessor):
+    """By market: LIVE with the first bar of it, and again after silence; STALE once, by a timer, when none has come for ``age_ns``.
+
+    Rows (at_ns, seq). A change is given out with the time at which it holds and that of the last bar.
+    """
+
+    OUT = "market string, state string, at_ns long, last_ns long"
+
+    def __init__(self, age_ns: int):
+        self.age_ns = age_ns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "last_ns long, timer_ms long, stale boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, timer, stale = self.seen.get() if self.seen.exists() else (None, -1, True)
+        out = []
+        for at in _sorted(rows, ["at_ns", "seq"])["at_ns"].tolist():
+            if not stale and at - last > self.age_ns:  # silence that ended before its timer fired
+                out.append((key[0], "STALE", last + self.age_ns, last))
+                stale = True
+            if stale:
+                out.append((key[0], "LIVE", at, at))
+            last, stale = at, False
+        if timer >= 0:
+            self.handle.deleteTimer(timer)
+        timer = (last + self.age_ns) // MS + 1
+        self.handle.registerTimer(timer)
+        self.seen.update((last, timer, stale))
+        yield _frame(out, self.OUT)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, _, _ = self.seen.get()
+        self.seen.update((last, -1, True))
+        yield _frame([(key[0], "STALE", last + self.age_ns, last)], self.OUT)
+
+    def close(self) -> None:
+        pass
+
+
+class Sessions(StatefulProcessor):
+    """By market: one observation a session, given out when the next one begins, or by a timer ``idle_ns`` after its last bar.
+
+    Rows (at_ns, seq, session, price_nano). The state is one session: its first and last price, and how many bars. A
+    row of an earlier session than the one that is open is out of order, and an error of the stream.
+    """
+
+    OUT = "market string, session long, first_nano long, last_nano long, bars long, previous string"
+
+    def __init__(self, idle_ns: int):
+        self.idle_ns = idle_ns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("now", "session long, first long, last long, bars long, timer_ms long, previous string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        session, first, last, bars, timer, previous = self.now.get() if self.now.exists() else (None, 0, 0, 0, -1, "NONE")
+        out, at = [], 0
+        for at, own, price in _sorted(rows, ["at_ns", "seq"])[["at_ns", "session", "price_nano"]].itertuples(index=False, name=None):
+            if session is not None and own < session:
+                raise ValueError(f"{key[0]}: session {own} after {session}")
+            if own != session:
+                if bars:
+                    out.append((key[0], session, first, last, bars, previous))
+                    previous = "UP" if last > first else "DOWN" if last < first else "FLAT"
+                session, first, bars = own, price, 0
+            last, bars = price, bars + 1
+        if timer >= 0:
+            self.handle.deleteTimer(timer)
+        timer = (at + self.idle_ns) // MS + 1
+        self.handle.registerTimer(timer)
+        self.now.update((session, first, last, bars, timer, previous))
+        yield _frame(out, self.OUT)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        session, first, last, bars, _, previous = self.now.get()
+        out = [(key[0], session, first, last, bars, previous)] if bars else []
+        direction = "UP" if last > first else "DOWN" if last < first else "FLAT"
+        self.now.update((session, first, last, 0, -1, direction if bars else previous))
+        yield _frame(out, self.OUT)
+
+    def close(self) -> None:
+        pass
+
+
 class Drain(StatefulProcessor):
     """By market: records held until ``most`` of them are there, or none comes for ``idle_ns``; a batch is given out whole.
 
@@ -240,6 +327,16 @@ def throttled(stream: DataFrame, interval_ns: int, delay: str = "1 second") -> D
     return stateful(_timed(stream, delay), "market", Throttle(interval_ns), "at")
 
 
+def staleness(stream: DataFrame, age_ns: int, delay: str = "1 second") -> DataFrame:
+    """When markets (market, at_ns, seq) went live and stale."""
+    return stateful(_timed(stream, delay), "market", Stale(age_ns), "at")
+
+
+def sessions(stream: DataFrame, idle_ns: int, delay: str = "1 second") -> DataFrame:
+    """One observation of each market's session, with the direction of the session before, from (market, at_ns, seq, session, price_nano)."""
+    return stateful(_timed(stream, delay), "market", Sessions(idle_ns), "at")
+
+
 def merged(stream: DataFrame) -> DataFrame:
     """Changes of every instrument's bars from live and history records (instrument, seq, kind, at_ns, value, until_ns)."""
     return stateful(stream, "instrument", Merge())

@@ -20,7 +20,7 @@ def feed(spark, tmp_path):
 
     def run(make, schema, out):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-        processor = {"drain": keyed.Drain, "throttle": keyed.Throttle, "merge": keyed.Merge, "overview": keyed.Status}[out]
+        processor = {"drain": keyed.Drain, "throttle": keyed.Throttle, "merge": keyed.Merge, "overview": keyed.Status, "stale": keyed.Stale, "sessions": keyed.Sessions}[out]
         return sorted(map(tuple, keyed.run(make(stream), f"{tmp_path}/{out}", f"{tmp_path}/{out}-state", processor.OUT).collect()), key=repr)
 
     return put, run
@@ -84,3 +84,28 @@ def test_a_stream_cut_into_any_batches_gives_the_same(spark, tmp_path):
             got = keyed.run(keyed.drained(stream, 4, 9 * S), f"{path}/out", f"{path}/state", keyed.Drain.OUT)
         found.append(sorted(map(tuple, got.collect())))
     assert found[0] == found[1] and len(found[0]) == 40
+
+
+def test_markets_go_stale_once_and_live_again(feed):
+    put, run = feed
+    make = lambda s: keyed.staleness(s, 10 * S)
+    put([("a", 5 * S, 1, 0), ("a", 9 * S, 2, 0), ("b", 5 * S, 1, 0)], TICKS)
+    put([("b", 17 * S, 2, 0)], TICKS)  # twelve seconds after: stale in between
+    first = run(make, TICKS, "stale")
+    assert ("b", "STALE", 15 * S, 5 * S) in first and ("b", "LIVE", 17 * S, 17 * S) in first and ("a", "STALE", 19 * S, 9 * S) not in first
+    put([("~", 10**6 * S, 99, 0)], TICKS)
+    assert [r for r in run(make, TICKS, "stale") if r[0] != "~"] == sorted([("a", "LIVE", 5 * S, 5 * S), ("a", "STALE", 19 * S, 9 * S), ("b", "LIVE", 5 * S, 5 * S), ("b", "STALE", 15 * S, 5 * S), ("b", "LIVE", 17 * S, 17 * S), ("b", "STALE", 27 * S, 17 * S)], key=repr)
+
+
+def test_a_session_is_observed_once_and_never_goes_back(feed):
+    put, run = feed
+    kinds = "market string, at_ns long, seq long, session long, price_nano long"
+    make = lambda s: keyed.sessions(s, 1_000 * S)
+    put([("a", 1 * S, 1, 1, 10), ("a", 2 * S, 2, 1, 12)], kinds)
+    put([("a", 3 * S, 3, 1, 11), ("a", 4 * S, 4, 2, 20), ("a", 5 * S, 5, 3, 9)], kinds)
+    assert run(make, kinds, "sessions") == [("a", 1, 10, 11, 3, "NONE"), ("a", 2, 20, 20, 1, "UP")]
+    put([("~", 10**6 * S, 99, 9, 0)], kinds)
+    assert run(make, kinds, "sessions")[-1] == ("a", 3, 9, 9, 1, "FLAT")
+    put([("a", (10**6 + 5) * S, 6, 2, 1)], kinds)
+    with pytest.raises(Exception, match="session 2 after 3"):
+        run(make, kinds, "sessions")
