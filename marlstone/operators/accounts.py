@@ -165,6 +165,41 @@ def one_contract(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return folded(ranked, keys, ["entry", "_rank"], lambda: (-(1 << 62), None, False), step, [*keys, "candidate", "entry"], "state string")
 
 
+def strategy_path(opportunities: DataFrame, keys: list[str], most_risk: int, most_entries: int, daily_stop: int, drawdown_stop: int) -> DataFrame:
+    """The terminal state of every opportunity of a strategy, and what the admitted ones made: keys, candidate, state, net, equity.
+
+    ``opportunities``: candidate, session, checkpoint, market (by its place), score (null: no signal), risk, entry, exit,
+    net (null: no outcome), complete (whether the session is). HURDLE_FAILURE, MISSING_PRICE_PATH and RISK_CAP_REJECTION
+    need no order; of what is left at one session and checkpoint the best score goes on, ties by market, and the others
+    are CROSS_MARKET_RANKING_LOSS. The winners are taken by entry time: a session that isn't complete, an open position,
+    the session's loss, the drawdown and the session's entries refuse them, in this order.
+    """
+    early = F.when(F.col("score").isNull(), "HURDLE_FAILURE").when(F.col("net").isNull(), "MISSING_PRICE_PATH").when(F.col("risk") > most_risk, "RISK_CAP_REJECTION")
+    told = opportunities.withColumn("_early", early)
+    best = F.row_number().over(Window.partitionBy(*keys, "session", "checkpoint").orderBy(F.desc("score"), "market", "candidate"))
+    ranked = told.where("_early is null").withColumn("_rank", best)
+    done = told.where("_early is not null").select(*keys, "candidate", F.col("_early").alias("state"))
+    done = done.unionByName(ranked.where("_rank > 1").select(*keys, "candidate", F.lit("CROSS_MARKET_RANKING_LOSS").alias("state")))
+    done = done.select("*", F.lit(0).cast("long").alias("net"), F.lit(None).cast("long").alias("equity"))
+
+    def step(state: tuple, row) -> tuple[tuple, tuple]:
+        until, session, taken, day, equity, peak = state
+        if row.session != session:
+            session, taken, day = row.session, 0, 0
+        code = (
+            "MISSING_PRICE_PATH" if not row.complete else "OVERLAP_ABSTENTION" if row.entry < until else "DAILY_STOP_ABSTENTION" if day <= -daily_stop
+            else "DRAWDOWN_ABSTENTION" if peak - equity >= drawdown_stop else "ENTRY_CAP_ABSTENTION" if taken >= most_entries else "ADMITTED_TRADE")
+        net = int(row.net) if code == "ADMITTED_TRADE" else 0
+        if code == "ADMITTED_TRADE":
+            until, taken, day, equity = row.exit, taken + 1, day + net, equity + net
+            peak = max(peak, equity)
+        return (until, session, taken, day, equity, peak), (code, net, equity)
+
+    kept = [*keys, "candidate"]
+    winners = folded(ranked.where("_rank = 1"), keys, ["entry", "market", "candidate"], lambda: (-(1 << 62), None, 0, 0, 0, 0), step, kept, "state string, net long, equity long")
+    return winners.unionByName(done)
+
+
 def pilot(actions: DataFrame, keys: list[str], halt: int) -> DataFrame:
     """Sessions in order (session, filled, net, best, worst as the marks' extremes, best first): halted for good once ``halt`` below the peak.
 

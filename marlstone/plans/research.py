@@ -333,7 +333,7 @@ SELECT c.market, COLUMNS c.candidate, c.session, c.entry, c.pnl, s.state FROM s
 
 @query(_SCHEDULE.replace("KEYS", "market").replace("COLUMNS ", ""))
 def portfolio_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K-10, K-12, Q-20: sequential admission of candidates."""
+    """K-10, Q-20: sequential admission of candidates."""
     return accounts.schedule(_candidates(spark, sf_dir), ["market"], 25_000, 3, 10_000, 100_000)
 
 

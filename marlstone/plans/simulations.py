@@ -89,6 +89,29 @@ def one_contract_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accounts.one_contract(c, ["fold"])
 
 
+@query(
+    f"""WITH RECURSIVE {tables.TRADES}, c AS (SELECT instrument_id % 8 AS strategy, event_id AS candidate, event_at_ns // {24 * H} AS session, event_at_ns // {6 * H} % 4 AS checkpoint, length(market) AS market, CASE WHEN event_id % 11 <> 2 THEN (event_id * 29 % 97)::DOUBLE END AS score, event_id * 13 % 1100 AS risk, event_at_ns // 1000000000 AS entry,
+  event_at_ns // 1000000000 + event_id * 97 % 30000 AS exit, CASE WHEN event_id % 13 <> 4 THEN event_id * 37 % 4001 - 2100 END AS net, event_at_ns // {24 * H} % 9 <> 5 AS complete FROM trades),
+t AS (SELECT *, CASE WHEN score IS NULL THEN 'HURDLE_FAILURE' WHEN net IS NULL THEN 'MISSING_PRICE_PATH' WHEN risk > 1000 THEN 'RISK_CAP_REJECTION' END AS early FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY strategy, session, checkpoint ORDER BY score DESC, market, candidate) AS k FROM t WHERE early IS NULL),
+w AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY entry, market, candidate) AS i FROM r WHERE k = 1),
+s AS (SELECT DISTINCT strategy, 0::BIGINT AS i, 0::BIGINT AS candidate, 0::BIGINT AS until, -1::BIGINT AS session, 0::BIGINT AS taken, 0::BIGINT AS day, 0::BIGINT AS equity, 0::BIGINT AS peak, '' AS state, 0::BIGINT AS net FROM w
+UNION ALL SELECT strategy, i, candidate, CASE WHEN own IS NULL THEN until ELSE exit END, session, taken + (own IS NOT NULL)::INT, day + coalesce(own, 0), equity + coalesce(own, 0), greatest(peak, equity + coalesce(own, 0)), state, coalesce(own, 0)
+FROM (SELECT *, CASE WHEN state = 'ADMITTED_TRADE' THEN net END AS own FROM (SELECT *, CASE WHEN NOT complete THEN 'MISSING_PRICE_PATH' WHEN entry < until THEN 'OVERLAP_ABSTENTION' WHEN day <= -1000 THEN 'DAILY_STOP_ABSTENTION' WHEN peak - equity >= 15000 THEN 'DRAWDOWN_ABSTENTION' WHEN taken >= 3 THEN 'ENTRY_CAP_ABSTENTION' ELSE 'ADMITTED_TRADE' END AS state FROM (
+SELECT w.strategy, w.i, w.candidate, w.session, w.complete, w.entry, w.exit, w.net, s.until, s.equity, s.peak, CASE WHEN w.session = s.session THEN s.taken ELSE 0 END AS taken, CASE WHEN w.session = s.session THEN s.day ELSE 0 END AS day FROM s JOIN w ON w.strategy = s.strategy AND w.i = s.i + 1))))
+SELECT strategy, candidate, state, net, equity FROM s WHERE i > 0 UNION ALL SELECT strategy, candidate, early, 0, 0 FROM t WHERE early IS NOT NULL UNION ALL SELECT strategy, candidate, 'CROSS_MARKET_RANKING_LOSS', 0, 0 FROM r WHERE k > 1"""
+)
+def strategy_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-12: hurdle, price path, risk, rank across markets, then the account's own refusals; every opportunity ends in one state."""
+    i = F.col("event_id")
+    at = clock.floor_div("event_at_ns", clock.SECOND)
+    c = tables.trades(spark, sf_dir).select(
+        (F.col("instrument_id") % 8).alias("strategy"), i.alias("candidate"), clock.floor_div("event_at_ns", 24 * H).alias("session"), (clock.floor_div("event_at_ns", 6 * H) % 4).alias("checkpoint"), F.length("market").alias("market"),
+        F.when(i % 11 != 2, (i * 29 % 97).cast("double")).alias("score"), (i * 13 % 1100).alias("risk"), at.alias("entry"), (at + i * 97 % 30000).alias("exit"), F.when(i % 13 != 4, i * 37 % 4001 - 2100).alias("net"), (clock.floor_div("event_at_ns", 24 * H) % 9 != 5).alias("complete"))
+    found = accounts.strategy_path(c, ["strategy"], 1_000, 3, 1_000, 15_000)
+    return found.withColumn("equity", F.coalesce("equity", F.lit(0)))
+
+
 _ACTIONS = f"""{tables.TRADES}, a AS (SELECT instrument_id % 40 AS account, event_at_ns // {24 * H} AS session, count(*) AS n, sum(event_id * 37 % 4001 - 2050)::BIGINT AS net FROM trades GROUP BY 1, 2),
 c AS (SELECT account, session, n % 4 <> 0 AS filled, net, greatest(net, 0) + n * 11 AS best, least(net, 0) - n * 17 AS worst, row_number() OVER (PARTITION BY account ORDER BY session) AS i FROM a)"""
 

@@ -60,3 +60,13 @@ def test_one_contract_takes_the_best_of_each_time(spark):
     rows = [("f", 1, 3, 10, 0.5, 1.0, 0), ("f", 1, 2, 11, -2.0, 2.0, 1), ("f", 1, 9, 12, 2.0, 2.0, 0), ("f", 5, 6, 13, 9.0, 1.0, 0), ("f", 9, 10, 14, 0.0, 1.0, 0)]
     df = spark.createDataFrame(rows, "k string, entry long, exit long, candidate long, prediction double, volatility double, order int")
     assert {r["candidate"]: r["state"] for r in accounts.one_contract(df, ["k"]).collect()} == {10: "SIMULTANEOUS", 11: "SIMULTANEOUS", 12: "SELECTED", 13: "OVERLAP", 14: "SELECTED"}
+
+
+def test_every_opportunity_of_a_strategy_ends_once(spark):
+    kinds = "k string, candidate long, session long, checkpoint long, market int, score double, risk long, entry long, exit long, net long, complete boolean"
+    rows = [
+        ("s", 1, 1, 0, 0, None, 0, 1, 2, 5, True), ("s", 2, 1, 0, 0, 1.0, 0, 1, 2, None, True), ("s", 3, 1, 0, 0, 1.0, 9, 1, 2, 5, True), ("s", 4, 1, 0, 1, 2.0, 0, 1, 5, -3, True), ("s", 5, 1, 0, 2, 2.0, 0, 1, 5, 5, True),
+        ("s", 6, 1, 1, 0, 1.0, 0, 4, 6, 5, True), ("s", 7, 1, 2, 0, 1.0, 0, 5, 6, -8, True), ("s", 8, 1, 3, 0, 1.0, 0, 7, 8, 5, True), ("s", 9, 2, 0, 0, 1.0, 0, 9, 9, 1, False), ("s", 10, 3, 0, 0, 1.0, 0, 10, 11, -20, True), ("s", 11, 4, 0, 0, 1.0, 0, 12, 13, 5, True), ("t", 12, 4, 0, 0, 1.0, 0, 12, 13, 5, True)]
+    got = {r["candidate"]: (r["state"], r["net"]) for r in accounts.strategy_path(spark.createDataFrame(rows, kinds), ["k"], 8, 3, 10, 30).collect()}
+    assert got == {1: ("HURDLE_FAILURE", 0), 2: ("MISSING_PRICE_PATH", 0), 3: ("RISK_CAP_REJECTION", 0), 4: ("ADMITTED_TRADE", -3), 5: ("CROSS_MARKET_RANKING_LOSS", 0), 6: ("OVERLAP_ABSTENTION", 0), 7: ("ADMITTED_TRADE", -8),
+                   8: ("DAILY_STOP_ABSTENTION", 0), 9: ("MISSING_PRICE_PATH", 0), 10: ("ADMITTED_TRADE", -20), 11: ("DRAWDOWN_ABSTENTION", 0), 12: ("ADMITTED_TRADE", 5)}
