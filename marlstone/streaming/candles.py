@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import clock
+
 _OUT = "market string, bucket_ns long, open_nano long, high_nano long, low_nano long, close_nano long, volume long, ignored long"
 _STATE = "last_ns long, bucket_ns long, open_nano long, high_nano long, low_nano long, close_nano long, volume long, ignored long"
 
@@ -46,6 +48,42 @@ def candles(stream: DataFrame, step: int) -> DataFrame:
     return stream.groupBy("market").applyInPandasWithState(work, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+_STORED = "market string, bucket_ns long, open_nano long, high_nano long, low_nano long, close_nano long, volume long"
+
+
+def aggregated(path: str, step: int) -> Callable[[DataFrame, int], None]:
+    """A sink for ``foreachBatch`` that makes the same candles by aggregation, so that one market is the work of many tasks.
+
+    What a market's batch needs of those before it is small: its last trade's time, and the candle that is open. A
+    trade before that time is ignored and counted, the others of a batch and bucket are combined where they are read,
+    and the open candle is met only by the sums. Candles and state are written under the batch's number, so a batch
+    that is given again replaces itself.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        kinds = f"{_STORED}, last_ns long, ignored long"
+        before = spark.read.schema(kinds).parquet(f"{path}/state/batch={number - 1}") if number else spark.createDataFrame([], kinds)
+        last = before.select(F.col("market").alias("_market"), F.col("last_ns").alias("_last"))
+        told = batch.join(last, F.col("market").eqNullSafe(F.col("_market")), "left").withColumn("late", F.coalesce(F.col("event_at_ns") < F.col("_last"), F.lit(False)))
+        bucket = clock.floor_to("event_at_ns", step)
+        price, at, fresh = F.col("price_nano"), F.col("event_at_ns"), told.where("not late")
+        own = fresh.groupBy("market", bucket.alias("bucket_ns")).agg(
+            F.min_by(price, at).alias("open_nano"), F.max(price).alias("high_nano"), F.min(price).alias("low_nano"), F.max_by(price, at).alias("close_nano"), F.sum("size").alias("volume"), F.max(at).alias("last_ns"))
+        old = before.select(*(F.col(c).alias(f"_{c}") for c in before.columns))
+        same = F.col("market").eqNullSafe(F.col("_market")) & (F.col("bucket_ns") == F.col("_bucket_ns"))
+        met = own.join(old.drop("_ignored", "_last_ns", "_close_nano"), same, "left")
+        made = met.select("market", "bucket_ns", F.coalesce("_open_nano", "open_nano").alias("open_nano"), F.greatest("high_nano", "_high_nano").alias("high_nano"), F.least("low_nano", "_low_nano").alias("low_nano"), "close_nano", (F.col("volume") + F.coalesce("_volume", F.lit(0))).alias("volume"), "last_ns")
+        made.drop("last_ns").write.mode("overwrite").parquet(f"{path}/candles/batch={number}")
+        late = told.groupBy("market").agg(F.count_if("late").alias("ignored"))
+        newest = made.unionByName(before.drop("ignored")).groupBy("market").agg(F.max_by(F.struct(*made.columns[1:]), F.struct("bucket_ns", "volume")).alias("_s")).select("market", "_s.*")
+        counts = late.unionByName(before.select("market", "ignored")).groupBy("market").agg(F.sum("ignored").alias("ignored")).withColumnRenamed("market", "_market")
+        state = newest.join(counts, F.col("market").eqNullSafe(F.col("_market")), "left").drop("_market")
+        state.select(*(c.split()[0] for c in kinds.split(", "))).write.mode("overwrite").parquet(f"{path}/state/batch={number}")
+
+    return sink
+
+
 def windowed(stream: DataFrame, ts: str, duration: str, delay: str) -> DataFrame:
     """Candles by event-time window, final once the watermark has passed."""
     return stream.withWatermark(ts, delay).groupBy("market", F.window(ts, duration)).agg(

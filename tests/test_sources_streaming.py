@@ -93,6 +93,26 @@ def test_late_trades_are_ignored_and_counted(spark, tmp_path):
     assert out[-1] == ("a", 60, 6, 7, 6, 7, 2, 1)
 
 
+def test_aggregated_candles_equal_those_of_the_state(spark, tmp_path):
+    import random
+
+    rnd, schema = random.Random(1), "market string, event_at_ns long, price_nano long, size long"
+    out = []
+    for i in range(5):
+        rows = [(rnd.choice(["a", "b", None]) if i else "a", at, rnd.randint(1, 99), rnd.randint(1, 3)) for at in rnd.sample(range(max(0, 120 * i - 40), 120 * i + 100), 30)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/part={i}")
+    stream = lambda: candles.trades(spark, str(tmp_path / "in/*"), schema)
+    candles.run_once(candles.candles(stream().where("market is not null"), 60), str(tmp_path / "cp"), lambda b, n: out.extend((n, *r) for r in b.collect()))
+    candles.run_once(stream().where("market is not null"), str(tmp_path / "cp2"), candles.aggregated(str(tmp_path / "out"), 60))
+    got = {(r["batch"], r["market"], r["bucket_ns"]): (r["open_nano"], r["high_nano"], r["low_nano"], r["close_nano"], r["volume"]) for r in spark.read.parquet(f"{tmp_path}/out/candles").collect()}
+    assert got == {(n, m, b): tuple(r[:5]) for n, m, b, *r in out}
+    ignored = {r["market"]: r["ignored"] for r in spark.read.parquet(f"{tmp_path}/out/state/batch=4").collect()}
+    assert ignored == {m: max(r[-1] for r in out if r[1] == m) for m in "ab"} and sum(ignored.values()) > 0
+    again = candles.aggregated(str(tmp_path / "out"), 60)
+    again(spark.read.schema(schema).parquet(f"{tmp_path}/in/part=4").where("market is not null"), 4)  # given again: replaces itself
+    assert {(r["batch"], r["market"], r["bucket_ns"]) for r in spark.read.parquet(f"{tmp_path}/out/candles").collect()} == set(got)
+
+
 def test_staleness_and_replay(spark):
     df = spark.createDataFrame([("a", 100), ("b", 10)], "market string, last_ns long")
     assert sorted(r["state"] for r in candles.stale(df, 120, 50).collect()) == ["LIVE", "STALE"]
