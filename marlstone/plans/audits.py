@@ -123,7 +123,7 @@ def checkpoint_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH a AS (SELECT DISTINCT o_custkey FROM orders), t AS (SELECT s, k FROM (VALUES ('candidate'), ('flat'), ('feature')) x(s), (SELECT o_custkey AS k FROM a)) SELECT s AS strategy, count(*) AS expected, count(*) FILTER (s = 'flat' OR (s = 'feature' AND k % 2 = 0) OR (s = 'candidate' AND k % 3 = 0)) AS eligible FROM t GROUP BY 1""")
 def strategy_universes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every strategy has its own universe, generated from the census."""
+    """Q-06: every strategy has its own universe, generated from the census."""
     k = tables.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).distinct()
     t = k.withColumn("strategy", F.explode(F.array(*(F.lit(x) for x in ("candidate", "flat", "feature")))))
     ok = F.when(F.col("strategy") == "flat", True).when(F.col("strategy") == "feature", F.col("k") % 2 == 0).otherwise(F.col("k") % 3 == 0)

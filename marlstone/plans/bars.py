@@ -230,7 +230,7 @@ def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT page_id, lower(regexp_extract(url, '^(?:[hH][tT][tT][pP][sS]?)://([^/?#:]+)', 1)) AS host, len(regexp_extract_all(html, '<a [^>]*href="[^"]*"'))::BIGINT AS links FROM pages""")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts and anchors of stored pages."""
+    """A-31: hosts and anchors of stored pages."""
     p = tables.table(spark, sf_dir, "pages")
     return p.select("page_id", codes.url_host("url").alias("host"), F.regexp_count("html", F.lit('<a [^>]*href="[^"]*"')).cast("long").alias("links"))
 
@@ -255,7 +255,7 @@ def last_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {tables.TRADES}, d AS (SELECT DISTINCT market, contract, event_at_ns // {clock.DAY} AS day FROM trades), f AS (SELECT market, contract, min(day) AS a, max(day) AS b FROM d GROUP BY 1, 2),
 l AS (SELECT *, lag(contract) OVER (PARTITION BY market ORDER BY a) AS was FROM f) SELECT market, contract, a AS first_day, b AS last_day, was AS rolled_from FROM l""")
 def roll_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contracts of each market in order, with what each rolled from."""
+    """E-25: contracts of each market in order, with what each rolled from."""
     from pyspark.sql import Window
 
     t = tables.trades(spark, sf_dir).select("market", "contract", clock.floor_div("event_at_ns", clock.DAY).alias("day"))

@@ -60,7 +60,7 @@ def tie_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT d.market, d.decided, r.contract FROM d ASOF LEFT JOIN (SELECT *, effective + {6 * H} AS known FROM r) r ON d.market = r.market AND d.decided >= r.known"""
 )
 def roll_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract in effect, as known six hours later."""
+    """D-05: the contract in effect, as known six hours later."""
     t = tables.trades(spark, sf_dir)
     r = t.groupBy("market", "contract").agg((F.min("event_at_ns") + 6 * H).alias("known"))
     d = t.select("market", (clock.floor_to("event_at_ns", clock.DAY) + 12 * H).alias("decided")).distinct()
@@ -90,7 +90,7 @@ def economics_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' GROUP BY n_name""")
 def prediction_label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact joins on ids, then a sum."""
+    """D-14: exact joins on ids, then a sum."""
     o, c, n = (tables.table(spark, sf_dir, x) for x in ("orders", "customer", "nation"))
     j = o.where("o_orderstatus = 'F'").join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     return j.groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
@@ -98,7 +98,7 @@ def prediction_label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT count(*) FILTER (o_orderkey IS NOT NULL AND l_orderkey IS NOT NULL) AS matched, count(*) FILTER (l_orderkey IS NULL) AS without_lines, count(*) FILTER (o_orderkey IS NULL) AS without_order FROM orders FULL JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON o_orderkey = l_orderkey""")
 def pair_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A one-to-one join and what has no partner on either side."""
+    """D-13: a one-to-one join and what has no partner on either side."""
     o = tables.table(spark, sf_dir, "orders").select("o_orderkey")
     i = tables.table(spark, sf_dir, "lineitem").select("l_orderkey").distinct()
     j = o.join(i, F.col("o_orderkey") == F.col("l_orderkey"), "full_outer")
@@ -240,7 +240,7 @@ def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT market, source, round(score, 6) AS score FROM (SELECT p_type AS market, p_brand AS source, avg(p_retailprice) AS score FROM part GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY market ORDER BY score DESC, source) = 1""")
 def best_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best candidate of each key, ties by name."""
+    """G-07: the best candidate of each key, ties by name."""
     p = tables.table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("market"), F.col("p_brand").alias("source")).agg(F.avg("p_retailprice").alias("score"))
     n = F.row_number().over(Window.partitionBy("market").orderBy(F.desc("score"), "source"))
     return p.withColumn("n", n).where("n = 1").select("market", "source", F.round("score", 6).alias("score"))

@@ -1,4 +1,4 @@
-"""Plain relational queries: joins, rollups, pivots, set operations and top-k, in one table's worth of forms each."""
+"""Plain relational queries (group 2.Z of the survey): joins, rollups, pivots, set operations and top-k, in one table's worth of forms each."""
 
 from __future__ import annotations
 

@@ -300,7 +300,7 @@ def evaluation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH m AS (SELECT l_returnflag AS market, l_linenumber AS fold, avg(l_discount - 0.05) AS a FROM lineitem GROUP BY 1, 2), f AS (SELECT l_returnflag AS market, avg(l_tax - 0.04) AS b FROM lineitem GROUP BY 1) SELECT market, fold, sign(CASE WHEN fold % 3 = 0 THEN b ELSE a END)::INTEGER AS side FROM m JOIN f USING (market)""")
 def fold_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cell's direction, with the market's where the cell has none."""
+    """E-15: a cell's direction, with the market's where the cell has none."""
     i = tables.table(spark, sf_dir, "lineitem")
     cell = i.groupBy(F.col("l_returnflag").alias("market"), F.col("l_linenumber").alias("fold")).agg(F.avg(F.when(F.col("l_linenumber") % 3 != 0, F.col("l_discount") - 0.05)).alias("a"))
     market = i.groupBy(F.col("l_returnflag").alias("market")).agg(F.avg(F.col("l_tax") - 0.04).alias("b"))
@@ -309,7 +309,7 @@ def fold_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH f AS (SELECT l_returnflag AS market, l_linenumber AS fold, avg(l_discount) AS x, count(*) AS w FROM lineitem GROUP BY 1, 2) SELECT market, fold, round((sum(w * x) OVER p - w * x) / (sum(w) OVER p - w), 9) AS without FROM f WINDOW p AS (PARTITION BY market)""")
 def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted means without each fold."""
+    """J-12: weighted means without each fold."""
     f = tables.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("market"), F.col("l_linenumber").alias("fold")).agg(F.avg("l_discount").alias("x"), F.count("*").alias("w"))
     p = Window.partitionBy("market")
     wx = F.col("w") * F.col("x")
