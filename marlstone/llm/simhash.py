@@ -72,10 +72,9 @@ def text_fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
 
 
 def steep_fingerprints(text: bytes, shingle: int = 5, seed: int = 42, prints: int = PRINTS) -> list[int]:
-    """SimHashes whose weights halve from each shingle to the next, in an order of the shingles of its own for each.
+    """Min-hashes: for each print the mixed hash of the shingle that comes first in an order of its own.
 
-    Each shingle then outweighs all after it together, so the bits are those of the first one's hash. Two texts have a
-    fingerprint in common with a chance of the Jaccard similarity of their sets of shingles.
+    Two texts have a fingerprint in common with a chance of the Jaccard similarity of their sets of shingles.
     """
     h = _shingle_hashes(text, shingle, seed)
     return [int(_mixed(_mixed(h, i).min(keepdims=True), prints + i)[0]) for i in range(1, prints + 1)] if len(h) else [0] * prints
@@ -367,7 +366,7 @@ def _like_texts(similarity: float):
 def near_copies(docs: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, shingle: int = 5, most_bits: int = 2, prints: int = PRINTS) -> DataFrame:
     """(id_col, component_id): documents in groups of near copies, component_id the group's least id.
 
-    Candidates are texts of which any of ``prints`` steep fingerprints differ in at most ``most_bits`` bits, found by
+    Candidates are texts of which any of ``prints`` min-hashes differ in at most ``most_bits`` bits, found by
     anchors; a pair is linked if the Jaccard similarity of its sets of ``shingle``-word shingles reaches
     ``similarity``. All candidates are tried where their sets stand together, in tiles of bounded size, and only links
     that join groups leave the task. A pair of similarity j is a candidate with a chance of at least
