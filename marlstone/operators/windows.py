@@ -17,13 +17,6 @@ def true_range(w: Window) -> Column:
     return F.when(was.isNull(), h - low).otherwise(F.greatest(h - low, F.abs(h - was), F.abs(low - was)))
 
 
-def runs(bars: DataFrame, keys: list[str], step: int) -> DataFrame:
-    """``bars`` with ``run``: the number of the stretch without gaps that each belongs to, per key."""
-    w = Window.partitionBy(*keys).orderBy("event_at_ns")
-    new = (F.col("event_at_ns") - F.lag("event_at_ns").over(w) != step).cast("int")
-    return bars.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("run", F.sum("_new").over(w)).drop("_new")
-
-
 def mean_atr(bars: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Mean true range of the last n bars, null before there are n."""
     w = Window.partitionBy(*keys).orderBy("event_at_ns")
