@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,23 +59,28 @@ def identity_of(bars: DataFrame, seen: DataFrame, keys: list[str], at: str, deci
     of meanings. Whatever became visible between then and the decision makes the bar unusable. ``seen`` has received_ns,
     available_ns, file, ordinal, action, class, active_ns and expired_ns; ``keys`` hold the UTC date, so that a bar
     meets a day's observations of its instrument.
+
+    No bar is paired with observations. What was told can only change when something becomes visible, so it is worked
+    out once for each such moment, from the observations of the latest receipt by then, and bars look up their moment.
     """
-    near = bars.join(seen, keys).where((F.col("received_ns") <= F.col(decided)) & (F.col("available_ns") <= F.col(decided)))
-    by_start = (F.col("received_ns") <= F.col(at)) & (F.col("available_ns") <= F.col(at))
-    means = F.struct("ordinal", F.struct("action", "class", "active_ns", "expired_ns", *meaning).alias("is"))
-    tie = near.withColumn("_start", by_start).groupBy(*bars.columns, "file", "received_ns").agg(
-        F.array_sort(F.collect_list(F.when(F.col("_start"), means))).alias("_told"), F.bool_or(~F.col("_start")).alias("_changed"))
-    whole = tie.groupBy(*bars.columns).agg(
-        F.max(F.when(F.size("_told") > 0, F.col("received_ns"))).alias("_latest"), F.bool_or("_changed").alias("_changed"),
-        F.collect_list(F.when(F.size("_told") > 0, F.struct("received_ns", "file", "_told"))).alias("_ties"))
-    last = F.filter("_ties", lambda x: x["received_ns"] == F.col("_latest"))
-    repeats = F.exists(last, lambda x: F.size(F.array_distinct(F.transform(x["_told"], lambda y: y["ordinal"]))) < F.size(x["_told"]))
-    stories = F.array_distinct(F.transform(last, lambda x: F.transform(x["_told"], lambda y: y["is"])))
-    whole = whole.withColumn("_repeats", repeats).withColumn("_stories", stories).withColumn("_is", F.try_element_at(F.try_element_at("_stories", F.lit(1)), F.lit(-1)))
-    found = bars.join(whole, bars.columns, "left")
+    told = seen.where(reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in (*keys, "received_ns", "available_ns"))))
+    told = told.select(*keys, "received_ns", F.greatest("received_ns", "available_ns").alias("_seen"), "file", "ordinal", F.struct("action", "class", "active_ns", "expired_ns", *meaning).alias("_is"))
+    so_far = Window.partitionBy(*keys).orderBy("_seen").rowsBetween(Window.unboundedPreceding, 0)
+    moments = told.groupBy(*keys, "_seen").agg(F.max("received_ns").alias("_newest"))
+    moments = moments.select(*keys, F.col("_seen").alias("_moment"), F.max("_newest").over(so_far).alias("received_ns"))
+    # files tell the same where, place by place of their sequences, all of them have the same meaning
+    own = Window.partitionBy(*keys, "_moment", "file").orderBy("ordinal", "_is")
+    place = F.row_number().over(own)
+    placed = told.join(moments, [*keys, "received_ns"]).where("_seen <= _moment").withColumns({"_place": place, "_again": (place > 1) & F.col("ordinal").eqNullSafe(F.lag("ordinal").over(own))})
+    places = placed.groupBy(*keys, "_moment", "_place").agg(F.count("*").alias("_files"), F.min("_is").alias("_is"), F.max("_is").alias("_other"), F.bool_or("_again").alias("_again"))
+    differ = (F.min("_files") != F.max("_files")) | F.bool_or(~F.col("_is").eqNullSafe(F.col("_other")))
+    states = places.groupBy(*keys, "_moment").agg(F.bool_or("_again").alias("_repeats"), differ.alias("_differ"), F.max_by("_is", "_place").alias("_is"))
+    start = F.when(F.col(at).isNotNull() & F.col(decided).isNotNull(), F.least(at, decided))
+    found = asof.as_of(bars.withColumn("_start", start), states, keys, "_start", "_moment", ["_repeats", "_differ", "_is"]).withColumnRenamed("known_at", "_known")
+    found = asof.as_of(found, moments.select(*keys, "_moment"), keys, decided, "_moment", [])
     i = lambda c: F.col(f"_is.{c}")
     code = (
-        F.when(F.col("_latest").isNull(), "NO_DEFINITION_BY_START").when(F.col("_repeats"), "REPEATED_ORDINAL").when(F.size("_stories") > 1, "CONFLICTING_FILES").when(F.col("_changed"), "CHANGED_BEFORE_DECISION")
+        F.when(F.col("_known").isNull(), "NO_DEFINITION_BY_START").when(F.col("_repeats"), "REPEATED_ORDINAL").when(F.col("_differ"), "CONFLICTING_FILES").when(F.col("known_at") > F.col(at), "CHANGED_BEFORE_DECISION")
         .when((i("action") == "DELETE") | (i("class") != "FUTURE") | ~((i("active_ns") <= F.col(at)) & (F.col(at) < i("expired_ns"))), "NOT_AN_ACTIVE_FUTURE").otherwise("RESOLVED"))
     return found.select(*bars.columns, code.alias("code"), *(F.when(code == "RESOLVED", i(m)).alias(m) for m in meaning))
 
