@@ -37,6 +37,12 @@ def as_of(decisions: DataFrame, changes: DataFrame, keys: list[str], at: str, re
     return kept.select(*keys, F.col("_at").alias(at), *(F.col(f"_row.{c}").alias(c) for c in extra), F.col("_state._received").alias("known_at"), *(F.col(f"_state.{v}").alias(v) for v in values))
 
 
+def upcoming(decisions: DataFrame, changes: DataFrame, keys: list[str], at: str, received: str, values: list[str], strict: bool = False, span: int | None = None) -> DataFrame:
+    """Each decision with ``next_at`` and the ``values`` of the first change from then on (after it, if ``strict``), or nulls: ``as_of`` with time reversed."""
+    back = as_of(decisions.withColumn("_back", -F.col(at)), changes.select(*keys, (-F.col(received)).alias("_next"), *values), keys, "_back", "_next", values, strict, span)
+    return back.select(*decisions.columns, (-F.col("known_at")).alias("next_at"), *values)
+
+
 def _struct(df: DataFrame, received: str, values: list[str]) -> str:
     kinds = dict(df.dtypes)
     return "struct<" + ",".join(f"`{n}`:{kinds[c]}" for n, c in [("_received", received), *((v, v) for v in values)]) + ">"

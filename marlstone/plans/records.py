@@ -10,7 +10,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import clock, codes, links
 from ..operators import bars as bar_ops
-from ..operators import pointintime, scans, windows
+from ..operators import asof, pointintime, scans, windows
 from ..sources import readers, sinks
 from . import causal, tables
 from .registry import query
@@ -230,13 +230,12 @@ def first_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = t.select("market", F.col("event_at_ns").alias("tm"), (F.col("event_at_ns") + (i % 20 + 60) * s).alias("available"), (F.col("instrument_id") % 2).alias("identity"), F.col("price_nano").alias("o"), (i % 12).alias("volume"))
     twins = t.where("event_id % 25 = 0").select("market", F.col("event_at_ns").alias("tm"), (F.col("event_at_ns") + 70 * s).alias("available"), (F.col("instrument_id") % 2).alias("identity"), F.col("price_nano").alias("o"), F.lit(3).cast("long").alias("volume"))
     x = t.where("event_id % 6 = 0").select("event_id", "market", (F.col("event_at_ns") + 5 * s).alias("ordered"), (F.col("instrument_id") % 2).alias("own"))
-    step = lambda c: F.floor(c / (15 * M)).cast("long")
-    near = x.withColumn("step", F.explode(F.array(step(F.col("ordered")), step(F.col("ordered")) + 1))).join(b.unionByName(twins).withColumn("step", step(F.col("tm"))), ["market", "step"])
-    inside = near.where((F.col("tm") > F.col("ordered")) & (F.col("tm") <= F.col("ordered") + 15 * M))
-    per_time = inside.groupBy("event_id", "tm").agg(
-        F.count("*").alias("n"), F.bool_and(F.col("own") == F.col("identity")).alias("same"), F.bool_and(F.col("available") >= F.col("tm") + 65 * s).alias("late"), F.bool_and((F.col("volume") > 0) & (F.col("o") > 0)).alias("good"), F.min("o").alias("o"))
-    first = per_time.groupBy("event_id").agg(F.min_by(F.struct("n", "same", "late", "good", "o"), "tm").alias("f"))
-    j = x.select("event_id").join(first, "event_id", "left")
+    late = F.bool_and(F.col("available") >= F.col("tm") + 65 * s)
+    per_time = b.unionByName(twins).groupBy("market", "tm").agg(
+        F.count("*").alias("n"), F.min("identity").alias("low"), F.max("identity").alias("high"), late.alias("late"), F.bool_and((F.col("volume") > 0) & (F.col("o") > 0)).alias("good"), F.min("o").alias("o"))
+    found = asof.upcoming(x, per_time, ["market"], "ordered", "tm", ["n", "low", "high", "late", "good", "o"], True, 15 * M)
+    same = (F.col("own") == F.col("low")) & (F.col("own") == F.col("high"))
+    j = found.select("event_id", F.when(F.col("next_at") <= F.col("ordered") + 15 * M, F.struct("n", same.alias("same"), "late", "good", "o")).alias("f"))
     state = F.when(F.col("f").isNull(), "NO_BAR").when(F.col("f.n") > 1, "AMBIGUOUS").when(~F.col("f.same"), "OTHER_IDENTITY").when(~F.col("f.late"), "EARLY_AVAILABILITY").when(~F.col("f.good"), "INVALID_BAR").otherwise("FILLED")
     return j.select("event_id", state.alias("state"), F.when(state == "FILLED", F.col("f.o")).otherwise(F.lit(-1).cast("long")).alias("fill_nano"))
 
