@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import asof
+from . import asof, scans
 
 #: What stands for no value in 64-bit fields.
 NO_VALUE = 2**63 - 1
@@ -89,13 +89,20 @@ def first_quote(targets: DataFrame, quotes: DataFrame, keys: list[str], start: s
     """The first quote available in each target's closed window, by availability and ordinal.
 
     A quote before the window is never used, and one of another instrument inside it makes the target unavailable.
-    ``quotes`` has available_ns, ordinal and instrument_id; both sides are dealt over steps of ``span``.
+    ``quotes`` has available_ns, ordinal and instrument_id; a key's rows are dealt over steps of ``span``.
+
+    No target is paired with quotes: it looks up the next time of a quote, and what stands there says when the next
+    instrument comes that isn't the one there. A window holds a foreign one if that is its first or comes by the deadline.
     """
-    step = lambda c: F.floor(F.col(c) / span).cast("long")
-    t = targets.withColumn("_step", F.explode(F.sequence(step(start), step(deadline))))
-    q = quotes.select(*keys, "available_ns", "ordinal", F.col("instrument_id").alias("_instrument"), step("available_ns").alias("_step"))
-    inside = t.join(q, [*keys, "_step"]).where((F.col("available_ns") >= F.col(start)) & (F.col("available_ns") <= F.col(deadline)))
-    hit = inside.groupBy(*targets.columns).agg(F.min(F.struct("available_ns", "ordinal")).alias("_first"), F.bool_or(F.col("_instrument") != F.col(own)).alias("_foreign"))
-    found = targets.join(hit, targets.columns, "left")
-    state = F.when(F.col("_first").isNull(), "NO_QUOTE_BY_DEADLINE").when(F.col("_foreign"), "FOREIGN_INSTRUMENT").otherwise("COMPLETE")
-    return found.select(*targets.columns, state.alias("state"), *(F.when(state == "COMPLETE", F.col(f"_first.{c}")).alias(c) for c in ("available_ns", "ordinal")))
+    q = quotes.where(reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in (*keys, "available_ns"))))
+    times = q.groupBy(*keys, "available_ns").agg(F.min("ordinal").alias("ordinal"), F.min("instrument_id").alias("_low"), F.max("instrument_id").alias("_high"))
+    told = times.where("_low is not null").select(*keys, "available_ns", "_low", "_high")
+    was = scans.previous(told, keys, ["available_ns"], {"_low": "_low0", "_high": "_high0"}, span)
+    turns = was.where("_low <> _high or _low <> _low0 or _high <> _high0").select(*keys, F.col("available_ns").alias("_turn"))
+    told = asof.upcoming(told, turns, keys, "available_ns", "_turn", [], True, span).withColumnRenamed("next_at", "_turn")
+    told = told.select(*keys, F.col("available_ns").alias("_told"), "_low", F.when(F.col("_low") != F.col("_high"), F.col("available_ns")).otherwise(F.col("_turn")).alias("_other"))
+    found = asof.upcoming(targets, times.select(*keys, "available_ns", "ordinal"), keys, start, "available_ns", ["ordinal"], False, span).withColumnRenamed("next_at", "available_ns")
+    found = asof.upcoming(found, told, keys, start, "_told", ["_low", "_other"], False, span)
+    foreign = ((F.col("next_at") <= F.col(deadline)) & (F.col("_low") != F.col(own))) | (F.col(own).isNotNull() & (F.col("_other") <= F.col(deadline)))
+    state = F.when(F.coalesce(F.col("available_ns") <= F.col(deadline), F.lit(False)), F.when(foreign, "FOREIGN_INSTRUMENT").otherwise("COMPLETE")).otherwise("NO_QUOTE_BY_DEADLINE")
+    return found.select(*targets.columns, state.alias("state"), *(F.when(state == "COMPLETE", F.col(c)).alias(c) for c in ("available_ns", "ordinal")))
