@@ -67,7 +67,8 @@ def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh(spark, "lines")
     e.repartition(4, "part").sortWithinPartitions("part", "event_id", "copy").select("part", "value").write.partitionBy("part").text(path)
     key, was = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set(key, "8192")  # many splits a file
+    size = spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
+    spark.conf.set(key, str(readers.split_bytes(size)))  # many splits a file
     try:
         found = written(readers.numbered_json_lines(spark, path, "event_id long, kind string"), "numbered")
     finally:

@@ -50,6 +50,11 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def split_bytes(size: int, least: int = 8_192, most: int = 128 << 20, splits: int = 64) -> int:
+    """Bytes of a split that cut files of ``size`` bytes into some ``splits``; their number grows with ``size`` only beyond ``most`` bytes each."""
+    return min(most, max(least, -(-size // splits)))
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files: file, ``line_number`` from 1 in its file, value; the same for any size of splits.
 
