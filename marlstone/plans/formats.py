@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import ranks
@@ -15,14 +15,21 @@ _FIELDS = {"part": "u1", "event_id": "i8", "instrument_id": "i4", "event_at_ns":
 
 
 def _records(spark: SparkSession, sf_dir: str, rows: int) -> DataFrame:
-    """The trade tape in three binary files in the order of time, some records twice, some prices undefined; read by ranges of ``rows``."""
+    """The trade tape in binary files in the order of part and time, some records twice, some prices undefined; read by ranges of ``rows``.
+
+    A part may lie in several files and share one with another; ``place`` is a record's place in its part.
+    """
     t = tables.trades(spark, sf_dir)
     price = F.when(F.col("event_id") % 23 == 7, F.lit((1 << 63) - 1)).otherwise(F.col("price_nano"))
     r = t.select((F.col("event_id") % 3).alias("part"), "event_id", "instrument_id", "event_at_ns", price.alias("price_nano"), (F.col("event_id") % 1000).alias("flags"))
     r = r.union(r.where("event_id % 31 = 4"))
-    path = fresh(spark, "records")
-    ranges.write_records(r.repartition(3, "part").sortWithinPartitions("part", "event_at_ns", "event_id"), path, _FIELDS, b"MARL1\n")
-    return ranges.ranged_records(spark, path, _FIELDS, None, b"MARL1\n", rows)
+    path, order = fresh(spark, "records"), ["part", "event_at_ns", "event_id"]
+    ranges.write_records(r.repartitionByRange(*order).sortWithinPartitions(*order), path, _FIELDS, b"MARL1\n")
+    found = ranges.ranged_records(spark, path, _FIELDS, None, b"MARL1\n", rows)
+    files = found.groupBy("file", "part").agg(F.min("ordinal").alias("first"), F.count("*").alias("n"), F.min(F.struct("event_at_ns", "event_id")).alias("begins"))
+    before = Window.partitionBy("part").orderBy("begins").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("file", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("start"))
+    return found.join(starts, ["file", "part"]).withColumn("place", F.col("ordinal") + F.col("start")).drop("start")
 
 
 _R = f"""{tables.TRADES}, u AS (SELECT event_id % 3 AS part, event_id, instrument_id, event_at_ns, CASE WHEN event_id % 23 = 7 THEN 9223372036854775807 ELSE price_nano END AS price_nano, event_id % 1000 AS flags, unnest(range(CASE WHEN event_id % 31 = 4 THEN 2 ELSE 1 END)) AS copy FROM trades),
@@ -31,11 +38,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY event_at_ns, event
 
 @query(f"""WITH {_R} SELECT part, place, event_id, instrument_id::INTEGER AS instrument_id, event_at_ns, price_nano, flags::INTEGER AS flags, (place = 0 OR place % 500 = 0) AS begins FROM r""")
 def binary_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-11, A-12: fixed-width records of several files, each read by many tasks; a file's parts are one after the other."""
+    """A-11, A-12: fixed-width records of several files, each read by many tasks; the files of a part are one after the other."""
     r = _records(spark, sf_dir, 500)
-    first = r.groupBy("file", "part").agg(F.min("ordinal").alias("first"))  # two parts may share a file
-    place = F.col("ordinal") - F.col("first")
-    return r.join(first, ["file", "part"]).select(F.col("part").cast("long").alias("part"), place.alias("place"), "event_id", "instrument_id", "event_at_ns", "price_nano", F.col("flags").cast("int").alias("flags"), (place % 500 == 0).alias("begins"))
+    place = F.col("place")
+    return r.select(F.col("part").cast("long").alias("part"), "place", "event_id", "instrument_id", "event_at_ns", "price_nano", F.col("flags").cast("int").alias("flags"), (place % 500 == 0).alias("begins"))
 
 
 @query(
@@ -44,7 +50,7 @@ SELECT part, count(*) AS records, count(*)::BIGINT * 31 AS bytes, count(*) FILTE
 )
 def binary_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-17: records decoded to Parquet within a budget of bytes, with counts of repeats, undefined values, identities and rolls from all ranges."""
-    r = _records(spark, sf_dir, 700).withColumn("file", F.concat("file", F.lit("#"), F.col("part").cast("string")))
+    r = _records(spark, sf_dir, 700).withColumns({"file": F.col("part").cast("string"), "ordinal": F.col("place")})  # a part is one file in several
     kept = ranges.decoded_to_parquet(r, fresh(spark, "decoded"), 1 << 40, ["file", "ordinal", "part", "instrument_id", "event_at_ns", "price_nano", "raw"])
     found = ranges.counters(kept, ["part"], "instrument_id", "event_at_ns", {"price_nano": (1 << 63) - 1}, 300)
     return found.withColumn("part", F.col("part").cast("long"))

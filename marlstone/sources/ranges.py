@@ -1,6 +1,6 @@
 """Fixed-width binary records read by ranges: a Python data source whose partitions are stretches of records of a file.
 
-A file is a header and whole little-endian records. Each range also reads the record before its first one, so that the
+Where there are many short ranges, a task reads several, one after the other, so that tasks grow with bytes. A file is a header and whole little-endian records. Each range also reads the record before its first one, so that the
 order is checked across seams without any task seeing two ranges. Files are listed by Spark; tasks open them through
 Arrow's file systems, which know local paths and those remote ones that Arrow was built for. Compressed files can't be
 entered in the middle: ``binary.records`` reads them whole.
@@ -25,6 +25,8 @@ from .readers import SourceError
 
 NAME = "marlstone_records"
 _ROWS = 65_536
+#: Ranges share tasks where there are more than so many, and more than the bytes of all need at so many a task.
+TASKS, TASK_BYTES = 64, 16 << 20
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -38,19 +40,24 @@ def _kind(fields: dict[str, str]) -> np.dtype:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     path: str
     first: int
     count: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    ranges: list[Range]
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.fields, self.files = json.loads(options["fields"]), json.loads(options["files"])
         self.header, self.ordered_by = bytes.fromhex(options.get("header", "")), options.get("ordered_by") or None
         self.rows = int(options["rows"])
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         size = _kind(self.fields).itemsize
         out = []
         for path, length in self.files:
@@ -58,9 +65,14 @@ class _Reader(DataSourceReader):
             if n < 0 or rest:
                 raise SourceError(f"{path}: {length} bytes aren't a header and whole records")
             out += [Range(path, i, min(self.rows, n - i)) for i in range(0, n, self.rows)] or [Range(path, 0, 0)]
-        return out
+        each = -(-len(out) // max(TASKS, -(-sum(length for _, length in self.files) // TASK_BYTES)))
+        return [Ranges(out[i : i + each]) for i in range(0, len(out), max(1, each))]
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for part in partition.ranges:
+            yield from self._range(part)
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def _range(self, part: Range) -> Iterator[pa.RecordBatch]:
         kind = _kind(self.fields)
         where, path = _opened(part.path)
         with where.open_input_file(path) as f:
@@ -146,7 +158,7 @@ class RecordSource(DataSource):
 
 
 def ranged_records(spark: SparkSession, path: str, fields: dict[str, str], ordered_by: str | None = None, header: bytes = b"", rows: int = 1_000_000) -> DataFrame:
-    """Records of all files under ``path``, ``rows`` to a partition: file, ordinal in the file, the fields, and the raw bytes.
+    """Records of all files under ``path``, in ranges of ``rows``, of which a task may read several: file, ordinal in the file, the fields, and the raw bytes.
 
     A file must begin with ``header``, hold whole records and, if asked for, not fall in ``ordered_by``; else reading
     fails with its name. Null values don't exist in such files; sentinels are the caller's to name.
