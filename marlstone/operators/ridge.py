@@ -10,6 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
+#: Models that are sent to every task; more are met in a shuffle.
+BROADCAST_ROWS = 100_000
+
 
 def gram(rows: DataFrame, keys: list[str], x: list[str], y: list[str]) -> DataFrame:
     """Count, sums and sums of products per key, in one aggregation; rows with a null are left out."""
@@ -76,6 +81,8 @@ def predicted(rows: DataFrame, models: DataFrame, keys: list[str], x: list[str],
     dot: Column = F.col("intercept")
     for i, c in enumerate(x):
         dot = dot + F.col("weights")[i] * F.col(c)
+    own = written(own, "models")
+    own = F.broadcast(own) if own.count() <= BROADCAST_ROWS else own  # few keys of many rows aren't shuffled by key
     return rows.join(own, keys, "left").withColumn("prediction", dot).drop("weights", "intercept")
 
 
