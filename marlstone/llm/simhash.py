@@ -30,7 +30,7 @@ from ._common import bounded, components, dropped, local_components, partitions,
 THREE, TWO = ((0, 22), (22, 21), (43, 21)), ((0, 32), (32, 32))
 #: Bits that the codes cover between them.
 MOST_BITS = 8
-#: Fingerprints of each text in the search for near copies; texts with the same or nearly the same of any are candidates.
+#: Min-hashes of each text in the search for near copies, beside its SimHash; texts with the same of any are candidates.
 PRINTS = 4
 #: Texts whose sets of shingles a task holds at once; classes of more are cut into tiles.
 TEXTS_AT_ONCE = 1_000
@@ -76,10 +76,19 @@ def steep_fingerprints(text: bytes, shingle: int = 5, seed: int = 42, prints: in
 
     Two texts have a fingerprint in common with a chance of the Jaccard similarity of their sets of shingles.
     """
-    h = _shingle_hashes(text, shingle, seed)
+    return _least_hashes(_shingle_hashes(text, shingle, seed), prints)
+
+
+def _least_hashes(h: np.ndarray, prints: int) -> list[int]:
     return [int(_mixed(_mixed(h, i).min(keepdims=True), prints + i)[0]) for i in range(1, prints + 1)] if len(h) else [0] * prints
 
 
+def all_fingerprints(text: bytes, shingle: int = 5, seed: int = 42, prints: int = PRINTS) -> list[int]:
+    """The SimHash of the text's shingles, then its min-hashes."""
+    h = _shingle_hashes(text, shingle, seed)
+    return [_votes(h.view(np.uint8).reshape(-1, 8)) if len(h) else 0, *_least_hashes(h, prints)]
+
+
 def _votes(h: np.ndarray) -> int:
     """The bits that more than half of the hashes have, given as rows of eight bytes."""
     m = len(h)
@@ -363,20 +372,21 @@ def _like_texts(similarity: float):
     return work
 
 
-def near_copies(docs: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, shingle: int = 5, most_bits: int = 2, prints: int = PRINTS) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, shingle: int = 5, most_bits: int = 5, prints: int = PRINTS) -> DataFrame:
     """(id_col, component_id): documents in groups of near copies, component_id the group's least id.
 
-    Candidates are texts of which any of ``prints`` min-hashes differ in at most ``most_bits`` bits, found by
-    anchors; a pair is linked if the Jaccard similarity of its sets of ``shingle``-word shingles reaches
-    ``similarity``. All candidates are tried where their sets stand together, in tiles of bounded size, and only links
-    that join groups leave the task. A pair of similarity j is a candidate with a chance of at least
-    1 - (1 - j)**prints: 0.998 at 0.8 with four. Texts without words are copies of each other. Texts whose 64-bit keys
-    collide, as their fingerprints show, are in no group.
+    Candidates are texts whose SimHashes differ in at most ``most_bits`` bits, found by anchors, which miss none, and
+    texts with any of ``prints`` min-hashes in common, which also reach pairs of lower similarity; a pair is linked if
+    the Jaccard similarity of its sets of ``shingle``-word shingles reaches ``similarity``. All candidates are tried
+    where their sets stand together, in tiles of bounded size, and only links that join groups leave the task. A pair
+    of similarity j has a min-hash in common with a chance of 1 - (1 - j)**prints: 0.998 at 0.8 with four; edits at
+    just those shingles undo them all, but hardly a bit of a long text's SimHash. Texts without words are copies of
+    each other. Texts whose 64-bit keys collide, as their fingerprints show, are in no group.
     """
-    names = [f"fp{i}" for i in range(prints)]
+    names = [f"fp{i}" for i in range(1 + prints)]
     keyed = docs.select(F.col(id_col).alias("id"), F.when(F.col(text_col).rlike(WORD), F.col(text_col)).otherwise("").alias("text"))
     keyed = keyed.withColumn("key", F.xxhash64("text"))
-    ids = _by_text(keyed.select(F.struct("id", "key").alias("id"), "text"), "id", "text", names, lambda text: steep_fingerprints(text, shingle, prints=prints))
+    ids = _by_text(keyed.select(F.struct("id", "key").alias("id"), "text"), "id", "text", names, lambda text: all_fingerprints(text, shingle, prints=prints))
     ids = written(ids.select("id.id", "id.key", *names), "fingerprints")
     once = ids.groupBy("key").agg(*(F.min(c).alias(c) for c in names), F.max("fp0").alias("other"), F.min("id").alias("first"), F.count("*").alias("times"))
     texts = written(once.where("fp0 = other").drop("other"), "distinct")
@@ -384,10 +394,10 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str, similarity: float =
     def by_print(rows: DataFrame, *more: str) -> DataFrame:
         return rows.select("key", *more, F.posexplode(F.array(*names)).alias("print", "fp"))
 
-    # texts of one class stand together: those of one fingerprint, and of others that anchors link to it
+    # texts of one class stand together: those of one min-hash, or of one SimHash and of others that anchors link to it
     node = F.xxhash64("print", "fp").alias("node")
     heads = written(by_print(texts).groupBy("print", "fp").agg(F.count("*").alias("texts"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("told"), F.min("key").alias("least")).withColumn("node", node), "heads")
-    near = written(fingerprint_links(heads, most_bits), "near")
+    near = written(fingerprint_links(heads.where("print = 0"), most_bits), "near")
     alone = near.isEmpty()
     classes = None if alone else components(near).withColumnsRenamed({"root": "class"})
     classed = heads if alone else heads.join(bounded(classes, classes.count()), "node", "left")

@@ -307,6 +307,26 @@ def test_near_copies_of_one_class_are_all_tried(spark, monkeypatch, at_once):
     assert got == dict(enumerate(want))
 
 
+def test_near_copies_without_a_common_min_hash_meet_at_anchors(spark):
+    rnd = random.Random(35)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for _ in range(6):
+        w = [word() for _ in range(3000)]
+        texts.append(" ".join(w))
+        h = simhash._shingle_hashes(texts[-1].encode(), 5, 42)
+        for i in range(1, simhash.PRINTS + 1):  # an edit in just the shingle that makes the print
+            w[int(simhash._mixed(h, i).argmin()) + 2] = word()
+        texts.append(" ".join(w))
+    for i in range(0, 12, 2):
+        a, b = (simhash.all_fingerprints(t.encode()) for t in texts[i : i + 2])
+        assert a[1:] == simhash.steep_fingerprints(texts[i].encode()) and a[0] == simhash.text_fingerprint(texts[i].encode(), 5)
+        assert not set(a[1:]) & set(b[1:]) and 0 < (a[0] ^ b[0]).bit_count() <= 5
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame([*enumerate(texts)], DOCS), "doc_id", "text").collect()}
+    assert got == {i: i // 2 * 2 for i in range(12)}
+    assert sorted(r["doc_id"] for r in simhash.keep_one(spark.createDataFrame([*enumerate(texts)], DOCS)).collect()) == list(range(0, 12, 2))
+
+
 def test_near_copies_with_blocks_appended_or_cut(spark):
     rnd = random.Random(32)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
