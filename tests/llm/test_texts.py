@@ -588,6 +588,36 @@ def test_edit_distances_side_by_side(monkeypatch):
         assert (lines.within(x, y, want + off) == (off >= 0)).all()
 
 
+@pytest.mark.parametrize(("words_", "table"), [(1, 1 << 20), (2, 1 << 20), (3, 9_000)])
+def test_windows_tell_distances_up_to_their_width(monkeypatch, words_, table):
+    monkeypatch.setattr(lines, "_TABLE", table)
+    rnd = random.Random(5)
+    pairs = []
+    for i in range(60):  # every third pair is of unlike texts, which leave before their end
+        a = [rnd.choice("abcdé😀") for _ in range(rnd.randint(1, 350))]
+        b = [rnd.choice("abcdxy") for _ in a] if i % 3 == 0 else a[:]
+        for _ in range(rnd.randint(0, 40)):
+            at = rnd.randrange(len(b) + 1)
+            b[at : at + rnd.randrange(2)] = rnd.choice(["", "b", "éd"])
+        pairs.append(tuple(sorted(("".join(a), "".join(b)), key=len)))
+    want = np.array([distance(a, b) for a, b in pairs])
+    for off in (-3, -1, 0, 1, 9):
+        most = np.minimum(want + off, 64 * words_ - 1)
+        some = [i for i, (a, b) in enumerate(pairs) if len(b) - len(a) <= most[i]]
+        got = lines._in_window([pairs[i] for i in some], most[some], words_)
+        assert (got == (want <= most)[some]).all()
+        assert all((lines.edit_distance(*pairs[i], int(most[i])) <= most[i]) == (want <= most)[i] for i in range(60))
+
+
+def test_only_lines_asked_for_are_normalised_again(spark):
+    docs = [(i, f"{i}", "\n".join(f"Line {chr(97 + j)}{chr(97 + i)},  É" for j in range(10))) for i in range(6)] + [(9, None, "")]
+    source = spark.createDataFrame(docs, "row long, id string, text string")
+    places = source.mapInArrow(lines._line_rows(False), lines._ROWS.format(id="string")).select("key", "row", "line").toPandas()
+    asked = places[places["row"].isin([1, 4]) & places["line"].isin([0, 7])]
+    got = lines._texts(source, spark.createDataFrame(places), spark.createDataFrame(asked[["key"]]), 4).collect()
+    assert {r["key"]: r["norm"] for r in got} == {k: f"line {chr(97 + j)}{chr(97 + i)} é" for k, i, j in asked.itertuples(index=False)}
+
+
 @pytest.mark.parametrize("at_once", [100_000, 12])
 def test_line_dedup_equals_brute_force(spark, monkeypatch, at_once):
     monkeypatch.setattr(lines, "LINES_AT_ONCE", at_once)
