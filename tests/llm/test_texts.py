@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -618,6 +619,23 @@ def test_only_lines_asked_for_are_normalised_again(spark):
     assert {r["key"]: r["norm"] for r in got} == {k: f"line {chr(97 + j)}{chr(97 + i)} é" for k, i, j in asked.itertuples(index=False)}
 
 
+def test_second_search_tries_each_pair_once_and_none_that_was_refused(monkeypatch):
+    seen, alike = Counter(), lines._alike
+
+    def counted(x, y, similarity):
+        seen.update(tuple(sorted(p)) for p in zip(x, y, strict=True))
+        return alike(x, y, similarity)
+
+    monkeypatch.setattr(lines, "_alike", counted)
+    norms = ["a" * 20 + str(i) * n for i, n in ((1, 0), (2, 2), (3, 9), (4, 12))]
+    key = np.array([5, 3, 9, 7])
+    rows = {"group": np.zeros(4, np.int64), "slot": np.zeros(4, np.int64), "key": key, "size": np.full(4, 20), "sim": np.zeros(4, np.int64), "label": key, "norm": norms}
+    rows |= {"refused": pa.array([[7], [9], None, None], pa.list_(pa.int64()))} | {f"f{i}": np.zeros(4, np.int64) if i == 0 else key for i in range(10)}
+    out = [tuple(sorted(p.values())) for b in lines._joined(0.8)(iter([pa.RecordBatch.from_pydict(rows)])) for p in b.to_pylist()]
+    assert out == [(3, 5)]
+    assert seen == {tuple(sorted((norms[i], norms[j]))): 1 for i in range(4) for j in range(i) if {key[i], key[j]} not in ({5, 7}, {3, 9})}
+
+
 @pytest.mark.parametrize("at_once", [100_000, 12])
 def test_line_dedup_equals_brute_force(spark, monkeypatch, at_once):
     monkeypatch.setattr(lines, "LINES_AT_ONCE", at_once)
