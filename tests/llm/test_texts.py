@@ -561,6 +561,38 @@ def test_spanning_forests_are_least():
         assert closure(n, list(zip(a[some], b[some], strict=True))) == closure(n, list(zip(a, b, strict=True)))
 
 
+def test_a_large_block_is_searched_in_windows_of_length_and_gives_one_forest(monkeypatch):
+    rnd = np.random.default_rng(4)
+    n, tried, near = 1200, [], lines._near
+
+    def counted(key, size, sim, u, v, similarity):
+        tried.append(len(u))
+        return near(key, size, sim, u, v, similarity)
+
+    monkeypatch.setattr(lines, "_near", counted)
+    group = np.sort(np.concatenate([np.full(n, 7), np.full(n, 8), np.arange(100, 150)]))
+    key = rnd.permutation(1 << 20)[: len(group)] - (1 << 19)
+    size = np.where(group == 7, rnd.integers(95, 105, len(group)), rnd.integers(20, 100_000, len(group))).astype(np.int32)
+    sim = np.where(group == 7, 1 << rnd.integers(0, 8, len(group)), rnd.integers(0, 1 << 20, len(group)))
+    rows = pa.RecordBatch.from_arrays([*map(pa.array, (group, key, size, sim))], ["group", "key", "size", "sim"])
+    links = [tuple(p.values()) for b in lines._forests(0.8)(iter([rows.slice(i, 500) for i in range(0, rows.num_rows, 500)])) for p in b.to_pylist()]
+    place = {k: i for i, k in enumerate(key.tolist())}
+    fits = [(i, j) for i in range(len(group)) for j in np.flatnonzero((group[i + 1 :] == group[i]) & (np.bitwise_count(sim[i + 1 :] ^ sim[i]) <= 14) & (np.minimum(size[i], size[i + 1 :]) >= 0.8 * np.maximum(size[i], size[i + 1 :]))) + i + 1]
+    assert closure(len(group), [(place[a], place[b]) for a, b in links]) == closure(len(group), fits)
+    assert len(links) <= 2 * n - 2 and all(a < b for a, b in links)
+    assert sum(tried) < 0.65 * n * (n - 1)
+
+
+def test_blocks_of_the_same_lines_give_the_same_links():
+    rnd = np.random.default_rng(6)
+    key = np.sort(rnd.permutation(10_000)[:300])
+    found = []
+    for order in (np.arange(300), rnd.permutation(300)):
+        rows = pa.RecordBatch.from_arrays([*map(pa.array, (np.zeros(300, np.int64), key[order], np.full(300, 50, np.int32), np.zeros(300, np.int64)))], ["group", "key", "size", "sim"])
+        found.append({tuple(p.values()) for b in lines._forests(0.8)(iter([rows])) for p in b.to_pylist()})
+    assert found[0] == found[1] and len(found[0]) == 299
+
+
 def test_edit_distances_side_by_side(monkeypatch):
     rnd = random.Random(3)
     x, y = [], []
