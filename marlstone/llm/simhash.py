@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import combinations, repeat
+from itertools import chain, combinations, repeat
 from operator import xor
 
 import numpy as np
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import bounded, components, dropped, local_components, partitions, sliced, utf8, written
+from .lines import _simhashes
 
 #: The pieces' first bits and lengths.
 THREE, TWO = ((0, 22), (22, 21), (43, 21)), ((0, 32), (32, 32))
@@ -41,6 +42,9 @@ HOMES_AT_ONCE = 50_000
 #: A word, as Java writes it.
 WORD = r"[^\x20\x09-\x0D]"
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+#: The primes of XXH64, strings that are hashed side by side, and the longest of them in bytes.
+_P1, _P2, _P3, _P4, _P5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_STRINGS, _LONGEST = 1 << 15, 256
 
 
 def _mixed(h: np.ndarray, i: int) -> np.ndarray:
@@ -66,6 +70,70 @@ def _shingle_hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), np.uint64, n - shingle + 1)
 
 
+def _turned(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h << np.uint64(bits)) | (h >> np.uint64(64 - bits))
+
+
+def _xxh64(body: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of strings of ``body`` with at most _LONGEST bytes, in the order of their size; eight bytes may follow the last string."""
+    low = int(start.min())
+    body = body[low : int((start + size).max()) + 8]
+    eight = np.lib.stride_tricks.as_strided(body, (len(body) - 7, 8), (1, 1)).copy().view(np.uint64).ravel()  # from each byte on
+    at, end = start - low, start - low + size
+    seed = np.full(len(at), seed, np.uint64)
+    h = seed + _P5
+    if k := len(at) - int(np.searchsorted(size, 32)):  # the last k have stripes of 32 bytes
+        four = [seed[-k:] + _P1 + _P2, seed[-k:] + _P2, seed[-k:].copy(), seed[-k:] - _P1]
+        for stripe in range(int(size[-1]) // 32):
+            g = len(at) - int(np.searchsorted(size, 32 * stripe + 32))
+            for i, v in enumerate(four):
+                v[-g:] = _turned(v[-g:] + eight[at[-g:] + 8 * i] * _P2, 31) * _P1
+            at[-g:] += 32
+        mixed = _turned(four[0], 1) + _turned(four[1], 7) + _turned(four[2], 12) + _turned(four[3], 18)
+        for v in four:
+            mixed = (mixed ^ (_turned(v * _P2, 31) * _P1)) * _P1 + _P4
+        h[-k:] = mixed
+    h += size.astype(np.uint64)
+    for n in (8, 8, 8, 4, 1, 1, 1):
+        some = np.flatnonzero(end - at >= n)
+        x = eight[at[some]]
+        if n == 8:
+            h[some] = _turned(h[some] ^ (_turned(x * _P2, 31) * _P1), 27) * _P1 + _P4
+        elif n == 4:
+            h[some] = _turned(h[some] ^ ((x & np.uint64(0xFFFFFFFF)) * _P1), 23) * _P2 + _P3
+        else:
+            h[some] = _turned(h[some] ^ ((x & np.uint64(0xFF)) * _P5), 11) * _P1
+        at[some] += n
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def shingle_hashes(texts: list[bytes], shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """``_shingle_hashes`` of all texts, one after the other, and how many each text has."""
+    words = [text.lower().split() for text in texts]
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    raw = b" ".join([*chain.from_iterable(words), b"\0" * 8])
+    body = np.frombuffer(raw, np.uint8)
+    ends = np.flatnonzero(body == 32)
+    starts = np.append(0, ends[:-1] + 1)
+    grams = np.where(n > 0, np.maximum(n - shingle + 1, 1), 0)
+    owner = np.repeat(np.arange(len(n)), grams)
+    first = (np.cumsum(n) - n)[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(grams) - grams, grams)
+    start = starts[first]
+    size = ends[first + np.minimum(n, shingle)[owner] - 1] - start
+    out = np.empty(len(start), np.uint64)
+    for i in np.flatnonzero(size > _LONGEST).tolist():
+        out[i] = xxhash.xxh64_intdigest(raw[start[i] : start[i] + size[i]], seed)
+    for s in range(0, len(start), _STRINGS):
+        own = size[s : s + _STRINGS]
+        order = np.argsort(np.minimum(own, _LONGEST + 1).astype(np.uint16), kind="stable")
+        order = s + order[: int(np.count_nonzero(own <= _LONGEST))]
+        if len(order):
+            out[order] = _xxh64(body, start[order], size[order], seed)
+    return out, grams
+
+
 def text_fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     h = _shingle_hashes(text, shingle, seed)
     return _votes(h.view(np.uint8).reshape(-1, 8)) if len(h) else 0
@@ -89,6 +157,19 @@ def all_fingerprints(text: bytes, shingle: int = 5, seed: int = 42, prints: int
     return [_votes(h.view(np.uint8).reshape(-1, 8)) if len(h) else 0, *_least_hashes(h, prints)]
 
 
+def _fingerprints_of(texts: list[bytes], shingle: int, prints: int) -> np.ndarray:
+    """``all_fingerprints`` of each text, a row each."""
+    h, size = shingle_hashes(texts, shingle)
+    out, some = np.zeros((len(texts), 1 + prints), np.uint64), np.flatnonzero(size)
+    if len(some):
+        size = size[some]
+        first = np.cumsum(size) - size
+        out[some, 0] = _simhashes(h, size)
+        for i in range(1, prints + 1):
+            out[some, i] = _mixed(np.minimum.reduceat(_mixed(h, i), first), prints + i)
+    return out
+
+
 def _votes(h: np.ndarray) -> int:
     """The bits that more than half of the hashes have, given as rows of eight bytes."""
     m = len(h)
@@ -99,14 +180,14 @@ def _votes(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > m, bitorder="little").view(np.uint64)[0])
 
 
-def _by_text(docs: DataFrame, id_col: str, text_col: str, names: list[str], one: Callable[[bytes], list[int]]) -> DataFrame:
-    """Rows (id_col, and a long for each of ``names``) of all documents, from what ``one`` gives for a text."""
+def _by_text(docs: DataFrame, id_col: str, text_col: str, names: list[str], of: Callable[[list[bytes]], list | np.ndarray]) -> DataFrame:
+    """Rows (id_col, and a long for each of ``names``) of all documents, from what ``of`` gives for some texts, a row each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "text"):
+        for b in sliced(batches, "text", 1 << 20):
             off, body = utf8(b.column(1))
             raw = body.tobytes()
-            fps = [one(raw[s:e]) for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            fps = of([raw[s:e] for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
             cols = np.array(fps, np.uint64).reshape(len(fps), len(names)).T.copy().view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, cols)], ["id", *names])
 
@@ -116,7 +197,7 @@ def _by_text(docs: DataFrame, id_col: str, text_col: str, names: list[str], one:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
     """Rows (id_col, fp long) of all documents. Null and blank texts have fingerprint zero."""
-    return _by_text(docs, id_col, text_col, ["fp"], lambda text: [text_fingerprint(text, shingle, seed)])
+    return _by_text(docs, id_col, text_col, ["fp"], lambda texts: [text_fingerprint(text, shingle, seed) for text in texts])
 
 
 def _golay() -> list[int]:
@@ -295,14 +376,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _shingle_sets(shingle: int):
+    none = np.array([xxhash.xxh64_intdigest(b"")], np.uint64).view(np.int64)  # of a text without words
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "text"):
+        for b in sliced(batches, "text", 1 << 20):
             off, body = utf8(b.column(1))
-            raw, sets = body.tobytes(), []
-            for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-                words = raw[s:e].lower().split()
-                grams = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
-                sets.append(np.sort(np.array([xxhash.xxh64_intdigest(g) for g in grams], np.uint64)).view(np.int64))
+            raw = body.tobytes()
+            h, size = shingle_hashes([raw[s:e] for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], shingle, 0)
+            sets = [np.unique(x) if len(x) else none for x in np.split(h.view(np.int64), np.cumsum(size)[:-1])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["key", "grams"])
 
     return work
@@ -386,7 +467,7 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str, similarity: float =
     names = [f"fp{i}" for i in range(1 + prints)]
     keyed = docs.select(F.col(id_col).alias("id"), F.when(F.col(text_col).rlike(WORD), F.col(text_col)).otherwise("").alias("text"))
     keyed = keyed.withColumn("key", F.xxhash64("text"))
-    ids = _by_text(keyed.select(F.struct("id", "key").alias("id"), "text"), "id", "text", names, lambda text: all_fingerprints(text, shingle, prints=prints))
+    ids = _by_text(keyed.select(F.struct("id", "key").alias("id"), "text"), "id", "text", names, lambda texts: _fingerprints_of(texts, shingle, prints))
     ids = written(ids.select("id.id", "id.key", *names), "fingerprints")
     once = ids.groupBy("key").agg(*(F.min(c).alias(c) for c in names), F.max("fp0").alias("other"), F.min("id").alias("first"), F.count("*").alias("times"))
     texts = written(once.where("fp0 = other").drop("other"), "distinct")

@@ -547,6 +547,35 @@ def line_blocks(ws):
     return found
 
 
+def test_shingles_are_hashed_side_by_side(monkeypatch):
+    rnd = random.Random(8)
+    longest = simhash._LONGEST
+    texts = [words(rnd, n).encode() for n in (*range(12), 70, 900, 4000)] + [b"", b" \t\n", b"\x0b A\x1cb  \x00 c ", b"x" * (longest + 1) + b" y", ("É " * 40).encode(), b"z" * 5000]
+    texts += [bytes(rnd.randrange(33, 256) for _ in range(n)) for n in range(longest - 40, longest + 3)] + [bytes(rnd.randrange(33, 256) for _ in range(n)) for n in range(1, 100)]
+    for shingle, seed in ((5, 42), (4, 7), (1, 0)):
+        want = [simhash._shingle_hashes(t, shingle, seed) for t in texts]
+        for at_once in (50, 1 << 15):
+            monkeypatch.setattr(simhash, "_STRINGS", at_once)
+            h, size = simhash.shingle_hashes(texts, shingle, seed)
+            assert size.tolist() == list(map(len, want)) and (h == np.concatenate(want)).all()
+    want = [simhash.all_fingerprints(t) for t in texts]
+    calls, one = [], xxhash.xxh64_intdigest
+    monkeypatch.setattr(simhash.xxhash, "xxh64_intdigest", lambda text, seed=0: calls.append(len(text)) or one(text, seed))
+    assert simhash._fingerprints_of(texts, 5, simhash.PRINTS).tolist() == want
+    assert min(calls) > longest
+    assert simhash._fingerprints_of([b"", b" "], 5, 2).tolist() == [[0] * 3] * 2
+
+
+def test_sets_of_shingles_are_those_of_each_text():
+    texts = ["", " ", "a b", "A b c d e f a b c d e f a b c d e", "w " * 3000]
+    batch = pa.RecordBatch.from_pydict({"key": list(range(len(texts))), "text": texts})
+    got = [r for b in simhash._shingle_sets(5)(iter([batch])) for r in b.to_pylist()]
+    for t, r in zip(texts, got, strict=True):
+        w = t.lower().split()
+        grams = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+        assert r["grams"] == sorted(np.array([xxhash.xxh64_intdigest(g) for g in grams], np.uint64).view(np.int64).tolist())
+
+
 def test_spanning_forests_are_least():
     rnd = np.random.default_rng(2)
     for n in (2, 5, 40, 300):
